@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import fingerprint_documents
+from .language_id import predict_held_out
 from .mixing import mix_sources
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
@@ -23,6 +24,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_held_out(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -31,4 +36,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op6_fingerprints, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op6_fingerprints, op10_packing)}

@@ -10,6 +10,9 @@ from .language_id import predict_held_out
 from .mixing import mix_sources
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
+from .url_filter import judge_urls
+
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +35,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op6_fingerprints, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op6_fingerprints, op7_url_filter, op10_packing)}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import fingerprint_documents
 from .language_id import predict_held_out
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
 from .url_filter import judge_urls
@@ -31,6 +32,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("dk")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -43,4 +48,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op6_fingerprints, op7_url_filter, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op5_near_dedup, op6_fingerprints, op7_url_filter, op10_packing)}

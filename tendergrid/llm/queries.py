@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import fingerprint_documents
+from .html_text import extract_text
 from .language_id import predict_held_out
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -44,8 +45,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op5_near_dedup, op6_fingerprints, op7_url_filter, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op5_near_dedup, op6_fingerprints, op7_url_filter, op8_html_text, op10_packing)}

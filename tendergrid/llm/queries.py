@@ -11,6 +11,7 @@ from .language_id import predict_held_out
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quality import judge_quality
 from .substring_dedup import remove_repeats
 from .url_filter import judge_urls
 
@@ -49,8 +50,12 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op5_near_dedup, op6_fingerprints, op7_url_filter, op8_html_text, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op5_near_dedup, op6_fingerprints, op7_url_filter, op8_html_text, op9_quality, op10_packing)}

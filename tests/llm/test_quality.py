@@ -1,8 +1,12 @@
 import math
+import os
 import random
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from tendergrid.llm import quality
 from tendergrid.llm.quality import judge_quality, statistics, votes
 
@@ -29,18 +33,24 @@ def made(n=150, seed=8):
 
 
 def em(patterns):
-    good, acc = 0.8, None
-    post = lambda v: 1 / (1 + math.exp(-(math.log(good / (1 - good)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, acc)))))
-    acc = [0.8] * len(next(iter(patterns)))
+    k = len(next(iter(patterns)))
+    good, right, caught = 0.8, [0.9] * k, [0.4] * k
+    clamp = lambda x, lo: min(0.99, max(lo, x))
+
+    def post(v):
+        said = sum(math.log(r / (1 - c)) if x > 0 else math.log((1 - r) / c) for x, r, c in zip(v, right, caught) if x)
+        return 1 / (1 + math.exp(-(math.log(good / (1 - good)) + said)))
+
     for _ in range(quality.ROUNDS):
         q = {v: post(v) for v in patterns}
         total = sum(patterns.values())
-        new = []
-        for j in range(len(acc)):
-            agreed = sum(n * (q[v] if v[j] > 0 else 1 - q[v]) for v, n in patterns.items() if v[j])
-            new.append(min(0.99, max(0.55, (agreed + 16) / (sum(n for v, n in patterns.items() if v[j]) + 20))))
-        good = min(0.99, max(0.01, (sum(n * q[v] for v, n in patterns.items()) + 16) / (total + 20)))
-        acc = new
+        new_right, new_caught = [], []
+        for j in range(k):
+            said = [(v[j], n * q[v], n * (1 - q[v])) for v, n in patterns.items() if v[j]]
+            new_right.append(clamp((sum(g for x, g, _ in said if x > 0) + 18) / (sum(g for _, g, _ in said) + 20), 0.5))
+            new_caught.append(clamp((sum(b for x, _, b in said if x < 0) + 8) / (sum(b for _, _, b in said) + 20), 0.02))
+        good = clamp((sum(n * q[v] for v, n in patterns.items()) + 16) / (total + 20), 0.01)
+        right, caught = new_right, new_caught
     return {v: post(v) for v in patterns}
 
 
@@ -68,3 +78,10 @@ def test_plan_has_no_python(spark):
 
 def test_empty(spark):
     assert judge_quality(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_labelled_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = judge_quality(docs).filter("not base_failed").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    assert out.filter("kept = (label = 1)").count() / out.count() > 0.97

@@ -12,6 +12,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import judge_quality
+from .secrets import find_secrets
 from .substring_dedup import remove_repeats
 from .url_filter import judge_urls
 
@@ -34,6 +35,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("dk")
 
@@ -58,4 +63,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op5_near_dedup, op6_fingerprints, op7_url_filter, op8_html_text, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op4_secrets, op5_near_dedup, op6_fingerprints, op7_url_filter, op8_html_text, op9_quality, op10_packing)}

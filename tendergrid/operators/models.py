@@ -1,0 +1,156 @@
+"""Models over contracts: clusters, anomalies, discounts and association rules.
+
+Fits read bounded samples or small aggregates; every row is scored where it lies.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.fpm import FPGrowth
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+FOREST_TREES, FOREST_SAMPLE = 100, 256
+def _price() -> Column:
+    return F.col("contract_price_agree").cast("double")
+
+
+def cluster_contractors(stats: DataFrame, k: int = 5, seeds: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Winners in k clusters of scaled behaviour; the seed of the least cost counts. Fewer than 4 k winners: no clusters."""
+    columns = ["value", "n", "n_agencies", "top_agency_share", "specific_share", "ceiling_hug", "near_ceiling"]
+    logs = {c: F.log10(F.greatest(F.coalesce(F.col(c), F.lit(0)).cast("double"), F.lit(1.0))) for c in columns[:3]}
+    shares = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in columns[3:]}
+    rows = stats.select("winner_key", *[v.alias(c) for c, v in (logs | shares).items()]).persist()
+    if rows.count() < 4 * k:
+        return rows.select("winner_key", F.lit(-1).alias("cluster"))
+    scaled = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]).fit(rows).transform(rows)
+    fits = [KMeans(k=k, seed=s, maxIter=40, predictionCol="cluster").fit(scaled) for s in seeds]
+    return min(fits, key=lambda m: m.summary.trainingCost).transform(scaled).select("winner_key", "cluster")
+
+
+def anomaly_features(c: DataFrame) -> tuple[DataFrame, list[str]]:
+    """c with features of size, price against reference and budget, duration, and the pair's and winner's place."""
+    own = c.filter((_price() > 0) & (F.col("price_build") > 0))
+    pairs = own.groupBy("dept_key", "winner_key").agg(F.count("*").alias("pair_n"), F.sum("contract_price_agree").cast("double").alias("pair_value"))
+    winner = own.groupBy("winner_key").agg(F.sum("contract_price_agree").cast("double").alias("winner_value"), F.count_distinct("dept_key").alias("winner_agencies"))
+    agency = own.groupBy("dept_key").agg(F.count("*").alias("agency_n"))
+    peer = own.groupBy("province").agg(F.percentile(F.log10(_price()), 0.5).alias("peer"))
+    joined = own.join(pairs, ["dept_key", "winner_key"]).join(winner, "winner_key").join(agency, "dept_key").join(peer, "province")
+    clip = lambda x, lo, hi: F.least(F.lit(hi), F.greatest(F.lit(lo), x))
+    value = F.floor(_price())
+    round_ = F.when(value % 100_000 == 0, 4).when(value % 10_000 == 0, 3).when(value % 1000 == 0, 2).when(value % 100 == 0, 1).otherwise(0)
+    features: dict[str, Column] = {
+        "log_value_peer": F.log10(_price()) - F.col("peer"), "discount": clip(1 - _price() / F.col("price_build").cast("double"), -0.5, 1.0),
+        "build_vs_budget": clip(F.coalesce(F.col("price_build").cast("double") / F.nullif(F.col("project_money").cast("double"), F.lit(0.0)), F.lit(1.0)), 0.0, 2.0), "log_duration": F.log1p(F.greatest(F.coalesce("duration_days", F.lit(0)), F.lit(0)).cast("double")),
+        "roundness": round_.cast("double"), "ceiling_gap": F.when(_price() <= 500_000, (500_000 - _price()) / 500_000).otherwise(1.0), "log_pair_count": F.log1p(F.col("pair_n").cast("double")),
+        "pair_value_share": F.col("pair_value") / F.col("winner_value"), "log_winner_agencies": F.log1p(F.col("winner_agencies").cast("double")), "log_agency_size": F.log1p(F.col("agency_n").cast("double")),
+    }
+    return joined.select(*c.columns, *[v.alias(k) for k, v in features.items()]), list(features)
+
+
+class Forest:
+    """An isolation forest as flat arrays: a node splits on a feature at a cut, or is a leaf with an expected path."""
+
+    def __init__(self, x: np.ndarray, trees: int, sample: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.size = min(sample, len(x))
+        self.depth = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
+        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], rng) for _ in range(trees)]
+
+    @staticmethod
+    def expected(n: int) -> float:
+        return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else 1.0
+
+    def _grow(self, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+        feature, cut, below, path = [], [], [], []
+
+        def add(rows: np.ndarray, depth: int) -> int:
+            at = len(feature)
+            feature.append(-1), cut.append(0.0), below.append((0, 0)), path.append(depth + self.expected(len(rows)))
+            varied = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) > 1 and depth < self.depth else []
+            if len(varied):
+                f = int(rng.choice(varied))
+                c = rng.uniform(rows[:, f].min(), rows[:, f].max())
+                low = rows[:, f] <= c
+                feature[at], cut[at] = f, c
+                below[at] = (add(rows[low], depth + 1), add(rows[~low], depth + 1))
+            return at
+
+        add(x, 0)
+        return np.array(feature), np.array(cut), np.array(below), np.array(path)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for feature, cut, below, path in self.trees:
+            at = np.zeros(len(x), int)
+            for _ in range(self.depth):
+                f = feature[at]
+                side = (x[np.arange(len(x)), np.maximum(f, 0)] > cut[at]).astype(int)
+                at = np.where(f < 0, at, below[at, side])
+            total += path[at]
+        return 2.0 ** (-total / len(self.trees) / max(self.expected(self.size), 1e-9))
+
+
+def anomaly_scores(c: DataFrame, seed: int = 0, trees: int = FOREST_TREES, sample: int = FOREST_SAMPLE) -> DataFrame:
+    """c with ml_score. The trees are grown on trees * sample rows at most, those of the least seeded hash."""
+    featured, columns = anomaly_features(c)
+    drawn = featured.orderBy(F.xxhash64(F.lit(seed), "project_id", "contract_no", "winner_key", "contract_price_agree")).limit(trees * sample).select(*columns).toPandas().sort_values(columns)
+    if drawn.empty:
+        return featured.withColumn("ml_score", F.lit(None).cast("double")).drop(*columns)
+    forest = Forest(drawn.to_numpy(float), trees, sample, seed)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.drop(columns=columns).assign(ml_score=forest.score(b[columns].to_numpy(float)))
+
+    schema = featured.drop(*columns).schema.add("ml_score", "double")
+    return featured.mapInPandas(run, schema)
+
+
+def hurdle(c: DataFrame) -> DataFrame:
+    """c with p_zero, the modelled chance of a contract at exactly its reference price, and depth_residual, how much
+    deeper its discount is than that of like contracts.
+
+    The depth is a ridge regression whose sums, a square of the number of features, are gathered in one aggregate.
+    """
+    ratio = _price() / F.col("price_build").cast("double")
+    rows = c.filter((_price() > 0) & (F.col("price_build") > 0) & (_price() <= 1.5 * F.col("price_build").cast("double")))
+    size = F.log10(F.greatest(F.col("price_build").cast("double"), F.lit(1000.0)))
+    rows = rows.withColumn("_ratio", ratio).withColumn("_zero", (F.abs(ratio - 1) < 1e-6).cast("double")).withColumn("_size", size)
+    stages = [StringIndexer(inputCols=["purchase_method_name", "province"], outputCols=["_m", "_p"], handleInvalid="keep", stringOrderType="frequencyDesc"), OneHotEncoder(inputCols=["_m", "_p"], outputCols=["_mv", "_pv"]), VectorAssembler(inputCols=["_mv", "_pv", "_size"], outputCol="_x")]
+    x = Pipeline(stages=stages).fit(rows).transform(rows)
+    n = rows.count()
+    zero = LogisticRegression(featuresCol="_x", labelCol="_zero", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, probabilityCol="_probability", predictionCol="_predicted", rawPredictionCol="_raw").fit(x)
+    x = zero.transform(x).withColumn("p_zero", vector_to_array("_probability")[1] if zero.numClasses == 2 else F.lit(0.0)).withColumn("_v", F.concat(F.array(F.lit(1.0)), vector_to_array("_x")))
+    depth = F.when(F.col("_ratio") < 1 - 1e-6, F.log(1 - F.col("_ratio")))
+    x = x.withColumn("_depth", depth)
+    width = len(x.select("_v").first()[0]) if n else 0
+    sums = [F.sum(F.when(F.col("_depth").isNotNull(), F.col("_v")[i] * F.col("_v")[j])).alias(f"s{i}_{j}") for i in range(width) for j in range(i + 1)]
+    right = [F.sum(F.col("_v")[i] * F.col("_depth")).alias(f"r{i}") for i in range(width)]
+    got = x.agg(*sums, *right).first() if n else None
+    if not n or got["r0"] is None:
+        return x.withColumn("depth_residual", F.lit(None).cast("double")).select(*c.columns, "p_zero", "depth_residual")
+    a = np.zeros((width, width))
+    for i in range(width):
+        for j in range(i + 1):
+            a[i, j] = a[j, i] = got[f"s{i}_{j}"]
+    w = np.linalg.solve(a + np.eye(width), np.array([got[f"r{i}"] for i in range(width)]))
+    fitted = F.aggregate(F.zip_with("_v", F.array(*[F.lit(float(v)) for v in w]), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return x.withColumn("depth_residual", F.col("_depth") - fitted).select(*c.columns, "p_zero", "depth_residual")
+
+
+def associations(evaluated: DataFrame, least_rows: int = 30, least_confidence: float = 0.5, least_lift: float = 1.0) -> DataFrame:
+    """Rules between the risk rules that contracts hit, by FP-growth."""
+    rows = evaluated.select(F.array_distinct(F.transform("rule_hits", lambda h: h["rule_id"])).alias("items"))
+    n = rows.count()
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least_rows / max(n, 1)), minConfidence=least_confidence).fit(rows).associationRules
+    out = found.filter((F.col("lift") >= least_lift) & (F.size("antecedent") <= 3))
+    return out.select(F.array_join(F.array_sort("antecedent"), ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), F.round("confidence", 6).alias("confidence"), F.round("lift", 6).alias("lift"), F.round("support", 6).alias("support"))

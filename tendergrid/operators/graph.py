@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def edges(c: DataFrame) -> DataFrame:
     own = c.filter(F.col("dept_key").isNotNull() & F.col("winner_key").isNotNull()).groupBy("dept_key", "winner_key")
-    out = own.agg(F.sum("contract_price_agree").cast("double").alias("value"), F.count("*").alias("n"))
+    out = own.agg(F.sum("contract_price_agree").alias("value"), F.count("*").alias("n"))
     return out.select(F.concat(F.lit("A::"), F.col("dept_key").cast("string")).alias("source"), F.concat(F.lit("C::"), F.col("winner_key").cast("string")).alias("target"), "value", "n")
 
 
@@ -18,12 +18,12 @@ def _both(e: DataFrame) -> DataFrame:
 
 
 def degrees(e: DataFrame) -> DataFrame:
-    return _both(e).groupBy("id").agg(F.count("*").alias("degree"), F.round(F.sum("value"), 2).alias("weighted_degree"))
+    return _both(e).groupBy("id").agg(F.count("*").alias("degree"), F.sum("value").cast("double").alias("weighted_degree"))
 
 
 def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """Weighted PageRank of the undirected graph. Lineage is cut by checkpoint() in the folder that the session names."""
-    both = _both(e)
+    both = _both(e.withColumn("value", F.col("value").cast("double")))
     weight = both.groupBy("id").agg(F.sum("value").alias("out"))
     links = both.join(weight, "id").select("id", "other", (F.col("value") / F.col("out")).alias("share")).persist()
     n = weight.count()

@@ -30,18 +30,18 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def risk_score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.bands(_scored(spark, sf_dir)).withColumn("value", F.round("value", 2))
+    return rules.bands(_scored(spark, sf_dir))
 
 
 @query
 def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.summarize(_scored(spark, sf_dir)).withColumn("value", F.round("value", 2))
+    return rules.summarize(_scored(spark, sf_dir))
 
 
 @query
 def rule_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 21 rules, those with Beta tails and distances too."""
-    return rules.summarize(rules.evaluate(contracts(spark, sf_dir))).withColumn("value", F.round("value", 2))
+    return rules.summarize(rules.evaluate(contracts(spark, sf_dir)))
 
 
 @query
@@ -106,7 +106,7 @@ def rotation_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def monthly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.monthly(contracts(spark, sf_dir)).withColumn("value", F.round("value", 2))
+    return patterns.monthly(contracts(spark, sf_dir))
 
 
 @query
@@ -116,7 +116,7 @@ def weekday_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def same_day_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.same_day(contracts(spark, sf_dir), least=2).withColumn("value", F.round("value", 2))
+    return patterns.same_day(contracts(spark, sf_dir), least=2)
 
 
 @query
@@ -137,7 +137,7 @@ def discount_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def contractor_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = patterns.contractors(contracts(spark, sf_dir), ceiling=50_000)
-    return got.withColumn("archetypes", F.array_join("archetypes", ",")).withColumn("value", F.round("value", 2))
+    return got.withColumn("archetypes", F.array_join("archetypes", ","))
 
 
 @query
@@ -169,7 +169,7 @@ def price_ratio_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fiscal_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.fiscal_quarters(contracts(spark, sf_dir)).withColumn("value", F.round("value", 2))
+    return analytics.fiscal_quarters(contracts(spark, sf_dir))
 
 
 @query
@@ -179,7 +179,7 @@ def province_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def repeat_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.repeat_winners(contracts(spark, sf_dir)).withColumn("total_value", F.round("total_value", 2))
+    return analytics.repeat_winners(contracts(spark, sf_dir))
 
 
 @query
@@ -194,7 +194,7 @@ def stacked_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.network_edges(_scored(spark, sf_dir)).withColumn("value", F.round("value", 2))
+    return analytics.network_edges(_scored(spark, sf_dir))
 
 
 @query
@@ -219,7 +219,7 @@ def round_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.scope(contracts(spark, sf_dir)).withColumn("value", F.round("value", 2))
+    return analytics.scope(contracts(spark, sf_dir))
 
 
 @query
@@ -264,7 +264,7 @@ def distance_to_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def user_rule_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dsl.backtest(_scored(spark, sf_dir), USER_RULE).withColumn("value", F.round("value", 2))
+    return dsl.backtest(_scored(spark, sf_dir), USER_RULE)
 
 
 USER_RULE = {"name": "weekend, dear and late", "weight": 12, "match": "all", "conditions": [

@@ -124,17 +124,22 @@ def battery(found: DataFrame) -> DataFrame:
     c = c.select("found", "encoding", "size", "n", "k", (F.col("squares") * k / n - n).alias("chi"), (_total(products) / ((k * k - 1) / 12 * (n - 1))).alias("serial"), _total(changes).alias("changes"))
 
     rate = _of_encoding({e: 1 - sum((x / s[0]) ** 2 for x in s[1:]) for e, s in _SIZES.items()})
-    steps = n - 1
-    z_chi = _chi_squared_z(F.greatest(F.col("chi"), F.lit(1e-6)), k - 1)
-    z_serial = F.abs(F.col("serial")) * F.sqrt(steps)
-    z_changes = F.abs(F.col("changes") - steps * rate) / F.sqrt(steps * rate * (1 - rate))
-    random = F.least(_normal_tail(z_chi), 2 * _normal_tail(z_serial), 2 * _normal_tail(z_changes))
-    excess = TEXT_UNEVEN * k * n
-    text_chi = _normal_tail((k - 1 + excess - F.col("chi")) / F.sqrt(2 * (k - 1) + 4 * excess))
-    text_changes = _normal_tail((F.col("changes") - steps * TEXT_CHANGES) / F.sqrt(steps * TEXT_CHANGES * (1 - TEXT_CHANGES)))
-    text_serial = _normal_tail((TEXT_SERIAL - F.abs(F.col("serial"))) * F.sqrt(steps))
+    c = c.withColumn("rate", rate).withColumn("steps", n - 1).withColumn("excess", TEXT_UNEVEN * k * n)
+    steps, excess = F.col("steps"), F.col("excess")
+    z = {
+        "chi": _chi_squared_z(F.greatest(F.col("chi"), F.lit(1e-6)), k - 1),
+        "serial": F.abs(F.col("serial")) * F.sqrt(steps),
+        "changes": F.abs(F.col("changes") - steps * F.col("rate")) / F.sqrt(steps * F.col("rate") * (1 - F.col("rate"))),
+        "text_chi": (k - 1 + excess - F.col("chi")) / F.sqrt(2 * (k - 1) + 4 * excess),
+        "text_changes": (F.col("changes") - steps * TEXT_CHANGES) / F.sqrt(steps * TEXT_CHANGES * (1 - TEXT_CHANGES)),
+        "text_serial": (TEXT_SERIAL - F.abs(F.col("serial"))) * F.sqrt(steps),
+    }
+    # All tails in one lambda: written out for each test, the expression would fill the driver's memory.
+    c = c.select("found", "encoding", "size", F.transform(F.array(*z.values()), _normal_tail).alias("tails"))
+    tail = {name: F.get("tails", F.lit(i)) for i, name in enumerate(z)}
+    random = F.least(tail["chi"], 2 * tail["serial"], 2 * tail["changes"])
     mixed = F.col("found").rlike("[0-9]") & F.col("found").rlike("[A-Za-z]")
-    evidence = -(0.5 * F.log(text_chi) + 0.5 * F.log(text_changes) + 0.25 * F.log(text_serial))
+    evidence = -(0.5 * F.log(tail["text_chi"]) + 0.5 * F.log(tail["text_changes"]) + 0.25 * F.log(tail["text_serial"]))
     evidence = F.when(mixed & (random >= LEAST_RANDOM), evidence).otherwise(F.lit(0.0))
     step = F.floor(F.greatest(F.lit(0.0), F.least(evidence, F.lit(MOST_EVIDENCE))) * STEPS).cast("int")
     return c.select("found", "encoding", "size", random.alias("random"), step.alias("step"))

@@ -8,10 +8,15 @@ so that one partial window is left; those few windows travel on with their ids a
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,31 +37,135 @@ _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
 
 
+#: Words that the tokenizer splits into a run of letters, lower-cased, and a run of marks.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|%&*#$]*)")
+
+
+class Merges:
+    """The tokenizer's merges applied to many runs of letters at once, one merge per run in each round.
+
+    In each round a run merges its leftmost pair of the lowest rank, as the tokenizer does run by run.
+    """
+
+    NONE = np.int64(1 << 40)
+
+    def __init__(self, path: str):
+        model = json.loads(Path(path).read_text())["model"]
+        vocab, merges, end = model["vocab"], model["merges"], model["end_of_word_suffix"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        key = np.array([(vocab[x] << 16) | vocab[y] for x, y in pairs], np.int64)
+        self.made = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        # Bytes stand in the vocabulary as printable characters, those that aren't moved up from 256 in order.
+        printable = [b for r in ((33, 126), (161, 172), (174, 255)) for b in range(r[0], r[1] + 1)]
+        others = [b for b in range(256) if b not in printable]
+        char = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.inner = np.array([vocab[char[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[char[b] + end] for b in range(256)], np.int64)
+        self.keys = np.full(1 << 18, -1, np.int64)
+        self.ranks = np.zeros(1 << 18, np.int64)
+        left = np.arange(len(key))
+        at = self._slot(key)
+        while len(left):  # each round places the keys that find their slot free, one per slot
+            free = self.keys[at[left]] < 0
+            self.keys[at[left[free]]] = key[left[free]]
+            placed = self.keys[at[left]] == key[left]
+            self.ranks[at[left[placed]]] = left[placed]
+            left = left[~placed]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+
+    def _rank(self, key: np.ndarray) -> np.ndarray:
+        out = np.full(len(key), self.NONE)
+        left, at = np.arange(len(key)), self._slot(key)
+        while len(left):
+            there = self.keys[at]
+            hit = there == key[left]
+            out[left[hit]] = self.ranks[at[hit]]
+            on = ~hit & (there >= 0)
+            left, at = left[on], (at[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def encode(self, runs: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(r) for r in runs])
+        raw = np.frombuffer(b"".join(runs), np.uint8)
+        symbol, run = self.inner[raw], np.repeat(np.arange(len(runs)), sizes)
+        symbol[np.cumsum(sizes) - 1] = self.last[raw[np.cumsum(sizes) - 1]]
+        done = []
+        while len(symbol):
+            first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            rank = np.full(len(symbol), self.NONE)
+            inside = np.flatnonzero(run[1:] == run[:-1])
+            rank[inside] = self._rank((symbol[inside] << 16) | symbol[inside + 1])
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(symbol))))
+            ended = least == self.NONE
+            done.append((run[ended], symbol[ended]))
+            at = np.flatnonzero((rank == least) & ~ended)
+            at = at[np.append(True, run[at][1:] != run[at][:-1])] if len(at) else at
+            symbol[at] = self.made[rank[at]]
+            keep = ~ended
+            keep[at + 1] = False
+            symbol, run = symbol[keep], run[keep]
+        run, symbol = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(run, kind="stable")
+        ends = np.cumsum(np.bincount(run, minlength=len(runs))) * 4
+        ids = symbol[order].astype("<u4").tobytes()
+        return [ids[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit integers.
 
-    The tokenizer drops white space and never joins across it, so each run between ASCII white space is encoded
-    on its own by the tokenizer and remembered.
+    The tokenizer drops white space and never joins across it, so each run between ASCII white space is encoded on
+    its own and remembered: plain words by their letters and their marks, all others by the tokenizer itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
+        self.known: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {b"": b""}
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        plain, heads, tails, rest = [], [], [], []
+        match = _PLAIN.fullmatch
+        for w in words:
+            m = match(w.decode()) if len(w) <= CACHE_BYTES else None
+            if m:
+                a, b = m.groups()
+                plain.append(w)
+                heads.append(a.lower().encode())
+                tails.append(b.encode())
+            else:
+                rest.append(w)
+        if len(self.runs) > CACHE_WORDS:
+            self.runs = {b"": b""}
+        runs = self.runs
+        new = list({r for r in heads if r not in runs} | {r for r in set(tails) if r not in runs})
+        if new:
+            runs.update(zip(new, self.merges.encode(new)))
+        out = dict(zip(plain, map(bytes.__add__, map(runs.__getitem__, heads), map(runs.__getitem__, tails))))
+        if rest:
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+            out |= {w: b"".join([i.to_bytes(4, "little") for i in e.ids]) for w, e in zip(rest, found)}
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
         split = [t.split() for t in texts]
-        known = self.known if len(self.known) < CACHE_WORDS else {}
-        found = known
-        missing = list(set().union(*split).difference(known)) if split else []
-        if missing:
-            ids = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            new = {w: b"".join([i.to_bytes(4, "little") for i in e.ids]) for w, e in zip(missing, ids)}
-            found = known | new if any(len(w) > CACHE_BYTES for w in new) else known
-            known.update((w, x) for w, x in new.items() if len(w) <= CACHE_BYTES)
-        self.known = known
-        return [b"".join(map(found.__getitem__, words)) for words in split]
+        got = [list(map(self.known.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(found) if x is None] if None in found else [] for found in got]
+        new = self._learn({words[i] for words, at in zip(split, gaps) for i in at})
+        for words, found, at in zip(split, got, gaps):
+            for i in at:
+                found[i] = new[words[i]]
+        self.known.update(new if max(map(len, new), default=0) <= CACHE_BYTES else {w: x for w, x in new.items() if len(w) <= CACHE_BYTES})
+        return [b"".join(found) for found in got]
 
 
 class Window:
@@ -146,6 +255,7 @@ class Packer:
 def _pack(path: str, size: int, open_windows: int, max_pad: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        gc.disable()  # nothing here is cyclic, and looking for cycles among millions of words takes longer than all else
         encoder, packer, end = Encoder(path), Packer(size, part << 28, open_windows, max_pad), END_ID.to_bytes(4, "little")
         for held in chunks(batches, 1):
             for (doc_id, _), ids in zip(held, encoder.encode([t or b"" for _, t in held])):

@@ -5,7 +5,7 @@ import zlib
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tendergrid.llm.packing import pack_documents
+from tendergrid.llm.packing import Encoder, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -60,3 +60,14 @@ def test_leftovers_merge_in_rounds(spark):
 
 def test_empty(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_encoder_agrees_with_the_tokenizer():
+    tok, encoder, r = Tokenizer.from_file(PATH), Encoder(PATH), random.Random(4)
+    letters = "aeiouthnsrdlcmwfgypbvkjxqzAEIOUTHNSÀÉÈÊËÏÔÖÜßçñøþÿ"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 18))) + r.choice(["", "", ".", ",", "!!", "***", "###", "?!.", "|"]) for _ in range(20_000)]
+    words += ["don't", "x9", "İstanbul", "ΟΔΟΣ", "e\u0301", "\u00a0a", "a\u200bb", "<|endoftext|>", "'s", "''", "-", "|", "%%%", "ſ", "K", "µm", "×", "÷", "naïve", "THE", "the.", "z" * 300]
+    text = " ".join(words)
+    got = encoder.encode([text.encode(), b"", b" the "])
+    want = [tok.encode(t, add_special_tokens=False).ids for t in (text, "", "the")]
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in got] == want

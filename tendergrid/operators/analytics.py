@@ -142,3 +142,22 @@ def lift_pairs(c: DataFrame, items: dict, least: int = 30) -> DataFrame:
     out = two.join(one.toDF("a", "n_a"), "a").join(one.toDF("b", "n_b"), "b").withColumn("total", F.lit(total.first()[0]))
     confidence = F.col("n_both") / F.col("n_a")
     return out.select("a", "b", "n_both", F.round(confidence, 6).alias("confidence"), F.round(confidence / (F.col("n_b") / F.col("total")), 6).alias("lift"))
+
+
+def benford_test(c: DataFrame, by: str = "dept_key", least: int = 30) -> DataFrame:
+    """Chi-squared of first digits against Benford's law per group, with its chance at 8 degrees of freedom."""
+    digits = first_digits(c, by)
+    term = F.pow(F.col("n") - F.col("expected"), F.lit(2)) / F.col("expected")
+    out = digits.groupBy(by).agg(F.sum("n").alias("n"), F.sum(term).alias("seen"), F.sum("expected").alias("covered")).filter(F.col("n") >= least)
+    chi = F.col("seen") + F.col("n") - F.col("covered")
+    h = chi / 2
+    tail = F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6)
+    return out.select(by, "n", F.round(chi, 4).alias("chi_squared"), F.round(tail, 6).alias("p_value"))
+
+
+def underbids(c: DataFrame, least: int = 10) -> DataFrame:
+    """Discount of each contract less the median of its method and project type."""
+    d = c.filter((_price() > 0) & (F.col("price_build") > 0)).withColumn("discount", 1 - _price().cast("double") / F.col("price_build").cast("double"))
+    key = ["purchase_method_name", "project_type_name"]
+    peers = d.groupBy(*key).agg(F.percentile("discount", 0.5).alias("peer_median"), F.count("*").alias("peer_n")).filter(F.col("peer_n") >= least)
+    return d.join(peers, key).withColumn("under", F.round(F.col("discount") - F.col("peer_median"), 6))

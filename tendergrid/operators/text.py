@@ -60,3 +60,10 @@ def near_repeats(df: DataFrame, by: list[str], days: int = 30, percent: int = 80
     first = F.least(F.struct(F.col("a_project_id").alias("p"), F.col("a_contract_no").alias("c"), F.col("a_contract_date").alias("d")), F.struct(F.col("b_project_id").alias("p"), F.col("b_contract_no").alias("c"), F.col("b_contract_date").alias("d")))
     last = F.greatest(F.struct(F.col("a_project_id").alias("p"), F.col("a_contract_no").alias("c"), F.col("a_contract_date").alias("d")), F.struct(F.col("b_project_id").alias("p"), F.col("b_contract_no").alias("c"), F.col("b_contract_date").alias("d")))
     return close.select(*by, first.alias("x"), last.alias("y"), F.round(shared / union, 6).alias("jaccard")).distinct().select(*by, F.col("x.p").alias("project_a"), F.col("x.c").alias("contract_a"), F.col("y.p").alias("project_b"), F.col("y.c").alias("contract_b"), "jaccard")
+
+
+def province_mismatch(df: DataFrame) -> DataFrame:
+    """Contracts whose name states another province than their own."""
+    said = F.regexp_extract(F.coalesce("project_name", F.lit("")), r"จังหวัด\s*([ก-ฮ][ก-๙]*)", 1)
+    own = F.substring(F.coalesce("province", F.lit("")), 1, 4)
+    return df.withColumn("said_province", said).filter((F.col("said_province") != "") & (own != "") & ~F.col("said_province").startswith(own))

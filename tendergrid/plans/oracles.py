@@ -186,3 +186,9 @@ ORACLES["era_dates"] = "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'iso' WHEN 1 THEN
 ORACLES["supplier_names"] = "SELECT s_suppkey, 'ห้างหุ้นส่วนจำกัด ' || s_name AS name FROM supplier"
 ORACLES["event_bursts"] = "SELECT user_id, max(n) AS burst FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1"
 ORACLES["event_props"] = "SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2"
+ORACLES["benford_chi_squared"] = f"""{K}, d AS (SELECT dept_key, CAST(substr(CAST(CAST(floor(contract_price_agree) AS BIGINT) AS VARCHAR), 1, 1) AS INTEGER) AS digit, count(*) AS n FROM k WHERE contract_price_agree >= 1 GROUP BY 1, 2),
+e AS (SELECT *, round(sum(n) OVER (PARTITION BY dept_key) * log10(1 + 1 / digit), 4) AS x FROM d)
+SELECT dept_key, CAST(sum(n) AS BIGINT) AS n, round(sum(pow(n - x, 2) / x) + sum(n) - sum(x), 4) AS chi_squared FROM e GROUP BY 1 HAVING sum(n) >= 30"""
+ORACLES["underbid_peers"] = f"""{K}, d AS (SELECT *, 1 - {_D.format('contract_price_agree')} / {_D.format('price_build')} AS discount FROM k WHERE contract_price_agree > 0 AND price_build > 0),
+p AS (SELECT purchase_method_name, project_type_name, quantile_cont(discount, 0.5) AS med FROM d GROUP BY 1, 2 HAVING count(*) >= 10), u AS (SELECT d.*, round(discount - med, 6) AS under FROM d JOIN p USING (purchase_method_name, project_type_name))
+SELECT purchase_method_name, project_type_name, count(*) AS n, max(under) AS most, min(under) AS least FROM u GROUP BY 1, 2"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import band, canonical_name, haversine_km, money, thai_date
 from ..functions.stats import percent_rank_average, robust_z
-from ..operators import analytics, context, dsl, graph, merge, models, patterns, rules, text
+from ..operators import analytics, autoencoder, context, dsl, graph, merge, models, patterns, rules, text
 from .contracts import contracts, table
 
 QUERIES: dict = {}
@@ -380,3 +380,20 @@ def event_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+
+
+@query
+def benford_chi_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.benford_test(contracts(spark, sf_dir)).drop("p_value")
+
+
+@query
+def underbid_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = analytics.underbids(contracts(spark, sf_dir))
+    return got.groupBy("purchase_method_name", "project_type_name").agg(F.count("*").alias("n"), F.max("under").alias("most"), F.min("under").alias("least"))
+
+
+@query
+def autoencoder_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = autoencoder.deep_scores(contracts(spark, sf_dir))
+    return got.select("project_id", "contract_no", "winner_key", "fold", F.round("deep_error", 4).alias("deep_error"))

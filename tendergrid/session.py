@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
 def local_session(name: str, cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """A local session with the settings that results depend on: UTC, and AQE for the runtime plan."""
+    # Workers start afresh and must find this package wherever the driver was started.
+    here = str(Path(__file__).resolve().parent.parent)
+    found = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in found:
+        os.environ["PYTHONPATH"] = os.pathsep.join([here, *filter(None, found)])
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
 RIDGE = 0.02
+#: Share of unwanted URLs that training assumes: hosts of unknown words are allowed.
+UNWANTED_SHARE = 0.3
 #: Hosts after which a worker's cache of host scores starts afresh.
 CACHE_HOSTS = 200_000
 
@@ -31,21 +33,24 @@ football tennis forum wiki docs developer python software hardware photo gallery
 environment climate economy market finance bank insurance law court parliament election family parents children
 animals birds ocean mountain river station railway airport bicycle motor engine bakery coffee wine restaurant
 hotel holiday island village church community foundation society institute academy press radio television
-thanks other there station creation nation lesson reading render sender stone listen mention attention""".split()
-_UNWANTED_HOSTS = ("{a}-{b}.example.com", "www.{a}-{b}.example.net", "{a}{b}.example.org")
-_ORDINARY_HOSTS = ("{a}.example.com", "www.{a}-{b}.example.net", "blog.{a}{b}.example.org", "m.{b}.example.com")
+thanks other there nothing clothing teaching fishing something everything together weather gathering station creation nation lesson reading render sender stone listen mention attention""".split()
+_NAMES = ("{a}", "{a}-{b}", "{a}{b}", "{b}-{a}")
+_BEFORE, _AFTER = ("", "www.", "blog.", "m."), (".example.com", ".example.net", ".example.org")
 _PATHS = ("", "/", "/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}")
 
 
 def seed_urls() -> list[tuple[str, int]]:
-    """The labelled table that the filter uses unless another is given: (url, 1 if unwanted)."""
+    """The labelled table that the filter uses unless another is given: (url, 1 if unwanted).
+
+    Only words tell the labels apart: both take the same prefixes, domains, shapes and paths in turn.
+    """
     out = []
-    for words, hosts, label in ((UNWANTED, _UNWANTED_HOSTS, 1), (ORDINARY, _ORDINARY_HOSTS, 0)):
+    for words, label in ((UNWANTED, 1), (ORDINARY, 0)):
         for i, word in enumerate(words):
-            for j, host in enumerate(hosts):
-                other = words[(i * 7 + j * 3 + 1) % len(words)]
-                path = _PATHS[(i + j) % len(_PATHS)].format(n=(i * 37 + j * 11) % 990)
-                out.append((f"http://{host.format(a=word, b=other)}{path}", label))
+            for j, name in enumerate(_NAMES):
+                turn, other = i * len(_NAMES) + j, words[(i * 7 + j * 3 + 1) % len(words)]
+                host = _BEFORE[(i + j) % 4] + name.format(a=word, b=other) + _AFTER[turn % 3]
+                out.append((f"http://{host}{_PATHS[turn % len(_PATHS)].format(n=(i * 37 + j * 11) % 990)}", label))
     return out
 
 
@@ -95,7 +100,7 @@ def train(labelled: Sequence[tuple[str, int]], ridge: float = RIDGE, steps: int
     x[row, where] = 1.0
     x /= np.sqrt(x.sum(1, keepdims=True))
     y = np.array([label for _, label in labelled], float)
-    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    share = np.where(y > 0, UNWANTED_SHARE / max(y.sum(), 1), (1 - UNWANTED_SHARE) / max((1 - y).sum(), 1))
     w, b = np.zeros(len(used)), 0.0
     speed_w, speed_b = np.zeros(len(used)), 0.0
     for _ in range(steps):

@@ -18,8 +18,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text that a worker holds as arrays at one time (a single longer text is taken alone).
 CHUNK_BYTES = 2 << 20
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 512
 #: Entries after which a per-worker word cache starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
+    """Lets Arrow batches hold at most so many rows, so that a batch of long texts stays small on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

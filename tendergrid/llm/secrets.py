@@ -147,8 +147,9 @@ def battery(found: DataFrame) -> DataFrame:
 
 def discoveries(tested: DataFrame, rate: float) -> DataFrame:
     """Benjamini-Hochberg within encoding and class of length (doublings): the rows whose evidence suffices."""
-    tested = tested.withColumn("length_class", F.floor(F.log2("size")).cast("int"))
-    stratum = ["encoding", "length_class"]
+    code = _of_encoding({e: i for i, e in enumerate(_SIZES)}) * 64 + F.floor(F.log2("size"))
+    tested = tested.withColumn("stratum", code.cast("long"))
+    stratum = ["stratum"]
     counts = tested.groupBy(*stratum, "step").agg(F.count("*").alias("n"))
     whole = W.partitionBy(*stratum)
     upto = F.sum("n").over(whole.orderBy(F.desc("step")))
@@ -163,6 +164,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+# A broadcast of even a few rows under keys other than one long takes 64 MB of the driver and of each executor, so the
+# joins below are merged.
+
+
 def scan(documents: DataFrame, false_finds: float = FALSE_FINDS) -> DataFrame:
     """doc_id, dk (a hash of the text), base and spans, arrays of (start, kind, stop, found) in order, of each row.
 
@@ -178,10 +183,11 @@ def scan(documents: DataFrame, false_finds: float = FALSE_FINDS) -> DataFrame:
     spanned = durable(spanned.select("doc_id", "dk", "base", apart.alias("runs")))
 
     runs = spanned.filter(F.size("runs") > 0).select("doc_id", "dk", F.explode("runs").alias("run")).distinct()
-    secret = discoveries(battery(runs.select("run.found").distinct()), false_finds).select("found")
-    hits = runs.withColumn("found", F.col("run.found")).join(secret, "found").groupBy("doc_id", "dk").agg(F.collect_list("run").alias("hits"))
+    tested = durable(battery(runs.select("run.found").distinct()))
+    secret = discoveries(tested, false_finds).select("found")
+    hits = runs.withColumn("found", F.col("run.found")).join(secret.hint("merge"), "found").groupBy("doc_id", "dk").agg(F.collect_list("run").alias("hits"))
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), "hits")
-    out = spanned.join(hits, spanned.doc_id.eqNullSafe(hits["_id"]) & (spanned.dk == hits["_dk"]), "left")
+    out = spanned.join(hits.hint("merge"), spanned.doc_id.eqNullSafe(hits["_id"]) & (spanned.dk == hits["_dk"]), "left")
     every = F.sort_array(F.concat("base", F.coalesce("hits", F.array().cast(_SPAN))))
     return out.select("doc_id", "dk", "base", every.alias("spans"))
 
@@ -198,7 +204,7 @@ def redact(documents: DataFrame, mark: str = "[secret]", false_finds: float = FA
     found = scan(documents, false_finds).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "dk"])
     found = found.select(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), F.col("spans").alias("_spans"))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    both = documents.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_dk")), "left")
+    both = documents.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_dk")), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("kept"))
 
     def step(a: Column, s: Column) -> Column:

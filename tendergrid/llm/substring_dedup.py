@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WordHashes, batch, chunks, digest_pairs, durable, mix, rows, word_count, words_of
+from .common import WordHashes, batch, chunks, digest_pairs, durable, mix, rows, word_count, words_of
 
 K, M = 50, 8
 HOT_STRINGS = 1000

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import batch, chunks
 
 # HTML element names by their part in a page, and words of class, id and role that mark containers.
-RAW_TEXT = frozenset("script style noscript template textarea svg math iframe object canvas audio video select datalist head title".split())
+RAW_TEXT = frozenset("script style textarea title iframe".split())
+SKIPPED = RAW_TEXT | frozenset("noscript template svg math object canvas audio video select datalist head".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section
 summary table tbody td tfoot th thead tr ul""".split())
@@ -35,6 +36,8 @@ discussion disqus reply replies respond pagination pager toolbar skip complement
 ARTICLE_WORDS = frozenset("article content post entry story body main text".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^<>"']|"[^"]*"|'[^']*')*+>|</?[a-zA-Z][^>]*>?|[^<]+|<""", re.S)
+#: Raw text holds no tags: it ends at its own end tag only.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW_TEXT}
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"\shidden[\s>=]|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -68,6 +71,25 @@ def _place(name: str, tag: str, within: int) -> int:
     return 1 if name in ARTICLE_TAGS else within
 
 
+def _tokens(page: str) -> Iterator[tuple[str, str]]:
+    """Tags, comments and text of a page in order, with the lower-case names of tags; raw text is left out where it ends."""
+    at, endless = 0, set()
+    while at < len(page):
+        for m in _TOKEN.finditer(page, at):
+            token = m[0]
+            named = _NAME.match(token) if token[0] == "<" else None
+            name = named[1].lower() if named else ""
+            yield token, name
+            if name in RAW_TEXT and token[1] != "/" and not token.endswith("/>") and name not in endless:
+                end = _RAW_END[name].search(page, m.end())
+                if end:
+                    at = end.start()
+                    break
+                endless.add(name)
+        else:
+            return
+
+
 def blocks_of(page: str) -> list[Block]:
     """Flat text blocks of a whole page in order."""
     out: list[Block] = []
@@ -84,10 +106,7 @@ def blocks_of(page: str) -> list[Block]:
             texts.clear()
             links.clear()
 
-    for m in _TOKEN.finditer(page):
-        token = m[0]
-        named = _NAME.match(token) if token[0] == "<" else None
-        name = named[1].lower() if named else ""
+    for token, name in _tokens(page):
         if skip:
             if name == skip and token[1] == "/":
                 skip = ""
@@ -103,7 +122,7 @@ def blocks_of(page: str) -> list[Block]:
                     links.append(text)
             continue
         ends = token[1] == "/"
-        if name in RAW_TEXT:
+        if name in SKIPPED:
             if not ends and not token.endswith("/>"):
                 skip = name
             texts.append(" ")

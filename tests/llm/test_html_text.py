@@ -26,6 +26,18 @@ def test_broken_pages():
     assert main_text("<article><p>x</p></article>", TREE) == "x"
 
 
+def test_raw_text_ends_at_its_own_end_tag():
+    scripts = ("for(i=0;i<n;i++){s='it';}", "if(a<b&&c", "x='<!--'", 'y="</p><p>no</p><!--"', "z='</head><body>'", "a<b'", 'document.write("<script src=x><\\/script>")', "</scripts>")
+    for raw in scripts:
+        for tag in ("script", "style", "textarea"):
+            block = f"<{tag} type='x'>{raw}</{tag.upper()} >"
+            assert main_text(f"<article><p>One.</p>{block}<p>Two.</p></article>", TREE) == "One.\nTwo.", block
+            page = f"<head>{block}<title>a<b</title></head><body><article><p>One.</p></article><script>{raw}</script>"
+            assert main_text(page, TREE) == "One.", page
+    assert main_text("<article><p>One.</p><svg><title>a<b</title><path/></svg><p>Two.</p></article>", TREE) == "One.\nTwo."
+    assert main_text("<head><title>never closed<body><article><p>One.</p></article>", TREE) == "One."
+
+
 def test_tree_fits_its_table_and_held_out_pages():
     for i in range(len(LABELLED)):
         if len(LABELLED[i]) < 7:

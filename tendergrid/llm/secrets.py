@@ -26,7 +26,12 @@ HEX = r"[0-9a-f]{32,}+"
 ASSIGN_LENGTH = 8
 
 #: Runs that the battery looks at, and the shortest that it can tell from text.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}+(?![A-Za-z0-9+_=-]))?+"
+#: Runs that some alphabet fits. Runs of more than one part are looked at as a whole, where one fits, and cut at each of
+#: CUTS, as a path may hold a value; words of a path before and after a part are left off.
+ONE_ALPHABET = r"^(?:[A-Za-z0-9+/]{20,}|[A-Za-z0-9_-]{20,})={0,2}$"
+CUTS = ("/", "[-_]")
+WORDS_BEFORE, WORDS_AFTER = r"^(?:(?:[a-z]+[-_]){0,9}(?:[a-z]{2,}|v[0-9])?/){1,64}", r"(?:/(?:(?:[a-z]+[-_]){0,9}(?:[a-z]{2,}|v[0-9]))?){1,64}$"
 FALSE_FINDS = 0.01
 #: Evidence (minus the natural logarithm of a chance) is kept in steps of 1 / STEPS up to MOST_EVIDENCE.
 STEPS, MOST_EVIDENCE = 8, 40.0
@@ -76,6 +81,40 @@ def _spans(kind: str, least: int) -> Column:
     return F.aggregate(parts, start, step, lambda a: a["spans"])
 
 
+def _whole_and_parts(runs: Column) -> Column:
+    """Of each run the whole and its parts between slashes and between - or _, those that one alphabet fits."""
+
+    def parts(run: Column, cut: str) -> Column:
+        start = F.struct(run["start"].alias("at"), F.array().cast(_SPAN).alias("spans"))
+
+        def step(a: Column, part: Column) -> Column:
+            before, after = (F.length(F.regexp_extract(part, words, 0)) for words in (WORDS_BEFORE, WORDS_AFTER))
+            begin, end = a["at"] + before, a["at"] + F.length(part) - after
+            found = F.substring(part, before + 1, end - begin)
+            span = F.array(F.struct(begin.alias("start"), run["kind"].alias("kind"), end.alias("stop"), found.alias("found")))
+            return F.struct((a["at"] + F.length(part) + 1).alias("at"), F.when(found.rlike(ONE_ALPHABET), F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+
+        return F.aggregate(F.split(run["found"], cut, -1), start, step, lambda a: a["spans"])
+
+    def all_of(run: Column) -> Column:
+        whole = F.filter(F.array(run), lambda r: r["found"].rlike(ONE_ALPHABET))
+        return F.when(run["found"].rlike("[/_-]"), F.array_distinct(F.concat(whole, *[parts(run, c) for c in CUTS]))).otherwise(whole)
+
+    return F.flatten(F.transform(runs, all_of))
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order, those that overlap as one."""
+
+    def step(a: Column, s: Column) -> Column:
+        last = F.element_at(a, -1)
+        longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["found"].alias("found"))
+        overlaps = F.when(F.size(a) > 0, last["stop"] > s["start"]).otherwise(False)
+        return F.when(overlaps, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(longer))).otherwise(F.concat(a, F.array(s)))
+
+    return F.aggregate(F.sort_array(spans), F.array().cast(_SPAN), step)
+
+
 def _normal_tail(z: Column) -> Column:
     """Chance that a standard normal exceeds z, by the rational approximation of Abramowitz and Stegun 26.2.17."""
     x = F.abs(z)
@@ -178,14 +217,14 @@ def scan(documents: DataFrame, false_finds: float = FALSE_FINDS) -> DataFrame:
     parts = {k: v for kind, pattern, group in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("random", CANDIDATE, 0)) for k, v in _matches(kind, pattern, group).items()}
     matched = docs.select("doc_id", "dk", *[v.alias(k) for k, v in parts.items()])
     base = F.sort_array(F.concat(_spans("assign", ASSIGN_LENGTH), _spans("access", 0), _spans("hex", 0)))
-    spanned = matched.select("doc_id", "dk", base.alias("base"), _spans("random", 0).alias("runs"))
+    spanned = matched.select("doc_id", "dk", base.alias("base"), _whole_and_parts(_spans("random", 0)).alias("runs"))
     apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
     spanned = durable(spanned.select("doc_id", "dk", "base", apart.alias("runs")))
 
     runs = spanned.filter(F.size("runs") > 0).select("doc_id", "dk", F.explode("runs").alias("run")).distinct()
     tested = durable(battery(runs.select("run.found").distinct()))
     secret = discoveries(tested, false_finds).select("found")
-    hits = runs.withColumn("found", F.col("run.found")).join(secret.hint("merge"), "found").groupBy("doc_id", "dk").agg(F.collect_list("run").alias("hits"))
+    hits = runs.withColumn("found", F.col("run.found")).join(secret.hint("merge"), "found").groupBy("doc_id", "dk").agg(_merged(F.collect_list("run")).alias("hits"))
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), "hits")
     out = spanned.join(hits.hint("merge"), spanned.doc_id.eqNullSafe(hits["_id"]) & (spanned.dk == hits["_dk"]), "left")
     every = F.sort_array(F.concat("base", F.coalesce("hits", F.array().cast(_SPAN))))

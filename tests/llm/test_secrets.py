@@ -58,6 +58,28 @@ def test_against_brute_force(spark):
     assert len(got) >= 0.9 * len(planted), set(planted) - got
 
 
+FORMS = ("AUTH={}", "signing_key={}\n", "https://h.example.com/p?sig={}&x=1", "export A_LONG_NAME_OF_A_SIGNING_KEY={}", "https://h.example.com/hooks/some-path/{}/my_file", "https://h.example.com/hooks/some_path/{}", "https://h.example.com/my-app/v2/{}")
+
+
+def test_values_after_names_and_in_paths(spark):
+    r = random.Random(4)
+    letters = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", "0123456789ABCDEF")
+    rows, planted = made()[0][:254], {}
+    for i in range(20 * len(FORMS)):
+        form, value = FORMS[i % len(FORMS)], "".join(r.choice(letters[i // len(FORMS) % 4]) for _ in range(43))
+        planted[10_000 + i] = form, value
+        rows.append((10_000 + i, f"wörd some text {form.format(value)} and more words"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {i: t for i, t in rows}
+    out, safe = {x.doc_id: x.spans for x in find_secrets(df).collect()}, {x.doc_id: x.text for x in redact(df).collect()}
+    for form in FORMS:
+        of = {i: v for i, (f, v) in planted.items() if f == form}
+        exact = {i for i, v in of.items() if f"random:{text[i].index(v)}:{text[i].index(v) + len(v)}" in out[i].split(",")}
+        assert len(exact) >= 0.9 * len(of), form
+        assert all(safe[i] == text[i].replace(of[i], "[secret]") for i in exact), form
+    assert not any(s.startswith("random") for i, t in rows if 54 <= i < 254 for s in out[i].split(","))
+
+
 def test_redact(spark):
     rows = [(1, "a🙂 token=abcdefgh1234 b", 7), (2, "clean", 5), (3, None, 0), (1, "a🙂 token=abcdefgh1234 b", 7), (4, "password=" + "b" * 40, 1)]
     out = redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))

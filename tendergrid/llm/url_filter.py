@@ -6,6 +6,9 @@ hash bucket, go to the tasks.
 
 from __future__ import annotations
 
+import itertools
+import random
+import string
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,8 +20,6 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
 RIDGE = 0.02
-#: Share of unwanted URLs that training assumes: hosts of unknown words are allowed.
-UNWANTED_SHARE = 0.3
 #: Hosts after which a worker's cache of host scores starts afresh.
 CACHE_HOSTS = 200_000
 
@@ -32,26 +33,37 @@ hospital city council weather travel garden kitchen recipes books journal review
 football tennis forum wiki docs developer python software hardware photo gallery design art energy water
 environment climate economy market finance bank insurance law court parliament election family parents children
 animals birds ocean mountain river station railway airport bicycle motor engine bakery coffee wine restaurant
-hotel holiday island village church community foundation society institute academy press radio television
-thanks other there nothing clothing teaching fishing something everything together weather gathering station creation nation lesson reading render sender stone listen mention attention""".split()
+hotel holiday island village church community foundation society institute academy press radio television""".split()
 _NAMES = ("{a}", "{a}-{b}", "{a}{b}", "{b}-{a}")
 _BEFORE, _AFTER = ("", "www.", "blog.", "m."), (".example.com", ".example.net", ".example.org")
 _PATHS = ("", "/", "/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}")
 
 
+def _drawn_words(count: int, seed: int = 7) -> list[str]:
+    """Words of letters drawn at random, every other one of them of consonants and vowels in turn."""
+    r = random.Random(seed)
+    letters = (string.ascii_lowercase, string.ascii_lowercase), ("bcdfghjklmnprstvwz", "aeiou")
+    drawn = ("".join(r.choice(letters[i % 2][k % 2]) for k in range(r.randint(4, 9))) for i in itertools.count())
+    return list(itertools.islice((w for w in drawn if not any(u in w for u in UNWANTED)), count))
+
+
 def seed_urls() -> list[tuple[str, int]]:
     """The labelled table that the filter uses unless another is given: (url, 1 if unwanted).
 
-    Only words tell the labels apart: both take the same prefixes, domains, shapes and paths in turn.
+    A host with an unwanted word is unwanted, whatever stands beside that word: another, an ordinary or a drawn one;
+    hosts of ordinary and drawn words aren't. Only words tell the labels apart: both take the same prefixes, domains,
+    shapes and paths in turn.
     """
     out = []
-    for words, label in ((UNWANTED, 1), (ORDINARY, 0)):
+    drawn = _drawn_words(2 * (len(UNWANTED) + len(ORDINARY)))
+    kinds = [(UNWANTED, b, 1) for b in (UNWANTED, ORDINARY, drawn)] + [(ORDINARY, ORDINARY, 0), (ORDINARY, drawn, 0), (drawn, drawn, 0)]
+    for words, beside, label in kinds:
         for i, word in enumerate(words):
             for j, name in enumerate(_NAMES):
-                turn, other = i * len(_NAMES) + j, words[(i * 7 + j * 3 + 1) % len(words)]
+                turn, other = i * len(_NAMES) + j, beside[(i * 7 + j * 3 + 1) % len(beside)]
                 host = _BEFORE[(i + j) % 4] + name.format(a=word, b=other) + _AFTER[turn % 3]
                 out.append((f"http://{host}{_PATHS[turn % len(_PATHS)].format(n=(i * 37 + j * 11) % 990)}", label))
-    return out
+    return sorted(set(out))
 
 
 def host_of(url: Column) -> Column:
@@ -93,19 +105,18 @@ def _split(url: str) -> tuple[str, str]:
 
 def train(labelled: Sequence[tuple[str, int]], ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights of the hash buckets and the bias, by gradient descent with momentum on the ridge objective."""
-    found = [sum(features(*_split(url)), []) for url, _ in labelled]
+    found = [sorted(set(sum(features(*_split(url)), []))) for url, _ in labelled]
     used, where = np.unique(np.concatenate([np.array(f) for f in found]), return_inverse=True)
-    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    x = np.zeros((len(found), len(used)))
-    x[row, where] = 1.0
-    x /= np.sqrt(x.sum(1, keepdims=True))
+    sizes = np.array([len(f) for f in found])
+    row = np.repeat(np.arange(len(found)), sizes)
+    x = 1 / np.sqrt(sizes[row])
     y = np.array([label for _, label in labelled], float)
-    share = np.where(y > 0, UNWANTED_SHARE / max(y.sum(), 1), (1 - UNWANTED_SHARE) / max((1 - y).sum(), 1))
+    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b = np.zeros(len(used)), 0.0
     speed_w, speed_b = np.zeros(len(used)), 0.0
     for _ in range(steps):
-        off = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
-        speed_w = 0.9 * speed_w - 2.0 * (x.T @ off + ridge * w / len(found))
+        off = (1 / (1 + np.exp(-(np.bincount(row, x * w[where], len(found)) + b))) - y) * share
+        speed_w = 0.9 * speed_w - 2.0 * (np.bincount(where, x * off[row], len(used)) + ridge * w / len(found))
         speed_b = 0.9 * speed_b - 2.0 * off.sum()
         w, b = w + speed_w, b + speed_b
     weights = np.zeros(BUCKETS)

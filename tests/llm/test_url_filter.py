@@ -2,7 +2,7 @@ import numpy as np
 import xxhash
 
 from tendergrid.llm.queries import URL_RULES
-from tendergrid.llm.url_filter import _buckets, _split, judge_urls, seed_urls, train
+from tendergrid.llm.url_filter import UNWANTED, _buckets, _split, judge_urls, seed_urls, train
 
 URLS = ["https://www.spam-farm.example.net/en/1", "HTTP://Cheap-Pills.Example.COM/fr/3?x=1", "http://tiontion.example.net/en/5", None, "no scheme", "", "http://", "http://h.org", "http://h.org/", "http://org/x",
         "http://a.example.org/es/2", "http://example.org/en/12#top", "http://xexample.org/es/1", "http://b.com/de/9", "http://b.com/fr/9?u=://c", "http://casino-win.example.net/?q", "http://a.net/p\nq#f", "x://É.ORG/Ä", "https://free-bets.example.net" + "/long" * 3000]
@@ -53,3 +53,14 @@ def test_training_is_stable_and_held_out_urls_are_told_apart():
 
 def test_empty(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
+
+
+def test_an_unwanted_word_beside_any_other():
+    table = seed_urls()
+    model = train(table)
+    words = {"poker-online": 1, "spiel-casino": 1, "lottery-heute": 1, "beste-viagra": 1, "haus-garten": 0, "qxzrkt": 0}
+    assert {w: int(probability(f"https://www.{w}.example.net/en/4", model) >= 0.5) for w in words} == words
+    beside = ("online", "gratis", "heute", "shop", "store", "point", "corner", "tienda", "qzvkx", "wrblon")
+    urls = [f"https://www.{host}.example.org/en/4" for a in UNWANTED for b in beside for host in (f"{a}-{b}", f"{b}{a}")]
+    assert not any(b in url for url, _ in table for b in ("online", "gratis", "heute", "tienda", "qzvkx", "wrblon"))
+    assert sum(probability(url, model) >= 0.5 for url in urls) / len(urls) > 0.88

@@ -22,7 +22,7 @@ from .common import batch, chunks
 
 # HTML element names by their part in a page, and words of class, id and role that mark containers.
 RAW_TEXT = frozenset("script style textarea title iframe".split())
-SKIPPED = RAW_TEXT | frozenset("noscript template svg math object canvas audio video select datalist head".split())
+SKIPPED = RAW_TEXT | frozenset("noscript template svg canvas select datalist head".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section
 summary table tbody td tfoot th thead tr ul""".split())
@@ -40,7 +40,16 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^<>"']|"[^"
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW_TEXT}
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_MAIN_ROLE = re.compile(r"""\srole\s*=\s*["']?main\b""", re.I)
 _HIDDEN = re.compile(r"\shidden[\s>=]|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: First and last parts of class names that say what an element has or may do, not what it is.
+MODIFIERS_FIRST, MODIFIERS_LAST = frozenset("has with without no".split()), frozenset("enabled disabled".split())
+#: Elements whose end tag may be left out, and those whose start ends them.
+ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}} | {"td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
+#: Unlinked words of the longest block from which a page that is all marked as boilerplate is taken to have a text.
+WHOLE_WORDS = 40
+#: Place of what is in a form, until its words are compared with those of the page's rest.
+IN_FORM = -0.5
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -52,23 +61,33 @@ class Block(NamedTuple):
     place: int
 
 
-def _place(name: str, tag: str, within: int) -> int:
-    """What a container says of its blocks; what isn't the article stays so, whatever it holds."""
-    if within < 0 or name in BOILER_TAGS:
+def _marks(tag: str) -> set[str]:
+    """Words of a tag's class, id and role."""
+    names = (_PART.findall(n) for m in _MARKS.finditer(tag) for n in (m[1] or m[2] or m[3] or "").split())
+    return {w.lower() for parts in names if parts and parts[0].lower() not in MODIFIERS_FIRST and parts[-1].lower() not in MODIFIERS_LAST for w in parts}
+
+
+def _place(name: str, tag: str, within: float) -> float:
+    """What a container says of its blocks; what isn't the article stays so, whatever it holds, but for forms."""
+    if within == -1 or name in BOILER_TAGS and name != "form":
         return -1
     if name == "header":
         return within if within > 0 else -1
     if name in ("html", "body"):
         return within
+    main = name in ARTICLE_TAGS
     if "=" in tag or "hidden" in tag:
         if _HIDDEN.search(tag):
             return -1
-        marks = {w.lower() for m in _MARKS.finditer(tag) for w in _PART.findall(m[1] or m[2] or m[3] or "")}
-        if marks & BOILER_WORDS:
+        marks = _marks(tag)
+        if marks & BOILER_WORDS - ({"form"} if name == "form" else set()):
             return -1
-        if marks & ARTICLE_WORDS:
+        main = main or bool(_MAIN_ROLE.search(tag))
+        if marks & ARTICLE_WORDS and within != IN_FORM and name != "form":
             return 1
-    return 1 if name in ARTICLE_TAGS else within
+    if name == "form":
+        return IN_FORM
+    return 1 if main else within
 
 
 def _tokens(page: str) -> Iterator[tuple[str, str]]:
@@ -93,8 +112,8 @@ def _tokens(page: str) -> Iterator[tuple[str, str]]:
 def blocks_of(page: str) -> list[Block]:
     """Flat text blocks of a whole page in order."""
     out: list[Block] = []
-    open_: list[tuple[str, int]] = []
-    place, in_link, skip = 0, 0, ""
+    open_: list[tuple[str, float]] = []
+    place, in_link, skip = 0.0, 0, ""
     texts: list[str] = []
     links: list[str] = []
 
@@ -133,6 +152,8 @@ def blocks_of(page: str) -> list[Block]:
         elif name in BLOCKS or name == "button":
             close()
             in_link = in_link if name not in CONTAINERS else 0
+            while not ends and open_ and name in ENDED_BY.get(open_[-1][0], ()):
+                place = open_.pop()[1]
             if name in CONTAINERS or name == "button":
                 if not ends:
                     open_.append((name, place))
@@ -142,13 +163,16 @@ def blocks_of(page: str) -> list[Block]:
                         n, place = open_.pop()
                         if n == name:
                             break
-            elif not ends and name != "hr" and place >= 0 and "=" in token and (_HIDDEN.search(token) or any(w.lower() in BOILER_WORDS for x in _MARKS.finditer(token) for w in _PART.findall(x[1] or x[2] or x[3] or ""))):
+            elif not ends and name != "hr" and place > -1 and "=" in token and (_HIDDEN.search(token) or _marks(token) & BOILER_WORDS):
                 open_.append((name, place))
                 place = -1
             elif ends and open_ and open_[-1][0] == name:
                 place = open_.pop()[1]
     close()
-    return out
+    # A form that holds most of what isn't boilerplate is the page: its words and links decide.
+    in_form = sum(b.words for b in out if b.place == IN_FORM)
+    of_form = 0 if in_form > sum(b.words for b in out if b.place >= 0) else -1
+    return [b._replace(place=of_form if b.place == IN_FORM else int(b.place)) for b in out]
 
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "place")
@@ -223,6 +247,9 @@ def main_text(page: str, tree: Tree) -> str:
     if not found:
         return ""
     keep = tree.predict(features([b[1:] for b in found]))
+    if not keep.any() and any(b.words - b.link_words >= WHOLE_WORDS for b in found):
+        # All is marked as boilerplate, as where the whole page is: its words and links decide.
+        keep = tree.predict(features([(b.words, b.link_words, 0) for b in found]))
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 

@@ -38,6 +38,33 @@ def test_raw_text_ends_at_its_own_end_tag():
     assert main_text("<head><title>never closed<body><article><p>One.</p></article>", TREE) == "One."
 
 
+def test_marks_that_are_no_boilerplate():
+    long = [" ".join(f"{w}{i}" for i in range(50)) for w in ("one", "two")]
+    text, ps = "\n".join(long), "".join(f"<p>{t}</p>" for t in long)
+    for page in (
+        f"<div class='content has-sidebar'>{ps}</div>",
+        f"<article class='post share-enabled'>{ps}</article>",
+        f"<div class='page with-comments no-footer'>{ps}</div>",
+        f"<form id='aspnetForm' action='x'><nav><a>Home</a></nav><div>{ps}</div><footer>Site</footer></form>",
+        f"<form id='form1'><nav><a>Home</a></nav><main>{ps}</main></form>",
+        f"<form><div role='main'>{ps}</div><label>Mail</label></form>",
+        f"<div class='widget'>{ps}</div>",
+    ):
+        assert main_text(f"<body>{page}", TREE) == text, page
+    assert main_text("<div class='cookie-notice'>We use cookies on these pages and like it.</div>", TREE) == ""
+
+
+def test_end_tags_left_out():
+    assert main_text("<article><p>One.<p class='ad'>Buy.<p>Two.<p id=share>Share.<div>Three.</div></article>", TREE) == "One.\nTwo.\nThree."
+    assert main_text("<article><ul><li>One.<li class='share'>Share.<p>It.</p><li>Two.</ul><dl><dt class=ad>Buy.<dd>Three.</dl></article>", TREE) == "One.\nTwo.\nThree."
+    assert main_text("<article><table><tr><td class=ad>Buy.<td>One.<tr class=promo><td>Buy.<tr><td>Two.</table></article>", TREE) == "One.\nTwo."
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be. <object data=a>A chart.</object> <video src=b>A film.</video> <audio src=c>A song.</audio></p></article>"
+    assert main_text(page, TREE) == "Let x=1 be. A chart. A film. A song."
+
+
 def test_tree_fits_its_table_and_held_out_pages():
     for i in range(len(LABELLED)):
         if len(LABELLED[i]) < 7:

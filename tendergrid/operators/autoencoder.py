@@ -1,7 +1,7 @@
 """Out-of-fold reconstruction errors of small autoencoders, trained fold by fold and seed by seed as Spark tasks.
 
-A contract's fold is a hash of its key. Each (fold, seed) is one task that trains on a bounded sample of the other
-folds; a contract is scored by the networks that haven't seen its fold, and its errors are averaged over the seeds.
+A contract's fold is a hash of its key. Each (fold, seed) is one task that trains on every row of the other folds, which
+it holds as an array, and stops by the error of a part of them that it keeps for that; a contract is scored by the networks that haven't seen its fold, and its errors are averaged over the seeds.
 """
 
 from __future__ import annotations
@@ -15,22 +15,31 @@ from pyspark.sql import functions as F
 
 from .models import anomaly_features
 
-FOLDS, SEEDS, SAMPLE = 5, 3, 4000
+FOLDS, SEEDS = 5, 5
 HIDDEN, CODE = 8, 3
-EPOCHS, BATCH, RATE = 60, 64, 0.005
+EPOCHS, BATCH, RATE = 3000, 64, 0.005
+#: Share of the rows that only decide when to stop: after so many epochs without a lower error on them.
+HELD, PATIENCE = 0.15, 60
 
 
-def train(x: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Mean and scale of the columns, then weights and biases of four layers, by Adam on squared error."""
+def train(x: np.ndarray, seed: int, split: int = 0, epochs: int = EPOCHS) -> list[np.ndarray]:
+    """Mean and scale of the columns, then weights and biases of four layers, by Adam on squared error.
+
+    split seeds the choice of the rows held for stopping; the weights of the least error on them count.
+    """
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(0), np.where(x.std(0) < 1e-9, 1.0, x.std(0))
     z = np.clip((x - mean) / scale, -10, 10)
+    mixed = z[np.random.default_rng(split).permutation(len(z))]
+    n_held = min(max(1, round(HELD * len(z))), len(z) - 1)
+    held, z = (mixed[:n_held], mixed[n_held:]) if n_held else (mixed, mixed)
     sizes = (x.shape[1], HIDDEN, CODE, HIDDEN, x.shape[1])
     params = []
     for a, b in zip(sizes, sizes[1:]):
         params += [rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)), np.zeros(b)]
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(EPOCHS):
+    best, least, idle = [p.copy() for p in params], np.inf, 0
+    for _ in range(epochs):
         order = rng.permutation(len(z))
         for at in range(0, len(z), BATCH):
             part = z[order[at : at + BATCH]]
@@ -44,7 +53,14 @@ def train(x: np.ndarray, seed: int) -> list[np.ndarray]:
                     first[j] = 0.9 * first[j] + 0.1 * g
                     second[j] = 0.999 * second[j] + 0.001 * g * g
                     params[j] = params[j] - RATE * (first[j] / (1 - 0.9**t)) / (np.sqrt(second[j] / (1 - 0.999**t)) + 1e-8)
-    return [mean, scale, *params]
+        error = ((forward(params, held)[-1] - held) ** 2).mean()
+        if error < least - 1e-7:
+            best, least, idle = [p.copy() for p in params], error, 0
+        else:
+            idle += 1
+            if idle >= PATIENCE:
+                break
+    return [mean, scale, *best]
 
 
 def forward(params: list[np.ndarray], z: np.ndarray) -> list[np.ndarray]:
@@ -60,20 +76,24 @@ def errors(model: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return ((forward(model[2:], z)[-1] - z) ** 2).mean(1)
 
 
-def deep_scores(c: DataFrame, folds: int = FOLDS, seeds: int = SEEDS, sample: int = SAMPLE) -> DataFrame:
+def training_rows(featured: DataFrame, columns: list[str], folds: int, seeds: int) -> DataFrame:
+    """columns of all rows of the other folds, for each fold that is left out and each seed."""
+    each = featured.select("fold", *columns).withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("out != fold")
+    return each.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).select("out", "seed", *columns)
+
+
+def deep_scores(c: DataFrame, folds: int = FOLDS, seeds: int = SEEDS) -> DataFrame:
     """c with fold and deep_error. Networks, folds * seeds of them with a few hundred numbers each, pass the driver."""
     featured, columns = anomaly_features(c)
     key = F.xxhash64("project_id", "contract_no", "winner_key", "contract_price_agree")
     featured = featured.withColumn("fold", F.pmod(key, F.lit(folds)).cast("int"))
-    drawn = featured.orderBy(key).limit(sample).select("fold", *columns)
-    each = drawn.withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("out != fold").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(columns)
-        model = train(rows[columns].to_numpy(float), int(rows.seed.iloc[0]))
-        return pd.DataFrame({"out": [int(rows.out.iloc[0])], "seed": [int(rows.seed.iloc[0])], "model": [np.concatenate([m.ravel() for m in model]).tolist()]})
+        fold, seed = int(rows.out.iloc[0]), int(rows.seed.iloc[0])
+        model = train(rows[columns].to_numpy(float), 1000 * seed + fold, 5000 + fold)
+        return pd.DataFrame({"out": [fold], "seed": [seed], "model": [np.concatenate([m.ravel() for m in model]).tolist()]})
 
-    fitted = each.groupBy("out", "seed").applyInPandas(fit, "out int, seed int, model array<double>").collect()
+    fitted = training_rows(featured, columns, folds, seeds).groupBy("out", "seed").applyInPandas(fit, "out int, seed int, model array<double>").collect()
     n = len(columns)
     shapes = [(n,), (n,), (n, HIDDEN), (HIDDEN,), (HIDDEN, CODE), (CODE,), (CODE, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,)]
     models: dict[int, list] = {}

@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FOREST_TREES, FOREST_SAMPLE = 100, 256
+FOREST_TREES, FOREST_SAMPLE = 300, 256
 def _price() -> Column:
     return F.col("contract_price_agree").cast("double")
 
@@ -36,6 +36,12 @@ def cluster_contractors(stats: DataFrame, k: int = 5, seeds: tuple[int, ...] = (
     return min(fits, key=lambda m: m.summary.trainingCost).transform(scaled).select("winner_key", "cluster")
 
 
+def _join_with_nulls(rows: DataFrame, part: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of part, an aggregate by keys; null keys meet each other."""
+    part = part.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in part.columns if c not in keys])
+    return rows.join(part, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
+
+
 def anomaly_features(c: DataFrame) -> tuple[DataFrame, list[str]]:
     """c with features of size, price against reference and budget, duration, and the pair's and winner's place."""
     own = c.filter((_price() > 0) & (F.col("price_build") > 0))
@@ -43,7 +49,9 @@ def anomaly_features(c: DataFrame) -> tuple[DataFrame, list[str]]:
     winner = own.groupBy("winner_key").agg(F.sum("contract_price_agree").cast("double").alias("winner_value"), F.count_distinct("dept_key").alias("winner_agencies"))
     agency = own.groupBy("dept_key").agg(F.count("*").alias("agency_n"))
     peer = own.groupBy("province").agg(F.percentile(F.log10(_price()), 0.5).alias("peer"))
-    joined = own.join(pairs, ["dept_key", "winner_key"]).join(winner, "winner_key").join(agency, "dept_key").join(peer, "province")
+    joined = own
+    for part, keys in ((pairs, ["dept_key", "winner_key"]), (winner, ["winner_key"]), (agency, ["dept_key"]), (peer, ["province"])):
+        joined = _join_with_nulls(joined, part, keys)
     clip = lambda x, lo, hi: F.least(F.lit(hi), F.greatest(F.lit(lo), x))
     value = F.floor(_price())
     round_ = F.when(value % 100_000 == 0, 4).when(value % 10_000 == 0, 3).when(value % 1000 == 0, 2).when(value % 100 == 0, 1).otherwise(0)

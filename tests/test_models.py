@@ -1,6 +1,6 @@
 import numpy as np
 
-from tendergrid.operators import autoencoder
+from tendergrid.operators import autoencoder, models
 
 
 def test_each_network_trains_on_all_rows_of_the_other_folds(spark):
@@ -21,3 +21,12 @@ def test_training_stops_on_held_rows_and_tells_odd_ones():
     assert all((a == b).all() for a, b in zip(model, again)) and len(longer) == 10
     assert autoencoder.errors(model, x).mean() < 0.2
     assert autoencoder.errors(model, r.permuted(x, axis=0)).mean() > 3 * autoencoder.errors(model, x).mean()
+
+
+def test_contracts_without_agency_winner_or_province_are_scored(spark):
+    keys = [("a", "w", "p"), (None, "w", "p"), ("a", None, "p"), ("a", "w", None), (None, None, None), (None, None, None)]
+    rows = [(i, 1, *keys[i % 6], 100_000 + 10 * i, 120_000, 500_000, 30) for i in range(60)] + [(99, 1, "a", "w", "p", None, 120_000, 500_000, 30)]
+    c = spark.createDataFrame(rows, "project_id int, contract_no int, dept_key string, winner_key string, province string, contract_price_agree int, price_build int, project_money int, duration_days int")
+    assert sorted(r.project_id for r in models.anomaly_scores(c).collect() if 0 <= r.ml_score <= 1) == list(range(60))
+    featured, _ = models.anomaly_features(c)
+    assert {round(r.log_pair_count, 9) for r in featured.filter("dept_key is null and winner_key is null").collect()} == {round(float(np.log1p(20)), 9)}

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..tables import written
+
 
 def beta_tail(x: np.ndarray, a: np.ndarray, b: np.ndarray, nodes: int = 96) -> np.ndarray:
     """P(Beta(a, b) > x) by Gauss-Legendre over the logit, where the density has no poles, on both sides of x."""
@@ -73,20 +75,72 @@ def with_posterior(groups: DataFrame, k: str, n: str, by: list[str] | None = Non
     return known.withColumn("alpha", F.col("_a") + F.col(k)).withColumn("beta", F.col("_b") + F.col(n) - F.col(k)).drop("_a", "_b")
 
 
-def percent_rank_average(x: str, by: list[str]) -> Column:
-    """Rank with ties averaged, as a share of the group's rows."""
+def quantiles(df: DataFrame, x: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """by, n and a column per share: exact quantiles of x within groups, interpolated between neighbours; nulls don't
+    count. Values are counted before they are sorted, so no group's rows are held at once."""
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_k"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    upto = counts.withColumn("_upto", F.sum("_k").over(group.orderBy("_x"))).withColumn("n", F.sum("_k").over(group))
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_x")))
+    found = {}
+    for name, share in shares.items():
+        place = (F.col("n") - 1) * share
+        found |= {f"_lo_{name}": at(F.floor(place)), f"_hi_{name}": at(F.ceil(place)), f"_part_{name}": F.max(place - F.floor(place))}
+    out = upto.groupBy(*by).agg(F.max("n").alias("n"), *[c.alias(k) for k, c in found.items()])
+    return out.select(*by, "n", *[(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * F.col(f"_part_{k}")).alias(k) for k in shares])
+
+
+def percent_rank_average(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
+    """df with the rank of x, ties averaged, as a share of the group's rows; nulls have none. Ranks are found for the
+    distinct values, from their counts."""
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_k"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    ties = W.partitionBy(*by, x)
-    return (F.rank().over(group.orderBy(x)) + (F.count("*").over(ties) - 1) / 2) / F.count("*").over(group)
+    share = (F.sum("_k").over(group.orderBy(x)) - (F.col("_k") - 1) / 2) / F.sum("_k").over(group)
+    return df.join(counts.select(*by, x, share.alias(out)), [*by, x], "left")
+
+
+def places(df: DataFrame, order: list, out: str) -> DataFrame:
+    """df with the place of each row, from 0, in an order over all rows: the rows are dealt into ranges, and each
+    range starts where those before it end."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = written(df.repartitionByRange(*cols).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    # A row per range.
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*cols)) - 1
+    return dealt.withColumn("_own", own).join(starts.select("_range", "_start"), "_range").withColumn(out, F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
+
+
+def auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """One row (n, n_positive, auc): the chance that a labelled row scores above another, ties half, from the counts of
+    distinct scores."""
+    counts = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count_if(label).alias("_p"), F.count_if(~F.col(label)).alias("_q"))
+    below = F.coalesce(F.sum("_q").over(W.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    won = counts.withColumn("_won", F.col("_p") * (below + F.col("_q") / 2))
+    return won.agg(F.sum(F.col("_p") + F.col("_q")).alias("n"), F.sum("_p").alias("n_positive"), F.when((F.sum("_p") > 0) & (F.sum("_q") > 0), F.round(F.sum("_won") / (F.sum("_p") * F.sum("_q")), 6)).alias("auc"))
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: the correlation of the two columns' ranks, ties averaged."""
+    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    ranked = percent_rank_average(percent_rank_average(both, "_a", [], "_ra"), "_b", [], "_rb")
+    return ranked.agg(F.round(F.corr("_ra", "_rb"), 6).alias("spearman"), F.count("*").alias("n"))
+
+
+def correlation_of_logs(df: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
+    """One row: Pearson's correlation of the logarithms over rows where both are positive; null for fewer than `least`."""
+    both = df.filter((F.col(a) > 0) & (F.col(b) > 0))
+    return both.agg(F.count("*").alias("n"), F.round(F.when(F.count("*") >= least, F.corr(F.log(F.col(a).cast("double")), F.log(F.col(b).cast("double")))), 6).alias("corr"))
 
 
 def robust_z(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
     """(x - median) / (1.4826 MAD) within groups, the spread of all rows where a group has none, clipped to 10."""
-    centre = df.groupBy(*by).agg(F.percentile(x, 0.5).alias("_m"))
+    centre = quantiles(df, x, by, {"_m": 0.5}).drop("n")
     apart = df.join(centre, by).withColumn("_d", F.abs(F.col(x) - F.col("_m")))
-    spread = apart.groupBy(*by).agg(F.percentile("_d", 0.5).alias("_s"))
-    whole = df.agg(F.percentile(x, 0.5)).first()[0]
-    all_spread = df.agg(F.percentile(F.abs(F.col(x) - F.lit(whole)), 0.5)).first()[0] or 1.0
+    spread = quantiles(apart, "_d", by, {"_s": 0.5}).drop("n")
+    whole = quantiles(df, x, [], {"m": 0.5}).first()
+    whole = df.withColumn("_w", F.abs(F.col(x) - F.lit(whole["m"] if whole else None)))
+    all_spread = (quantiles(whole, "_w", [], {"m": 0.5}).first() or {"m": 0})["m"] or 1.0
     z = (F.col(x) - F.col("_m")) / (1.4826 * F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(all_spread)))
     return apart.join(spread, by).withColumn(out, F.least(F.lit(10.0), F.greatest(F.lit(-10.0), z))).drop("_m", "_d", "_s")
 

@@ -10,6 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parse import round_kind
+from ..functions.stats import quantiles
+from ..tables import written
+
 
 def _price() -> Column:
     return F.col("contract_price_agree")
@@ -26,9 +29,9 @@ def hhi(c: DataFrame, by: str = "dept_key", least: int = 5) -> DataFrame:
 def outliers(c: DataFrame, value: str, by: list[str], k: float = 3.0, least: int = 30) -> DataFrame:
     """Rows above the third quartile by k interquartile ranges of their group, with the times of its median."""
     x = F.col(value).cast("double")
-    q = c.filter(x.isNotNull()).groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= least)
-    bound = F.col("q")[2] + k * (F.col("q")[2] - F.col("q")[0])
-    return c.join(q, by).filter(x > bound).withColumn("times_median", F.round(F.when(F.col("q")[1] != 0, x / F.col("q")[1]), 4)).drop("q", "n")
+    q = quantiles(c, value, by, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}).filter(F.col("n") >= least)
+    bound = F.col("_q3") + k * (F.col("_q3") - F.col("_q1"))
+    return c.join(q.drop("n"), by).filter(x > bound).withColumn("times_median", F.round(F.when(F.col("_q2") != 0, x / F.col("_q2")), 4)).drop("_q1", "_q2", "_q3")
 
 
 def threshold_cliff(c: DataFrame, ceiling: float = 500_000, width: float = 50_000, bins: int = 10) -> DataFrame:
@@ -54,6 +57,7 @@ def audit_queue(evaluated: DataFrame, n: int, mode: str = "exposure") -> DataFra
 def queue_coverage(evaluated: DataFrame, sizes: tuple[int, ...] = (10, 50, 100, 500)) -> DataFrame:
     """Share of all exposure that the first contracts of each ordering cover; the sizes are the report's."""
     exposure = F.col("risk_score") * _price().cast("double")
+    evaluated = written(evaluated.select("risk_score", "contract_price_agree", "project_id", "contract_no", "winner_key", "contract_date"))
     total = evaluated.agg(F.sum(exposure)).first()[0] or 0.0
     out = None
     for mode in ("exposure", "score", "value"):
@@ -159,5 +163,5 @@ def underbids(c: DataFrame, least: int = 10) -> DataFrame:
     """Discount of each contract less the median of its method and project type."""
     d = c.filter((_price() > 0) & (F.col("price_build") > 0)).withColumn("discount", 1 - _price().cast("double") / F.col("price_build").cast("double"))
     key = ["purchase_method_name", "project_type_name"]
-    peers = d.groupBy(*key).agg(F.percentile("discount", 0.5).alias("peer_median"), F.count("*").alias("peer_n")).filter(F.col("peer_n") >= least)
+    peers = quantiles(d, "discount", key, {"peer_median": 0.5}).withColumnRenamed("n", "peer_n").filter(F.col("peer_n") >= least)
     return d.join(peers, key).withColumn("under", F.round(F.col("discount") - F.col("peer_median"), 6))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import haversine_km
-from ..functions.stats import beta_survival, with_posterior
+from ..functions.stats import beta_survival, quantiles, with_posterior
 from ..functions.values import SPECIFIC_METHOD
 
 CEILING = 500_000
@@ -66,14 +66,15 @@ def agency_direct_share(c: DataFrame, share: float, ceiling: float = CEILING) ->
 
 def centroids(c: DataFrame, least: int = 3) -> DataFrame:
     placed = c.filter((F.col("geo_quality") == "ok") & F.col("lat").isNotNull())
-    return placed.groupBy("province").agg(F.percentile("lat", 0.5).alias("c_lat"), F.percentile("lon", 0.5).alias("c_lon"), F.count("*").alias("c_n")).filter(F.col("c_n") >= least).drop("c_n")
+    lat, lon = quantiles(placed, "lat", ["province"], {"c_lat": 0.5}), quantiles(placed, "lon", ["province"], {"c_lon": 0.5}).drop("n")
+    return lat.filter(F.col("n") >= least).drop("n").join(lon, "province")
 
 
 def agency_distances(c: DataFrame, least: int = 3) -> DataFrame:
     """Median distance of an agency's contracts to their provinces' centroids."""
     placed = c.filter((F.col("geo_quality") == "ok") & F.col("lat").isNotNull()).join(centroids(c), "province")
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
-    return placed.select("dept_key", km.alias("km")).groupBy("dept_key").agg(F.percentile("km", 0.5).alias("d_median_km"), F.count("*").alias("d_n")).filter(F.col("d_n") >= least).drop("d_n")
+    return quantiles(placed.select("dept_key", km.alias("km")), "km", ["dept_key"], {"d_median_km": 0.5}).filter(F.col("n") >= least).drop("n")
 
 
 def regional_cells(c: DataFrame, gap_points: float) -> DataFrame:

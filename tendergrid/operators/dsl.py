@@ -6,6 +6,7 @@ import operator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fields by kind; a rule may only name these.
@@ -96,7 +97,8 @@ def backtest(evaluated: DataFrame, rule: dict) -> DataFrame:
 def backtest_overlap(evaluated: DataFrame, rule: dict, top: int = 6) -> DataFrame:
     """The rules that hit most of the same contracts, by Jaccard."""
     hits = evaluated.select(compile_rule(rule).alias("hit"), F.transform("rule_hits", lambda h: h["rule_id"]).alias("ids"))
-    total = hits.filter("hit").agg(F.count("*").alias("n_rule"))
-    each = hits.select("hit", F.explode("ids").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n_other"), F.count_if("hit").alias("n_both"))
-    n = total.first()[0]
-    return each.withColumn("jaccard", F.round(F.col("n_both") / (F.col("n_other") + n - F.col("n_both")), 6)).orderBy(F.desc("jaccard"), "rule_id").limit(top)
+    # A row of its own counts the rule: one pass over the contracts, then a row per rule.
+    ids = F.explode(F.concat("ids", F.array(F.lit("")))).alias("rule_id")
+    each = hits.select("hit", ids).groupBy("rule_id").agg(F.count("*").alias("n_other"), F.count_if("hit").alias("n_both"))
+    each = each.withColumn("n", F.max(F.when(F.col("rule_id") == "", F.col("n_both"))).over(W.partitionBy(F.lit(0)))).filter("rule_id != ''")
+    return each.withColumn("jaccard", F.round(F.col("n_both") / (F.col("n_other") + F.col("n") - F.col("n_both")), 6)).drop("n").orderBy(F.desc("jaccard"), "rule_id").limit(top)

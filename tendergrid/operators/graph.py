@@ -1,11 +1,13 @@
-"""The agency-winner graph: edges, degrees, PageRank and a composite rank."""
+"""The agency-winner graph: edges, degrees, PageRank, places and filters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import places
+from ..tables import written
+
 
 def edges(c: DataFrame) -> DataFrame:
     own = c.filter(F.col("dept_key").isNotNull() & F.col("winner_key").isNotNull()).groupBy("dept_key", "winner_key")
@@ -22,22 +24,23 @@ def degrees(e: DataFrame) -> DataFrame:
 
 
 def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """Weighted PageRank of the undirected graph. Lineage is cut by checkpoint() in the folder that the session names."""
+    """Weighted PageRank of the undirected graph. Links and every fifth round are written to the shared folder, which cuts lineage."""
     both = _both(e.withColumn("value", F.col("value").cast("double")))
     weight = both.groupBy("id").agg(F.sum("value").alias("out"))
-    links = both.join(weight, "id").select("id", "other", (F.col("value") / F.col("out")).alias("share")).persist()
+    links = both.join(weight, "id").select("id", "other", (F.col("value") / F.col("out")).alias("share"))
+    links = written(links)
     n = weight.count()
     rank = weight.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(rounds):
         got = links.join(rank, "id").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("s"))
         rank = got.select("id", (F.lit((1 - damping) / n) + damping * F.col("s")).alias("rank"))
-        if i % 5 == 4 and e.sparkSession.sparkContext.getCheckpointDir():
-            rank = rank.checkpoint()
+        if i % 5 == 4:
+            rank = written(rank)
     return rank
 
 
 def percentile(df: DataFrame, column: str, out: str) -> DataFrame:
     """Place among all, 0 to 100; ties in order of id."""
-    everything = W.partitionBy(F.lit(0))
-    place = F.row_number().over(everything.orderBy(column, "id")) - 1
-    return df.withColumn(out, F.round(100 * place / F.greatest(F.count("*").over(everything) - 1, F.lit(1)), 2))
+    ranked = places(df, [column, "id"], "_place")
+    last = F.lit(max(df.count() - 1, 1))
+    return ranked.withColumn(out, F.round(100 * F.col("_place") / last, 2)).drop("_place")

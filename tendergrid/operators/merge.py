@@ -21,10 +21,19 @@ def latest(df: DataFrame, key: tuple[str, ...], order: str) -> DataFrame:
 
 def upsert(base: DataFrame, incoming: DataFrame, key: tuple[str, ...] = IDENTITY, order: str | None = None) -> DataFrame:
     """base with incoming's values where they are not blank, and its new rows, as one full join; merge_kind says added,
-    updated or kept. Keys must be unique in base; of equal keys in incoming the last by `order` counts."""
-    new = latest(incoming, key, order) if order else incoming.dropDuplicates(list(key))
+    updated or kept. Keys must be unique in base; of equal keys in incoming the last by `order` counts, or without one
+    the greatest by all of its columns. Where base has the order too, an incoming row that comes before it changes nothing,
+    and the later order stays."""
     if order:
-        base, new = base.drop(order), new.drop(order)
+        new = latest(incoming, key, order)
+    else:
+        rest = F.struct(*[F.col(c) for c in incoming.columns if c not in key])
+        new = incoming.groupBy(*key).agg(F.max(rest).alias("_row")).select(*key, "_row.*")
+    stale = F.lit(False)
+    if order and order in base.columns:
+        stale = F.coalesce(F.col(f"n_{order}") < F.col(f"b_{order}"), F.lit(False))
+    elif order:
+        new = new.drop(order)
     values = [c for c in base.columns if c not in key]
     b = base.select(*[F.col(c).alias(f"b_{c}") for c in base.columns], F.lit(1).alias("_b"))
     n = new.select(*[F.col(c).alias(f"n_{c}") for c in base.columns if c in new.columns], F.lit(1).alias("_n"))
@@ -33,7 +42,7 @@ def upsert(base: DataFrame, incoming: DataFrame, key: tuple[str, ...] = IDENTITY
         same = F.col(f"b_{c}").eqNullSafe(F.col(f"n_{c}"))
         on = same if on is None else on & same
     both = b.join(n, on, "full")
-    there = lambda c: F.when(F.trim(F.col(f"n_{c}").cast("string")) != "", F.col(f"n_{c}"))
+    there = lambda c: F.when(~stale & (F.trim(F.col(f"n_{c}").cast("string")) != ""), F.col(f"n_{c}"))
     merged = {c: F.coalesce(there(c), F.col(f"b_{c}")) if c in new.columns else F.col(f"b_{c}") for c in values}
     changed = F.lit(False)
     for c in values:

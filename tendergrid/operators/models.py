@@ -18,7 +18,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import quantiles
+from ..tables import written
+
 FOREST_TREES, FOREST_SAMPLE = 300, 256
+
+
 def _price() -> Column:
     return F.col("contract_price_agree").cast("double")
 
@@ -28,7 +33,7 @@ def cluster_contractors(stats: DataFrame, k: int = 5, seeds: tuple[int, ...] = (
     columns = ["value", "n", "n_agencies", "top_agency_share", "specific_share", "ceiling_hug", "near_ceiling"]
     logs = {c: F.log10(F.greatest(F.coalesce(F.col(c), F.lit(0)).cast("double"), F.lit(1.0))) for c in columns[:3]}
     shares = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in columns[3:]}
-    rows = stats.select("winner_key", *[v.alias(c) for c, v in (logs | shares).items()]).persist()
+    rows = written(stats.select("winner_key", *[v.alias(c) for c, v in (logs | shares).items()]))
     if rows.count() < 4 * k:
         return rows.select("winner_key", F.lit(-1).alias("cluster"))
     scaled = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]).fit(rows).transform(rows)
@@ -48,7 +53,7 @@ def anomaly_features(c: DataFrame) -> tuple[DataFrame, list[str]]:
     pairs = own.groupBy("dept_key", "winner_key").agg(F.count("*").alias("pair_n"), F.sum("contract_price_agree").cast("double").alias("pair_value"))
     winner = own.groupBy("winner_key").agg(F.sum("contract_price_agree").cast("double").alias("winner_value"), F.count_distinct("dept_key").alias("winner_agencies"))
     agency = own.groupBy("dept_key").agg(F.count("*").alias("agency_n"))
-    peer = own.groupBy("province").agg(F.percentile(F.log10(_price()), 0.5).alias("peer"))
+    peer = quantiles(own.select("province", F.log10(_price()).alias("log_price")), "log_price", ["province"], {"peer": 0.5}).drop("n")
     joined = own
     for part, keys in ((pairs, ["dept_key", "winner_key"]), (winner, ["winner_key"]), (agency, ["dept_key"]), (peer, ["province"])):
         joined = _join_with_nulls(joined, part, keys)
@@ -108,9 +113,12 @@ class Forest:
 
 
 def anomaly_scores(c: DataFrame, seed: int = 0, trees: int = FOREST_TREES, sample: int = FOREST_SAMPLE) -> DataFrame:
-    """c with ml_score. The trees are grown on trees * sample rows at most, those of the least seeded hash."""
+    """c with ml_score. The trees are grown on about trees * sample rows, those whose seeded hash lies under a threshold."""
     featured, columns = anomaly_features(c)
-    drawn = featured.orderBy(F.xxhash64(F.lit(seed), "project_id", "contract_no", "winner_key", "contract_price_agree")).limit(trees * sample).select(*columns).toPandas().sort_values(columns)
+    featured = written(featured)
+    lot = F.pmod(F.xxhash64(F.lit(seed), "project_id", "contract_no", "winner_key", "contract_price_agree"), F.lit(1 << 40))
+    share = min(1.0, trees * sample / max(featured.count(), 1))
+    drawn = featured.filter(lot <= share * (1 << 40)).select(*columns).toPandas().sort_values(columns)
     if drawn.empty:
         return featured.withColumn("ml_score", F.lit(None).cast("double")).drop(*columns)
     forest = Forest(drawn.to_numpy(float), trees, sample, seed)

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import quantiles
 from ..functions.values import SPECIFIC_METHOD
 
+
 def _price() -> Column:
     return F.col("contract_price_agree")
 
@@ -88,8 +90,11 @@ def discount_bins(c: DataFrame) -> DataFrame:
 def method_prices(c: DataFrame, least: int = 20) -> DataFrame:
     """Median price, and share of round ones, per method."""
     p = _price().cast("double")
-    out = c.filter(_price() > 0).groupBy("purchase_method_name").agg(F.count("*").alias("n"), F.round(F.percentile(p, 0.5), 4).alias("median_price"), F.round(F.count_if(_price() % 10_000 == 0) / F.count("*"), 6).alias("round_10k"))
-    return out.filter(F.col("n") >= least)
+    priced = c.filter(_price() > 0).select("purchase_method_name", "contract_price_agree", p.alias("price"))
+    out = priced.groupBy("purchase_method_name").agg(F.count("*").alias("n"), F.round(F.count_if(_price() % 10_000 == 0) / F.count("*"), 6).alias("round_10k"))
+    middle = quantiles(priced, "price", ["purchase_method_name"], {"m": 0.5})
+    middle = middle.select(F.col("purchase_method_name").alias("_method"), F.round("m", 4).alias("median_price"))
+    return out.filter(F.col("n") >= least).join(middle, F.col("purchase_method_name").eqNullSafe(F.col("_method"))).drop("_method")
 
 
 def same_price_groups(c: DataFrame, least: int = 3, winners: int = 2) -> DataFrame:
@@ -103,11 +108,12 @@ def contractors(c: DataFrame, least: int = 3, ceiling: float = 500_000) -> DataF
     competed = (F.col("purchase_method_name") != SPECIFIC_METHOD) & F.col("discount").isNotNull()
     near = (_price() >= ceiling * 0.9) & (_price() < ceiling)
     own = d.groupBy("winner_key").agg(
-        F.count("*").alias("n"), F.sum("contract_price_agree").alias("value"), F.count_if(F.col("purchase_method_name") == SPECIFIC_METHOD).alias("specific"), F.round(F.percentile("discount", 0.5), 6).alias("median_discount"),
+        F.count("*").alias("n"), F.sum("contract_price_agree").alias("value"), F.count_if(F.col("purchase_method_name") == SPECIFIC_METHOD).alias("specific"),
         F.count_if(competed).alias("n_competed"), F.count_if(competed & (F.col("discount") <= 0.005)).alias("n_hug"), F.count_if(near).alias("n_near"), F.min("contract_date").alias("first_date"), F.max("contract_date").alias("last_date"),
     ).filter(F.col("n") >= least)
     top = c.groupBy("winner_key", "dept_key").agg(F.count("*").alias("k")).groupBy("winner_key").agg(F.max("k").alias("top_n"), F.count("*").alias("n_agencies"))
-    out = own.join(top, "winner_key").join(bursts(c, ["winner_key"]).select("winner_key", F.col("burst").alias("burst30")), "winner_key", "left")
+    middle = quantiles(d, "discount", ["winner_key"], {"m": 0.5}).select("winner_key", F.round("m", 6).alias("median_discount"))
+    out = own.join(top, "winner_key").join(middle, "winner_key", "left").join(bursts(c, ["winner_key"]).select("winner_key", F.col("burst").alias("burst30")), "winner_key", "left")
     share = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 6)
     out = out.select("winner_key", "n", F.col("value").cast("double").alias("value"), "n_agencies", share("top_n", "n").alias("top_agency_share"), share("specific", "n").alias("specific_share"), "median_discount", "n_competed", share("n_hug", "n_competed").alias("ceiling_hug"), share("n_near", "n").alias("near_ceiling"), "burst30", "first_date", "last_date")
     kinds = [("captive", (F.col("n") >= 8) & (F.col("top_agency_share") >= 0.8)), ("ceiling_hug", (F.col("n_competed") >= 3) & (F.col("ceiling_hug") >= 0.5)), ("under_ceiling", F.col("near_ceiling") >= 0.4), ("burst", F.col("burst30") >= 5), ("specific_heavy", (F.col("n") >= 5) & (F.col("specific_share") >= 0.9)), ("wide", F.col("n_agencies") >= 8)]

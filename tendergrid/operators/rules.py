@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parse import band, haversine_km, min_notice_days, significant_round
@@ -177,7 +178,10 @@ def _severity(rules: dict[str, Rule], of: Callable[[Rule], Column], scored: bool
 
 
 def evaluate(c: DataFrame, rules: dict[str, Rule] | None = None, check: bool = True) -> DataFrame:
-    """c with rule_hits, risk_score, max_severity, max_severity_all and risk_band."""
+    """c with rule_hits, risk_score, max_severity, max_severity_all and risk_band.
+
+    c is read once for each context, so a view of many joins is best written first (tables.written).
+    """
     rules = configured() if rules is None else rules
     rules = applicable(c, rules) if check else rules
     rich = enrich(c, rules)
@@ -224,12 +228,12 @@ def coverage(evaluated: DataFrame, rules: dict[str, Rule] | None = None) -> Data
 def overlap(evaluated: DataFrame) -> DataFrame:
     """Pairs of rules that hit the same contracts: both, either, Jaccard and containment; pairs within a row only."""
     ids = F.transform("rule_hits", lambda h: h["rule_id"])
-    rows = evaluated.select(F.array_sort(ids).alias("ids"))
-    single = rows.select(F.explode("ids").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
-    two = rows.select(F.explode("ids").alias("rule_a"), "ids").select("rule_a", F.explode("ids").alias("rule_b")).filter("rule_a < rule_b")
-    both = two.groupBy("rule_a", "rule_b").agg(F.count("*").alias("n_both"))
-    a, b = single.toDF("rule_a", "n_a"), single.toDF("rule_b", "n_b")
-    out = both.join(a, "rule_a").join(b, "rule_b")
+    rows = evaluated.groupBy(F.array_sort(ids).alias("ids")).agg(F.count("*").alias("n"))
+    two = rows.select("n", F.explode("ids").alias("rule_a"), "ids").select("n", "rule_a", F.explode("ids").alias("rule_b")).filter("rule_a <= rule_b")
+    both = two.groupBy("rule_a", "rule_b").agg(F.sum("n").alias("n_both"))
+    # A rule with itself is the rule alone; there are as many rows as pairs of rules.
+    alone = F.when(F.col("rule_a") == F.col("rule_b"), F.col("n_both"))
+    out = both.withColumn("n_a", F.max(alone).over(W.partitionBy("rule_a"))).withColumn("n_b", F.max(alone).over(W.partitionBy("rule_b"))).filter("rule_a != rule_b")
     jaccard, inside = F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both")), F.col("n_both") / F.least("n_a", "n_b")
     return out.select("rule_a", "rule_b", "n_a", "n_b", "n_both", F.round(jaccard, 6).alias("jaccard"), F.round(inside, 6).alias("containment"))
 

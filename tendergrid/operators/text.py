@@ -45,16 +45,21 @@ def near_repeats(df: DataFrame, by: list[str], days: int = 30, percent: int = 80
     """Pairs of contracts of one agency, other projects, within some days, whose names share most of their words.
 
     Dates fall into buckets of `days`; a contract meets its own bucket and the one before. Candidates also share one
-    of the first words in order that two such sets must share, so agencies with many contracts don't meet all pairs.
+    of their rarest words, as two such sets must, and have sizes that permit the threshold, so agencies with many contracts don't meet all pairs.
     """
-    words = F.array_sort(tokens(F.col(column)))
-    t = df.filter(F.col("contract_date").isNotNull()).select(*by, "project_id", "contract_no", "contract_date", words.alias("words")).filter(F.size("words") > 0)
+    t = df.filter(F.col("contract_date").isNotNull()).select(*by, "project_id", "contract_no", "contract_date", tokens(F.col(column)).alias("words")).filter(F.size("words") > 0)
+    # Names repeat, so rarity is counted and each different list of words put in order once.
+    lists = t.groupBy("words").agg(F.count("*").alias("_n"))
+    rarity = lists.select("_n", F.explode("words").alias("word")).groupBy("word").agg(F.sum("_n").alias("df"))
+    ranked = lists.select("words", F.explode("words").alias("word")).join(rarity, "word").groupBy("words").agg(F.sort_array(F.collect_list(F.struct("df", "word")))["word"].alias("ranked"))
+    t = t.join(ranked, "words").drop("words").withColumnRenamed("ranked", "words")
     n = F.size("words")
     prefix = F.slice("words", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     t = t.withColumn("bucket", F.floor(F.unix_date("contract_date") / days)).withColumn("word", F.explode(prefix))
     a = t.select(*by, "bucket", "word", *[F.col(c).alias(f"a_{c}") for c in ("project_id", "contract_no", "contract_date", "words")])
     b = t.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).select(*by, "bucket", "word", *[F.col(c).alias(f"b_{c}") for c in ("project_id", "contract_no", "contract_date", "words")])
-    both = a.join(b, [*by, "bucket", "word"]).filter((F.col("a_project_id") != F.col("b_project_id")) & (F.datediff("a_contract_date", "b_contract_date").between(0, days)))
+    sizes = 100 * F.least(F.size("a_words"), F.size("b_words")) >= percent * F.greatest(F.size("a_words"), F.size("b_words"))
+    both = a.join(b, [*by, "bucket", "word"]).filter(sizes & (F.col("a_project_id") != F.col("b_project_id")) & (F.datediff("a_contract_date", "b_contract_date").between(0, days)))
     shared, union = F.size(F.array_intersect("a_words", "b_words")), F.size(F.array_union("a_words", "b_words"))
     close = both.filter(100 * shared >= percent * union)
     first = F.least(F.struct(F.col("a_project_id").alias("p"), F.col("a_contract_no").alias("c"), F.col("a_contract_date").alias("d")), F.struct(F.col("b_project_id").alias("p"), F.col("b_contract_no").alias("c"), F.col("b_contract_date").alias("d")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import band, canonical_name, haversine_km, money, thai_date
 from ..functions.stats import percent_rank_average, robust_z
 from ..operators import analytics, autoencoder, context, dsl, graph, merge, models, patterns, rules, text
+from ..tables import written
 from .contracts import contracts, table
 
 QUERIES: dict = {}
@@ -25,7 +26,7 @@ def _as_double(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evaluate(contracts(spark, sf_dir), rules.configured(only=PLAIN_RULES))
+    return rules.evaluate(written(contracts(spark, sf_dir).drop("project_name")), rules.configured(only=PLAIN_RULES))
 
 
 @query
@@ -41,7 +42,7 @@ def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rule_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 21 rules, those with Beta tails and distances too."""
-    return rules.summarize(rules.evaluate(contracts(spark, sf_dir)))
+    return rules.summarize(rules.evaluate(written(contracts(spark, sf_dir).drop("project_name"))))
 
 
 @query
@@ -238,7 +239,7 @@ def robust_price_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def winner_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = context.winners(contracts(spark, sf_dir))
-    return w.select("winner_key", "w_n", F.round(percent_rank_average("w_n", []), 6).alias("rank_pct"))
+    return percent_rank_average(w, "w_n", [], "share").select("winner_key", "w_n", F.round("share", 6).alias("rank_pct"))
 
 
 @query

@@ -16,14 +16,14 @@ def window_counts(events: DataFrame, key: str, time: str = "ts", width: str = "3
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...], order: str):
     """Starts a query that merges each batch into the Parquet table at path/<version>; the newest version counts.
 
-    A batch that is run again writes the same version again, so the table is the same after a restart.
+    Rows carry their own order: an older event of a later batch changes nothing. A batch that is run again writes the
+    same version again, so the table is the same after a restart.
     """
     spark = stream.sparkSession
 
     def merge_batch(batch: DataFrame, number: int) -> None:
         before = f"{path}/v={number - 1}"
         base = spark.read.parquet(before) if number else batch.limit(0)
-        merged = upsert(base, batch, key, order if order in batch.columns else None).drop("merge_kind")
-        merged.withColumn(order, F.lit(number)).write.mode("overwrite").parquet(f"{path}/v={number}")
+        upsert(base, batch, key, order).drop("merge_kind").write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

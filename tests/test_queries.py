@@ -9,7 +9,9 @@ import pytest
 
 from tendergrid.plans.oracles import ORACLES
 from tendergrid.plans.queries import QUERIES
+from tendergrid.plans.reports import REPORT_SQL, REPORTS
 
+ALL, SQL = QUERIES | REPORTS, ORACLES | REPORT_SQL
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -38,12 +40,12 @@ def comparable(df: pd.DataFrame) -> list[tuple]:
 
 
 def test_names():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(SQL) <= set(ALL) and not set(QUERIES) & set(REPORTS)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, duck, name):
-    got, want = comparable(QUERIES[name](spark, SF).toPandas()), comparable(duck.sql(ORACLES[name]).df())
+    got, want = comparable(ALL[name](spark, SF).toPandas()), comparable(duck.sql(SQL[name]).df())
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert len(a) == len(b)
@@ -51,9 +53,9 @@ def test_against_sql(spark, duck, name):
             assert x == y if not isinstance(x, float) else y is not None and abs(x - y) <= 1e-9 * max(1, abs(x)), (a, b)
 
 
-@pytest.mark.parametrize("name", ["rule_summary_all", "kmeans_contractors", "isolation_forest", "discount_hurdle", "direct_purchase_confidence", "graph_pagerank", "association_rules"])
+@pytest.mark.parametrize("name", ["rule_summary_all", "kmeans_contractors", "isolation_forest", "discount_hurdle", "direct_purchase_confidence", "graph_pagerank", "association_rules", "mined_traits", "agency_discount_z"])
 def test_models_run(spark, name):
-    out = QUERIES[name](spark, SF).toPandas()
+    out = ALL[name](spark, SF).toPandas()
     assert len(out)
     if name == "isolation_forest":
         assert len(out) == 60_000 and out.ml_score.between(0, 1).all()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tendergrid.functions.values import RAW_COLUMNS
 from tendergrid.sources import io
+from tendergrid.operators.merge import upsert
 from tendergrid.streaming.contracts import upsert_stream, window_counts
 
 
@@ -60,3 +61,12 @@ def test_streams(spark, tmp_path):
     rows = spark.readStream.schema("id int, ts timestamp, user string").parquet(src).select("id", "user", F.lit(0).alias("ord"))
     upsert_stream(rows, str(tmp_path / "table"), str(tmp_path / "check"), ("id",), "ord").awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "table" / "v=0")).count() == 3
+
+
+def test_older_rows_of_later_batches_change_nothing(spark):
+    base = spark.createDataFrame([(1, "new", 5), (2, "old", 1)], "id int, user string, ord int")
+    late = spark.createDataFrame([(1, "stale", 3), (2, "", 4), (2, "newer", 3), (3, "added", 9)], "id int, user string, ord int")
+    got = {(r.id, r.user, r.ord, r.merge_kind) for r in upsert(base, late, ("id",), "ord").collect()}
+    assert got == {(1, "new", 5, "kept"), (2, "old", 4, "updated"), (3, "added", 9, "added")}
+    again = {(r.id, r.user) for r in upsert(base.drop("ord"), spark.createDataFrame([(1, "b"), (1, "a")], "id int, user string"), ("id",)).collect()}
+    assert again == {(1, "b"), (2, "old")}

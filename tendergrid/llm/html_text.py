@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is cut into blocks at block-level tags. A block is described by its word count and link density, those of
-the blocks before and after it, and what the nearest marked container says (article or main; navigation, header,
-footer, sidebar, notice, advert, form or comments). A small decision tree, trained on a small labelled table of
-pages, keeps or drops each block.
+A page is cut into blocks at block-level tags. A block is described by its word count and link density, those of the
+blocks before and after it, and by what the markup around it says, mark by mark (a heading, a list item; inside an
+article, a navigation, header, footer, sidebar, notice, advert, form, sharing or comments element, and whether that lies
+inside the article or around it; the share of the page's words that the least such element holds). No mark decides by
+itself: a decision tree, trained on a small labelled table of pages, weighs them all and keeps or drops each block.
 """
 
 from __future__ import annotations
@@ -27,29 +28,36 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section
 summary table tbody td tfoot th thead tr ul""".split())
 CONTAINERS = BLOCKS - frozenset("hr p h1 h2 h3 h4 h5 h6 li dt dd td th tr option".split())
-BOILER_TAGS = frozenset("nav aside footer form menu dialog search button fieldset".split())
-ARTICLE_TAGS = frozenset("article main".split())
-BOILER_WORDS = frozenset("""ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion nav navbar
-navigation menu breadcrumb breadcrumbs sidebar side rail widget footer header masthead topbar cookie cookies consent gdpr notice
-notices alert popup modal overlay subscribe newsletter signup login share sharing social related recommended comment comments
-discussion disqus reply replies respond pagination pager toolbar skip complementary contentinfo search form hidden""".split())
-ARTICLE_WORDS = frozenset("article content post entry story body main text".split())
-
+ITEMS = frozenset("li dt dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Kinds of marks, each with its elements and its words of class, id and role.
+KINDS = {
+    "article": ("article main", ""),
+    "content": ("", "article content post entry story body main text"),
+    "navigation": ("nav menu search button", "nav navbar navigation menu breadcrumb breadcrumbs toolbar skip pagination pager search"),
+    "header": ("header", "header masthead topbar banner"),
+    "footer": ("footer", "footer contentinfo"),
+    "sidebar": ("aside", "sidebar side rail widget complementary related recommended"),
+    "notice": ("dialog", "cookie cookies consent gdpr notice notices alert popup modal overlay"),
+    "advert": ("", "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion"),
+    "form": ("form fieldset", "form subscribe newsletter signup login"),
+    "sharing": ("", "share sharing social"),
+    "comments": ("", "comment comments discussion disqus reply replies respond"),
+    "hidden": ("", "hidden"),
+}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^<>"']|"[^"]*"|'[^']*')*+>|</?[a-zA-Z][^>]*>?|[^<]+|<""", re.S)
 #: Raw text holds no tags: it ends at its own end tag only.
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW_TEXT}
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _MAIN_ROLE = re.compile(r"""\srole\s*=\s*["']?main\b""", re.I)
+_BY_TAG = {tag: kind for kind, (tags, _) in KINDS.items() for tag in tags.split()}
+_BY_WORD = {word: kind for kind, (_, words) in KINDS.items() for word in words.split()}
 _HIDDEN = re.compile(r"\shidden[\s>=]|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: First and last parts of class names that say what an element has or may do, not what it is.
 MODIFIERS_FIRST, MODIFIERS_LAST = frozenset("has with without no".split()), frozenset("enabled disabled".split())
 #: Elements whose end tag may be left out, and those whose start ends them.
 ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}} | {"td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
-#: Unlinked words of the longest block from which a page that is all marked as boilerplate is taken to have a text.
-WHOLE_WORDS = 40
-#: Place of what is in a form, until its words are compared with those of the page's rest.
-IN_FORM = -0.5
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -57,37 +65,30 @@ class Block(NamedTuple):
     text: str
     words: int
     link_words: int
-    #: 1 inside an article, -1 inside what isn't one, 0 where nothing says.
-    place: int
+    heading: bool
+    item: bool
+    #: The marked elements around the block from the outermost in: (kind, number of the element).
+    marks: tuple[tuple[str, int], ...]
 
 
-def _marks(tag: str) -> set[str]:
+def _words_of_marks(tag: str) -> set[str]:
     """Words of a tag's class, id and role."""
     names = (_PART.findall(n) for m in _MARKS.finditer(tag) for n in (m[1] or m[2] or m[3] or "").split())
     return {w.lower() for parts in names if parts and parts[0].lower() not in MODIFIERS_FIRST and parts[-1].lower() not in MODIFIERS_LAST for w in parts}
 
 
-def _place(name: str, tag: str, within: float) -> float:
-    """What a container says of its blocks; what isn't the article stays so, whatever it holds, but for forms."""
-    if within == -1 or name in BOILER_TAGS and name != "form":
-        return -1
-    if name == "header":
-        return within if within > 0 else -1
+def _kinds(name: str, tag: str) -> set[str]:
+    """The kinds of marks that a start tag carries; html and body carry none."""
     if name in ("html", "body"):
-        return within
-    main = name in ARTICLE_TAGS
+        return set()
+    found = {_BY_TAG[name]} if name in _BY_TAG else set()
     if "=" in tag or "hidden" in tag:
+        found |= {_BY_WORD[w] for w in _words_of_marks(tag) if w in _BY_WORD}
+        if _MAIN_ROLE.search(tag):
+            found = found - {"content"} | {"article"}
         if _HIDDEN.search(tag):
-            return -1
-        marks = _marks(tag)
-        if marks & BOILER_WORDS - ({"form"} if name == "form" else set()):
-            return -1
-        main = main or bool(_MAIN_ROLE.search(tag))
-        if marks & ARTICLE_WORDS and within != IN_FORM and name != "form":
-            return 1
-    if name == "form":
-        return IN_FORM
-    return 1 if main else within
+            found.add("hidden")
+    return found
 
 
 def _tokens(page: str) -> Iterator[tuple[str, str]]:
@@ -112,8 +113,9 @@ def _tokens(page: str) -> Iterator[tuple[str, str]]:
 def blocks_of(page: str) -> list[Block]:
     """Flat text blocks of a whole page in order."""
     out: list[Block] = []
-    open_: list[tuple[str, float]] = []
-    place, in_link, skip = 0.0, 0, ""
+    #: Open elements, each with the marks around it.
+    open_: list[tuple[str, tuple]] = []
+    marks, in_link, skip, within, elements = (), 0, "", "", 0
     texts: list[str] = []
     links: list[str] = []
 
@@ -121,7 +123,8 @@ def blocks_of(page: str) -> list[Block]:
         if texts:
             words = " ".join("".join(texts).split())
             if words:
-                out.append(Block(words, words.count(" ") + 1, min(len("".join(links).split()), words.count(" ") + 1), place))
+                n = words.count(" ") + 1
+                out.append(Block(words, n, min(len("".join(links).split()), n), within in HEADINGS, within in ITEMS, marks))
             texts.clear()
             links.clear()
 
@@ -147,58 +150,119 @@ def blocks_of(page: str) -> list[Block]:
             texts.append(" ")
         elif name == "a":
             in_link = 0 if ends else 1
+            links.append(" ")
         elif name == "br":
             texts.append(" ")
         elif name in BLOCKS or name == "button":
             close()
+            within = "" if ends else name
             in_link = in_link if name not in CONTAINERS else 0
             while not ends and open_ and name in ENDED_BY.get(open_[-1][0], ()):
-                place = open_.pop()[1]
+                marks = open_.pop()[1]
+            kinds = () if ends or name == "hr" else sorted(_kinds(name, token))
             if name in CONTAINERS or name == "button":
                 if not ends:
-                    open_.append((name, place))
-                    place = _place(name, token, place)
+                    open_.append((name, marks))
                 elif any(n == name for n, _ in open_):
                     while open_:
-                        n, place = open_.pop()
+                        n, marks = open_.pop()
                         if n == name:
                             break
-            elif not ends and name != "hr" and place > -1 and "=" in token and (_HIDDEN.search(token) or _marks(token) & BOILER_WORDS):
-                open_.append((name, place))
-                place = -1
+            elif kinds:
+                open_.append((name, marks))
             elif ends and open_ and open_[-1][0] == name:
-                place = open_.pop()[1]
+                marks = open_.pop()[1]
+            if kinds:
+                elements += 1
+                marks += tuple((kind, elements) for kind in kinds)
     close()
-    # A form that holds most of what isn't boilerplate is the page: its words and links decide.
-    in_form = sum(b.words for b in out if b.place == IN_FORM)
-    of_form = 0 if in_form > sum(b.words for b in out if b.place >= 0) else -1
-    return [b._replace(place=of_form if b.place == IN_FORM else int(b.place)) for b in out]
-
+    return out
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "place")
 
+MARKS = tuple(KINDS)
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "item", *MARKS, "share")
 
-def features(blocks: Sequence[tuple[int, int, int]]) -> np.ndarray:
-    """Rows (words, link words, place) of one page's blocks to FEATURES."""
-    a = np.array([(w, link / w, p) for w, link, p in blocks], float).reshape(-1, 3)
-    edge = np.zeros((1, 2))
-    before, after = np.vstack([edge, a[:-1, :2]])[: len(a)], np.vstack([a[1:, :2], edge])[-len(a) :] if len(a) else np.zeros((0, 2))
-    return np.hstack([a[:, :2], before, after, a[:, 2:]])
 
+def features(blocks: Sequence[Block]) -> np.ndarray:
+    """The blocks of one page to rows of FEATURES.
 
-#: The labelled table: pages as rows (words, link words, place, 1 if main text).
+    Beyond the page's ends there are no words and no links. A mark is 0 where no element of its kind is around the
+    block, 2 where the innermost one lies inside an article element, else 1; an article or content element is 1. share:
+    1 and the part of the page's words inside that element of another kind around the block that holds least, 0 for none.
+    """
+    a = np.array([(b.words, b.link_words / b.words) for b in blocks], float).reshape(-1, 2)
+    edge = np.zeros((1, 2))
+    before, after = np.vstack([edge, a[:-1]])[: len(a)], np.vstack([a[1:], edge])[-len(a) :] if len(a) else np.zeros((0, 2))
+    held: dict[int, int] = {}
+    for b in blocks:
+        for element in {element for _, element in b.marks}:
+            held[element] = held.get(element, 0) + b.words
+    total = sum(b.words for b in blocks)
+    told = np.zeros((len(blocks), 3 + len(MARKS)))
+    for row, b in zip(told, blocks):
+        row[:2] = b.heading, b.item
+        inside, others = 1, []
+        for kind, element in b.marks:
+            own = kind in ("article", "content")
+            row[2 + MARKS.index(kind)] = 1 if own else inside
+            inside = 2 if kind == "article" else inside
+            others += [] if own else [held[element]]
+        row[-1] = 1 + min(others) / total if others else 0
+    return np.hstack([a, before, after, told])
+
+
+# The labelled table: pages in short. +n is a block of n words that is main text, -n one that isn't, followed by Lm if m
+# of the words are linked.
 LABELLED = (
-    ((1, 1, -1, 0), (1, 1, -1, 0), (1, 1, -1, 0), (9, 0, -1, 0), (8, 0, 1, 1), (60, 0, 1, 1), (1, 0, 1, 1), (140, 2, 1, 1), (3, 0, 1, 1), (12, 0, -1, 0)),
-    ((2, 2, -1, 0), (1, 1, -1, 0), (40, 0, -1, 0), (5, 0, 1, 1), (1, 0, 1, 1), (1, 0, 1, 1), (25, 3, 1, 1), (30, 0, -1, 0), (14, 1, -1, 0), (80, 0, -1, 0)),
-    ((1, 1, 0, 0), (1, 1, 0, 0), (2, 2, 0, 0), (1, 1, 0, 0), (9, 0, 0, 1), (80, 1, 0, 1), (45, 0, 0, 1), (120, 4, 0, 1), (6, 5, 0, 0), (4, 4, 0, 0), (9, 3, 0, 0)),
-    ((3, 3, 0, 0), (2, 2, 0, 0), (7, 0, 0, 1), (33, 0, 0, 1), (18, 0, 0, 1), (64, 2, 0, 1), (11, 0, 0, 1), (52, 0, 0, 1), (5, 2, 0, 0), (3, 3, 0, 0), (8, 6, 0, 0)),
-    ((1, 1, -1, 0), (3, 3, -1, 0), (12, 0, 1, 1), (4, 4, 1, 1), (90, 10, 1, 1), (7, 7, 1, 1), (2, 0, 1, 1), (20, 20, -1, 0), (65, 0, -1, 0), (100, 5, -1, 0)),
-    ((1, 1, 0, 0), (2, 2, 0, 0), (22, 0, 0, 1), (150, 0, 0, 1), (2, 0, 0, 1), (70, 0, 0, 1), (2, 2, 0, 0), (1, 1, 0, 0), (3, 0, 0, 0)),
-    ((1, 0, 1, 1), (2, 2, 1, 1), (1, 0, 1, 1), (4, 0, -1, 0), (2, 1, -1, 0), (1, 1, -1, 0)),
-    ((200, 0, 0, 1),), ((6, 0, 0, 1), (35, 0, 0, 1)), ((3, 0, 1, 1),), ((3, 3, 0, 0), (2, 2, 0, 0)),
+    # A marked article among marked parts; long and short blocks on both sides.
+    "<nav><ul><li>-1L1<li>-2L2<li>-1L1</ul></nav><div class=ad>-9</div><article><h1>+8</h1><p>+6<p>+60<p>+1<p>+140L2<p>+3</article><footer>-12</footer>",
+    "<header>-2L2<p>-40</header><main><h1>+5</h1><p>+1<p>+1<p>+25L3<h2>+2</h2><p>+90</main><aside><p>-30<p>-14L1</aside><footer><p>-80</footer>",
+    "<header><h1>-3</h1></header><nav>-4L4</nav><article><header><h1>+7</h1><p>+5</header><p>+45<ul><li>+3L3<li>+6L6<li>+2L2</ul><p>+70L5<footer>-6</footer></article><footer>-25L4</footer>",
+    "<article><p>+50<aside><p>-35</aside><p>+64<div class=ad>-20</div><p>+8<div class=share>-2L2</div><div class=related>-9L9<p>-40</div><section class=comments><h2>-1</h2><p>-55<p>-90<p>-4</section></article>",
+    "<article><h1>+9</h1><p>+30<form>-2<p>-12<p>-40</form><p>+75<div class=notice>-16</div><div class=cookie-consent><p>-60</div><p>+2</article><div class=comments><p>-70<p>-5</div>",
+    "<article><p>+1</article>", "<article><ul><li>+4L4<li>+12L1<li>+1</ul></article>", "<article><h2>+2</h2><p>+10L10<p>+3L3</article>",
+    "<article><p>+30<ul><li>+3L3<li>+2L2</ul><p>+4</article>", "<article><p>+1<p>+5L5<p>+3<p>+6L6<p>+2</article>", "<nav>-1L1</nav><article><p>+4<p>+9<ul><li>+2L2<li>+2</ul><p>+7L7</article>",
+    "<nav>-40</nav><article><p>+20</article><div class=notice><p>-45</div><div class=sponsored><p>-50</div><div class=newsletter><p>-30</div>",
+    "<article><p>+15<div class=newsletter><p>-25</div><nav>-3L3<p>-18</nav><p>+22<p hidden>-30<div class=social>-10</div><div class=advert><p>-60</div></article>",
+    "<nav><h2>-1</h2><p>-20</nav><main><h1>+4</h1><p>+33<table><tr><td>+2<td>+1<td>+3L3</table><p>+5</main><aside><h3>-2</h3><ul><li>-7L7<li>-6L6</ul></aside>",
+    "<div class=modal><p>-28</div><aside><article><h3>-6L6</h3><p>-22</article></aside><article><h1>+6</h1><p>+48</article><footer><article>-15</article></footer>",
+    # Classes that name the content: menus may stand in it too.
+    "<div class=nav>-1L1<p>-1L1</div><div class=content><h1>+6</h1><p>+40<p>+7<p>+85L4<ul><li>+9<li>+14</ul></div><div class=sidebar>-3L3<p>-33</div><div class=footer>-10</div>",
+    "<div class=content><ul><li>-1L1<li>-2L2<li>-1L1<li>-2L2</ul><h1>+5</h1><p>+55<p>+4<p>+38<div class=comments><p>-44</div><ul><li>-3L3<li>-2L2</ul></div>",
+    "<div class=post><h2>+4</h2><p>+3<p>+66<p>+2<div class=share>-4L4</div><div class=comment><p>-58</div></div><div class=widget>-2<p>-8L8</div>",
+    "<div id=main><p>+12<p>+31<div class=promo>-13</div><p>+29<h2>+3</h2><p>+47</div><div class=banner>-6</div>",
+    # No mark at all, or few: words and links of a block and its neighbours tell.
+    "<div>-1L1</div><div>-1L1</div><div>-2L2</div><div>-1L1</div><h1>+9</h1><p>+80L1<p>+45<p>+120L4<div>-6L5</div><div>-4L4</div><div>-9L3</div>",
+    "<div>-3L3</div><div>-2L2</div><h1>+7</h1><p>+33<p>+18<p>+64L2<p>+11<p>+52<div>-5L2</div><div>-3L3</div><div>-8L6</div>",
+    "<ul><li>-1L1<li>-2L2<li>-1L1</ul><p>+22<p>+150<p>+2<p>+70<ul><li>-2L2<li>-1L1<li>-3L3</ul>",
+    "<ul><li>-1L1<li>-2L2</ul><p>+120", "<h1>+5</h1><p>+30<p>+8L6<p>+45", "<div>-2L2</div><p>+38", "<div>-6L6</div><p>+80<p>+44<div>-4L4</div>",
+    "<div>-9L8</div><h1>+6</h1><div>-3L3</div><p>+70<div>-12L10</div><p>+58<div>-5L5</div>",
+    "<p>+200", "<p>+3", "<p>+6<p>+35", "<h1>+5</h1><p>+4<p>+28", "<div>-3L3</div><div>-2L2</div>", "<p>+40L3<p>+5<p>+26<ul><li>+9<li>+12<li>+5</ul><p>+31",
+    "<nav>-2L2</nav><h1>+6</h1><p>+58<p>+16L2<p>+3<p>+77<footer>-9</footer>", "<div>-2L2</div><div>-4L4</div><div>+50</div><div>+30</div><div>-1L1</div>",
+    "<div>-4</div><div>-1L1</div><div>-2L2</div><h1>+8</h1><p>+70<p>+42<p>+6<p>+55<div>-2</div><div>-6L6</div><div>-7L7</div><div>-10</div>",
+    "<ul><li>-1L1<li>-1L1<li>-1L1</ul><div>-9</div><h1>+10</h1><p>+30<p>+44<div>-3L3</div><div>-8</div>",
+    "<ul><li>-2L2<li>-1L1</ul><div>-12</div><h2>+6</h2><p>+90<p>+5<p>+61<p>-3<ul><li>-8L8<li>-5L5</ul>", "<div>-3</div><ul><li>-2L2<li>-2L2</ul><p>+58<p>+35<div>-1L1</div><div>-5</div>",
+    # A form, a widget or another element that holds the page rather than a part of it.
+    "<form><nav>-1L1</nav><h1>+6</h1><p>+50<p>+45<p>+4<footer>-5</footer></form>", "<form><div>-2L2</div><div>-1L1</div><p>+60<p>+3<p>+72L3<div>-3L3</div></form>",
+    "<form><main><h1>+7</h1><p>+40<p>+6<p>+52</main>-1</form>", "<div class=widget><p>+64<p>+5<p>+48</div>", "<div class=sidebar><h1>+4</h1><p>+55<p>+70L2</div>",
+    "<div class=banner><p>+45<p>+9<p>+62</div>", "<div class=notice><p>-10</div>", "<div class=cookie>-8</div>", "<form>-1<p>-3</form><p>+44<p>+53",
+    "<aside><p>-6</aside>", "<p>+30<div class=ads><p>-40</div><p>+36", "<h1>+5</h1><p>+41<section class=comments><p>-38<p>-3<p>-61</section>",
 )
 
 
+def labelled_blocks(page: str) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a page of the labelled table and whether each is main text."""
+    word = {"+": "k", "-": "d"}
+    spelled = re.compile(r"([+-])(\d+)(?:L(\d+))?")
+
+    def spell(m: re.Match) -> str:
+        n, linked = int(m[2]), int(m[3] or 0)
+        return " ".join([word[m[1]]] * (n - linked)) + (" <a href=x>" + " ".join([word[m[1]]] * linked) + "</a>" if linked else "")
+
+    blocks = blocks_of(spelled.sub(spell, page))
+    return blocks, np.array([b.text[0] == "k" for b in blocks], float)
+
+
 class Tree(NamedTuple):
     """A node: feature < cut goes to below, else to above; a leaf has a verdict."""
 
@@ -215,7 +279,7 @@ class Tree(NamedTuple):
         return np.where(low, self.below.predict(x), self.above.predict(x))
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tree:
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 24, least: int = 1) -> Tree:
     """CART by Gini impurity; ties go to the earlier feature and the lower cut."""
     keep = bool(y.mean() >= 0.5)
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
@@ -238,18 +302,13 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tr
 
 
 def train_tree(labelled=LABELLED) -> Tree:
-    x = np.vstack([features([b[:3] for b in page]) for page in labelled])
-    return fit_tree(x, np.array([b[3] for page in labelled for b in page], float))
+    pages = [labelled_blocks(page) for page in labelled]
+    return fit_tree(np.vstack([features(blocks) for blocks, _ in pages]), np.concatenate([kept for _, kept in pages]))
 
 
 def main_text(page: str, tree: Tree) -> str:
     found = blocks_of(page)
-    if not found:
-        return ""
-    keep = tree.predict(features([b[1:] for b in found]))
-    if not keep.any() and any(b.words - b.link_words >= WHOLE_WORDS for b in found):
-        # All is marked as boilerplate, as where the whole page is: its words and links decide.
-        keep = tree.predict(features([(b.words, b.link_words, 0) for b in found]))
+    keep = tree.predict(features(found)) if found else ()
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 

@@ -2,7 +2,7 @@
 
 A paragraph (a line) hashes to a wide vector: four 64-bit lanes from the whole paragraph, and 256 lanes that add
 +1 or -1 for each of its three-word shingles. A document's fingerprint is the sum of its paragraphs' vectors, the
-lanes taken modulo 2^64 and 2^16. So it doesn't depend on their order, and a paragraph is inserted or deleted by
+lanes taken modulo 2^64 and 2^32 (no text of a Spark string reaches that many shingles). So it doesn't depend on their order, and a paragraph is inserted or deleted by
 adding or subtracting its vector. The first lanes tell equality; the others estimate how much two documents share.
 """
 
@@ -25,6 +25,8 @@ from .common import CHUNK_BYTES, WordHashes, batch, mix, rows
 EQUAL_LANES, SIGN_LANES = 4, 256
 #: Bytes of a word after which it is cut, so that a text without spaces has shingles too.
 LONG_WORD = 32
+#: Bytes of text for each bucket of neighbouring doc_ids; at most so many buckets, whose first rows are broadcast.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 16
 
 _SALTS = mix(np.arange(1, SIGN_LANES // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ONES = np.uint64(0x0101010101010101)
@@ -39,7 +41,7 @@ def _words(paragraph: bytes) -> list[bytes]:
 
 
 def vectors(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The two parts of each text's fingerprint, uint64 (n, 4) and int16 (n, 256)."""
+    """The two parts of each text's fingerprint, uint64 (n, 4) and int32 (n, 256)."""
     split = [t.split(b"\n") for t in texts]
     n_lines = np.array([len(x) for x in split], np.int64)
     first_line = np.cumsum(n_lines) - n_lines
@@ -74,16 +76,14 @@ def vectors(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndar
                 ones = np.add.reduceat((h >> np.uint64(bit)) & _ONES, starts).view(np.uint8).reshape(-1, 8)
                 sums[where, j * 64 + bit * 8 : j * 64 + bit * 8 + 8] = np.add.reduceat(ones.astype(np.int64), firsts, axis=0)
     signs = 2 * sums - per_text[:, None]
-    return equal, signs.astype(np.int16)
+    return equal, signs.astype(np.int32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of shingles in common, 2 |A and B| / (|A| + |B|), as the lanes estimate it; rows of a against rows of b."""
     x, y = a.astype(np.float64), b.astype(np.float64)
-    with np.errstate(over="ignore"):
-        apart = (a - b).astype(np.float64)
     both = (x * x).sum(1) + (y * y).sum(1)
-    return np.clip(1 - (apart * apart).sum(1) / np.maximum(both, 1), 0, 1) * (both > 0)
+    return np.clip(2 * (x * y).sum(1) / np.maximum(both, 1), 0, 1)
 
 
 def _pairs(found: list[tuple], hashes: WordHashes) -> pa.RecordBatch:
@@ -124,29 +124,52 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(found, hashes)
 
 
+def _placed(docs: DataFrame, n: int, nulls: float) -> DataFrame:
+    """docs with a bucket each: about n buckets that follow one another in descending (doc_id, hash of the text).
+
+    Buckets are cut at quantiles of doc_id. An id that holds several cuts, and null, which comes last, is cut by hash too.
+    """
+    cuts = docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    once = sorted(set(cuts)) or [0.0]
+    parts = lambda m: F.least(F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * m), m - 1).cast("long")
+    bounds = Bucketizer(splits=[float("-inf"), *once, float("inf")], inputCol="place", outputCol="base")
+    placed = bounds.transform(docs.withColumn("place", F.coalesce("doc_id", F.lit(0)).cast("double")))
+    repeated = [(c, cuts.count(c)) for c in once if cuts.count(c) > 1 and abs(c) < 2.0**53] if len(once) < len(cuts) else []
+    # At most n / 2 rows.
+    hot = F.broadcast(docs.sparkSession.createDataFrame(repeated, "place double, parts long"))
+    placed = placed.join(hot, "place", "left")
+    own = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.col("parts") - 1 - parts(F.col("parts")))
+    # What follows an id that is cut, within its bucket, has greater ids and so the place before it.
+    sub = F.when(F.col("parts").isNull(), F.lit(MOST_BUCKETS)).otherwise(own)
+    of_null = F.lit(-1 << 20) - parts(F.lit(max(1, round(nulls * n))))
+    bucket = F.when(F.col("doc_id").isNull(), of_null).otherwise(F.col("base").cast("long") * (2 * MOST_BUCKETS) + sub)
+    return placed.select(bucket.alias("bucket"), "doc_id", "hash", "text")
+
+
 def fingerprint_documents(documents: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
 
     The edited text is the text with its last third replaced by the start of the next document in descending
     doc_id, wrapping round; its fingerprint is updated from the text's by the paragraphs that go and come. Null
-    text is empty. Null doc_ids come last, and rows of equal doc_id in order of a hash of the text. A single row
-    is its own next. Two texts without words are 1.0 alike if equal and 0.0 if not. An empty table gives no rows.
+    text is empty. Null doc_ids come last, and rows of equal doc_id in order of a hash of the text; repeated rows are
+    each other's next. A single row is its own next. Two texts without words are 1.0 alike if equal and 0.0 if not.
+    Very long texts are read whole, one at a time. An empty table gives no rows. Further columns, whatever their names,
+    are not read.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = buckets or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)))
-    bounds = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="place", outputCol="bucket")
-    ids = docs.withColumn("place", F.coalesce("doc_id", F.lit(0)).cast("double"))
-    placed = bounds.transform(ids).withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("bucket")).cast("int"))
-    # One row per bucket, of which there are n at most.
-    heads = sorted(placed.groupBy("bucket").agg(F.max("doc_id")).collect(), reverse=True)
-    if not heads:
-        heads = [(0, 0)]
-    after = [(heads[(i + 1) % len(heads)][1], b) for i, (b, _) in enumerate(heads)]
-    after = F.broadcast(spark.createDataFrame(after, "head long, target int"))
-    copies = docs.join(after, docs.doc_id.eqNullSafe(after["head"])).select(F.col("target").alias("bucket"), F.lit(True).alias("extra"), "doc_id", "text")
-    both = placed.select("bucket", F.lit(False).alias("extra"), "doc_id", "text").unionByName(copies)
-    order = ["bucket", "extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text"]
-    dealt = both.repartition(n, "bucket").sortWithinPartitions(*order)
+    size, count, nulls = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or min(max(least, -(-(size or 0) // BUCKET_BYTES)), MOST_BUCKETS)
+    placed = _placed(docs.withColumn("hash", F.xxhash64("text")), n, nulls / max(count, 1))
+    # One row per bucket, of which there are about n: the first in order.
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.bitwise_not(F.coalesce("doc_id", F.lit(0))), "hash", "doc_id"))
+    heads = sorted(((b, f.doc_id, f.hash) for b, f in placed.groupBy("bucket").agg(first).collect()), reverse=True) or [(0, 0, 0)]
+    after = [(*heads[(i + 1) % len(heads)][1:], b) for i, (b, _, _) in enumerate(heads)]
+    after = F.broadcast(spark.createDataFrame(after, "head long, head_hash long, target long"))
+    copies = placed.join(after, placed.doc_id.eqNullSafe(after["head"]) & (placed["hash"] == after["head_hash"]))
+    copies = copies.groupBy("target").agg(F.min(F.struct("doc_id", "hash", "text")).alias("row")).select(F.col("target").alias("bucket"), F.lit(True).alias("extra"), "row.*")
+    both = placed.select("bucket", F.lit(False).alias("extra"), "doc_id", "hash", "text").unionByName(copies)
+    order = ["bucket", "extra", F.col("doc_id").desc_nulls_last(), "hash", "text"]
+    dealt = both.repartition(n, "bucket").sortWithinPartitions(*order).select("bucket", "extra", "doc_id", "text")
     return dealt.mapInArrow(_in_order, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

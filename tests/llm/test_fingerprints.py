@@ -1,11 +1,16 @@
 import base64
 import hashlib
 import random
+import struct
+from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from tendergrid.llm.common import WordHashes
-from tendergrid.llm.fingerprints import fingerprint_documents, likeness, vectors
+from tendergrid.llm.fingerprints import _placed, fingerprint_documents, likeness, vectors
 
 
 def fp(text):
@@ -19,10 +24,53 @@ def made(n=90, seed=4):
     return rows + [(200, None), (201, ""), (202, "z" * 5000), (203, "z" * 4000), (None, "no id"), (204, "same\nlines"), (205, "lines\nsame"), (206, "\n\n")]
 
 
-def test_against_brute_force(spark):
+def cut_words(line):
+    return [w[i : i + 32] for w in line.split() for i in range(0, len(w), 32)] if len(line) > 32 else line.split()
+
+
+def fp_by_definition(text):
+    """The fingerprint paragraph by paragraph and shingle by shingle, in Python integers."""
+    m64 = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m64
+        return x ^ (x >> 31)
+
+    equal, signs = [0] * 4, [0] * 256
+    for line in text.encode().split(b"\n"):
+        low, high = struct.unpack("<QQ", xxhash.xxh3_128_digest(line))
+        for i, v in enumerate((low, high, mixed(low + 0x9E3779B97F4A7C15 & m64), mixed(high + 0x9E3779B97F4A7C15 & m64))):
+            equal[i] = (equal[i] + v) & m64
+        codes = [xxhash.xxh3_64_intdigest(w) for w in cut_words(line)]
+        for i, code in enumerate(codes):
+            one, two = codes[i - 1] if i >= 1 else 1, codes[i - 2] if i >= 2 else 2
+            gram = mixed(code + one * 0x9E3779B97F4A7C15 + two * 0xC2B2AE3D27D4EB4F & m64)
+            for j in range(4):
+                h = mixed(gram ^ mixed((j + 1) * 0x9E3779B97F4A7C15 & m64))
+                for lane in range(64):
+                    signs[j * 64 + lane] += 1 if h >> (lane // 8 + lane % 8 * 8) & 1 else -1
+    return base64.b64encode(struct.pack("<4Q", *equal) + struct.pack("<256i", *signs)).decode()
+
+
+def true_likeness(a, b):
+    def shingles(text):
+        out = Counter()
+        for line in text.encode().split(b"\n"):
+            w = cut_words(line)
+            out.update((w[i], w[i - 1] if i else 1, w[i - 2] if i > 1 else 2) for i in range(len(w)))
+        return out
+
+    x, y = shingles(a), shingles(b)
+    both = sum(v * v for v in x.values()) + sum(v * v for v in y.values())
+    return 1 - sum((x[k] - y[k]) ** 2 for k in x | y) / both if both else float(a == b)
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 40])
+def test_against_brute_force(spark, buckets):
     rows = made()
-    df = spark.createDataFrame([(d, t, 1, False) for d, t in rows], "doc_id long, text string, bucket int, extra boolean").repartition(4)
-    out = {r.doc_id: r for r in fingerprint_documents(df, buckets=7).collect()}
+    df = spark.createDataFrame([(d, t, 1, False, "p") for d, t in rows], "doc_id long, text string, bucket int, extra boolean, place string").repartition(4)
+    out = {r.doc_id: r for r in fingerprint_documents(df, buckets=buckets).collect()}
     order = sorted(rows, key=lambda x: -1 if x[0] is None else x[0], reverse=True)
     assert len(out) == len(rows)
     for i, (d, t) in enumerate(order):
@@ -31,8 +79,8 @@ def test_against_brute_force(spark):
         edited = t[: len(t) - k] + following[:k]
         r = out[d]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == fp(t) and r.edited_fingerprint == fp(edited)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert r.fingerprint == fp(t) == (fp_by_definition(t) if i % 9 == 0 or i > 90 else fp(t)) and r.edited_fingerprint == fp(edited)
+        assert abs(r.near_edited - true_likeness(t, edited)) < 0.25 and abs(r.near_next - true_likeness(t, following)) < 0.25
         if edited == t:
             assert r.near_edited == 1
     assert out[204].fingerprint == out[205].fingerprint != out[206].fingerprint != out[201].fingerprint
@@ -49,6 +97,25 @@ def test_likeness_follows_the_share_in_common():
         assert abs(likeness(s[:1], s[1:])[0] - share) < 0.2
 
 
+def test_likeness_of_long_repetitive_texts():
+    for n, m in ((65_538, 60_002), (65_538, 68_538), (70_000, 140_000), (200_000, 199_000)):
+        _, s = vectors([b"w " * n, b"w " * m], WordHashes())
+        assert abs(likeness(s[:1], s[1:])[0] - 2 * n * m / (n * n + m * m)) < 0.01
+
+
+def test_null_and_repeated_ids_are_split(spark):
+    texts = [f"text {i}" for i in range(600)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    spread = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.xxhash64("text"))
+    sizes = [r["count"] for r in _placed(spread, 12, 1 / 3).groupBy("bucket").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 150
+    hashes = {r.text: r.hash for r in spread.collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), hashes[x[1]]))
+    wanted = {(d, hashlib.sha256((t[: len(t) - len(t) // 3] + order[(i + 1) % 600][1][: len(t) // 3]).encode()).hexdigest()) for i, (d, t) in enumerate(order)}
+    got = fingerprint_documents(spread.repartition(5), buckets=12).collect()
+    assert len(got) == 600 and {(r.doc_id, r.edited_sha256) for r in got} == wanted
+
+
 def test_insert_and_delete():
     h = WordHashes()
     e, s = vectors([b"one two\nthree four five\nsix", b"three four five", b"six\none two"], h)

@@ -2,51 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..tables import shared_dir, written as durable  # noqa: F401
+
 #: A word is a run of characters outside ASCII white space; bytes.split() cuts UTF-8 text the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text that a worker holds as arrays at one time (a single longer text is taken alone).
 CHUNK_BYTES = 2 << 20
-#: Rows of an Arrow batch of whole texts.
-BATCH_ROWS = 512
 #: Entries after which a per-worker word cache starts afresh.
 CACHE_WORDS = 150_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir()
-    return found
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
-    """Lets Arrow batches hold at most so many rows, so that a batch of long texts stays small on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= most:
-        spark.conf.set(key, str(most))
+def field(name: str, of: str = "") -> Column:
+    """The column (or the field of a struct column) of exactly this name, whatever characters it holds."""
+    return F.col((f"{of}." if of else "") + "`" + name.replace("`", "``") + "`")
 
 
 def words_of(text: Column) -> Column:

@@ -4,8 +4,8 @@ A profile ranks the most frequent n-grams (1 to 3 letters, with word ends) of a
 most frequent n-grams; its distance to a language sums how far out of place each stands there, an n-gram that the
 profile lacks counting as the profile's length. The language at the least distance is predicted.
 
-Profiles are learned from a bounded sample, profile_docs documents per language with the least hash of doc_id;
-predictions read every whole text.
+Profiles are learned from a bounded sample, about profile_docs documents per language, those whose hash of doc_id lies
+under a threshold; predictions read every whole text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, chunks
+from .common import batch, chunks, field
 
 PROFILE_DOCS = 3000
 PROFILE_GRAMS = 400
@@ -110,13 +110,14 @@ def _predict(profiles: dict[str, list[int]], length: int, doc_grams: int):
         is_letter = letters_table()
         known = Profiles({lang: np.array(codes, np.int64) for lang, codes in profiles.items()}, length)
         for part in batches:
-            texts = part.column(part.num_columns - 1)
+            row = part.column(0)
+            texts = part.column(1) if part.num_columns == 2 else row.field("text")
             found = []
             for at in range(len(texts)):
                 text = texts[at].as_py()
                 found.append(known.predict(ranked(*gram_counts(text, is_letter), doc_grams)) if text else (UNKNOWN, 0.0))
             langs, scores = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
     return run
 
@@ -126,16 +127,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn_profiles(labelled: DataFrame, profile_docs: int = PROFILE_DOCS, grams: int = PROFILE_GRAMS) -> dict[str, list[int]]:
-    """Rows (doc_id, text, lang) to each language's n-grams by rank; profile_docs documents per language are read.
+    """Rows (doc_id, text, lang) to each language's n-grams by rank; about profile_docs documents per language are read.
 
-    What comes to the driver is one list of grams integers per language.
+    What comes to the driver is one count and one list of grams integers per language.
     """
-    usable = labelled.filter("lang is not null and doc_id is not null")
-    by_lot = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("nth", F.row_number().over(by_lot)).filter(F.col("nth") <= profile_docs).drop("nth").distinct()
-    texts = usable.join(chosen, ["doc_id", "lang"]).filter("text is not null").select("lang", F.encode("text", "UTF-8").alias("text"))
+    usable = labelled.filter("lang is not null and doc_id is not null and text is not null").select("doc_id", "lang", "text")
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    chosen = F.lit(False)
+    for lang, n in sorted(tuple(r) for r in usable.groupBy("lang").agg(F.count("*")).collect()):
+        chosen = chosen | ((F.col("lang") == lang) & (lot <= min(1.0, profile_docs / n) * (1 << 40)))
+    texts = usable.filter(chosen).select("lang", F.encode("text", "UTF-8").alias("text"))
     counts = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= grams)
+    # First the best of each of 64 parts of a language's n-grams, then the best of these.
+    top = counts.withColumn("part", F.pmod("gram", F.lit(64)))
+    for part in (["lang", "part"], ["lang"]):
+        top = top.withColumn("rank", F.row_number().over(W.partitionBy(*part).orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= grams)
     out: dict[str, list[int]] = {}
     for r in sorted(top.select("lang", "rank", "gram").collect()):
         out.setdefault(r["lang"], []).append(r["gram"])
@@ -143,18 +149,32 @@ def learn_profiles(labelled: DataFrame, profile_docs: int = PROFILE_DOCS, grams:
 
 
 def identify_languages(documents: DataFrame, profiles: dict[str, list[int]], length: int = PROFILE_GRAMS, doc_grams: int = DOC_GRAMS, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (default doc_id) with lang_pred and score (1: in place throughout, 0: nothing in common).
+    """row (a struct of the columns keep, default doc_id), lang_pred and score (1: in place throughout, 0: nothing in
+    common) of each row. Columns travel in the struct, so their names clash with nothing.
 
     Null texts and texts without a letter, and every text where no language was learned, are `und` with score 0.
-    Distances that tie go to the first language by code point. Repeated rows and null doc_ids are rows like any other.
+    Distances that tie go to the first language by code point. Repeated rows and null doc_ids are rows like any other,
+    very long texts are counted slice by slice, and an empty table gives no rows.
     """
     keep = keep or ["doc_id"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
-    return documents.select(*keep, F.col("text").alias("_text")).mapInArrow(_predict(profiles, length, doc_grams), f"{fields}, lang_pred string, score double")
+    row = documents.select(F.struct(*[field(c) for c in keep]).alias("row"), *([] if "text" in keep else [F.col("text")]))
+    schema = row.select("row").schema.add("lang_pred", "string").add("score", "double")
+    return row.mapInArrow(_predict(profiles, length, doc_grams), schema)
 
 
 def predict_held_out(documents: DataFrame, profile_docs: int = PROFILE_DOCS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row; profiles come from rows that are not held out."""
+    """doc_id, held_out, lang_pred, score of each row; profiles come from rows that are not held out. A table without
+    rows gives none; further columns, whatever their names, are not read."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     profiles = learn_profiles(docs.filter(~held_out(F.col("doc_id"))), profile_docs)
-    return identify_languages(docs, profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = identify_languages(docs, profiles).select("row.doc_id", "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def in_known_languages(documents: DataFrame, least_score: float) -> DataFrame:
+    """The rows of documents in a learned language, all columns as they are, whatever their names: those with a
+    prediction other than `und` and a score of least_score or more. Profiles come from rows that are not held out."""
+    columns = documents.columns
+    profiles = learn_profiles(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(~held_out(F.col("doc_id"))))
+    told = identify_languages(documents, profiles, keep=columns)
+    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*[field(c, "row") for c in columns])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, rows
+from .common import durable, field, rows
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -28,8 +28,9 @@ MOST_REPEATS = 2
 SEED = 20240229
 #: Words of a block at most; smaller where the least target is under LEAST_BLOCKS such blocks.
 BLOCK_WORDS, LEAST_BLOCKS = 256, 256
-#: Words that a shard aims at, and shards of a source at most (a shard's rows are narrow and sorted by one task).
-SHARD_WORDS, MOST_SHARDS = 1 << 17, 4096
+#: A source of n words has the root of n / SHARD_SCALE shards: both they and the rows of each grow slowly, as one task
+#: sorts a shard's narrow rows and one ranks a source's shards.
+SHARD_SCALE = 2048
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -107,7 +108,7 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, shar
 
     Null text: size 0, taken 0. Null source: a source of its own, the last. Null and repeated doc_ids are rows like
     any other; ties in the seeded order go by doc_id, size and a hash of the text. A source without words has target
-    0. An empty table gives no rows. Further columns are not read.
+    0. Very long texts are counted whole. An empty table gives no rows. Further columns, whatever their names, are not read.
     """
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text.alias("text"), F.xxhash64("text").alias("tie"))
@@ -118,7 +119,7 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, shar
     everything = W.partitionBy(F.lit(0))
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.coalesce(least, F.lit(0.0)) / LEAST_BLOCKS))).cast("long")
-    n_shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("long")
+    n_shards = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("source_size") / SHARD_SCALE))).cast("long")
     targets = durable(targets.withColumn("block", block).withColumn("n_shards", n_shards))
 
     lot = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("tie"))
@@ -203,22 +204,22 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     """The mix itself: documents' columns, a row for each pass that takes words of a row, with what it takes as text.
 
-    n_chars, where there is such a column, becomes the length of that text. Arguments and edge cases: mix_sources().
+    n_chars, where there is such a column, becomes the length of that text. Further columns pass through, whatever their
+    names. Arguments and edge cases: mix_sources().
     """
     plan = mix_sources(documents, **how)
     same = ["doc_id", "source", "tie"]
     plan = plan.withColumn("nth", F.row_number().over(W.partitionBy(*same).orderBy("begin")))
     plan = plan.filter("taken > 0").select(*[F.col(c).alias(f"_p_{c}") for c in [*same, "nth"]], *[F.col(c).alias(f"_p_{c}") for c in ("size", "begin", "block", "blocks", "quota", "start")])
-    columns = documents.columns
-    tagged = documents.withColumns({"_d_doc_id": F.col("doc_id").cast("long"), "_d_tie": F.xxhash64("text")})
-    tagged = tagged.withColumn("_d_nth", F.row_number().over(W.partitionBy("_d_doc_id", "source", "_d_tie").orderBy(F.lit(0))))
-    on = tagged["_d_doc_id"].eqNullSafe(plan["_p_doc_id"]) & tagged["source"].eqNullSafe(plan["_p_source"]) & (tagged["_d_tie"] == plan["_p_tie"]) & (tagged["_d_nth"] == plan["_p_nth"])
-    raw = tagged.join(plan, on).select(*columns, F.encode("text", "UTF-8").alias("raw"), *[F.col(f"_p_{c}").alias(c if c == "raw" else f"_m_{c}") for c in ("size", "begin", "block", "blocks", "quota", "start")])
-    names = {"raw": "raw"} | {f"_m_{c}": c for c in ("size", "begin", "block", "blocks", "quota", "start")}
-    packed = raw.select(F.struct(*[F.col(c) for c in columns if c != "text"]).alias("rest"), *[F.col(c).alias(n) for c, n in names.items()])
+    columns, plan_columns = documents.columns, ("size", "begin", "block", "blocks", "quota", "start")
+    rest = F.struct(*[field(c) for c in columns if c != "text"]).alias("rest")
+    tagged = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("tie"), F.encode("text", "UTF-8").alias("raw"), rest)
+    tagged = tagged.withColumn("nth", F.row_number().over(W.partitionBy(*same).orderBy(F.lit(0))))
+    on = [tagged[c].eqNullSafe(plan[f"_p_{c}"]) if c in ("doc_id", "source") else tagged[c] == plan[f"_p_{c}"] for c in [*same, "nth"]]
+    packed = tagged.join(plan, on).select("rest", "raw", *[F.col(f"_p_{c}").alias(c) for c in plan_columns])
     schema = packed.select("rest").schema.add("taken_text", "string")
     out = packed.mapInArrow(_texts, schema)
-    kept = {c: F.col(f"rest.`{c}`") for c in columns if c != "text"} | {"text": F.col("taken_text")}
+    kept = {c: field(c, "rest") for c in columns if c != "text"} | {"text": F.col("taken_text")}
     if "n_chars" in columns:
         kept["n_chars"] = F.length("taken_text").cast(documents.schema["n_chars"].dataType)
     return out.select(*[kept[c].alias(c) for c in columns])

@@ -10,10 +10,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tendergrid.llm.common import shared_dir
-from tendergrid.llm.language_id import UNKNOWN, held_out, identify_languages, learn_profiles
+from tendergrid.llm.language_id import in_known_languages
 from tendergrid.llm.mixing import mixed_documents
 from tendergrid.llm.near_dedup import keep_one_of_each
 from tendergrid.llm.packing import pack_documents
@@ -25,9 +24,7 @@ LEAST_SCORE = 0.1
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what is in a learned language; null texts, texts without letters and texts unlike any profile go."""
-    profiles = learn_profiles(docs.filter(~held_out(F.col("doc_id"))))
-    told = identify_languages(docs, profiles, keep=docs.columns)
-    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return in_known_languages(docs, LEAST_SCORE)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Secret scans in DataFrame functions alone: patterns for known shapes, a randomness test battery for the rest.
 
-Candidates are runs of characters that encodings use. For each the encoding is inferred (hex, base32, base58,
+Candidates are runs of characters that encodings use. For each the encoding is inferred (hex, base32, base36, base58,
 base62, base64) and three tests are made of how it would look if it were drawn at random from that alphabet:
 chi-squared uniformity, runs of characters of one class (small, capital, digit), and serial correlation of neighbours.
 Words fail them badly, the more so the longer they are; short ones may pass by luck. So each test is turned round,
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, field
 
 # The patterns of the known shapes.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,12 +40,17 @@ LEAST_RANDOM = 1e-4
 #: Ordinary text: the excess of its chi-squared per character as a share of the alphabet's size (words use few of an
 #: alphabet's characters and often), the correlation of neighbours, and changes of class per character.
 TEXT_UNEVEN, TEXT_SERIAL, TEXT_CHANGES = 0.0375, 0.35, 0.15
+#: Weights of the three tests' chances under ordinary text.
+WEIGHTS = {"text_chi": 0.4, "text_changes": 0.4, "text_serial": 0.2}
 KINDS = ("assign", "access", "hex", "random")
 
 _ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base32lower": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
     "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -132,7 +137,7 @@ def _chi_squared_z(x: Column, degrees: Column) -> Column:
 
 _CLASSES = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
 #: Of each encoding: how many characters, and how many of them are small, capital, digits and others.
-_SIZES = {"hex": (16, 6, 0, 10, 0), "HEX": (16, 0, 6, 10, 0), "base32": (32, 0, 26, 6, 0), "base62": (62, 26, 26, 10, 0), "base64": (64, 26, 26, 10, 2), "base64url": (64, 26, 26, 10, 2)}
+_SIZES = {"hex": (16, 6, 0, 10, 0), "HEX": (16, 0, 6, 10, 0), "base32": (32, 0, 26, 6, 0), "base32lower": (32, 26, 0, 6, 0), "base36": (36, 26, 0, 10, 0), "base58": (58, 25, 24, 9, 0), "base62": (62, 26, 26, 10, 0), "base64": (64, 26, 26, 10, 2), "base64url": (64, 26, 26, 10, 2)}
 
 
 def _of_encoding(values: dict[str, float | str]) -> Column:
@@ -177,9 +182,9 @@ def battery(found: DataFrame) -> DataFrame:
     c = c.select("found", "encoding", "size", F.transform(F.array(*z.values()), _normal_tail).alias("tails"))
     tail = {name: F.get("tails", F.lit(i)) for i, name in enumerate(z)}
     random = F.least(tail["chi"], 2 * tail["serial"], 2 * tail["changes"])
-    mixed = F.col("found").rlike("[0-9]") & F.col("found").rlike("[A-Za-z]")
-    evidence = -(0.5 * F.log(tail["text_chi"]) + 0.5 * F.log(tail["text_changes"]) + 0.25 * F.log(tail["text_serial"]))
-    evidence = F.when(mixed & (random >= LEAST_RANDOM), evidence).otherwise(F.lit(0.0))
+    # The tests are not independent: e times a weighted geometric mean of their chances is a chance whatever binds them.
+    evidence = -1 - sum(w * F.log(tail[name]) for name, w in WEIGHTS.items())
+    evidence = F.when(random >= LEAST_RANDOM, evidence).otherwise(F.lit(0.0))
     step = F.floor(F.greatest(F.lit(0.0), F.least(evidence, F.lit(MOST_EVIDENCE))) * STEPS).cast("int")
     return c.select("found", "encoding", "size", random.alias("random"), step.alias("step"))
 
@@ -211,7 +216,8 @@ def scan(documents: DataFrame, false_finds: float = FALSE_FINDS) -> DataFrame:
     """doc_id, dk (a hash of the text), base and spans, arrays of (start, kind, stop, found) in order, of each row.
 
     kind is a place in KINDS. Null texts are empty and have no spans. Repeated rows have the same spans and count
-    once among candidates; null doc_ids are rows like any other. An empty table gives no rows.
+    once among candidates; null doc_ids are rows like any other. Very long texts are searched whole. An empty table gives
+    no rows. Further columns, whatever their names, are not read.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("dk", F.xxhash64("text"))
     parts = {k: v for kind, pattern, group in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("random", CANDIDATE, 0)) for k, v in _matches(kind, pattern, group).items()}
@@ -239,21 +245,21 @@ def find_secrets(documents: DataFrame, false_finds: float = FALSE_FINDS) -> Data
 
 
 def redact(documents: DataFrame, mark: str = "[secret]", false_finds: float = FALSE_FINDS) -> DataFrame:
-    """documents with each stretch of text that spans cover replaced by mark; n_chars, where there is one, follows."""
+    """documents with each stretch of text that spans cover replaced by mark; n_chars, where there is one, follows.
+    Further columns pass through, whatever their names; edge cases: scan()."""
     found = scan(documents, false_finds).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "dk"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), F.col("spans").alias("_spans"))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    both = documents.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_dk")), "left")
+    found = found.select(F.col("doc_id").alias("of"), F.col("dk").alias("key"), "spans")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dk"), "text", F.struct(*[field(c) for c in documents.columns if c != "text"]).alias("rest"))
+    both = rows.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("dk") == F.col("key")), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("kept"))
 
     def step(a: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"])
         return F.when(s["start"] >= a["at"], F.struct(s["stop"].alias("at"), F.concat(a["kept"], gap, F.lit(mark)).alias("kept"))).otherwise(F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["kept"].alias("kept")))
 
-    text = F.aggregate("_spans", start, step, lambda a: F.concat(a["kept"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text)
-    out = both.withColumn("_redacted", text)
-    columns = {c: F.col(c) for c in documents.columns} | {"text": F.col("_redacted")}
+    text = F.aggregate("spans", start, step, lambda a: F.concat(a["kept"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    out = both.select("rest", F.col("spans").isNotNull().alias("changed"), F.when(F.col("spans").isNull(), F.col("text")).otherwise(text).alias("redacted"))
+    columns = {c: field(c, "rest") for c in documents.columns if c != "text"} | {"text": F.col("redacted")}
     if "n_chars" in documents.columns:
-        columns["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_redacted")).cast(documents.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("changed"), F.length("redacted")).otherwise(F.col("rest.n_chars")).cast(documents.schema["n_chars"].dataType)
     return out.select(*[columns[c].alias(c) for c in documents.columns])

@@ -80,6 +80,33 @@ def test_values_after_names_and_in_paths(spark):
     assert not any(s.startswith("random") for i, t in rows if 54 <= i < 254 for s in out[i].split(","))
 
 
+B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+def test_more_alphabets_and_the_share_of_false_finds(spark):
+    r = random.Random(8)
+    kinds = {"base58": B58, "base36": string.digits + string.ascii_lowercase, "base32lower": string.ascii_lowercase + "234567", "base32": string.ascii_uppercase + "234567"}
+    rows, planted = made()[0][54:254], {}
+    for i in range(160):
+        name = list(kinds)[i % 4]
+        planted[20_000 + i] = name, "".join(r.choice(kinds[name]) for _ in range(52))
+        rows.append((20_000 + i, f"text {planted[20_000 + i][1]} more"))
+    # Ordinary long runs: words joined without spaces, in small letters, capitals and camel case, some with digits.
+    words = ["water", "garden", "committee", "annual", "report", "district", "school", "bridge", "repair", "number", "of", "the", "and", "system"]
+    for i in range(2000):
+        parts = [r.choice(words) for _ in range(r.randint(5, 8))]
+        shape = i % 4
+        run = "".join(w.title() for w in parts) if shape == 0 else "".join(parts).upper() if shape == 1 else "".join(parts)
+        rows.append((40_000 + i, run + (str(r.randint(1, 2030)) if i % 3 == 0 else "") + " end"))
+    found = {x.doc_id for x in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.n_random}
+    # base32 has few digits, so its runs look much like words; beside twelve ordinary runs to each planted one most are missed.
+    for name in ("base58", "base36"):
+        of = {i for i, (n, _) in planted.items() if n == name}
+        assert len(of & found) >= 0.75 * len(of), (name, len(of & found), len(of))
+    false = {i for i in found if i >= 40_000}
+    assert len(false) <= 0.02 * len(found), len(false)
+
+
 def test_redact(spark):
     rows = [(1, "a🙂 token=abcdefgh1234 b", 7), (2, "clean", 5), (3, None, 0), (1, "a🙂 token=abcdefgh1234 b", 7), (4, "password=" + "b" * 40, 1)]
     out = redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))

@@ -1,7 +1,9 @@
-"""Out-of-fold reconstruction errors of small autoencoders, trained fold by fold and seed by seed as Spark tasks.
+"""Out-of-fold reconstruction errors of small autoencoders, trained on all rows where they lie.
 
-A contract's fold is a hash of its key. Each (fold, seed) is one task that trains on every row of the other folds, which
-it holds as an array, and stops by the error of a part of them that it keeps for that; a contract is scored by the networks that haven't seen its fold, and its errors are averaged over the seeds.
+A contract's fold is a hash of its key. A network per (fold left out, seed) learns from every row of the other folds: in
+each round every partition starts from the shared weights, trains on its own rows batch by batch, and the weights are
+averaged by rows. A part of the rows only decides when to stop. A contract is scored by the networks that haven't seen
+its fold, and its errors are averaged over the seeds. Only sums of weights pass the driver.
 """
 
 from __future__ import annotations
@@ -13,54 +15,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
 from .models import anomaly_features
 
 FOLDS, SEEDS = 5, 5
 HIDDEN, CODE = 8, 3
-EPOCHS, BATCH, RATE = 3000, 64, 0.005
-#: Share of the rows that only decide when to stop: after so many epochs without a lower error on them.
-HELD, PATIENCE = 0.15, 60
+#: Rounds at most, and rounds without a lower error on the held rows after which training stops.
+ROUNDS, PATIENCE = 40, 4
+BATCH, RATE = 64, 0.005
+#: Percent of the rows that only decide when to stop.
+HELD = 15
 
 
-def train(x: np.ndarray, seed: int, split: int = 0, epochs: int = EPOCHS) -> list[np.ndarray]:
-    """Mean and scale of the columns, then weights and biases of four layers, by Adam on squared error.
-
-    split seeds the choice of the rows held for stopping; the weights of the least error on them count.
-    """
+def start(width: int, seed: int) -> list[np.ndarray]:
+    """Weights and biases of four layers, drawn."""
     rng = np.random.default_rng(seed)
-    mean, scale = x.mean(0), np.where(x.std(0) < 1e-9, 1.0, x.std(0))
-    z = np.clip((x - mean) / scale, -10, 10)
-    mixed = z[np.random.default_rng(split).permutation(len(z))]
-    n_held = min(max(1, round(HELD * len(z))), len(z) - 1)
-    held, z = (mixed[:n_held], mixed[n_held:]) if n_held else (mixed, mixed)
-    sizes = (x.shape[1], HIDDEN, CODE, HIDDEN, x.shape[1])
-    params = []
-    for a, b in zip(sizes, sizes[1:]):
-        params += [rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)), np.zeros(b)]
-    first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    best, least, idle = [p.copy() for p in params], np.inf, 0
-    for _ in range(epochs):
-        order = rng.permutation(len(z))
-        for at in range(0, len(z), BATCH):
-            part = z[order[at : at + BATCH]]
-            layers = forward(params, part)
-            delta = 2 * (layers[-1] - part) / len(part)
-            t += 1
-            for i in (6, 4, 2, 0):
-                grad_w, grad_b = layers[i // 2].T @ delta, delta.sum(0)
-                delta = (delta @ params[i].T) * (1 - layers[i // 2] ** 2)
-                for j, g in ((i, grad_w), (i + 1, grad_b)):
-                    first[j] = 0.9 * first[j] + 0.1 * g
-                    second[j] = 0.999 * second[j] + 0.001 * g * g
-                    params[j] = params[j] - RATE * (first[j] / (1 - 0.9**t)) / (np.sqrt(second[j] / (1 - 0.999**t)) + 1e-8)
-        error = ((forward(params, held)[-1] - held) ** 2).mean()
-        if error < least - 1e-7:
-            best, least, idle = [p.copy() for p in params], error, 0
-        else:
-            idle += 1
-            if idle >= PATIENCE:
-                break
-    return [mean, scale, *best]
+    sizes = (width, HIDDEN, CODE, HIDDEN, width)
+    return [p for a, b in zip(sizes, sizes[1:]) for p in (rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)), np.zeros(b))]
 
 
 def forward(params: list[np.ndarray], z: np.ndarray) -> list[np.ndarray]:
@@ -71,48 +42,119 @@ def forward(params: list[np.ndarray], z: np.ndarray) -> list[np.ndarray]:
     return layers
 
 
-def errors(model: list[np.ndarray], x: np.ndarray) -> np.ndarray:
-    z = np.clip((x - model[0]) / model[1], -10, 10)
-    return ((forward(model[2:], z)[-1] - z) ** 2).mean(1)
+class Adam:
+    """Weights with the running moments of their gradients."""
 
+    def __init__(self, params: list[np.ndarray]):
+        self.params = [p.copy() for p in params]
+        self.first, self.second, self.t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
 
-def training_rows(featured: DataFrame, columns: list[str], folds: int, seeds: int) -> DataFrame:
-    """columns of all rows of the other folds, for each fold that is left out and each seed."""
-    each = featured.select("fold", *columns).withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("out != fold")
-    return each.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).select("out", "seed", *columns)
+    def learn(self, z: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over rows in batches, on squared error."""
+        order = rng.permutation(len(z))
+        for at in range(0, len(z), BATCH):
+            part = z[order[at : at + BATCH]]
+            layers = forward(self.params, part)
+            delta = 2 * (layers[-1] - part) / len(part)
+            self.t += 1
+            for i in (6, 4, 2, 0):
+                grads = (layers[i // 2].T @ delta, delta.sum(0))
+                delta = (delta @ self.params[i].T) * (1 - layers[i // 2] ** 2)
+                for j, g in zip((i, i + 1), grads):
+                    self.first[j] = 0.9 * self.first[j] + 0.1 * g
+                    self.second[j] = 0.999 * self.second[j] + 0.001 * g * g
+                    self.params[j] = self.params[j] - RATE * (self.first[j] / (1 - 0.9**self.t)) / (np.sqrt(self.second[j] / (1 - 0.999**self.t)) + 1e-8)
+
+
+def flat(params: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([p.ravel() for p in params])
+
+
+def unflat(values: np.ndarray, width: int) -> list[np.ndarray]:
+    out, at = [], 0
+    for p in start(width, 0):
+        out.append(values[at : at + p.size].reshape(p.shape))
+        at += p.size
+    return out
+
+
+def scaled(x: np.ndarray, scale: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return np.clip((x - scale[0]) / scale[1], -10, 10)
+
+
+def _round(models: dict, scales: dict, columns: list[str], number: int):
+    """One partition's part of a round: per network its weights times its rows, and the error of its held rows before."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        learners = {k: Adam(unflat(v, len(columns))) for k, v in models.items()}
+        seen, errors, held = dict.fromkeys(models, 0), dict.fromkeys(models, 0.0), dict.fromkeys(models, 0)
+        for b in batches:
+            x, fold, kept = b[columns].to_numpy(float), b.fold.to_numpy(), b.held.to_numpy(bool)
+            for k, learner in learners.items():
+                own = fold != k[0]
+                z = scaled(x[own & ~kept], scales[k[0]])
+                if len(z):
+                    learner.learn(z, np.random.default_rng((number, *k, seen[k])))
+                    seen[k] += len(z)
+                z = scaled(x[own & kept], scales[k[0]])
+                if len(z):
+                    errors[k] += float(((forward(unflat(models[k], len(columns)), z)[-1] - z) ** 2).mean(1).sum())
+                    held[k] += len(z)
+        rows = [(*k, i, v * seen[k]) for k, learner in learners.items() if seen[k] for i, v in enumerate(flat(learner.params))]
+        rows += [(*k, at, float(v)) for k in models for at, v in ((-1, seen[k]), (-2, errors[k]), (-3, held[k]))]
+        yield pd.DataFrame(rows, columns=["out", "seed", "i", "v"])
+
+    return run
+
+
+def fit(rows: DataFrame, columns: list[str], folds: int = FOLDS, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[dict, dict]:
+    """Networks by (fold left out, seed) and scales by fold left out; rows have fold, held and columns."""
+    sums = [f(F.col(c)).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (("s", F.sum), ("q", lambda v: F.sum(v * v)))]
+    by_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *sums).collect()}
+    scales = {}
+    for out in range(folds):
+        rest = [r for f, r in by_fold.items() if f != out]
+        n = max(sum(r["n"] for r in rest), 1)
+        mean = np.array([sum(r[f"s{i}"] for r in rest) / n for i in range(len(columns))])
+        spread = np.sqrt(np.maximum(np.array([sum(r[f"q{i}"] for r in rest) / n for i in range(len(columns))]) - mean**2, 0))
+        scales[out] = mean, np.where(spread < 1e-9, 1.0, spread)
+    models = {(out, seed): flat(start(len(columns), 1000 * seed + out)) for out in range(folds) for seed in range(seeds)}
+    best, least, idle, going = dict(models), dict.fromkeys(models, np.inf), dict.fromkeys(models, 0), set(models)
+    for number in range(rounds):
+        now = {k: models[k] for k in going}
+        got = rows.mapInPandas(_round(now, scales, columns, number), "out int, seed int, i int, v double").groupBy("out", "seed", "i").agg(F.sum("v").alias("v")).collect()
+        sums = {(r["out"], r["seed"], r["i"]): r["v"] for r in got}
+        for k in sorted(going):
+            error = sums.get((*k, -2), 0.0) / max(sums.get((*k, -3), 0.0), 1)
+            if error < least[k] - 1e-7:
+                best[k], least[k], idle[k] = models[k], error, 0
+            else:
+                idle[k] += 1
+            n = sums.get((*k, -1), 0.0)
+            if idle[k] >= PATIENCE or not n:
+                going.discard(k)
+            else:
+                models[k] = np.array([sums[(*k, i)] for i in range(len(models[k]))]) / n
+        if not going:
+            break
+    return best, scales
 
 
 def deep_scores(c: DataFrame, folds: int = FOLDS, seeds: int = SEEDS) -> DataFrame:
-    """c with fold and deep_error. Networks, folds * seeds of them with a few hundred numbers each, pass the driver."""
+    """c with fold and deep_error."""
     featured, columns = anomaly_features(c)
     key = F.xxhash64("project_id", "contract_no", "winner_key", "contract_price_agree")
-    featured = featured.withColumn("fold", F.pmod(key, F.lit(folds)).cast("int"))
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(columns)
-        fold, seed = int(rows.out.iloc[0]), int(rows.seed.iloc[0])
-        model = train(rows[columns].to_numpy(float), 1000 * seed + fold, 5000 + fold)
-        return pd.DataFrame({"out": [fold], "seed": [seed], "model": [np.concatenate([m.ravel() for m in model]).tolist()]})
-
-    fitted = training_rows(featured, columns, folds, seeds).groupBy("out", "seed").applyInPandas(fit, "out int, seed int, model array<double>").collect()
-    n = len(columns)
-    shapes = [(n,), (n,), (n, HIDDEN), (HIDDEN,), (HIDDEN, CODE), (CODE,), (CODE, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,)]
-    models: dict[int, list] = {}
-    for r in sorted(fitted, key=lambda r: (r["out"], r["seed"])):
-        flat, at, parts = np.array(r["model"]), 0, []
-        for shape in shapes:
-            size = int(np.prod(shape))
-            parts.append(flat[at : at + size].reshape(shape))
-            at += size
-        models.setdefault(r["out"], []).append(parts)
+    featured = written(featured.withColumn("fold", F.pmod(key, F.lit(folds)).cast("int")).withColumn("held", F.pmod(F.xxhash64(key), F.lit(100)) < HELD))
+    models, scales = fit(featured.select("fold", "held", *columns), columns, folds, seeds)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = np.full(len(b), np.nan)
-            for fold, own in models.items():
-                rows = (b.fold == fold).to_numpy()
-                if rows.any():
-                    x = b.loc[rows, columns].to_numpy(float)
-                    out[rows] = np.mean([errors(m, x) for m in own], axis=0)
-            yield b.drop(columns=columns).assign(deep_error=out)
-
-    return featured.mapInPandas(score, featured.drop(*columns).schema.add("deep_error", "double"))
+            error = np.full(len(b), np.nan)
+            for out in scales:
+                own = (b.fold == out).to_numpy()
+                if own.any():
+                    z = scaled(b.loc[own, columns].to_numpy(float), scales[out])
+                    error[own] = np.mean([((forward(unflat(models[out, seed], len(columns)), z)[-1] - z) ** 2).mean(1) for seed in range(seeds)], axis=0)
+            yield b.drop(columns=[*columns, "held"]).assign(deep_error=error)
+
+    return featured.mapInPandas(score, featured.drop(*columns, "held").schema.add("deep_error", "double"))

@@ -3,24 +3,35 @@ import numpy as np
 from tendergrid.operators import autoencoder, models
 
 
+def rows_of_a_plane(spark, n=3000):
+    r = np.random.default_rng(1)
+    t = r.normal(size=(n, 2))
+    x = np.hstack([t, t @ r.normal(size=(2, 4))])
+    data = [(i % 5, i % 7 == 0, *map(float, row)) for i, row in enumerate(x)]
+    return x, spark.createDataFrame(data, "fold int, held boolean, " + ", ".join(f"x{i} double" for i in range(6))).repartition(3)
+
+
 def test_each_network_trains_on_all_rows_of_the_other_folds(spark):
-    featured = spark.range(6000).selectExpr("cast(id % 5 as int) as fold", "double(id) as x")
-    got = autoencoder.training_rows(featured, ["x"], 5, autoencoder.SEEDS).groupBy("out", "seed").agg({"x": "sum", "*": "count"}).collect()
-    assert len(got) == 25
+    x, rows = rows_of_a_plane(spark)
+    columns = [f"x{i}" for i in range(6)]
+    models_ = {(out, seed): autoencoder.flat(autoencoder.start(6, seed)) for out in range(5) for seed in range(2)}
+    scales = {out: (x.mean(0), x.std(0)) for out in range(5)}
+    got = rows.mapInPandas(autoencoder._round(models_, scales, columns, 0), "out int, seed int, i int, v double").filter("i in (-1, -3)").groupBy("out", "seed", "i").sum("v").collect()
     for r in got:
-        want = [i for i in range(6000) if i % 5 != r["out"]]
-        assert r["count(1)"] == len(want) and r["sum(x)"] == sum(want)
+        want = [i for i in range(3000) if i % 5 != r["out"] and (i % 7 == 0) == (r["i"] == -3)]
+        assert r["sum(v)"] == len(want)
+    assert len(got) == 20
 
 
-def test_training_stops_on_held_rows_and_tells_odd_ones():
-    r = np.random.default_rng(1)
-    t = r.normal(size=(400, 2))
-    x = np.hstack([t, t @ r.normal(size=(2, 4))])
-    model = autoencoder.train(x, 3, 1, epochs=200)
-    again, longer = autoencoder.train(x, 3, 1, epochs=200), autoencoder.train(x[:50], 3, 1)
-    assert all((a == b).all() for a, b in zip(model, again)) and len(longer) == 10
-    assert autoencoder.errors(model, x).mean() < 0.2
-    assert autoencoder.errors(model, r.permuted(x, axis=0)).mean() > 3 * autoencoder.errors(model, x).mean()
+def test_training_stops_and_tells_odd_ones(spark):
+    x, rows = rows_of_a_plane(spark)
+    columns = [f"x{i}" for i in range(6)]
+    best, scales = autoencoder.fit(rows, columns, seeds=1, rounds=15)
+    assert set(best) == {(out, 0) for out in range(5)}
+    error = lambda k, v: ((autoencoder.forward(autoencoder.unflat(best[k], 6), autoencoder.scaled(v, scales[k[0]]))[-1] - autoencoder.scaled(v, scales[k[0]])) ** 2).mean()
+    for k in best:
+        unseen = x[k[0] :: 5]
+        assert error(k, unseen) < 0.2 and error(k, np.random.default_rng(2).permuted(unseen, axis=0)) > 3 * error(k, unseen)
 
 
 def test_contracts_without_agency_winner_or_province_are_scored(spark):

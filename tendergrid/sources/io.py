@@ -17,22 +17,46 @@ from ..functions.values import RAW_COLUMNS
 
 #: Bytes of a file that are looked at to tell its encoding and delimiter.
 SNIFF_BYTES = 2 << 20
-#: Other headers under which a field is known.
+THAI = "x-windows-874"
+# Other headers under which a field is known.
 ALIASES = {
-    "project_id": ("รหัสโครงการ", "เลขที่โครงการ"), "project_name": ("ชื่อโครงการ", "ชื่องาน"), "dept_name": ("department", "หน่วยงาน", "ชื่อหน่วยงาน"), "winner_name": ("ผู้รับจ้าง", "ผู้ชนะ"),
-    "contract_price_agree": ("ราคาที่ตกลงซื้อหรือจ้าง", "ราคาที่ตกลง"), "contract_date": ("วันที่ทำสัญญา", "วันทำสัญญา", "วันที่ลงนาม"), "price_build": ("ราคากลาง", "ราคาอ้างอิง"), "project_money": ("วงเงินโครงการ", "งบประมาณโครงการ"),
-    "sum_price_agree": ("ยอดรวม", "ราคารวม"), "purchase_method_name": ("วิธีจัดหา", "วิธีการจัดซื้อจัดจ้าง"), "province": ("จังหวัด",), "winner_tin": ("tin", "เลขประจำตัวผู้เสียภาษี"), "contract_no": ("เลขที่สัญญา", "สัญญาเลขที่"),
-    "project_location": ("location", "geometry", "wkt", "พิกัด"), "budget_year": ("ปีงบประมาณ", "fiscal_year"), "lat": ("latitude", "ละติจูด"), "lon": ("lng", "longitude", "ลองจิจูด"),
+    "project_id": ("projectid", "รหัสโครงการ", "เลขที่โครงการ"), "project_name": ("projectname", "ชื่อโครงการ", "ชื่องาน"),
+    "dept_name": ("deptname", "department", "หน่วยงาน", "ชื่อหน่วยงาน"), "winner_name": ("winnername", "ผู้รับจ้าง", "ผู้ชนะ", "ผู้ชนะการเสนอราคา", "คู่สัญญา"),
+    "contract_price_agree": ("ราคาที่ตกลงซื้อหรือจ้าง", "ราคาที่ตกลง", "มูลค่าสัญญา", "contract_price"), "contract_date": ("วันที่ทำสัญญา", "วันทำสัญญา", "วันที่ลงนาม"),
+    "price_build": ("ราคากลาง", "ราคาอ้างอิง"), "project_money": ("วงเงินโครงการ", "งบประมาณโครงการ", "วงเงินงบประมาณ"), "sum_price_agree": ("ยอดรวม", "ราคารวม"),
+    "purchase_method_name": ("วิธีจัดหา", "วิธีการจัดซื้อจัดจ้าง", "วิธีซื้อหรือจ้าง"), "purchase_method_group_name": ("กลุ่มวิธีจัดหา", "ประเภทวิธีจัดหา"),
+    "project_type_name": ("ประเภทโครงการ", "ประเภทงาน"), "province": ("จังหวัด",), "winner_tin": ("tin", "เลขประจำตัวผู้เสียภาษี", "เลขผู้เสียภาษี"),
+    "contract_no": ("เลขที่สัญญา", "สัญญาเลขที่"), "project_location": ("location", "geometry", "wkt", "พิกัด", "ที่ตั้งโครงการ"),
+    "dept_sub_name": ("หน่วยงานย่อย", "สำนัก/กอง"), "district": ("อำเภอ", "เขต"), "subdistrict": ("ตำบล", "แขวง"), "announce_date": ("วันที่ประกาศ", "วันประกาศ"),
+    "contract_finish_date": ("วันที่สิ้นสุดสัญญา", "วันสิ้นสุด", "วันแล้วเสร็จ"), "budget_year": ("ปีงบประมาณ", "ปีงบ", "fiscal_year"),
+    "lat": ("latitude", "ละติจูด"), "lon": ("lng", "longitude", "ลองจิจูด"),
 }
 REQUIRED = ("project_id", "project_name", "dept_name", "winner_name", "contract_price_agree", "contract_date")
 MONEY = ("project_money", "price_build", "sum_price_agree", "contract_price_agree")
 DATES = ("announce_date", "contract_date", "contract_finish_date")
 
 
-def head(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> bytes:
-    """The first bytes of the first file of a path, by Spark's own file system."""
-    got = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("b")).limit(1).collect()
-    return bytes(got[0]["b"]) if got else b""
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a file as bytes, in a column line; large files are read in parts."""
+    options = {"encoding": "ISO-8859-1", "sep": "\x01", "quote": "\x02", "escape": "\x02", "maxCharsPerColumn": -1}
+    return spark.read.schema("text string").options(**options).csv(path).select(F.encode(F.coalesce("text", F.lit("")), "ISO-8859-1").alias("line"))
+
+
+def head(spark: SparkSession, path: str, lines: int = 200) -> bytes:
+    """The first lines of a path."""
+    first = b"\n".join(bytes(r["line"]) for r in raw_lines(spark, path).limit(lines).collect())[:SNIFF_BYTES]
+    if not first.startswith((b"\xff\xfe", b"\xfe\xff")):
+        return first
+    # Two-byte characters don't part at line feeds as bytes do: such a file is opened whole.
+    got = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFF_BYTES).alias("b")).limit(1).collect()
+    return bytes(got[0]["b"])
+
+
+def whole_file(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether all lines are UTF-8, and whether any has an odd number of quotes, so that a value may run on; one pass."""
+    quotes = F.length("line") - F.length(F.encode(F.replace(F.decode("line", "ISO-8859-1"), F.lit('"'), F.lit("")), "ISO-8859-1"))
+    got = raw_lines(spark, path).agg(F.count_if(~F.is_valid_utf8(F.col("line").cast("string"))), F.count_if(quotes % 2 == 1)).first()
+    return got[0] == 0, got[1] > 0
 
 
 def sniff_encoding(raw: bytes) -> str:
@@ -45,7 +69,7 @@ def sniff_encoding(raw: bytes) -> str:
         return "UTF-8"
     except UnicodeDecodeError:
         pass
-    return "x-windows-874"
+    return THAI
 
 
 def sniff_delimiter(text: str) -> str:
@@ -63,15 +87,24 @@ def sniff_delimiter(text: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
-    """All columns as strings; short rows end in nulls, and _corrupt holds rows that don't fit the header."""
+    """All columns as strings; short rows end in nulls, and _corrupt holds rows that don't fit the header. Files are read
+    in parts but where a quoted value runs on over lines, or in UTF-16."""
     raw = head(spark, path)
-    encoding = encoding or sniff_encoding(raw)
-    text = raw.decode({"x-windows-874": "cp874"}.get(encoding, encoding), "replace").lstrip("﻿")
+    told = sniff_encoding(raw)
+    utf8, runs_on = (True, True) if told.startswith("UTF-16") else whole_file(spark, path)
+    encoding = encoding or (told if utf8 or told != "UTF-8" else THAI)
+    text = raw.decode({THAI: "cp874"}.get(encoding, encoding), "replace").lstrip("﻿")
     delimiter = delimiter or sniff_delimiter(text)
     header = next(csv.reader(io.StringIO(text), delimiter=delimiter), [])
     schema = StructType([StructField(h.strip() or f"column_{i}", StringType()) for i, h in enumerate(header)] + [StructField("_corrupt", StringType())])
-    options = {"header": True, "enforceSchema": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": encoding, "sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "nullValue": "\x00"}
-    return spark.read.schema(schema).options(**options).csv(path)
+    options = {"header": True, "enforceSchema": True, "multiLine": runs_on, "quote": '"', "escape": '"', "encoding": encoding, "sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "nullValue": "\x00"}
+    if encoding != THAI:
+        return spark.read.schema(schema).options(**options).csv(path)
+    # The reader doesn't know the Thai code page: bytes come in as Latin-1 and their characters are exchanged.
+    rows = spark.read.schema(schema).options(**options | {"encoding": "ISO-8859-1"}).csv(path)
+    bytes_ = [b for b in range(0x80, 0x100) if bytes([b]).decode("cp874", "ignore")]
+    page = "".join(map(chr, bytes_)), bytes(bytes_).decode("cp874")
+    return rows.select(*[F.translate(F.col(f"`{c}`"), *page).alias(c) for c in rows.columns])
 
 
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -154,6 +187,45 @@ def parse_directors(lines: DataFrame, column: str = "value") -> tuple[DataFrame,
     return rows.dropDuplicates(["tax_id", "person_name", "role"]), cut.filter(~good).select("line")
 
 
+def ragged(df: DataFrame) -> DataFrame:
+    """One row: rows read, and those longer or shorter than the header."""
+    values = [c for c in df.columns if c != "_corrupt"]
+    return df.agg(F.count("*").alias("n"), F.count_if(F.col("_corrupt").isNotNull()).alias("n_ragged"), F.count_if(F.col(f"`{values[-1]}`").isNull()).alias("n_short"))
+
+
+def read_contracts(spark: SparkSession, path: str) -> DataFrame:
+    """A contract file of any kind that is known: JSON by suffix or first character, else delimited text."""
+    first = head(spark, path, 5).decode("utf-8", "replace").lstrip("\ufeff \t\r\n")[:1]
+    return read_json_rows(spark, path) if path.lower().endswith(".json") or first in ("[", "{") else read_delimited(spark, path)
+
+
+def rows_of_text(spark: SparkSession, text: str) -> DataFrame:
+    """Rows of a JSON text that was pasted: an array of rows or one row."""
+    found = json.loads(text)
+    found = found if isinstance(found, list) else [found]
+    names = list(dict.fromkeys(k for r in found for k in r))
+    cell = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    return spark.createDataFrame([tuple(cell(r.get(k)) for k in names) for r in found], StructType([StructField(n, StringType()) for n in names]))
+
+
+def deep_status(meta: dict, generated_at: str, n_records: int, schema: str = "deep_pattern/2") -> str:
+    """Of scores kept beside a table: unavailable under another schema, stale if made from other data, else ready."""
+    if meta.get("schema") != schema:
+        return "unavailable"
+    return "ready" if meta.get("data_generated_at") == generated_at and meta.get("n_records") == n_records else "stale"
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """df in place of the table at path, by way of a folder beside it: a failed write leaves the old table as it was."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    fs_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(fs_path(path), True)
+    if not fs.rename(fs_path(f"{path}.new"), fs_path(path)):
+        raise OSError(f"{path}.new could not be renamed")
+
+
 def payload(meta: dict) -> str:
     """Metadata as JSON text; NaN raises."""
     return json.dumps(meta, ensure_ascii=False, allow_nan=False, sort_keys=True)

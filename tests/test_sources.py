@@ -50,6 +50,23 @@ def test_directors_and_json_sink(spark, tmp_path):
     assert spark.read.schema("x double").json(str(tmp_path / "out")).filter("x is not null").count() == 1
 
 
+def test_files_of_several_kinds(spark, tmp_path):
+    names = "รหัสโครงการ,ชื่อโครงการ"
+    for name, encoding, text in (("a.csv", "utf-8", f"{names}\n1,วางท่อ\n2,ถนน\n"), ("b.csv", "cp874", "id,name\n" + "1,plain\n" * 500 + "2,ถนน\n"), ("c.csv", "utf-16", f"{names}\n1,วางท่อ\n"), ("d.csv", "utf-8", 'id;name\n1;"two\nlines"\n2;x\n')):
+        (tmp_path / name).write_bytes(text.encode(encoding))
+    read = lambda name: [tuple(r)[:2] for r in io.read_contracts(spark, str(tmp_path / name)).collect()]
+    assert read("a.csv") == [("1", "วางท่อ"), ("2", "ถนน")] and read("c.csv") == [("1", "วางท่อ")]
+    assert read("b.csv")[-1] == ("2", "ถนน") and len(read("b.csv")) == 501 and read("d.csv") == [("1", "two\nlines"), ("2", "x")]
+    (tmp_path / "e.json").write_text('[{"id": 1, "name": "x"}]')
+    assert [r.name for r in io.read_contracts(spark, str(tmp_path / "e.json")).collect()] == ["x"]
+    assert [r.id for r in io.rows_of_text(spark, '{"id": 7}').collect()] == ["7"]
+    assert io.guess_mapping(["วันที่ประกาศ", "เขต", "คู่สัญญา"])[0]["announce_date"] == "วันที่ประกาศ"
+    assert [io.deep_status({"schema": s, "data_generated_at": "t", "n_records": 2}, "t", n) for s, n in (("deep_pattern/2", 2), ("deep_pattern/2", 3), ("x", 2))] == ["ready", "stale", "unavailable"]
+    for n in (3, 2):
+        io.replace_table(spark.range(n), str(tmp_path / "table_of_ids"))
+    assert spark.read.parquet(str(tmp_path / "table_of_ids")).count() == 2
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "events")
     spark.createDataFrame([(1, datetime.datetime(2024, 1, 1, 5), "u"), (2, datetime.datetime(2024, 1, 1, 7), "u"), (3, datetime.datetime(2024, 3, 1), "v")], "id int, ts timestamp, user string").coalesce(1).write.parquet(src)

@@ -1,3 +1,23 @@
-"""DuckDB SQL for the corpus queries that SQL can express; the others are tested against brute force."""
+"""SQL of the corpus queries whose whole result SQL can state, for DuckDB.
 
-ORACLES: dict[str, str] = {}
+The others hold what SQL can't: seeded block picks (op2), ranked profiles (op3), test batteries (op4), multiset hashes (op6),
+a logistic regression (op7), a parser and a tree (op8), expectation-maximisation (op9), a tokenizer and packing (op10).
+"""
+
+from __future__ import annotations
+
+_WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x != '')"
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": f"""WITH w AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format('text')} AS ws FROM documents),
+p AS (SELECT doc_id, r, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50), h AS (SELECT doc_id, r, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS first FROM h GROUP BY 1), c AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS place FROM h JOIN m USING (h) WHERE doc_id > first),
+n AS (SELECT r, list(place) AS gone FROM c GROUP BY 1), k AS (SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN ws ELSE list_select(ws, list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i))) END AS kept FROM w LEFT JOIN n USING (r))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+    "op5_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 1], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 80 * (x.n + y.n - o)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a, min(b) AS least FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id, w.doc_id <= coalesce(c.least, w.doc_id) AS kept FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON c.a = w.doc_id""",
+}

@@ -50,8 +50,11 @@ class Merges:
     NONE = np.int64(1 << 40)
 
     def __init__(self, path: str):
-        model = json.loads(Path(path).read_text())["model"]
+        spec = json.loads(Path(path).read_text())
+        model, normalizer = spec["model"], spec.get("normalizer") or {}
         vocab, merges, end = model["vocab"], model["merges"], model["end_of_word_suffix"]
+        if model["type"] != "BPE" or max(vocab.values()) >= 1 << 16 or "Lowercase" not in {n["type"] for n in normalizer.get("normalizers", [normalizer]) if n}:
+            raise ValueError(f"{path}: merges in batches need a lower-casing BPE tokenizer of fewer than 65,536 ids")
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         key = np.array([(vocab[x] << 16) | vocab[y] for x, y in pairs], np.int64)
         self.made = np.array([vocab[x + y] for x, y in pairs], np.int64)
@@ -256,15 +259,18 @@ def _pack(path: str, size: int, open_windows: int, max_pad: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         gc.disable()  # nothing here is cyclic, and looking for cycles among millions of words takes longer than all else
-        encoder, packer, end = Encoder(path), Packer(size, part << 28, open_windows, max_pad), END_ID.to_bytes(4, "little")
-        for held in chunks(batches, 1):
-            for (doc_id, _), ids in zip(held, encoder.encode([t or b"" for _, t in held])):
-                packer.document(doc_id, ids + end)
-            if out := packer.take():
+        try:
+            encoder, packer, end = Encoder(path), Packer(size, part << 28, open_windows, max_pad), END_ID.to_bytes(4, "little")
+            for held in chunks(batches, 1):
+                for (doc_id, _), ids in zip(held, encoder.encode([t or b"" for _, t in held])):
+                    packer.document(doc_id, ids + end)
+                if out := packer.take():
+                    yield batch(_PIECE, *zip(*out))
+            left = [(d, s, len(ids) // 4, None, total, None, i, part, ids) for i, (d, s, total, ids) in enumerate(packer.merge())]
+            if out := packer.take() + left:
                 yield batch(_PIECE, *zip(*out))
-        left = [(d, s, len(ids) // 4, None, total, None, i, part, ids) for i, (d, s, total, ids) in enumerate(packer.merge())]
-        if out := packer.take() + left:
-            yield batch(_PIECE, *zip(*out))
+        finally:
+            gc.enable()
 
     return run
 

@@ -54,7 +54,7 @@ STAGES = [
     ("mixing", mixed),
     ("packing", packed),
 ]
-#: Language profiles, sketches and the tokenizer are beyond SQL; the stages are tested against brute force.
+#: Language profiles, the battery and the tokenizer are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

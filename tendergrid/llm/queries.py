@@ -5,14 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .fill_middle import fill_middle_digests
 from .fingerprints import fingerprint_documents
 from .html_text import extract_text
 from .language_id import predict_held_out
+from .merkle import manifest
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import judge_quality
 from .secrets import find_secrets
+from .sharding import sharded
 from .substring_dedup import remove_repeats
 from .url_filter import judge_urls
 
@@ -63,4 +66,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op4_secrets, op5_near_dedup, op6_fingerprints, op7_url_filter, op8_html_text, op9_quality, op10_packing)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_language_id, op4_secrets, op5_near_dedup, op6_fingerprints, op7_url_filter, op8_html_text, op9_quality, op10_packing, op11_sharding, op12_fill_middle, op13_merkle_manifest)}

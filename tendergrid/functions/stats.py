@@ -75,12 +75,27 @@ def with_posterior(groups: DataFrame, k: str, n: str, by: list[str] | None = Non
     return known.withColumn("alpha", F.col("_a") + F.col(k)).withColumn("beta", F.col("_b") + F.col(n) - F.col(k)).drop("_a", "_b")
 
 
+def running(counts: DataFrame, by: list[str], x: str, sums: list[str]) -> DataFrame:
+    """counts, a row for each group and x, with c_before (the sum over the group's rows of lower x) and c_all for each column c
+    of sums. Rows are dealt into ranges and sorted within each; a range starts where those before it end, so that no
+    task sorts a whole group."""
+    dealt = written(counts.repartitionByRange(*[F.col(c) for c in (*by, x)]).withColumn("_range", F.spark_partition_id()))
+    # As many rows as ranges and groups together.
+    sizes = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    ahead = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_range").alias("_at"), *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_start_{c}") for c in sums], *[F.sum(c).over(group).alias(f"{c}_all") for c in sums])
+    same = [F.col("_range") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]]
+    own = W.partitionBy(*by, "_range").orderBy(x).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.join(starts, same)
+    return out.select(*counts.columns, *[(F.col(f"_start_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(f"{c}_before") for c in sums], *[f"{c}_all" for c in sums])
+
+
 def quantiles(df: DataFrame, x: str, by: list[str], shares: dict[str, float]) -> DataFrame:
     """by, n and a column per share: exact quantiles of x within groups, interpolated between neighbours; nulls don't
-    count. Values are counted before they are sorted, so no group's rows are held at once."""
+    count. Values are counted, then sorted in ranges (running)."""
     counts = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_k"))
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    upto = counts.withColumn("_upto", F.sum("_k").over(group.orderBy("_x"))).withColumn("n", F.sum("_k").over(group))
+    upto = running(counts, by, "_x", ["_k"]).withColumn("_upto", F.col("_k_before") + F.col("_k")).withColumnRenamed("_k_all", "n")
     at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_x")))
     found = {}
     for name, share in shares.items():
@@ -93,9 +108,8 @@ def quantiles(df: DataFrame, x: str, by: list[str], shares: dict[str, float]) ->
 def percent_rank_average(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
     """df with the rank of x, ties averaged, as a share of the group's rows; nulls have none. Ranks are found for the
     distinct values, from their counts."""
-    counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_k"))
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    share = (F.sum("_k").over(group.orderBy(x)) - (F.col("_k") - 1) / 2) / F.sum("_k").over(group)
+    counts = running(df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_k")), by, x, ["_k"])
+    share = (F.col("_k_before") + (F.col("_k") + 1) / 2) / F.col("_k_all")
     return df.join(counts.select(*by, x, share.alias(out)), [*by, x], "left")
 
 
@@ -115,8 +129,7 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row (n, n_positive, auc): the chance that a labelled row scores above another, ties half, from the counts of
     distinct scores."""
     counts = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count_if(label).alias("_p"), F.count_if(~F.col(label)).alias("_q"))
-    below = F.coalesce(F.sum("_q").over(W.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("_won", F.col("_p") * (below + F.col("_q") / 2))
+    won = running(counts, [], "_s", ["_q"]).withColumn("_won", F.col("_p") * (F.col("_q_before") + F.col("_q") / 2))
     return won.agg(F.sum(F.col("_p") + F.col("_q")).alias("n"), F.sum("_p").alias("n_positive"), F.when((F.sum("_p") > 0) & (F.sum("_q") > 0), F.round(F.sum("_won") / (F.sum("_p") * F.sum("_q")), 6)).alias("auc"))
 
 

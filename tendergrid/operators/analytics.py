@@ -93,7 +93,7 @@ def new_winner_share(c: DataFrame) -> DataFrame:
 
 
 def network_edges(evaluated: DataFrame) -> DataFrame:
-    return evaluated.groupBy(F.col("dept_key").alias("source"), F.col("winner_key").alias("target")).agg(F.count("*").alias("n"), F.sum("contract_price_agree").cast("double").alias("value"), F.max("risk_score").alias("max_risk"), F.count_if(F.size("rule_hits") > 0).alias("flagged"))
+    return evaluated.groupBy(F.col("dept_key").alias("source"), F.col("winner_key").alias("target")).agg(F.count("*").alias("n"), F.sum("contract_price_agree").cast("double").alias("value"), F.max("risk_score").alias("max_risk"), F.count_if(F.col("hit_mask") != 0).alias("flagged"))
 
 
 def stacked_points(c: DataFrame, cell: float = 0.005, least: int = 3) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import haversine_km
 from ..functions.stats import beta_survival, quantiles, with_posterior
 from ..functions.values import SPECIFIC_METHOD
+from ..tables import written
 
 CEILING = 500_000
 
@@ -26,8 +27,18 @@ def projects(c: DataFrame) -> DataFrame:
     return agg.withColumn("p_total", F.when((F.col("p_missing") == 0) & (F.col("p_sum") > 0), F.col("p_sum")))
 
 
+def dealings(c: DataFrame) -> DataFrame:
+    """Contracts and their value per agency, winner and tax number; pairs, winners and identities take it in place of c."""
+    own = c.groupBy("dept_key", "winner_key", "winner_tin", "tin_is_masked")
+    return written(own.agg(F.count("*").alias("n_dealings"), F.sum("contract_price_agree").alias("contract_price_agree")))
+
+
+def _rows(c: DataFrame) -> Column:
+    return F.sum("n_dealings") if "n_dealings" in c.columns else F.count("*")
+
+
 def pairs(c: DataFrame) -> DataFrame:
-    return c.groupBy("dept_key", "winner_key").agg(F.count("*").alias("pair_n"), F.sum("contract_price_agree").alias("pair_value"))
+    return c.groupBy("dept_key", "winner_key").agg(_rows(c).alias("pair_n"), F.sum("contract_price_agree").alias("pair_value"))
 
 
 def same_day_groups(c: DataFrame) -> DataFrame:
@@ -38,7 +49,7 @@ def same_day_groups(c: DataFrame) -> DataFrame:
 
 
 def winners(c: DataFrame) -> DataFrame:
-    return c.groupBy("winner_key").agg(F.count("*").alias("w_n"), F.count_distinct(F.when(_present("dept_key"), F.col("dept_key"))).alias("w_depts"), F.sum("contract_price_agree").alias("w_value"))
+    return c.groupBy("winner_key").agg(_rows(c).alias("w_n"), F.count_distinct(F.when(_present("dept_key"), F.col("dept_key"))).alias("w_depts"), F.sum("contract_price_agree").alias("w_value"))
 
 
 def identities(c: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rules import ids_of
+
 #: Fields by kind; a rule may only name these.
 FIELDS = {
     "contract_price_agree": "num", "price_build": "num", "project_money": "num", "duration_days": "num", "announce_gap_days": "num", "contract_day": "num",
@@ -48,7 +50,7 @@ def validate(rule: dict) -> dict:
 
 
 def field(name: str) -> Column:
-    derived = {"contract_day": F.day("contract_date"), "weekend": F.dayofweek("contract_date").isin(1, 7), "month_end": F.day("contract_date") >= 25, "rule_hit": F.transform("rule_hits", lambda h: h["rule_id"])}
+    derived = {"contract_day": F.day("contract_date"), "weekend": F.dayofweek("contract_date").isin(1, 7), "month_end": F.day("contract_date") >= 25, "rule_hit": ids_of()}
     return derived.get(name, F.col(name))
 
 
@@ -90,15 +92,15 @@ def backtest(evaluated: DataFrame, rule: dict) -> DataFrame:
     count = lambda p: F.count_if(on & p)
     return hits.agg(
         F.count("*").alias("total"), F.count_if(on).alias("hits"), F.round(F.count_if(on) / F.count("*"), 6).alias("share"), F.coalesce(F.sum(F.when(on, F.col("contract_price_agree"))).cast("double"), F.lit(0.0)).alias("value"),
-        count(F.size("rule_hits") == 0).alias("unflagged"), count(F.col("risk_band").isin("critical", "high")).alias("priority"), F.count_distinct(F.when(on, F.col("dept_key"))).alias("n_agencies"), F.count_distinct(F.when(on, F.col("winner_key"))).alias("n_winners"),
+        count(F.col("hit_mask") == 0).alias("unflagged"), count(F.col("risk_band").isin("critical", "high")).alias("priority"), F.count_distinct(F.when(on, F.col("dept_key"))).alias("n_agencies"), F.count_distinct(F.when(on, F.col("winner_key"))).alias("n_winners"),
     )
 
 
 def backtest_overlap(evaluated: DataFrame, rule: dict, top: int = 6) -> DataFrame:
     """The rules that hit most of the same contracts, by Jaccard."""
-    hits = evaluated.select(compile_rule(rule).alias("hit"), F.transform("rule_hits", lambda h: h["rule_id"]).alias("ids"))
-    # A row of its own counts the rule: one pass over the contracts, then a row per rule.
+    hits = evaluated.groupBy(compile_rule(rule).alias("hit"), "hit_mask").agg(F.count("*").alias("k")).select("hit", "k", ids_of().alias("ids"))
+    # A row of its own counts the rule: one pass over the contracts, then a row per rule and set of rules.
     ids = F.explode(F.concat("ids", F.array(F.lit("")))).alias("rule_id")
-    each = hits.select("hit", ids).groupBy("rule_id").agg(F.count("*").alias("n_other"), F.count_if("hit").alias("n_both"))
+    each = hits.select("hit", "k", ids).groupBy("rule_id").agg(F.sum("k").alias("n_other"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("k"))), F.lit(0)).alias("n_both"))
     each = each.withColumn("n", F.max(F.when(F.col("rule_id") == "", F.col("n_both"))).over(W.partitionBy(F.lit(0)))).filter("rule_id != ''")
     return each.withColumn("jaccard", F.round(F.col("n_both") / (F.col("n_other") + F.col("n") - F.col("n_both")), 6)).drop("n").orderBy(F.desc("jaccard"), "rule_id").limit(top)

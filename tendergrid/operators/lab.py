@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.parse import method_group
 from ..functions.values import SPECIFIC_METHOD
 from .patterns import bursts, contractors, single_contract_discount
-from .rules import Rule, configured, score
+from ..tables import written
+from .rules import Rule, bit, configured, evaluate, hit_sets, score, struck, summarize
 
 # The bounds of the value classes.
 VALUE_BINS = (("to_100k", 0, 100_000), ("to_500k", 100_000, 500_000), ("to_2m", 500_000, 2_000_000), ("to_10m", 2_000_000, 10_000_000), ("over_10m", 10_000_000, None))
@@ -50,14 +51,18 @@ def vocabulary(c: DataFrame, field: str) -> DataFrame:
 
 
 def trait_items(fields: DataFrame) -> DataFrame:
-    """Rows of lab_fields() with traits, the categorical items that describe a contract."""
+    """Rows of lab_fields() with traits, the categorical items that describe a contract; wg: and jv where the table has
+    work_group and is_jv."""
     price, d = F.coalesce(F.col("contract_price_agree").cast("double"), F.lit(0.0)), F.col("discount_pct")
     value_bin = F.coalesce(*[F.when((price >= lo) & (price < hi if hi else F.lit(True)), F.lit(f"vb:{name}")) for name, lo, hi in VALUE_BINS])
     single = {
         "near": (price >= 450_000) & (price < 500_000), "d0": d <= 0.05, "d1": (d > 0.05) & (d <= 1), "d15": d > 15, "multi": F.col("project_n_contracts") > 1, "wkend": F.col("weekend"), "mend": F.col("month_end"),
         "gshared": F.col("geo") == "shared", "tin": F.col("tin_is_masked"), "pair": (F.col("pair_share_of_agency") >= 0.5) & (F.col("pair_n_contracts") >= 3),
     }
-    named = [F.concat(F.lit("mg:"), F.col("method_group")), F.when(F.col("project_type_name") != "", F.concat(F.lit("pt:"), F.col("project_type_name"))), value_bin]
+    if "is_jv" in fields.columns:
+        single["jv"] = F.col("is_jv")
+    group = [F.when((F.col("work_group") != "") & (F.col("work_group") != "other"), F.concat(F.lit("wg:"), F.col("work_group")))] if "work_group" in fields.columns else []
+    named = [*group, F.concat(F.lit("mg:"), F.col("method_group")), F.when(F.col("project_type_name") != "", F.concat(F.lit("pt:"), F.col("project_type_name"))), value_bin]
     found = F.array_compact(F.array(*named, *[F.when(p, F.lit(k)) for k, p in single.items()]))
     kinds = F.transform(F.filter("contractor_archetype", lambda a: a != "wide"), lambda a: F.concat(F.lit("ar:"), a))
     return fields.withColumn("traits", F.concat(found, kinds))
@@ -67,7 +72,7 @@ def mined_traits(rows: DataFrame, target: Column, least_rows: int = 30, least_co
     """Sets of up to `most` traits after which the target is common, by FP-growth over the traits with the target as
     one more item. A set is dropped where a part of it has a confidence that is at most `slack` lower."""
     goal = "\x00goal"
-    sets = rows.select(F.array_distinct(F.concat("traits", F.array_compact(F.array(F.when(target, F.lit(goal)))))).alias("items")).cache()
+    sets = written(rows.select(F.array_distinct(F.concat("traits", F.array_compact(F.array(F.when(target, F.lit(goal)))))).alias("items")))
     total = sets.agg(F.count("*").alias("n"), F.count_if(F.array_contains("items", goal)).alias("hits")).first()
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least_rows / max(total["n"], 1)), minConfidence=least_confidence).fit(sets)
     base = total["hits"] / max(total["n"], 1)
@@ -81,20 +86,19 @@ def mined_traits(rows: DataFrame, target: Column, least_rows: int = 30, least_co
     better = smaller.join(rules.select(F.col("traits").alias("part"), F.col("confidence").alias("part_confidence")), "part").filter(F.col("part_confidence") >= F.col("confidence") - slack)
     kept = rules.join(better.select("traits").distinct(), "traits", "left_anti")
     out = kept.orderBy(F.desc("lift"), F.desc("n_both"), "traits").limit(top)
-    sets.unpersist()
     return out.select(F.array_join("traits", ",").alias("traits"), "n", "n_both", F.round("confidence", 6).alias("confidence"), F.round("lift", 6).alias("lift"))
 
 
 def rule_health(evaluated: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     """Per enabled rule: hits and their value, contracts that it alone hits, priority contracts that would not be such
-    without it, and silent: no hit at all. One pass: the score without a rule follows from the row's own hits."""
+    without it, and silent: no hit at all. Scores without a rule are formed once for each set of rules that hit together."""
     rules = configured() if rules is None else rules
-    ids = F.transform("rule_hits", lambda h: h["rule_id"])
-    rows = evaluated.select("contract_price_agree", "risk_score", ids.alias("ids"))
-    without = {k: score({j: r for j, r in rules.items() if j != k}, lambda r: F.array_contains("ids", r.id)) for k in rules}
-    told = [F.struct(F.lit(k).alias("rule_id"), (F.size("ids") == 1).alias("sole"), ((F.col("risk_score") >= PRIORITY_SCORE) & (w < PRIORITY_SCORE)).alias("leave")) for k, w in without.items()]
-    each = rows.select("contract_price_agree", F.explode(F.filter(F.array(*told), lambda t: F.array_contains("ids", t["rule_id"]))).alias("t"))
-    counts = each.groupBy(F.col("t.rule_id").alias("rule_id")).agg(F.count("*").alias("hits"), F.count_if("t.sole").alias("sole"), F.count_if("t.leave").alias("leave_one_out"), F.sum("contract_price_agree").cast("double").alias("value"))
+    rows = hit_sets(evaluated, "risk_score")
+    without = {k: score({j: r for j, r in rules.items() if j != k}, lambda r: struck(r.id)) for k in rules}
+    told = [F.when(struck(k), F.struct(F.lit(k).alias("rule_id"), (F.col("hit_mask") == bit(k)).alias("sole"), ((F.col("risk_score") >= PRIORITY_SCORE) & (w < PRIORITY_SCORE)).alias("leave"))) for k, w in without.items()]
+    each = rows.select("n", "value", F.explode(F.array_compact(F.array(*told))).alias("t"))
+    of = lambda p: F.coalesce(F.sum(F.when(F.col(p), F.col("n"))), F.lit(0))
+    counts = each.groupBy(F.col("t.rule_id").alias("rule_id")).agg(F.sum("n").alias("hits"), of("t.sole").alias("sole"), of("t.leave").alias("leave_one_out"), F.sum("value").cast("double").alias("value"))
     every = evaluated.sparkSession.createDataFrame([(k, float(r.weight)) for k, r in rules.items()], "rule_id string, weight double")
     out = every.join(counts, "rule_id", "left").na.fill(0, ["hits", "sole", "leave_one_out"])
     return out.withColumn("value", F.coalesce("value", F.lit(0.0))).withColumn("silent", F.col("hits") == 0)
@@ -105,22 +109,25 @@ def redundant_rules(overlaps: DataFrame, least: float = REDUNDANT) -> DataFrame:
     return overlaps.filter(F.col("jaccard") >= least).orderBy(F.desc("jaccard"), "rule_a", "rule_b")
 
 
-def readiness(c: DataFrame, fields: dict[str, Iterable[str]], rows: int = 2000) -> DataFrame:
-    """Per rule whether the fields that it reads are filled at all in the first rows of a table (a check on import)."""
-    seen = c.limit(rows)
+def readiness(c: DataFrame, fields: dict[str, Iterable[str]], order: list[str], rows: int = 2000) -> DataFrame:
+    """Per rule, on import: no where a field that it reads is empty in the whole table, yes where it hits any of the first rows
+    by order, evaluated as a table of their own, else maybe; with the hits there and the empty fields."""
     names = sorted({f for fs in fields.values() for f in fs})
-    counts = seen.agg(*[F.count_if(F.col(f).isNotNull() & (F.trim(F.col(f).cast("string")) != "")).alias(f) for f in names])
-    told = F.array(*[F.struct(F.lit(k).alias("rule_id"), F.least(*[F.col(f) for f in fs], F.lit(rows).cast("long")).alias("n_filled")) for k, fs in fields.items()])
-    return counts.select(F.explode(told).alias("x")).select("x.rule_id", "x.n_filled", (F.col("x.n_filled") > 0).alias("works"))
+    counts = c.agg(*[F.count_if(F.col(f).isNotNull() & (F.col(f).cast("string") != "")).alias(f) for f in names])
+    empty = lambda fs: F.array_join(F.array_compact(F.array(*[F.when(F.col(f) == 0, F.lit(f)) for f in sorted(fs)])), ",")
+    told = counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule_id"), empty(fs).alias("missing")) for k, fs in fields.items()])).alias("x")).select("x.*")
+    tried = summarize(evaluate(written(c.orderBy(*order).limit(rows)), configured(only=fields)))
+    both = told.join(tried.select("rule_id", F.col("n").alias("n_hits")), "rule_id", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long")))
+    return both.withColumn("status", F.when(F.col("missing") != "", "no").when(F.col("n_hits") > 0, "yes").otherwise("maybe"))
 
 
 def by_category(evaluated: DataFrame, rules: dict[str, Rule] | None = None, by: str | None = None) -> DataFrame:
     """Distinct contracts, and their value, per category of rules (and value of `by`); a contract counts once in each."""
     rules = configured() if rules is None else rules
-    kinds = F.create_map(*[F.lit(x) for k, r in rules.items() for x in (k, r.category)])
-    found = F.array_distinct(F.transform("rule_hits", lambda h: F.element_at(kinds, h["rule_id"])))
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(struck(k), F.lit(r.category)) for k, r in rules.items()])))
     keys = [by] if by else []
-    return evaluated.select(*keys, "contract_price_agree", F.explode(found).alias("category")).groupBy(*keys, "category").agg(F.count("*").alias("n"), F.sum("contract_price_agree").cast("double").alias("value"))
+    each = hit_sets(evaluated, *keys).select(*keys, "n", "value", F.explode(found).alias("category"))
+    return each.groupBy(*keys, "category").agg(F.sum("n").alias("n"), F.sum("value").cast("double").alias("value"))
 
 
 def rank_categories(findings: DataFrame) -> DataFrame:

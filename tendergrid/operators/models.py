@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
 from ..tables import written
+from .rules import ids_of
 
 FOREST_TREES, FOREST_SAMPLE = 300, 256
 
@@ -165,7 +166,7 @@ def hurdle(c: DataFrame) -> DataFrame:
 
 def associations(evaluated: DataFrame, least_rows: int = 30, least_confidence: float = 0.5, least_lift: float = 1.0) -> DataFrame:
     """Rules between the risk rules that contracts hit, by FP-growth."""
-    rows = evaluated.select(F.array_distinct(F.transform("rule_hits", lambda h: h["rule_id"])).alias("items"))
+    rows = evaluated.select(ids_of().alias("items"))
     n = rows.count()
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, least_rows / max(n, 1)), minConfidence=least_confidence).fit(rows).associationRules
     out = found.filter((F.col("lift") >= least_lift) & (F.size("antecedent") <= 3))

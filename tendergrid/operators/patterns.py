@@ -10,6 +10,10 @@ from ..functions.stats import quantiles
 from ..functions.values import SPECIFIC_METHOD
 
 
+# Classes of discount and their upper bounds.
+DISCOUNT_BINS = (("none", 0.0005), ("to_1", 0.01), ("to_5", 0.05), ("to_15", 0.15), ("to_30", 0.3), ("over_30", None))
+
+
 def _price() -> Column:
     return F.col("contract_price_agree")
 
@@ -18,10 +22,15 @@ def _day(c: str) -> Column:
     return F.unix_date(c)
 
 
+def _share(part: str, whole: str) -> Column:
+    """Part of a whole in value; 0 where there is no whole."""
+    return F.coalesce(F.when(F.col(whole) > 0, F.col(part).cast("double") / F.col(whole).cast("double")), F.lit(0.0))
+
+
 def single_contract_discount(c: DataFrame) -> DataFrame:
-    """c with discount, 1 - price / reference price, for projects of one contract only."""
+    """c with discount, 1 - price / reference price, for priced contracts that are their project's only one."""
     alone = c.groupBy("project_id").agg(F.count("*").alias("_n"))
-    ratio = F.when((F.col("_n") == 1) & (F.col("price_build") > 0), 1 - _price().cast("double") / F.col("price_build").cast("double"))
+    ratio = F.when((F.col("_n") == 1) & (F.col("price_build") > 0) & (_price() > 0), 1 - _price().cast("double") / F.col("price_build").cast("double"))
     return c.join(alone, "project_id").withColumn("discount", ratio).drop("_n")
 
 
@@ -56,11 +65,11 @@ def rotation(c: DataFrame, least: int = 6, top: int = 3, least_coverage: float =
 
 
 def pair_patterns(c: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs with their share of the agency's and of the winner's contracts; mutual where both are a half or more."""
+    """Pairs with their share of the agency's and of the winner's value; mutual where both are a half or more."""
     own = c.groupBy("dept_key", "winner_key").agg(F.count("*").alias("n"), F.sum("contract_price_agree").alias("value"), F.min("contract_date").alias("first"), F.max("contract_date").alias("last"), F.count_if(F.col("purchase_method_name") == SPECIFIC_METHOD).alias("specific"))
-    dept, winner = own.groupBy("dept_key").agg(F.sum("n").alias("dept_n")), own.groupBy("winner_key").agg(F.sum("n").alias("winner_n"))
+    dept, winner = own.groupBy("dept_key").agg(F.sum("value").alias("dept_value")), own.groupBy("winner_key").agg(F.sum("value").alias("winner_value"))
     out = own.join(dept, "dept_key").join(winner, "winner_key").filter(F.col("n") >= least)
-    a, b = F.col("n") / F.col("dept_n"), F.col("n") / F.col("winner_n")
+    a, b = _share("value", "dept_value"), _share("value", "winner_value")
     return out.select("dept_key", "winner_key", "n", F.col("value").cast("double").alias("value"), F.round(a, 6).alias("share_of_agency"), F.round(b, 6).alias("share_of_winner"), F.datediff("last", "first").alias("span_days"), F.round(F.col("specific") / F.col("n"), 6).alias("specific_share"), ((a >= 0.5) & (b >= 0.5)).alias("mutual"), (F.col("n") >= 4).alias("loyal"))
 
 
@@ -82,41 +91,59 @@ def same_day(c: DataFrame, least: int = 5) -> DataFrame:
 
 
 def discount_bins(c: DataFrame) -> DataFrame:
+    """Comparable contracts per class of discount, classes closed above, and their share; classes without any too."""
     d = F.col("discount")
-    bin_ = F.when(d < 0, "above").when(d <= 0.0005, "none").when(d < 0.01, "to_1").when(d < 0.05, "to_5").when(d < 0.15, "to_15").otherwise("over_15")
-    return single_contract_discount(c).filter(d.isNotNull()).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+    below = -float("inf")
+    counts, at = [], below
+    for name, upto in DISCOUNT_BINS:
+        counts.append(F.count_if((d > at if at != below else F.lit(True)) & (d <= upto if upto is not None else F.lit(True))).alias(name))
+        at = upto
+    whole = single_contract_discount(c).filter(d.isNotNull()).agg(F.count("*").alias("_all"), *counts)
+    rows = F.array(*[F.struct(F.lit(name).alias("bin"), F.col(name).alias("n")) for name, _ in DISCOUNT_BINS])
+    return whole.select("_all", F.explode(rows).alias("x")).select("x.bin", "x.n", F.round(F.coalesce(F.col("x.n") / F.nullif("_all", F.lit(0)), F.lit(0.0)), 6).alias("share"))
 
 
 def method_prices(c: DataFrame, least: int = 20) -> DataFrame:
-    """Median price, and share of round ones, per method."""
-    p = _price().cast("double")
-    priced = c.filter(_price() > 0).select("purchase_method_name", "contract_price_agree", p.alias("price"))
-    out = priced.groupBy("purchase_method_name").agg(F.count("*").alias("n"), F.round(F.count_if(_price() % 10_000 == 0) / F.count("*"), 6).alias("round_10k"))
-    middle = quantiles(priced, "price", ["purchase_method_name"], {"m": 0.5})
-    middle = middle.select(F.col("purchase_method_name").alias("_method"), F.round("m", 4).alias("median_price"))
+    """Median discount, and share of contracts without one, per method with enough comparable contracts."""
+    d = single_contract_discount(c).filter(F.col("discount").isNotNull()).select("purchase_method_name", "discount")
+    out = d.groupBy("purchase_method_name").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("discount") <= DISCOUNT_BINS[0][1]) / F.count("*"), 6).alias("zero_share"))
+    middle = quantiles(d, "discount", ["purchase_method_name"], {"m": 0.5})
+    middle = middle.select(F.col("purchase_method_name").alias("_method"), F.round("m", 3).alias("median_discount"))
     return out.filter(F.col("n") >= least).join(middle, F.col("purchase_method_name").eqNullSafe(F.col("_method"))).drop("_method")
 
 
+def round_prices(c: DataFrame, ceiling: float = 500_000) -> DataFrame:
+    """One row: contracts just under and just over the ceiling with their ratio, and shares of round prices."""
+    p = _price()
+    below, above = F.count_if((p >= ceiling * 0.9) & (p < ceiling)), F.count_if((p >= ceiling) & (p < ceiling * 1.1))
+    share = lambda m: F.round(F.coalesce(F.count_if((p > 0) & (p % m == 0)) / F.nullif(F.count_if(p > 0), F.lit(0)), F.lit(0.0)), 6)
+    counted = c.agg(below.alias("below"), above.alias("above"), share(10_000).alias("round_10k"), share(100_000).alias("round_100k"))
+    return counted.withColumn("ratio", F.round(F.col("below") / F.nullif("above", F.lit(0)), 6))
+
+
 def same_price_groups(c: DataFrame, least: int = 3, winners: int = 2) -> DataFrame:
     groups = c.filter(_price() > 0).groupBy("dept_key", "contract_price_agree").agg(F.count("*").alias("n"), F.count_distinct("winner_key").alias("n_winners"))
     return groups.filter((F.col("n") >= least) & (F.col("n_winners") >= winners)).withColumn("contract_price_agree", _price().cast("double"))
 
 
 def contractors(c: DataFrame, least: int = 3, ceiling: float = 500_000) -> DataFrame:
-    """Per winner: agencies, shares, discounts, closeness to the ceiling, bursts, and the archetypes that these make."""
+    """Per winner: agencies, the one of most value and its share of it, discounts of all and of competed contracts, closeness
+    to the ceiling, the most contracts from one agency in 30 days, and the archetypes that these make."""
     d = single_contract_discount(c)
     competed = (F.col("purchase_method_name") != SPECIFIC_METHOD) & F.col("discount").isNotNull()
     near = (_price() >= ceiling * 0.9) & (_price() < ceiling)
     own = d.groupBy("winner_key").agg(
         F.count("*").alias("n"), F.sum("contract_price_agree").alias("value"), F.count_if(F.col("purchase_method_name") == SPECIFIC_METHOD).alias("specific"),
-        F.count_if(competed).alias("n_competed"), F.count_if(competed & (F.col("discount") <= 0.005)).alias("n_hug"), F.count_if(near).alias("n_near"), F.min("contract_date").alias("first_date"), F.max("contract_date").alias("last_date"),
+        F.count_if(competed).alias("n_competed"), F.count_if(competed & (F.col("discount") <= 0.005)).alias("n_hug"), F.count("discount").alias("n_discounts"), F.count_if(F.col("discount") <= 0.005).alias("n_hug_all"), F.coalesce(F.bool_or("tin_is_masked"), F.lit(False)).alias("masked"), F.count_if(near).alias("n_near"), F.min("contract_date").alias("first_date"), F.max("contract_date").alias("last_date"),
     ).filter(F.col("n") >= least)
-    top = c.groupBy("winner_key", "dept_key").agg(F.count("*").alias("k")).groupBy("winner_key").agg(F.max("k").alias("top_n"), F.count("*").alias("n_agencies"))
+    each = c.groupBy("winner_key", "dept_key").agg(F.coalesce(F.sum("contract_price_agree"), F.lit(0)).alias("v"))
+    top = each.groupBy("winner_key").agg(F.max("v").alias("top_value"), F.min_by("dept_key", F.struct(-F.col("v"), "dept_key")).alias("top_agency"), F.count("*").alias("n_agencies"))
+    burst = bursts(c, ["winner_key", "dept_key"]).groupBy("winner_key").agg(F.max("burst").alias("burst30"))
     middle = quantiles(d, "discount", ["winner_key"], {"m": 0.5}).select("winner_key", F.round("m", 6).alias("median_discount"))
-    out = own.join(top, "winner_key").join(middle, "winner_key", "left").join(bursts(c, ["winner_key"]).select("winner_key", F.col("burst").alias("burst30")), "winner_key", "left")
+    out = own.join(top, "winner_key").join(middle, "winner_key", "left").join(burst, "winner_key", "left").withColumn("burst30", F.coalesce("burst30", F.lit(0)))
     share = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 6)
-    out = out.select("winner_key", "n", F.col("value").cast("double").alias("value"), "n_agencies", share("top_n", "n").alias("top_agency_share"), share("specific", "n").alias("specific_share"), "median_discount", "n_competed", share("n_hug", "n_competed").alias("ceiling_hug"), share("n_near", "n").alias("near_ceiling"), "burst30", "first_date", "last_date")
-    kinds = [("captive", (F.col("n") >= 8) & (F.col("top_agency_share") >= 0.8)), ("ceiling_hug", (F.col("n_competed") >= 3) & (F.col("ceiling_hug") >= 0.5)), ("under_ceiling", F.col("near_ceiling") >= 0.4), ("burst", F.col("burst30") >= 5), ("specific_heavy", (F.col("n") >= 5) & (F.col("specific_share") >= 0.9)), ("wide", F.col("n_agencies") >= 8)]
+    out = out.select("winner_key", "n", F.col("value").cast("double").alias("value"), "n_agencies", "top_agency", F.round(_share("top_value", "value"), 6).alias("top_agency_share"), share("specific", "n").alias("specific_share"), "median_discount", "n_competed", share("n_hug", "n_competed").alias("ceiling_hug"), "n_discounts", share("n_hug_all", "n_discounts").alias("ceiling_hug_all"), "masked", share("n_near", "n").alias("near_ceiling"), "burst30", "first_date", "last_date")
+    kinds = [("captive", (F.col("n") >= 8) & (F.col("top_agency_share") >= 0.8)), ("ceiling_hug", (F.col("n_competed") >= 3) & (F.col("ceiling_hug") >= 0.5)), ("under_ceiling", (F.col("n") >= 3) & (F.col("near_ceiling") >= 0.4)), ("burst", F.col("burst30") >= 5), ("specific_heavy", (F.col("n") >= 5) & (F.col("specific_share") >= 0.9)), ("wide", F.col("n_agencies") >= 8)]
     return out.withColumn("archetypes", F.array_compact(F.array(*[F.when(p, k) for k, p in kinds])))
 
 

@@ -12,7 +12,7 @@ from ..functions.parse import haversine_km
 from ..functions.stats import auc, percent_rank_average, quantiles
 
 # Words of units in written numbers, and words that may stand beside a number.
-UNITS = (("ล้าน", 1_000_000), ("แสน", 100_000), ("หมื่น", 10_000), ("พัน", 1_000))
+UNITS = (("พันล้าน", 1_000_000_000), ("ล้าน", 1_000_000), ("พัน", 1_000))
 BESIDE = "บาท|วัน|สัญญา|ฉบับ|ราย|หน่วยงาน|เท่า|ของมัธยฐาน"
 
 
@@ -130,14 +130,14 @@ def deep_filter(df: DataFrame, percentile: str, mode: str, others: list[str] | N
 
 
 def written_number(text: Column) -> Column:
-    """A number as written in a table cell: thousands separators, units of ten thousands and millions, words beside it;
-    null for any other text."""
+    """A number as written in a table cell: thousands separators, a unit (the first of UNITS found, taken out once), words
+    beside it; null for any other text."""
     bare = F.trim(text)
     factor, left = F.lit(1.0), bare
     for word, times in reversed(UNITS):
         factor = F.when(bare.contains(word), F.lit(float(times))).otherwise(factor)
     for word, _ in reversed(UNITS):
-        left = F.when(bare.contains(word), F.regexp_replace(bare, word, "")).otherwise(left)
+        left = F.when(bare.contains(word), F.regexp_replace(bare, f"(?s)^(.*?){word}", "$1")).otherwise(left)
     plain = F.regexp_replace(F.regexp_replace(left, r"[,%×\s]", ""), BESIDE, "")
     number = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
     return F.when(plain.rlike(number), plain.cast("double") * factor)
@@ -218,7 +218,7 @@ def agency_discounts(d: DataFrame, least: int = 5) -> DataFrame:
     expects, in deviations, and how deep its other discounts are against like contracts."""
     zero = (F.abs(F.col("contract_price_agree").cast("double") / F.col("price_build").cast("double") - 1) < 1e-6).cast("double")
     own = d.groupBy("dept_key").agg(F.count("*").alias("n"), F.sum(zero).alias("_z"), F.sum("p_zero").alias("_p"), F.sum(F.col("p_zero") * (1 - F.col("p_zero"))).alias("_v"), F.count("depth_residual").alias("n_discount"), F.avg("depth_residual").alias("_r"))
-    sigma = d.agg(F.sqrt(F.avg(F.col("depth_residual") * F.col("depth_residual")))).first()[0] or 1.0
+    sigma = d.agg(F.stddev_pop("depth_residual")).first()[0] or 1.0
     own = own.filter(F.col("n") >= least)
     z = F.when(F.col("_v") > 0, (F.col("_z") - F.col("_p")) / F.sqrt("_v")).otherwise(0.0)
     depth = F.when(F.col("n_discount") >= 3, F.col("_r") / (F.lit(sigma) / F.sqrt("n_discount")))

@@ -19,6 +19,8 @@ from ..functions.parse import band, haversine_km, min_notice_days, significant_r
 from ..functions.values import EBIDDING_METHOD, SPECIFIC_METHOD
 from . import context
 
+#: Bits of the hit mask: R1 is bit 0; user rules C1, C2, ... follow from bit 24.
+USER_BIT = 24
 SEVERITIES = ("none", "low", "medium", "high", "critical")
 LEAST_ROWS = 20
 
@@ -79,7 +81,7 @@ def default_rules() -> dict[str, Rule]:
         Rule("R14", "medium", 10, "price", lambda t: F.abs(_ratio(build - money, money)) <= t["tolerance"], lambda t: _number(_ratio(build, money)), thresholds={"tolerance": 0.001}, ranges={"tolerance": (0, 0.05, 0.001)}, dimensions=("economy", "integrity"), stage="plan"),
         Rule("R15", "medium", 15, "contractor", lambda t: F.col("pair_n") >= t["minPair"], lambda t: F.col("pair_n").cast("string"), ("pairs",), "pair", thresholds={"minPair": 5}, ranges={"minPair": (2, 60, 1)}, dimensions=("integrity", "economy"), stage="portfolio"),
         Rule("R16", "high", 20, "method", lambda t: F.col("announce_gap_days") < notice - t["bufferDays"], lambda t: F.col("announce_gap_days").cast("string"), thresholds={"bufferDays": 0}, ranges={"bufferDays": (0, 10, 1)}, applicable=lambda t: notice.isNotNull() & F.col("announce_gap_days").isNotNull(), dimensions=("efficiency", "integrity"), stage="award"),
-        Rule("R17", "medium", 10, "geography", lambda t: (F.col("geo_quality") == "ok") & (km > t["maxKm"]) & (F.col("d_median_km") <= t["maxKm"]), lambda t: _number(km, 1), ("places",), thresholds={"maxKm": 200}, ranges={"maxKm": (50, 800, 25)}, dimensions=("effectiveness", "integrity"), stage="post"),
+        Rule("R17", "medium", 10, "geography", lambda t: F.coalesce(F.col("geo_quality") != "shared", F.lit(True)) & (km > t["maxKm"]) & F.coalesce(F.col("d_median_km") <= t["maxKm"], F.lit(True)), lambda t: _number(km, 1), ("places",), thresholds={"maxKm": 200}, ranges={"maxKm": (50, 800, 25)}, dimensions=("effectiveness", "integrity"), stage="post"),
         Rule("R18", "medium", 12, "price", lambda t: (F.abs(to_build - 1) < 1e-6) & (F.col("r_confidence") >= t["confidence"]), lambda t: _number(F.col("r_confidence")), ("projects", "cells"), "exact", thresholds={"minGapPts": 15, "confidence": 0.90}, ranges={"minGapPts": (3, 50, 1), "confidence": (0.50, 0.99, 0.01)}, dimensions=("economy",), stage="award"),
         Rule("R19", "medium", 12, "data", lambda t: (weekday == 1) | (F.lit(bool(t["includeSat"])) & (weekday == 7)), lambda t: weekday.cast("string"), thresholds={"includeSat": 1}, ranges={"includeSat": (0, 1, 1)}, dimensions=("integrity",), stage="award"),
         Rule("R20", "high", 20, "data", lambda t: F.col("no_n") >= t["min"], lambda t: F.col("no_n").cast("string"), ("numbers",), scored=False, thresholds={"min": 2}, ranges={"min": (2, 10, 1)}, dimensions=("integrity",), stage="award"),
@@ -124,14 +126,16 @@ def enrich(c: DataFrame, rules: dict[str, Rule]) -> DataFrame:
         out = out.join(context.projects(c), "project_id", "left")
     if "groups" in needs:
         out = out.join(context.same_day_groups(c), ["dept_key", "winner_key", "contract_date"], "left")
+    # One pass over c counts who deals with whom; pairs, winners and identities are sums of it.
+    dealings = context.dealings(c) if needs & {"pairs", "winners", "identities"} else None
     if "pairs" in needs:
-        out = out.join(context.pairs(c), ["dept_key", "winner_key"], "left")
+        out = out.join(context.pairs(dealings), ["dept_key", "winner_key"], "left")
     if "winners" in needs:
-        out = out.join(context.winners(c), "winner_key", "left")
+        out = out.join(context.winners(dealings), "winner_key", "left")
     if "numbers" in needs:
         out = out.join(context.repeated_numbers(c), ["dept_key", "contract_no"], "left")
     if "identities" in needs:
-        by_tin, by_name = context.identities(c)
+        by_tin, by_name = context.identities(dealings)
         out = out.join(by_tin, "winner_tin", "left").join(by_name, "winner_key", "left")
     if "agencies" in needs:
         out = out.join(context.agency_direct_share(c, rules["R8"].thresholds["share"]), "dept_key", "left")
@@ -151,6 +155,27 @@ def applicable(c: DataFrame, rules: dict[str, Rule]) -> dict[str, Rule]:
     return {k: r for k, r in rules.items() if k not in asked or counts[k] >= LEAST_ROWS}
 
 
+def bit(rule_id: str) -> int:
+    """The value of the rule's bit in hit_mask."""
+    return 1 << (int(rule_id[1:]) - 1 + (USER_BIT if rule_id[0] == "C" else 0))
+
+
+def struck(rule_id: str, mask: str = "hit_mask") -> Column:
+    """Whether the rule's bit is set."""
+    return F.col(mask).bitwiseAND(F.lit(bit(rule_id))) != 0
+
+
+def ids_of(rules: Iterable[str] | None = None, mask: str = "hit_mask") -> Column:
+    """The ids of the rules whose bits are set."""
+    return F.array_compact(F.array(*[F.when(struck(k, mask), F.lit(k)) for k in (default_rules() if rules is None else rules)]))
+
+
+def hit_sets(evaluated: DataFrame, *by: str) -> DataFrame:
+    """Contracts and their value per set of rules that hit together (and columns `by`): some hundred rows, from which all
+    counts of rules follow."""
+    return evaluated.groupBy(*by, "hit_mask").agg(F.count("*").alias("n"), F.sum("contract_price_agree").alias("value"))
+
+
 def hit(rule: Rule) -> Column:
     return F.coalesce(rule.predicate(rule.thresholds), F.lit(False))
 
@@ -178,19 +203,24 @@ def _severity(rules: dict[str, Rule], of: Callable[[Rule], Column], scored: bool
 
 
 def evaluate(c: DataFrame, rules: dict[str, Rule] | None = None, check: bool = True) -> DataFrame:
-    """c with rule_hits, risk_score, max_severity, max_severity_all and risk_band.
+    """c with hit_mask, rule_hits, risk_score, max_severity, max_severity_all and risk_band.
 
-    c is read once for each context, so a view of many joins is best written first (tables.written).
+    Each predicate is formed once, as a bit of hit_mask, and score and severities follow from the mask; what a rule found
+    is written out in rule_hits only where a query reads them. c is read once for each context, so a view of many joins is
+    best written first (tables.written).
     """
     rules = configured() if rules is None else rules
     rules = applicable(c, rules) if check else rules
     rich = enrich(c, rules)
-    flagged = rich.select(*[rich[x] for x in c.columns], *[hit(r).alias(f"_{k}") for k, r in rules.items()], *[r.actual(r.thresholds).alias(f"_a{k}") for k, r in rules.items()])
-    of = lambda r: F.col(f"_{r.id}")
+    mask = F.lit(0).cast("long")
+    for k, r in rules.items():
+        mask = mask + F.when(hit(r), F.lit(bit(k))).otherwise(F.lit(0))
+    flagged = rich.select(*[rich[x] for x in c.columns], mask.cast("long").alias("hit_mask"), *[r.actual(r.thresholds).alias(f"_a{k}") for k, r in rules.items()])
+    of = lambda r: struck(r.id)
     kind = "array<struct<rule_id:string,severity:string,weight:double,family:string,scored:boolean,actual:string>>"
     each = [F.when(of(r), F.struct(F.lit(k).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(float(r.weight)).alias("weight"), F.lit(r.family).cast("string").alias("family"), F.lit(r.scored).alias("scored"), F.col(f"_a{k}").alias("actual"))) for k, r in rules.items()]
     hits = F.array_compact(F.array(*each)) if each else F.array().cast(kind)
-    out = flagged.select(*c.columns, hits.alias("rule_hits"), score(rules, of).alias("risk_score"), _severity(rules, of, True).alias("max_severity"), _severity(rules, of, False).alias("max_severity_all"))
+    out = flagged.select(*c.columns, "hit_mask", hits.alias("rule_hits"), score(rules, of).alias("risk_score"), _severity(rules, of, True).alias("max_severity"), _severity(rules, of, False).alias("max_severity_all"))
     return out.withColumn("risk_band", band(F.col("risk_score")))
 
 
@@ -205,16 +235,17 @@ def what_if(evaluated: DataFrame, exclude: Iterable[str] = (), weights: dict[str
     return evaluated.withColumn("_scored", scored).withColumn("what_if_score", F.least(F.lit(100.0), F.aggregate(heaviest, F.lit(0.0), lambda a, x: a + x))).drop("_scored")
 
 
-def summarize(evaluated: DataFrame) -> DataFrame:
-    """Hits and their value per rule."""
-    each = evaluated.select(F.explode("rule_hits").alias("h"), "contract_price_agree")
-    return each.groupBy(F.col("h.rule_id").alias("rule_id")).agg(F.count("*").alias("n"), F.sum("contract_price_agree").cast("double").alias("value"))
+def summarize(evaluated: DataFrame, rules: Iterable[str] | None = None) -> DataFrame:
+    """Hits and their value per rule; rules names those beside the default ones."""
+    each = hit_sets(evaluated).select(F.explode(ids_of(rules)).alias("rule_id"), "n", "value")
+    return each.groupBy("rule_id").agg(F.sum("n").alias("n"), F.sum("value").cast("double").alias("value"))
 
 
 def bands(evaluated: DataFrame) -> DataFrame:
     """Contracts, value and mean score per band; flagged counts those with any hit, unscored ones too."""
-    flagged = F.count_if(F.size("rule_hits") > 0)
-    return evaluated.groupBy("risk_band").agg(F.count("*").alias("n"), flagged.alias("flagged"), F.sum("contract_price_agree").cast("double").alias("value"), F.round(F.avg("risk_score"), 4).alias("avg_score"))
+    sets = hit_sets(evaluated, "risk_band", "risk_score")
+    flagged = F.coalesce(F.sum(F.when(F.col("hit_mask") != 0, F.col("n"))), F.lit(0))
+    return sets.groupBy("risk_band").agg(F.sum("n").alias("n"), flagged.alias("flagged"), F.sum("value").cast("double").alias("value"), F.round(F.sum(F.col("risk_score") * F.col("n")) / F.sum("n"), 4).alias("avg_score"))
 
 
 def coverage(evaluated: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
@@ -227,8 +258,7 @@ def coverage(evaluated: DataFrame, rules: dict[str, Rule] | None = None) -> Data
 
 def overlap(evaluated: DataFrame) -> DataFrame:
     """Pairs of rules that hit the same contracts: both, either, Jaccard and containment; pairs within a row only."""
-    ids = F.transform("rule_hits", lambda h: h["rule_id"])
-    rows = evaluated.groupBy(F.array_sort(ids).alias("ids")).agg(F.count("*").alias("n"))
+    rows = hit_sets(evaluated).select(F.array_sort(ids_of()).alias("ids"), "n")
     two = rows.select("n", F.explode("ids").alias("rule_a"), "ids").select("n", "rule_a", F.explode("ids").alias("rule_b")).filter("rule_a <= rule_b")
     both = two.groupBy("rule_a", "rule_b").agg(F.sum("n").alias("n_both"))
     # A rule with itself is the rule alone; there are as many rows as pairs of rules.

@@ -10,8 +10,8 @@ from ..functions.values import ANATOMY
 
 
 def tokens(name: Column) -> Column:
-    """Distinct words of a name that are longer than two characters."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"(?U)[\s,()/]+"), lambda w: F.length(w) > 2))
+    """Distinct words of a name that are longer than two characters; brackets and quotes part words, as white space does."""
+    return F.array_distinct(F.filter(F.split(F.coalesce(name, F.lit("")), "(?U)[\\s()\"'“”]+"), lambda w: F.length(w) > 2))
 
 
 def classify(df: DataFrame, groups, column: str = "project_name") -> DataFrame:
@@ -64,7 +64,7 @@ def near_repeats(df: DataFrame, by: list[str], days: int = 30, percent: int = 80
     close = both.filter(100 * shared >= percent * union)
     first = F.least(F.struct(F.col("a_project_id").alias("p"), F.col("a_contract_no").alias("c"), F.col("a_contract_date").alias("d")), F.struct(F.col("b_project_id").alias("p"), F.col("b_contract_no").alias("c"), F.col("b_contract_date").alias("d")))
     last = F.greatest(F.struct(F.col("a_project_id").alias("p"), F.col("a_contract_no").alias("c"), F.col("a_contract_date").alias("d")), F.struct(F.col("b_project_id").alias("p"), F.col("b_contract_no").alias("c"), F.col("b_contract_date").alias("d")))
-    return close.select(*by, first.alias("x"), last.alias("y"), F.round(shared / union, 6).alias("jaccard")).distinct().select(*by, F.col("x.p").alias("project_a"), F.col("x.c").alias("contract_a"), F.col("y.p").alias("project_b"), F.col("y.c").alias("contract_b"), "jaccard")
+    return close.select(*by, first.alias("x"), last.alias("y"), F.round(shared / union, 6).alias("jaccard")).select(*by, F.col("x.p").alias("project_a"), F.col("x.c").alias("contract_a"), F.col("y.p").alias("project_b"), F.col("y.c").alias("contract_b"), "jaccard").distinct()
 
 
 def province_mismatch(df: DataFrame) -> DataFrame:

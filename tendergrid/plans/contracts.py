@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import EBIDDING_METHOD, SPECIFIC_METHOD
+from ..tables import written_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,11 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view without project names, written once a session: rules and their contexts read it column by column."""
+    return written_once(contracts(spark, sf_dir).drop("project_name"), "contracts")
+
+
 #: The same view for DuckDB, to stand before a query.
 K = f"""WITH k AS (SELECT l_orderkey AS project_id, l_linenumber AS contract_no, n_name AS dept_key, c_custkey AS dept_sub_name, r_name AS province,
 l_suppkey AS winner_key, 'T' || (l_suppkey % 90) AS winner_tin, false AS tin_is_masked,

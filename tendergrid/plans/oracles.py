@@ -11,6 +11,7 @@ from .contracts import K
 ORACLES: dict[str, str] = {}
 
 _D = "CAST({} AS DOUBLE)"
+_SIG = "(CAST(contract_price_agree AS DOUBLE) / pow(10.0, floor(log10(CAST(contract_price_agree AS DOUBLE))) - 1))"
 _P = f"""{K}, p AS (SELECT project_id, count(*) AS p_n, sum(contract_price_agree) AS p_sum, count(*) FILTER (contract_price_agree IS NULL) AS p_missing,
 CASE WHEN count(*) FILTER (contract_price_agree IS NULL) = 0 AND sum(contract_price_agree) > 0 THEN sum(contract_price_agree) END AS p_total FROM k GROUP BY 1)"""
 _G = """g AS (SELECT dept_key, winner_key, contract_date, count(*) AS g_n, count(contract_price_agree) AS g_priced, sum(contract_price_agree) AS g_total, max(contract_price_agree) AS g_max,
@@ -27,13 +28,13 @@ n AS (SELECT count(*) FILTER (contract_price_agree < 500000) AS n10, count(*) FI
 count(*) FILTER (purchase_method_name = '{EBIDDING_METHOD}' AND project_money > 500000 AND announce_gap_days IS NOT NULL) AS n16 FROM k),
 h AS (SELECT x.*,
 coalesce(CAST(project_money - p_total AS DOUBLE) / m >= 0.3, false) AS R1, coalesce(CAST(price_build - p_total AS DOUBLE) / b >= 0.3, false) AS R2, p_n >= 2 AS R3, coalesce(t / m > 1.0, false) AS R4,
-tin_names >= 2 OR name_tins >= 2 AS R7, n10 >= 20 AND coalesce(g_n >= 2 AND g_priced = g_n AND g_max < 500000 AND g_total >= 400000, false) AS R10, coalesce(duration_days < 0, false) AS R11,
+tin_names >= 2 OR name_tins >= 2 AS R7, contract_price_agree >= 100000 AND abs({_SIG} - round({_SIG})) < 1e-9 AS R9, n10 >= 20 AND coalesce(g_n >= 2 AND g_priced = g_n AND g_max < 500000 AND g_total >= 400000, false) AS R10, coalesce(duration_days < 0, false) AS R11,
 n12 >= 20 AND coalesce(purchase_method_name = '{SPECIFIC_METHOD}' AND contract_price_agree >= 450000 AND contract_price_agree < 500000, false) AS R12,
 coalesce(t / b >= 1 - 1e-9, false) AS R13, coalesce(abs(CAST(price_build - project_money AS DOUBLE) / m) <= 0.001, false) AS R14, pair_n >= 5 AS R15,
 n16 >= 20 AND coalesce(purchase_method_name = '{EBIDDING_METHOD}' AND announce_gap_days < CASE WHEN project_money > 50000000 THEN 20 WHEN project_money > 10000000 THEN 12 WHEN project_money > 5000000 THEN 10 WHEN project_money > 500000 THEN 5 END, false) AS R16,
 dayofweek(contract_date) IN (0, 6) AS R19, no_n >= 2 AS R20, coalesce(abs(CAST(sum_price_agree - p_total AS DOUBLE) / sp) > 0.01, false) AS R21,
 w_depts = 1 AND w_n >= 5 AND w_value >= 5000000 AS R22, coalesce(g_projects >= 2, false) AS R23 FROM x, n)"""
-_RULES = {"R1": ("medium", 15, "discount"), "R2": ("medium", 15, "discount"), "R3": ("high", 20, None), "R4": ("critical", 30, None), "R7": ("high", 25, None), "R10": ("critical", 25, "split"), "R11": ("high", 0, None),
+_RULES = {"R1": ("medium", 15, "discount"), "R2": ("medium", 15, "discount"), "R3": ("high", 20, None), "R4": ("critical", 30, None), "R7": ("high", 25, None), "R9": ("low", 5, None), "R10": ("critical", 25, "split"), "R11": ("high", 0, None),
           "R12": ("high", 20, None), "R13": ("medium", 15, "exact"), "R14": ("medium", 10, None), "R15": ("medium", 15, "pair"), "R16": ("high", 20, None), "R19": ("medium", 12, None), "R20": ("high", 0, None), "R21": ("medium", 0, None),
           "R22": ("medium", 12, "pair"), "R23": ("medium", 12, "split")}
 
@@ -59,7 +60,7 @@ _LONG = " UNION ALL ".join(f"SELECT '{k}' AS rule_id, contract_price_agree, row_
 ORACLES["risk_score_bands"] = f"""{_S} SELECT {_band('risk_score')} AS risk_band, count(*) AS n, count(*) FILTER (flagged) AS flagged,
 CAST(sum(contract_price_agree) AS DOUBLE) AS value, round(avg(risk_score), 4) AS avg_score FROM s GROUP BY 1"""
 ORACLES["rule_summary"] = f"{_S} SELECT rule_id, count(*) AS n, CAST(sum(contract_price_agree) AS DOUBLE) AS value FROM ({_LONG}) GROUP BY 1"
-_FRAME = {"R1": ("economy", "award"), "R2": ("economy integrity", "award"), "R3": ("integrity efficiency", "plan"), "R4": ("economy", "award"), "R7": ("integrity", "award"), "R10": ("integrity economy", "plan"), "R11": ("integrity", "award"),
+_FRAME = {"R1": ("economy", "award"), "R2": ("economy integrity", "award"), "R3": ("integrity efficiency", "plan"), "R4": ("economy", "award"), "R7": ("integrity", "award"), "R9": ("economy integrity", "award"), "R10": ("integrity economy", "plan"), "R11": ("integrity", "award"),
           "R12": ("integrity economy", "plan"), "R13": ("integrity economy", "award"), "R14": ("economy integrity", "plan"), "R15": ("integrity economy", "portfolio"), "R16": ("efficiency integrity", "award"), "R19": ("integrity", "award"),
           "R20": ("integrity", "award"), "R21": ("economy integrity", "award"), "R22": ("efficiency integrity", "portfolio"), "R23": ("integrity economy", "plan")}
 _FRAMES = ", ".join(f"('{k}', '{d}', '{stage}')" for k, (dims, stage) in _FRAME.items() for d in dims.split())
@@ -77,7 +78,7 @@ ORACLES["over_budget_projects"] = f"""{_P}, q AS (SELECT project_id, max(project
 SELECT project_id, p_n, round({_D.format('p_total')} / {_D.format('money')}, 6) AS ratio FROM p JOIN q USING (project_id) WHERE {_D.format('p_total')} / {_D.format('money')} > 1.0"""
 ORACLES["same_day_split"] = f"{K}, {_G} SELECT dept_key, winner_key, contract_date, g_n, g_priced, {_D.format('g_total')} AS g_total, {_D.format('g_max')} AS g_max, g_projects FROM g WHERE g_n >= 2 OR g_projects >= 2"
 ORACLES["pair_stats"] = f"""{K}, o AS (SELECT dept_key, winner_key, count(*) AS n, sum(contract_price_agree) AS value, min(contract_date) AS f, max(contract_date) AS l, count(*) FILTER (purchase_method_name = '{SPECIFIC_METHOD}') AS s FROM k GROUP BY 1, 2),
-t AS (SELECT *, n / sum(n) OVER (PARTITION BY dept_key) AS a, n / sum(n) OVER (PARTITION BY winner_key) AS b FROM o)
+t AS (SELECT *, CAST(value AS DOUBLE) / CAST(sum(value) OVER (PARTITION BY dept_key) AS DOUBLE) AS a, CAST(value AS DOUBLE) / CAST(sum(value) OVER (PARTITION BY winner_key) AS DOUBLE) AS b FROM o)
 SELECT dept_key, winner_key, n, {_D.format('value')} AS value, round(a, 6) AS share_of_agency, round(b, 6) AS share_of_winner, CAST(date_diff('day', f, l) AS INTEGER) AS span_days, round(s / n, 6) AS specific_share, a >= 0.5 AND b >= 0.5 AS mutual, n >= 4 AS loyal FROM t WHERE n >= 3"""
 _BURST = "count(*) OVER (PARTITION BY {} ORDER BY contract_date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW)"
 ORACLES["burst30"] = f"{K} SELECT dept_key, winner_key, max(c) AS burst, count(*) AS n_contracts FROM (SELECT *, {_BURST.format('dept_key, winner_key')} AS c FROM k) GROUP BY 1, 2"
@@ -94,20 +95,30 @@ ORACLES["monthly_trend"] = f"""{K}, m AS (SELECT strftime(contract_date, '%Y-%m'
 SELECT month, n, value, round(n / avg(n) OVER (), 6) AS vs_mean FROM m"""
 ORACLES["weekday_profile"] = f"{K}, d AS (SELECT CAST(dayofweek(contract_date) AS INTEGER) AS weekday, count(*) AS n, count(*) FILTER (day(contract_date) >= 25) AS n_month_end FROM k GROUP BY 1) SELECT *, round(n / sum(n) OVER (), 6) AS share FROM d"
 ORACLES["same_day_bursts"] = f"{K} SELECT dept_key, contract_date, count(*) AS n, count(DISTINCT winner_key) AS n_winners, CAST(sum(contract_price_agree) AS DOUBLE) AS value FROM k GROUP BY 1, 2 HAVING count(*) >= 2"
-ORACLES["method_price_profile"] = f"{K} SELECT purchase_method_name, count(*) AS n, round(quantile_cont({_D.format('contract_price_agree')}, 0.5), 4) AS median_price, round(count(*) FILTER (contract_price_agree % 10000 = 0) / count(*), 6) AS round_10k FROM k WHERE contract_price_agree > 0 GROUP BY 1 HAVING count(*) >= 20"
+ORACLES["round_prices"] = f"""{K}, r AS (SELECT count(*) FILTER (contract_price_agree >= 45000 AND contract_price_agree < 50000) AS below, count(*) FILTER (contract_price_agree >= 50000 AND contract_price_agree < 55000) AS above,
+round(count(*) FILTER (contract_price_agree % 10000 = 0) / count(*), 6) AS round_10k, round(count(*) FILTER (contract_price_agree % 100000 = 0) / count(*), 6) AS round_100k FROM k WHERE contract_price_agree > 0) SELECT *, round(below / above, 6) AS ratio FROM r"""
 ORACLES["same_price_groups"] = f"{K} SELECT dept_key, {_D.format('contract_price_agree')} AS contract_price_agree, count(*) AS n, count(DISTINCT winner_key) AS n_winners FROM k WHERE contract_price_agree > 0 GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT winner_key) >= 2"
-_DISC = f"d AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY project_id) = 1 AND price_build > 0 THEN 1 - {_D.format('contract_price_agree')} / {_D.format('price_build')} END AS discount FROM k)"
-ORACLES["discount_bins"] = f"""{K}, {_DISC} SELECT CASE WHEN discount < 0 THEN 'above' WHEN discount <= 0.0005 THEN 'none' WHEN discount < 0.01 THEN 'to_1' WHEN discount < 0.05 THEN 'to_5' WHEN discount < 0.15 THEN 'to_15' ELSE 'over_15' END AS bin, count(*) AS n
-FROM d WHERE discount IS NOT NULL GROUP BY 1"""
-ORACLES["contractor_profiles"] = f"""{K}, {_DISC}, o AS (SELECT winner_key, count(*) AS n, CAST(sum(contract_price_agree) AS DOUBLE) AS value, count(*) FILTER (purchase_method_name = '{SPECIFIC_METHOD}') AS sp, round(quantile_cont(discount, 0.5), 6) AS median_discount,
-count(*) FILTER (purchase_method_name != '{SPECIFIC_METHOD}' AND discount IS NOT NULL) AS n_competed, count(*) FILTER (purchase_method_name != '{SPECIFIC_METHOD}' AND discount <= 0.005) AS hug,
-count(*) FILTER (contract_price_agree >= 45000 AND contract_price_agree < 50000) AS near, min(contract_date) AS first_date, max(contract_date) AS last_date FROM d GROUP BY 1 HAVING count(*) >= 3),
-t AS (SELECT winner_key, max(c) AS top_n, count(*) AS n_agencies FROM (SELECT winner_key, dept_key, count(*) AS c FROM k GROUP BY 1, 2) GROUP BY 1),
-bu AS (SELECT winner_key, max(c) AS burst30 FROM (SELECT winner_key, {_BURST.format('winner_key')} AS c FROM k) GROUP BY 1),
-f AS (SELECT winner_key, n, value, n_agencies, round(top_n / n, 6) AS top_agency_share, round(sp / n, 6) AS specific_share, median_discount, n_competed, CASE WHEN n_competed > 0 THEN round(hug / n_competed, 6) END AS ceiling_hug, round(near / n, 6) AS near_ceiling, burst30, first_date, last_date
-FROM o JOIN t USING (winner_key) JOIN bu USING (winner_key))
-SELECT *, concat_ws(',', CASE WHEN n >= 8 AND top_agency_share >= 0.8 THEN 'captive' END, CASE WHEN n_competed >= 3 AND ceiling_hug >= 0.5 THEN 'ceiling_hug' END, CASE WHEN near_ceiling >= 0.4 THEN 'under_ceiling' END,
-CASE WHEN burst30 >= 5 THEN 'burst' END, CASE WHEN n >= 5 AND specific_share >= 0.9 THEN 'specific_heavy' END, CASE WHEN n_agencies >= 8 THEN 'wide' END) AS archetypes FROM f"""
+_DISC = f"d AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY project_id) = 1 AND price_build > 0 AND contract_price_agree > 0 THEN 1 - {_D.format('contract_price_agree')} / {_D.format('price_build')} END AS discount FROM k)"
+ORACLES["method_price_profile"] = f"""{K}, {_DISC} SELECT purchase_method_name, count(*) AS n, round(quantile_cont(discount, 0.5), 3) AS median_discount, round(count(*) FILTER (discount <= 0.0005) / count(*), 6) AS zero_share
+FROM d WHERE discount IS NOT NULL GROUP BY 1 HAVING count(*) >= 20"""
+ORACLES["discount_bins"] = f"""{K}, {_DISC}, v(bin, lo, hi) AS (VALUES ('none', -1e9, 0.0005), ('to_1', 0.0005, 0.01), ('to_5', 0.01, 0.05), ('to_15', 0.05, 0.15), ('to_30', 0.15, 0.3), ('over_30', 0.3, 1e9))
+SELECT bin, count(*) FILTER (discount > CAST(lo AS DOUBLE) AND discount <= CAST(hi AS DOUBLE)) AS n, round(count(*) FILTER (discount > CAST(lo AS DOUBLE) AND discount <= CAST(hi AS DOUBLE)) / count(*), 6) AS share FROM d, v WHERE discount IS NOT NULL GROUP BY 1"""
+
+
+def contractor_sql(ceiling: int, least: int = 3) -> str:
+    """Winners' behaviour (CTE f) with their archetypes."""
+    return f"""o AS (SELECT winner_key, count(*) AS n, CAST(sum(contract_price_agree) AS DOUBLE) AS value, count(*) FILTER (purchase_method_name = '{SPECIFIC_METHOD}') AS sp, round(quantile_cont(discount, 0.5), 6) AS median_discount, bool_or(tin_is_masked) AS masked,
+count(*) FILTER (purchase_method_name != '{SPECIFIC_METHOD}' AND discount IS NOT NULL) AS n_competed, count(*) FILTER (purchase_method_name != '{SPECIFIC_METHOD}' AND discount <= 0.005) AS hug, count(discount) AS n_discounts, count(*) FILTER (discount <= 0.005) AS hug_all,
+count(*) FILTER (contract_price_agree >= {ceiling} * 0.9 AND contract_price_agree < {ceiling}) AS near, min(contract_date) AS first_date, max(contract_date) AS last_date FROM d GROUP BY 1 HAVING count(*) >= {least}),
+t AS (SELECT winner_key, CAST(max(v) AS DOUBLE) AS top_value, arg_min(dept_key, (-v, dept_key)) AS top_agency, count(*) AS n_agencies FROM (SELECT winner_key, dept_key, sum(contract_price_agree) AS v FROM k GROUP BY 1, 2) GROUP BY 1),
+bu AS (SELECT winner_key, max(c) AS burst30 FROM (SELECT winner_key, {_BURST.format('winner_key, dept_key')} AS c FROM k) GROUP BY 1),
+f AS (SELECT winner_key, n, value, n_agencies, top_agency, round(top_value / value, 6) AS top_agency_share, round(sp / n, 6) AS specific_share, median_discount, n_competed, CASE WHEN n_competed > 0 THEN round(hug / n_competed, 6) END AS ceiling_hug,
+n_discounts, CASE WHEN n_discounts > 0 THEN round(hug_all / n_discounts, 6) END AS ceiling_hug_all, masked, round(near / n, 6) AS near_ceiling, burst30, first_date, last_date FROM o JOIN t USING (winner_key) JOIN bu USING (winner_key)),
+ca AS (SELECT *, concat_ws(',', CASE WHEN n >= 8 AND top_agency_share >= 0.8 THEN 'captive' END, CASE WHEN n_competed >= 3 AND ceiling_hug >= 0.5 THEN 'ceiling_hug' END, CASE WHEN n >= 3 AND near_ceiling >= 0.4 THEN 'under_ceiling' END,
+CASE WHEN burst30 >= 5 THEN 'burst' END, CASE WHEN n >= 5 AND specific_share >= 0.9 THEN 'specific_heavy' END, CASE WHEN n_agencies >= 8 THEN 'wide' END) AS archetypes FROM f)"""
+
+
+ORACLES["contractor_profiles"] = f"{K}, {_DISC}, {contractor_sql(50_000)} SELECT * FROM ca"
 _HHI = f"""o AS (SELECT dept_key, winner_key, sum(contract_price_agree) AS v, count(*) AS c FROM k WHERE contract_price_agree > 0 GROUP BY 1, 2),
 t AS (SELECT dept_key, sum(v) AS total, CAST(sum(c) AS BIGINT) AS n_contracts, count(*) AS n_winners FROM o GROUP BY 1 HAVING sum(c) >= 5),
 hh AS (SELECT dept_key, n_contracts, n_winners, round(sum(pow({_D.format('v')} / {_D.format('total')} * 100, 2)), 4) AS hhi, round(max({_D.format('v')} / {_D.format('total')} * 100), 4) AS top_winner_share FROM o JOIN t USING (dept_key) GROUP BY 1, 2, 3)"""
@@ -175,12 +186,12 @@ ORACLES["part_name_groups"] = """WITH c AS (SELECT [x for x in [CASE WHEN regexp
 CASE WHEN regexp_matches(p_type, 'ECONOMY') THEN 'economy' END] if x IS NOT NULL] AS g FROM part), a AS (SELECT unnest(g) AS "group", 1 AS x FROM c), f AS (SELECT coalesce(g[1], 'other') AS "group" FROM c),
 ac AS (SELECT "group", count(*) AS n_any FROM a GROUP BY 1), fc AS (SELECT "group", count(*) AS n_primary FROM f GROUP BY 1)
 SELECT coalesce(ac."group", fc."group") AS "group", coalesce(n_any, 0) AS n_any, coalesce(n_primary, 0) AS n_primary FROM ac FULL JOIN fc ON ac."group" = fc."group\""""
-ORACLES["part_name_terms"] = "SELECT term, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(string_split_regex(lower(p_type), '[\\s,()/]+')) AS term FROM part) WHERE length(term) > 2 GROUP BY 1 HAVING count(*) >= 5"
-_W = "list_distinct([w for w in string_split_regex(lower(project_name || ' ' || project_type_name), '[\\s,()/]+') if length(w) > 2])"
-ORACLES["near_repeated_names"] = f"""{K}, t AS (SELECT dept_key, winner_key, project_id, contract_no, contract_date, {_W} AS w FROM k WHERE len({_W}) > 0),
-j AS (SELECT a.dept_key, a.winner_key, (a.project_id, a.contract_no, a.contract_date) AS x, (b.project_id, b.contract_no, b.contract_date) AS y, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u
-FROM t a JOIN t b ON a.dept_key = b.dept_key AND a.winner_key = b.winner_key AND abs(date_diff('day', a.contract_date, b.contract_date)) <= 30 AND a.project_id != b.project_id)
-SELECT DISTINCT dept_key, winner_key, x[1] AS project_a, x[2] AS contract_a, y[1] AS project_b, y[2] AS contract_b, round(i / u, 6) AS jaccard FROM j WHERE 100 * i >= 80 * u AND x < y"""
+ORACLES["part_name_terms"] = "SELECT term, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(string_split_regex(p_type, '[\\s()]+')) AS term FROM part) WHERE length(term) > 2 GROUP BY 1 HAVING count(*) >= 5"
+_W = "list_distinct([w for w in string_split_regex(project_name || ' ' || project_type_name, '[\\s()]+') if length(w) > 2])"
+ORACLES["near_repeated_names"] = f"""{K}, t AS (SELECT dept_key, project_id, contract_no, contract_date, {_W} AS w FROM k WHERE len({_W}) > 0),
+j AS (SELECT a.dept_key, (a.project_id, a.contract_no, a.contract_date) AS x, (b.project_id, b.contract_no, b.contract_date) AS y, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u
+FROM t a JOIN t b ON a.dept_key = b.dept_key AND abs(date_diff('day', a.contract_date, b.contract_date)) <= 30 AND a.project_id != b.project_id)
+SELECT DISTINCT dept_key, x[1] AS project_a, x[2] AS contract_a, y[1] AS project_b, y[2] AS contract_b, round(i / u, 6) AS jaccard FROM j WHERE 100 * i >= 80 * u AND x < y"""
 ORACLES["money_texts"] = "SELECT count(*) AS parsed, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS total FROM orders WHERE o_orderkey % 11 != 0"
 ORACLES["era_dates"] = "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'slash' ELSE 'empty' END AS format, count(*) AS n, min(CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END) AS first, max(CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END) AS last FROM orders GROUP BY 1"
 ORACLES["supplier_names"] = "SELECT s_suppkey, 'ห้างหุ้นส่วนจำกัด ' || s_name AS name FROM supplier"

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.parse import band, canonical_name, haversine_km, money, thai_date
 from ..functions.stats import percent_rank_average, robust_z
 from ..operators import analytics, autoencoder, context, dsl, graph, merge, models, patterns, rules, text
-from ..tables import written
-from .contracts import contracts, table
+from .contracts import contracts, table, viewed
 
 QUERIES: dict = {}
 #: Rules whose hits SQL can tell without a Beta tail or a geographic median.
-PLAIN_RULES = ("R1", "R2", "R3", "R4", "R7", "R10", "R11", "R12", "R13", "R14", "R15", "R16", "R19", "R20", "R21", "R22", "R23")
+PLAIN_RULES = ("R1", "R2", "R3", "R4", "R7", "R9", "R10", "R11", "R12", "R13", "R14", "R15", "R16", "R19", "R20", "R21", "R22", "R23")
 
 
 def query(f):
@@ -26,7 +25,7 @@ def _as_double(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evaluate(written(contracts(spark, sf_dir).drop("project_name")), rules.configured(only=PLAIN_RULES))
+    return rules.evaluate(viewed(spark, sf_dir), rules.configured(only=PLAIN_RULES))
 
 
 @query
@@ -42,7 +41,7 @@ def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rule_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 21 rules, those with Beta tails and distances too."""
-    return rules.summarize(rules.evaluate(written(contracts(spark, sf_dir).drop("project_name"))))
+    return rules.summarize(rules.evaluate(viewed(spark, sf_dir)))
 
 
 @query
@@ -130,6 +129,11 @@ def same_price_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.same_price_groups(contracts(spark, sf_dir), least=2)
 
 
+@query
+def round_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.round_prices(contracts(spark, sf_dir), 50_000)
+
+
 @query
 def discount_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.discount_bins(contracts(spark, sf_dir))
@@ -317,7 +321,7 @@ def part_name_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def near_repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = contracts(spark, sf_dir).withColumn("project_name", F.concat_ws(" ", "project_name", "project_type_name"))
-    return text.near_repeats(c, ["dept_key", "winner_key"])
+    return text.near_repeats(c, ["dept_key"])
 
 
 @query

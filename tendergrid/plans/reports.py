@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parse import round_kind
+from ..functions.parse import first_group, round_kind
 from ..functions.stats import auc, correlation_of_logs, spearman
 from ..functions.values import EBIDDING_METHOD, SPECIFIC_METHOD
 from ..operators import analytics, context, graph, lab, models, patterns, reports, rules
 from ..tables import written
-from .contracts import K, contracts, table
-from .oracles import _BURST, _D, _DISC, _KM, _P, _RULES, _S, _V, ORACLES
+from .contracts import K, contracts, table, viewed
+from .oracles import _BURST, _D, _DISC, _KM, _P, _RULES, _S, _V, ORACLES, contractor_sql
 from .queries import PLAIN_RULES, _scored
 
 REPORTS: dict = {}
@@ -148,7 +148,7 @@ t AS (SELECT r4, row_number() OVER (ORDER BY price DESC, {', '.join(_TIES)}) AS
 SELECT u.*, (SELECT round(count(*) FILTER (r4) / 100, 6) FROM t WHERE pl <= 100) AS precision_100, (SELECT round(count(*) FILTER (r4) / 500, 6) FROM t WHERE pl <= 500) AS precision_500 FROM u""")
 def proxy_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the price ranks the contracts of projects over budget."""
-    scored = _scored(spark, sf_dir).select(*_TIES, F.col("contract_price_agree").cast("double").alias("price"), F.exists("rule_hits", lambda h: h["rule_id"] == "R4").alias("label"))
+    scored = _scored(spark, sf_dir).select(*_TIES, F.col("contract_price_agree").cast("double").alias("price"), rules.struck("R4").alias("label"))
     return reports.proxy_evaluation(written(scored), "label", "price", _TIES)
 
 
@@ -190,12 +190,14 @@ FROM d JOIN pn USING (project_id) JOIN pa USING (dept_key, winner_key) JOIN av U
 @report(f"""{_LAB} SELECT winner_key, count(*) AS n, round(avg(discount_pct), 4) AS discount_pct, max(project_n_contracts) AS project_n_contracts, max(pair_n_contracts) AS pair_n_contracts, max(pair_share) AS pair_share, max(contractor_n_contracts) AS contractor_n_contracts,
 max(contractor_n_agencies) AS contractor_n_agencies, max(top_share) AS top_share, max(spec) AS specific_share, max(burst) AS burst30, count(*) FILTER (dayofweek(contract_date) IN (0, 6)) AS weekend, count(*) FILTER (day(contract_date) >= 25) AS month_end FROM lf GROUP BY 1""")
 def lab_field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = lab.lab_fields(written(contracts(spark, sf_dir).drop("project_name")))
+    f = lab.lab_fields(viewed(spark, sf_dir))
     same = {"project_n_contracts": "project_n_contracts", "pair_n_contracts": "pair_n_contracts", "pair_share": "pair_share_of_agency", "contractor_n_contracts": "contractor_n_contracts", "contractor_n_agencies": "contractor_n_agencies", "top_share": "contractor_top_agency_share", "specific_share": "contractor_specific_share", "burst30": "contractor_burst30"}
     return f.groupBy("winner_key").agg(F.count("*").alias("n"), F.round(F.avg("discount_pct"), 4).alias("discount_pct"), *[F.max(v).alias(k) for k, v in same.items()], F.count_if("weekend").alias("weekend"), F.count_if("month_end").alias("month_end"))
 
 
 _GROUPS = f"CASE WHEN purchase_method_name = '{SPECIFIC_METHOD}' THEN 'เฉพาะเจาะจง' WHEN purchase_method_name = '{EBIDDING_METHOD}' THEN 'e-bidding' ELSE 'อื่น ๆ' END"
+#: Work groups of the view, told by its types.
+TYPE_GROUPS = (("steel", "STEEL"), ("brass", "BRASS"), ("promo", "PROMO"))
 _TRAITS = {
     "vb:to_100k": f"{_PRICE} < 100000", "vb:to_500k": f"{_PRICE} >= 100000 AND {_PRICE} < 500000", "near": f"{_PRICE} >= 450000 AND {_PRICE} < 500000", "d0": "discount_pct <= 0.05", "d1": "discount_pct > 0.05 AND discount_pct <= 1", "d15": "discount_pct > 15",
     "multi": "project_n_contracts > 1", "wkend": "dayofweek(contract_date) IN (0, 6)", "mend": "day(contract_date) >= 25", "gshared": "geo_quality = 'shared'", "pair": "pair_share >= 0.5 AND pair_n_contracts >= 3",
@@ -203,10 +205,11 @@ _TRAITS = {
 _LONG_TRAITS = " UNION ALL ".join(f"SELECT '{k}' AS trait, count(*) AS n FROM lf WHERE {p}" for k, p in _TRAITS.items())
 
 
-@report(f"{_LAB}, tr AS ({_LONG_TRAITS} UNION ALL SELECT 'pt:' || project_type_name, count(*) FROM lf GROUP BY 1 UNION ALL SELECT 'mg:' || {_GROUPS}, count(*) FROM lf GROUP BY 1) SELECT * FROM tr WHERE n > 0")
+@report(f"{_LAB}, {contractor_sql(500_000, 1)}, lf2 AS (SELECT *, CASE WHEN contains(project_type_name, 'STEEL') THEN 'steel' WHEN contains(project_type_name, 'BRASS') THEN 'brass' WHEN contains(project_type_name, 'PROMO') THEN 'promo' ELSE 'other' END AS work_group, winner_key % 10 = 0 AS is_jv FROM lf), tr AS ({_LONG_TRAITS} UNION ALL SELECT 'wg:' || work_group, count(*) FROM lf2 WHERE work_group != 'other' GROUP BY 1 UNION ALL SELECT 'jv', count(*) FROM lf2 WHERE is_jv UNION ALL SELECT 'ar:' || a, count(*) FROM (SELECT winner_key, unnest(string_split(archetypes, ',')) AS a FROM ca) JOIN lf USING (winner_key) WHERE a NOT IN ('', 'wide') GROUP BY 1 UNION ALL SELECT 'pt:' || project_type_name, count(*) FROM lf GROUP BY 1 UNION ALL SELECT 'mg:' || {_GROUPS}, count(*) FROM lf GROUP BY 1) SELECT * FROM tr WHERE n > 0")
 def trait_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lab.trait_items(lab.lab_fields(written(contracts(spark, sf_dir).drop("project_name"))))
-    return t.select(F.explode("traits").alias("trait")).filter("trait not like 'ar:%'").groupBy("trait").agg(F.count("*").alias("n"))
+    c = viewed(spark, sf_dir).withColumns({"work_group": first_group(F.col("project_type_name"), TYPE_GROUPS), "is_jv": F.col("winner_key") % 10 == 0})
+    t = lab.trait_items(lab.lab_fields(c))
+    return t.select(F.explode("traits").alias("trait")).groupBy("trait").agg(F.count("*").alias("n"))
 
 
 #: Settings and a view under which rules that rarely fire do: smaller bounds, dearer projects, winners of one agency each.
@@ -226,8 +229,8 @@ td AS (SELECT dept_key, quantile_cont({_KM}, 0.5) AS md FROM k2 JOIN tc USING (p
 ts AS (SELECT contract_price_agree, CAST(price_build AS DOUBLE) AS b, {_PRICE} / pow(10.0, floor(log10({_PRICE})) - 3) AS sig, CAST(price_build - t AS DOUBLE) / CAST(price_build AS DOUBLE) >= 0.05 AS R2, gn >= 2 AND gm < 500000 AND gt >= 100000 AS R10,
 purchase_method_name = '{SPECIFIC_METHOD}' AND contract_price_agree >= 45000 AND contract_price_agree < 50000 AS R12,
 purchase_method_name = '{EBIDDING_METHOD}' AND announce_gap_days < CASE WHEN project_money > 50000000 THEN 20 WHEN project_money > 10000000 THEN 12 WHEN project_money > 5000000 THEN 10 WHEN project_money > 500000 THEN 5 END - 1 AS R16,
-geo_quality = 'ok' AND {_KM} > 800 AND md <= 800 AS R17, wd = 1 AND wn >= 5 AND wv >= 5000000 AS R22
-FROM k2 JOIN tp USING (project_id) JOIN tg USING (dept_key, winner_key, contract_date) JOIN tw USING (winner_key) JOIN tc USING (province) JOIN td USING (dept_key)),
+geo_quality != 'shared' AND {_KM} > 800 AND coalesce(md <= 800, true) AS R17, wd = 1 AND wn >= 5 AND wv >= 5000000 AS R22
+FROM k2 JOIN tp USING (project_id) JOIN tg USING (dept_key, winner_key, contract_date) JOIN tw USING (winner_key) JOIN tc USING (province) LEFT JOIN td USING (dept_key)),
 tr AS (SELECT *, contract_price_agree >= 10000 AND abs(sig - round(sig)) < 1e-9 AS R9 FROM ts)"""
 
 
@@ -258,7 +261,7 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @report()
 def mined_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traits after which contracts are dear; frequent sets have no plain SQL."""
-    t = written(lab.trait_items(lab.lab_fields(written(contracts(spark, sf_dir).drop("project_name")))).select("traits", "project_money", "contract_price_agree"))
+    t = written(lab.trait_items(lab.lab_fields(viewed(spark, sf_dir))).select("traits", "project_money", "contract_price_agree"))
     return lab.mined_traits(t, F.col("project_money") >= 300_000, least_confidence=0.1, least_lift=1.1)
 
 
@@ -336,13 +339,13 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.highlights(c, patterns.pair_patterns(c), patterns.rotation(c, least_coverage=0.005), patterns.spread_splits(c, each_below=50_000, total_at=60_000), patterns.same_day(c, least=2))
 
 
-@report("""WITH w AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1500000.0 WHEN 1 THEN CAST(o_orderkey AS DOUBLE) WHEN 2 THEN NULL ELSE 250000.0 END AS v FROM orders)
-SELECT CAST(o_orderkey % 4 AS INTEGER) AS kind, count(v) AS n, sum(v) AS total FROM w GROUP BY 1""")
+@report("""WITH w AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 1500000.0 WHEN 1 THEN CAST(o_orderkey AS DOUBLE) WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 2e9 ELSE 7500.0 END AS v FROM orders)
+SELECT CAST(o_orderkey % 6 AS INTEGER) AS kind, count(v) AS n, sum(v) AS total FROM w GROUP BY 1""")
 def written_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers as a table shows them, with units and words, read again."""
     key = F.col("o_orderkey")
-    text = F.when(key % 4 == 0, "1.5 ล้านบาท").when(key % 4 == 1, F.format_number(key, 0)).when(key % 4 == 2, F.concat(key.cast("string"), F.lit(" เลขภาษี"))).otherwise("2.5 แสน")
-    o = table(spark, sf_dir, "orders").select((key % 4).cast("int").alias("kind"), reports.written_number(text).alias("v"))
+    text = F.when(key % 6 == 0, "1.5 ล้านบาท").when(key % 6 == 1, F.format_number(key, 0)).when(key % 6 == 2, F.concat(key.cast("string"), F.lit(" เลขภาษี"))).when(key % 6 == 3, "2.5 แสน").when(key % 6 == 4, "2 พันล้าน").otherwise("7.5 พันบาท")
+    o = table(spark, sf_dir, "orders").select((key % 6).cast("int").alias("kind"), reports.written_number(text).alias("v"))
     return o.groupBy("kind").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
 
 
@@ -387,15 +390,29 @@ def shared_point_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc(c, "y", "price")
 
 
-@report(f"{K}, f AS (SELECT * FROM k LIMIT 2000) SELECT 'R1' AS rule_id, CAST(2000 AS BIGINT) AS n_filled, true AS works UNION ALL SELECT 'R16', 2000, true")
+#: Fields of the rules that the report on readiness tries; the tax number is emptied there, so R7 can't work.
+READ_BY = {"R3": ["project_id"], "R4": ["project_money", "contract_price_agree"], "R7": ["winner_tin", "winner_key"], "R11": ["duration_days"], "R14": ["price_build", "project_money"], "R19": ["contract_date"]}
+_READY = {"R3": "p_n >= 2", "R4": "CAST(p_total AS DOUBLE) / CAST(project_money AS DOUBLE) > 1.0", "R7": "false", "R11": "duration_days < 0", "R14": "abs(CAST(price_build - project_money AS DOUBLE) / CAST(project_money AS DOUBLE)) <= 0.001", "R19": "dayofweek(contract_date) IN (0, 6)"}
+
+
+def _ready_sql() -> str:
+    first = f"k1 AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS winner_tin) FROM k), k2 AS (SELECT * FROM k1 ORDER BY {', '.join(_TIES)}, contract_price_agree LIMIT 2000)"
+    p = "p AS (SELECT project_id, count(*) AS p_n, sum(contract_price_agree) AS p_total FROM k2 GROUP BY 1), x AS (SELECT * FROM k2 JOIN p USING (project_id))"
+    missing = lambda fs: "concat_ws(',', " + ", ".join(f"(SELECT CASE WHEN count({f}) = 0 THEN '{f}' END FROM k1)" for f in sorted(fs)) + ")"
+    rows = " UNION ALL ".join(f"SELECT '{r}' AS rule_id, {missing(fs)} AS missing, (SELECT count(*) FILTER ({_READY[r]}) FROM x) AS n_hits" for r, fs in READ_BY.items())
+    return f"{K}, {first}, {p}, r AS ({rows}) SELECT *, CASE WHEN missing != '' THEN 'no' WHEN n_hits > 0 THEN 'yes' ELSE 'maybe' END AS status FROM r"
+
+
+@report(_ready_sql())
 def rule_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lab.readiness(contracts(spark, sf_dir), {"R1": ["project_money", "contract_price_agree"], "R16": ["announce_gap_days", "purchase_method_name"]})
+    c = viewed(spark, sf_dir).withColumn("winner_tin", F.lit(None).cast("string"))
+    return lab.readiness(c, READ_BY, [*_TIES, "contract_price_agree"])
 
 
 @report(f"""{_S}, f AS (SELECT 'R4 ' || province AS finding, CASE WHEN count(*) >= 4500 THEN 'high' WHEN count(*) >= 4300 THEN 'mid' ELSE 'low' END AS level, CAST(sum(contract_price_agree) AS DOUBLE) AS value FROM s WHERE R4 GROUP BY province)
 SELECT finding, level, value, CAST(row_number() OVER (ORDER BY CASE level WHEN 'high' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END, value DESC, finding) AS INTEGER) AS place FROM f""")
 def ordered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    over = _scored(spark, sf_dir).filter(F.exists("rule_hits", lambda h: h["rule_id"] == "R4"))
+    over = _scored(spark, sf_dir).filter(rules.struck("R4"))
     n = F.count("*")
     level = F.when(n >= 4500, "high").when(n >= 4300, "mid").otherwise("low")
     found = over.groupBy("province").agg(level.alias("level"), F.sum("contract_price_agree").cast("double").alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -20,8 +21,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written by this process and not released yet, and views written once for all queries of a session.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+_ONCE: dict[tuple, DataFrame] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table of the shared folder: lineage ends there, and later passes read the columns they need."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """df written the first time that this session asks for `name` over these input files; the same table after that."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(df.inputFiles())))
+    if key not in _ONCE:
+        _ONCE[key] = written(df)
+    return _ONCE[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written for the session. DataFrames that read them end with it: call it
+    once their rows are saved. What is left goes when the process ends."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for owner, name in list(_WRITTEN):
+        if owner is spark:
+            path = path_of(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _WRITTEN.remove((owner, name))
+    for key in [k for k in _ONCE if k[0] == spark.sparkContext.applicationId]:
+        del _ONCE[key]
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark in {id(s): s for s, _ in _WRITTEN}.values():
+        if spark.sparkContext._jsc is not None:
+            release(spark)

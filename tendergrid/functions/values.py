@@ -30,6 +30,13 @@ WORK_GROUPS = (
     ("repair", r"ซ่อม|ปรับปรุง|บำรุงรักษา|ฟื้นฟู|ย้าย"),
     ("build", r"ก่อสร้าง|ติดตั้ง|จัดทำระบบประปา|ระบบประปา"),
 )
+# What all names share (the way of purchase at their end, the act at their start), where phrases part, and the signs that
+# can't end or begin a word.
+NAME_TAIL = r"(?s)(ด้วยวิธี|โดยวิธี).*$"
+NAME_LEAD = r"(?U)^\s*(ประกวดราคา|สอบราคา|ประกาศ)?\s*(จัดซื้อจัดจ้าง|จัดซื้อ|จัดจ้าง|ซื้อ|จ้างเหมา|จ้าง|เช่า)?\s*(งาน|โครงการ)?\s*"
+PHRASE_ENDS = r"(?U)[\s()\"'“”/,]+"
+NO_WORD_END = "[เแโใไ่้๊๋์]+$"
+NO_WORD_START = "^[ะัาำิีึืุู็่้๊๋์ๆฯๅ]+"
 # Purposes, all that fit are kept.
 PURPOSES = (
     ("expand", "ขยายเขต|เพิ่มกำลัง|ขยายกำลัง|ก่อสร้างระบบประปา|ขยายท่อ|เพิ่มประสิทธิภาพการผลิต"),

@@ -8,15 +8,16 @@ its fold, and its errors are averaged over the seeds. Only sums of weights pass
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import written
-from .models import anomaly_features
+from .models import GROUP, anomaly_features, explain
 
 FOLDS, SEEDS = 5, 5
 HIDDEN, CODE = 8, 3
@@ -107,8 +108,8 @@ def _round(models: dict, scales: dict, columns: list[str], number: int):
     return run
 
 
-def fit(rows: DataFrame, columns: list[str], folds: int = FOLDS, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[dict, dict]:
-    """Networks by (fold left out, seed) and scales by fold left out; rows have fold, held and columns."""
+def fold_scales(rows: DataFrame, columns: list[str], folds: int = FOLDS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation of the rows outside each fold, from one row of sums per fold."""
     sums = [f(F.col(c)).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (("s", F.sum), ("q", lambda v: F.sum(v * v)))]
     by_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *sums).collect()}
     scales = {}
@@ -118,6 +119,31 @@ def fit(rows: DataFrame, columns: list[str], folds: int = FOLDS, seeds: int = SE
         mean = np.array([sum(r[f"s{i}"] for r in rest) / n for i in range(len(columns))])
         spread = np.sqrt(np.maximum(np.array([sum(r[f"q{i}"] for r in rest) / n for i in range(len(columns))]) - mean**2, 0))
         scales[out] = mean, np.where(spread < 1e-9, 1.0, spread)
+    return scales
+
+
+def by_fold(columns: list[str], keep: list[str], name: str, error: Callable[[int, np.ndarray], np.ndarray]):
+    """For mapInArrow: the columns `keep` as they are, and error(fold, features) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(float) if b.num_rows else np.zeros((0, len(columns)))
+            fold, out = b.column("fold").to_numpy(zero_copy_only=False), np.full(b.num_rows, np.nan)
+            for k in np.unique(fold):
+                out[fold == k] = error(int(k), x[fold == k])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(out, pa.float64())], [*keep, name])
+
+    return run
+
+
+def _errors(rows: DataFrame, columns: list[str], keep: list[str], name: str, error: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
+    schema = rows.select(*keep).schema.add(name, "double")
+    return rows.select(*dict.fromkeys([*keep, "fold", *columns])).mapInArrow(by_fold(columns, keep, name, error), schema)
+
+
+def fit(rows: DataFrame, columns: list[str], folds: int = FOLDS, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[dict, dict]:
+    """Networks by (fold left out, seed) and scales by fold left out; rows have fold, held and columns."""
+    scales = fold_scales(rows, columns, folds)
     models = {(out, seed): flat(start(len(columns), 1000 * seed + out)) for out in range(folds) for seed in range(seeds)}
     best, least, idle, going = dict(models), dict.fromkeys(models, np.inf), dict.fromkeys(models, 0), set(models)
     for number in range(rounds):
@@ -140,21 +166,86 @@ def fit(rows: DataFrame, columns: list[str], folds: int = FOLDS, seeds: int = SE
     return best, scales
 
 
-def deep_scores(c: DataFrame, folds: int = FOLDS, seeds: int = SEEDS) -> DataFrame:
-    """c with fold and deep_error."""
+def folded(c: DataFrame, folds: int = FOLDS) -> tuple[DataFrame, list[str]]:
+    """Contracts with features, fold and held, written once."""
     featured, columns = anomaly_features(c)
     key = F.xxhash64("project_id", "contract_no", "winner_key", "contract_price_agree")
-    featured = written(featured.withColumn("fold", F.pmod(key, F.lit(folds)).cast("int")).withColumn("held", F.pmod(F.xxhash64(key), F.lit(100)) < HELD))
+    return written(featured.withColumn("fold", F.pmod(key, F.lit(folds)).cast("int")).withColumn("held", F.pmod(F.xxhash64(key), F.lit(100)) < HELD)), columns
+
+
+def networks_error(models: dict, scales: dict, width: int, seeds: int = SEEDS) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Mean squared error of rows of a fold under the networks that haven't seen it."""
+
+    def error(fold: int, x: np.ndarray) -> np.ndarray:
+        z = scaled(x, scales[fold])
+        return np.mean([((forward(unflat(models[fold, seed], width), z)[-1] - z) ** 2).mean(1) for seed in range(seeds)], axis=0)
+
+    return error
+
+
+def deep_scores(c: DataFrame, folds: int = FOLDS, seeds: int = SEEDS) -> DataFrame:
+    """c with fold and deep_error."""
+    featured, columns = folded(c, folds)
+    models, scales = fit(featured.select("fold", "held", *columns), columns, folds, seeds)
+    return _errors(featured, columns, [*c.columns, "fold"], "deep_error", networks_error(models, scales, len(columns), seeds))
+
+
+def explain_deep(c: DataFrame, key: list[str], top: int = 400, least: float = 0.005, folds: int = FOLDS, seeds: int = SEEDS) -> DataFrame:
+    """key, deep_error and factors of the contracts of the greatest error, scored again by their own fold's networks."""
+    featured, columns = folded(c, folds)
     models, scales = fit(featured.select("fold", "held", *columns), columns, folds, seeds)
+    error = networks_error(models, scales, len(columns), seeds)
+    rows = _errors(featured, columns, [*key, GROUP, "fold", *columns], "deep_error", error)
+    keep = [*key, "deep_error", "_at", "_own", "_peer"]
+    return explain(rows, featured, columns, "deep_error", key, least, lambda v: _errors(v, columns, keep, "_new", error), top)
+
+
+def _grams(scales: dict, columns: list[str]):
+    """A partition's sums for each fold left out: rows, features and products of features, scaled as the fold has them."""
+    width = len(columns)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {k: np.zeros((width + 1, width + 1)) for k in scales}
         for b in batches:
-            error = np.full(len(b), np.nan)
-            for out in scales:
-                own = (b.fold == out).to_numpy()
-                if own.any():
-                    z = scaled(b.loc[own, columns].to_numpy(float), scales[out])
-                    error[own] = np.mean([((forward(unflat(models[out, seed], len(columns)), z)[-1] - z) ** 2).mean(1) for seed in range(seeds)], axis=0)
-            yield b.drop(columns=[*columns, "held"]).assign(deep_error=error)
-
-    return featured.mapInPandas(score, featured.drop(*columns, "held").schema.add("deep_error", "double"))
+            if b.num_rows:
+                x, fold = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(float), b.column("fold").to_numpy(zero_copy_only=False)
+                for k in scales:
+                    z = scaled(x[fold != k], scales[k])
+                    one = np.hstack([np.ones((len(z), 1)), z])
+                    total[k] += one.T @ one
+        out, i, v = zip(*[(k, i, v) for k, m in total.items() for i, v in enumerate(m.ravel())])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array(i, pa.int32()), pa.array(v, pa.float64())], ["out", "i", "v"])
+
+    return run
+
+
+def principal_components(rows: DataFrame, columns: list[str], scales: dict, components: int = 3) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per fold the mean and the leading components of the rows outside it, from one pass that sums products where they lie."""
+    width = len(columns) + 1
+    got = rows.select("fold", *columns).mapInArrow(_grams(scales, columns), "out int, i int, v double").groupBy("out", "i").agg(F.sum("v").alias("v")).collect()
+    found = {}
+    for k in scales:
+        gram = np.zeros(width * width)
+        for r in got:
+            if r["out"] == k:
+                gram[r["i"]] = r["v"]
+        gram = gram.reshape(width, width)
+        n = max(gram[0, 0], 1.0)
+        mean = gram[0, 1:] / n
+        _, vectors = np.linalg.eigh(gram[1:, 1:] / n - np.outer(mean, mean))
+        found[k] = mean, vectors[:, ::-1][:, :components].T
+    return found
+
+
+def component_errors(c: DataFrame, components: int = 3, folds: int = FOLDS) -> DataFrame:
+    """c with fold and pca_error, the linear measure beside deep_error: mean squared error of a contract's features rebuilt
+    from the leading components of the other folds."""
+    featured, columns = folded(c, folds)
+    scales = fold_scales(featured, columns, folds)
+    found = principal_components(featured, columns, scales, components)
+
+    def error(fold: int, x: np.ndarray) -> np.ndarray:
+        z, (mean, parts) = scaled(x, scales[fold]), found[fold]
+        return (((z - mean) @ parts.T @ parts + mean - z) ** 2).mean(1)
+
+    return _errors(featured, columns, [*c.columns, "fold"], "pca_error", error)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .rules import ids_of
+from .rules import hit_sets, ids_of
 
 #: Fields by kind; a rule may only name these.
 FIELDS = {
@@ -98,7 +98,7 @@ def backtest(evaluated: DataFrame, rule: dict) -> DataFrame:
 
 def backtest_overlap(evaluated: DataFrame, rule: dict, top: int = 6) -> DataFrame:
     """The rules that hit most of the same contracts, by Jaccard."""
-    hits = evaluated.groupBy(compile_rule(rule).alias("hit"), "hit_mask").agg(F.count("*").alias("k")).select("hit", "k", ids_of().alias("ids"))
+    hits = hit_sets(evaluated.withColumn("hit", compile_rule(rule)), "hit").select("hit", F.col("n").alias("k"), ids_of().alias("ids"))
     # A row of its own counts the rule: one pass over the contracts, then a row per rule and set of rules.
     ids = F.explode(F.concat("ids", F.array(F.lit("")))).alias("rule_id")
     each = hits.select("hit", "k", ids).groupBy("rule_id").agg(F.sum("k").alias("n_other"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("k"))), F.lit(0)).alias("n_both"))

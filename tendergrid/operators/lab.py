@@ -93,7 +93,7 @@ def rule_health(evaluated: DataFrame, rules: dict[str, Rule] | None = None) -> D
     """Per enabled rule: hits and their value, contracts that it alone hits, priority contracts that would not be such
     without it, and silent: no hit at all. Scores without a rule are formed once for each set of rules that hit together."""
     rules = configured() if rules is None else rules
-    rows = hit_sets(evaluated, "risk_score")
+    rows = hit_sets(evaluated).withColumn("risk_score", score(rules, lambda r: struck(r.id)))
     without = {k: score({j: r for j, r in rules.items() if j != k}, lambda r: struck(r.id)) for k in rules}
     told = [F.when(struck(k), F.struct(F.lit(k).alias("rule_id"), (F.col("hit_mask") == bit(k)).alias("sole"), ((F.col("risk_score") >= PRIORITY_SCORE) & (w < PRIORITY_SCORE)).alias("leave"))) for k, w in without.items()]
     each = rows.select("n", "value", F.explode(F.array_compact(F.array(*told))).alias("t"))

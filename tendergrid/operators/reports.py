@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.parse import haversine_km
 from ..functions.stats import auc, percent_rank_average, quantiles
 
+#: The group of groups that are too small for one of their own.
+OTHER = "other_small"
 # Words of units in written numbers, and words that may stand beside a number.
 UNITS = (("พันล้าน", 1_000_000_000), ("ล้าน", 1_000_000), ("พัน", 1_000))
 BESIDE = "บาท|วัน|สัญญา|ฉบับ|ราย|หน่วยงาน|เท่า|ของมัธยฐาน"
@@ -36,12 +38,11 @@ def top_overlap(a: DataFrame, b: DataFrame, key: list[str], k: int) -> DataFrame
     return both.agg(F.count("*").alias("n_both"), F.round(F.count("*") / k, 6).alias("overlap"))
 
 
-def top_factors(df: DataFrame, contributions: dict[str, str], least: float, most: int = 3) -> DataFrame:
-    """df with factors, its greatest contributions (name, delta) above a bound; ties in order of name."""
-    parts = F.array(*[F.struct(F.col(c).cast("double").alias("delta"), F.lit(name).alias("name")) for name, c in contributions.items()])
+def top_factors(parts: Column, least: float, most: int = 3) -> Column:
+    """Of an array of structs (feature, delta, ...) those of the greatest delta above a bound; ties in order of feature."""
     big = F.filter(parts, lambda p: p["delta"] > least)
-    order = F.array_sort(big, lambda x, y: F.when(x["delta"] > y["delta"], -1).when(x["delta"] < y["delta"], 1).when(x["name"] < y["name"], -1).when(x["name"] > y["name"], 1).otherwise(0))
-    return df.withColumn("factors", F.slice(order, 1, most))
+    order = F.array_sort(big, lambda x, y: F.when(x["delta"] > y["delta"], -1).when(x["delta"] < y["delta"], 1).when(x["feature"] < y["feature"], -1).when(x["feature"] > y["feature"], 1).otherwise(0))
+    return F.slice(order, 1, most)
 
 
 def group_percentile(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
@@ -49,7 +50,7 @@ def group_percentile(df: DataFrame, x: str, by: list[str], out: str) -> DataFram
     return percent_rank_average(df, x, by, "_share").withColumn(out, F.round(100 * F.col("_share"), 1)).drop("_share")
 
 
-def scoring_groups(df: DataFrame, group: str, least: int = 30, other: str = "other_small") -> DataFrame:
+def scoring_groups(df: DataFrame, group: str, least: int = 30, other: str = OTHER) -> DataFrame:
     """df with scoring_group: its group, or `other` where the group has fewer usable rows."""
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     joined = df.join(sizes.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left")
@@ -59,8 +60,9 @@ def scoring_groups(df: DataFrame, group: str, least: int = 30, other: str = "oth
 def imputed(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
     """df with x, or its group's median, or that of all where x or a group has none."""
     whole = quantiles(df, x, [], {"m": 0.5}).first()
-    groups = quantiles(df, x, by, {"_m": 0.5}).drop("n")
-    return df.join(groups, by, "left").withColumn(out, F.coalesce(F.col(x).cast("double"), "_m", F.lit(whole["m"] if whole else None))).drop("_m")
+    groups = quantiles(df, x, by, {"_m": 0.5}).select(*[F.col(b).alias(f"_of_{b}") for b in by], "_m")
+    same = [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by]
+    return df.join(groups, same, "left").withColumn(out, F.coalesce(F.col(x).cast("double"), "_m", F.lit(whole["m"] if whole else None))).drop("_m", *[f"_of_{b}" for b in by])
 
 
 def histogram(df: DataFrame, x: str, low: float, high: float, bins: int) -> DataFrame:

@@ -173,7 +173,9 @@ def ids_of(rules: Iterable[str] | None = None, mask: str = "hit_mask") -> Column
 def hit_sets(evaluated: DataFrame, *by: str) -> DataFrame:
     """Contracts and their value per set of rules that hit together (and columns `by`): some hundred rows, from which all
     counts of rules follow."""
-    return evaluated.groupBy(*by, "hit_mask").agg(F.count("*").alias("n"), F.sum("contract_price_agree").alias("value"))
+    # The mask comes out as an aggregate: conditions on it stay above, where they'd otherwise repeat each predicate in every row.
+    sets = evaluated.groupBy(*by, F.col("hit_mask").alias("_set")).agg(F.max("hit_mask").alias("hit_mask"), F.count("*").alias("n"), F.sum("contract_price_agree").alias("value"))
+    return sets.drop("_set")
 
 
 def hit(rule: Rule) -> Column:
@@ -241,9 +243,12 @@ def summarize(evaluated: DataFrame, rules: Iterable[str] | None = None) -> DataF
     return each.groupBy("rule_id").agg(F.sum("n").alias("n"), F.sum("value").cast("double").alias("value"))
 
 
-def bands(evaluated: DataFrame) -> DataFrame:
-    """Contracts, value and mean score per band; flagged counts those with any hit, unscored ones too."""
-    sets = hit_sets(evaluated, "risk_band", "risk_score")
+def bands(evaluated: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """Contracts, value and mean score per band; flagged counts those with any hit, unscored ones too. rules: those evaluated,
+    where their weights aren't the default ones; scores are formed once for each set of rules."""
+    rules = configured() if rules is None else rules
+    sets = hit_sets(evaluated).withColumn("risk_score", score(rules, lambda r: struck(r.id)))
+    sets = sets.withColumn("risk_band", band(F.col("risk_score")))
     flagged = F.coalesce(F.sum(F.when(F.col("hit_mask") != 0, F.col("n"))), F.lit(0))
     return sets.groupBy("risk_band").agg(F.sum("n").alias("n"), flagged.alias("flagged"), F.sum("value").cast("double").alias("value"), F.round(F.sum(F.col("risk_score") * F.col("n")) / F.sum("n"), 4).alias("avg_score"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import all_groups, first_group, place_of
-from ..functions.values import ANATOMY
+from ..functions.values import ANATOMY, NAME_LEAD, NAME_TAIL, NO_WORD_END, NO_WORD_START, PHRASE_ENDS
+from ..tables import written
 
 
 def tokens(name: Column) -> Column:
@@ -41,6 +42,78 @@ def repeated_places(df: DataFrame, least: int = 3) -> DataFrame:
     return placed.groupBy("dept_key", "place").agg(F.count("*").alias("n"), F.sum("contract_price_agree").cast("double").alias("value")).filter(F.col("n") >= least)
 
 
+def _bare(name: Column) -> Column:
+    """A name without what all names share."""
+    left = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), NAME_TAIL, ""), NAME_LEAD, "")
+    return F.trim(F.regexp_replace(left, r"(?U)\s+", " "))
+
+
+def _as_word(term: Column) -> Column:
+    """A term without signs that can't end or begin a word."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(term, NO_WORD_END, ""), NO_WORD_START, ""), r"(?U)^[\s\-–—.,]+|[\s\-–—.,]+$", "")
+
+
+def grown_terms(phrases: DataFrame, least: int, shortest: int, longest: int, keeps: float = 0.7) -> DataFrame:
+    """term, n of terms that begin phrases. phrases: (name_id, phrase).
+
+    Prefixes of phrases are counted once a name. Each frequent prefix of the shortest length grows by the commonest next
+    character while at least `keeps` of its own count remains; of ties the first character goes on.
+    """
+    lengths = F.sequence(F.lit(shortest), F.least(F.length("phrase"), F.lit(longest)))
+    each = phrases.filter(F.length("phrase") >= shortest).select("name_id", F.explode(F.transform(lengths, lambda n: F.substring(F.col("phrase"), F.lit(1), n))).alias("prefix"))
+    counts = written(each.distinct().groupBy("prefix").agg(F.count("*").alias("n")).filter(F.col("n") >= max(1, -(-int(100 * keeps) * least // 100))))
+    seeds = counts.filter((F.length("prefix") == shortest) & (F.col("n") >= least)).select(F.col("prefix").alias("seed"), F.col("n").alias("seed_n"))
+    longer = counts.filter(F.length("prefix") > shortest).withColumn("seed", F.substring("prefix", 1, shortest)).join(seeds, "seed").filter(F.col("n") >= keeps * F.col("seed_n"))
+    # Few prefixes of a seed keep so much of its count: at each length one or, where names hold several phrases, a few.
+    step = F.struct(F.length("prefix").alias("size"), (-F.col("n")).alias("order"), "prefix", "n")
+    steps = longer.groupBy("seed").agg(F.sort_array(F.collect_list(step)).alias("steps"))
+    start = F.struct(F.col("seed").alias("term"), F.col("seed_n").alias("n"))
+    goes_on = lambda at, s: (s["size"] == F.length(at["term"]) + 1) & s["prefix"].startswith(at["term"])
+    grown = F.aggregate(F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), start, lambda at, s: F.when(goes_on(at, s), F.struct(s["prefix"].alias("term"), s["n"].alias("n"))).otherwise(at))
+    out = seeds.join(steps, "seed", "left").select(grown.alias("g")).select(_as_word(F.col("g.term")).alias("term"), "g.n")
+    return out.filter(F.length("term") >= shortest).groupBy("term").agg(F.max("n").alias("n"))
+
+
+def _occurrences(names: DataFrame, terms: DataFrame, shortest: int) -> DataFrame:
+    """name_id, term, place of each term in each name: places meet terms by their first characters, then the whole term is compared."""
+    places = F.sequence(F.lit(1), F.greatest(F.length("name") - shortest + 1, F.lit(1)))
+    at = names.filter(F.length("name") >= shortest).select("name_id", "name", F.explode(places).alias("place")).withColumn("head", F.substring("name", F.col("place"), F.lit(shortest)))
+    keyed = terms.select("term", F.substring("term", 1, shortest).alias("head"))
+    return at.join(keyed, "head").filter(F.substring("name", F.col("place"), F.length("term")) == F.col("term"))
+
+
+def mine_terms(df: DataFrame, groups, column: str = "project_name", least: int = 3, shortest: int = 4, longest: int = 32, top: int = 25) -> DataFrame:
+    """Terms that would tell names apart which no group fits: term, n (names without a group that begin a phrase with it), leak (names
+    with a group that hold it), hit and leak_rate (their shares), score = hit - leak_rate.
+
+    A term must be three times as common without a group as with one, must not follow a number in 60 % of its places (it
+    is a unit then), and neither holds nor lies in a better one. All names count; the terms, a bounded table of frequent prefixes, are taken
+    in order until `top` are kept. Null names are empty.
+    """
+    bare = df.select(F.monotonically_increasing_id().alias("name_id"), _bare(F.col(column)).alias("name"), (F.size(all_groups(F.col(column), groups)) > 0).alias("known"))
+    bare = written(bare)
+    sizes = bare.agg(F.count_if(~F.col("known")).alias("new"), F.count_if("known").alias("known")).first()
+    new, known = bare.filter(~F.col("known")), bare.filter("known")
+    phrase = F.trim(F.regexp_replace(F.col("phrase"), "[0-9๐-๙]+", " "))
+    phrases = new.select("name_id", F.explode(F.split("name", PHRASE_ENDS)).alias("phrase")).withColumn("phrase", phrase)
+    terms = written(grown_terms(phrases, least, shortest, longest))
+    leaks = _occurrences(known, terms, shortest).groupBy("term").agg(F.count_distinct("name_id").alias("leak"))
+    before = F.substring("name", F.greatest(F.col("place") - 4, F.lit(1)), F.least(F.col("place") - 1, F.lit(4)))
+    units = _occurrences(new, terms, shortest).groupBy("term").agg((F.count_if(before.rlike("(?U)[0-9๐-๙][\\s.,]*$")) / F.count("*")).alias("after_number"))
+    both = terms.join(leaks, "term", "left").join(units, "term", "left").withColumn("leak", F.coalesce("leak", F.lit(0)))
+    both = both.withColumns({"hit": F.col("n") / max(sizes["new"], 1), "leak_rate": F.col("leak") / max(sizes["known"], 1)})
+    # A bounded table: the tests of one term against those kept before it have an order.
+    ordered = written(both.filter(F.col("hit") >= 3 * F.col("leak_rate")).withColumn("score", F.col("hit") - F.col("leak_rate")))
+    kept: list = []
+    for r in ordered.orderBy(F.desc("score"), F.desc("n"), F.desc(F.length("term")), "term").toLocalIterator():
+        if len(kept) == top:
+            break
+        if (r["after_number"] or 0) < 0.6 and not any(k["term"] in r["term"] or r["term"] in k["term"] for k in kept):
+            kept.append(r)
+    rows = [(r["term"], r["n"], r["leak"], round(r["hit"], 6), round(r["leak_rate"], 6), round(r["score"], 6)) for r in kept]
+    return df.sparkSession.createDataFrame(rows, "term string, n long, leak long, hit double, leak_rate double, score double")
+
+
 def near_repeats(df: DataFrame, by: list[str], days: int = 30, percent: int = 80, column: str = "project_name") -> DataFrame:
     """Pairs of contracts of one agency, other projects, within some days, whose names share most of their words.
 

@@ -159,6 +159,11 @@ ORACLES["lift_pairs"] = f"{K} SELECT a, b, n_both, round(n_both / na, 6) AS conf
 ORACLES["robust_price_z"] = f"""{K}, q AS (SELECT province, {_D.format('contract_price_agree')} AS price FROM k), m AS (SELECT province, quantile_cont(price, 0.5) AS med FROM q GROUP BY 1), a AS (SELECT q.*, med, abs(price - med) AS d FROM q JOIN m USING (province)),
 s AS (SELECT province, quantile_cont(d, 0.5) AS mad FROM a GROUP BY 1), z AS (SELECT a.province, least(10, greatest(-10, (price - med) / (1.4826 * mad))) AS z FROM a JOIN s USING (province))
 SELECT province, count(*) AS n, round(max(z), 6) AS max_z, round(min(z), 6) AS min_z, round(avg(z), 6) AS avg_z FROM z GROUP BY 1"""
+_BAND4 = f"CASE WHEN log10({_D.format('contract_price_agree')}) > 6.5 THEN 3 WHEN log10({_D.format('contract_price_agree')}) > 5.7 THEN 2 WHEN log10({_D.format('contract_price_agree')}) > 5.3 THEN 1 ELSE 0 END"
+ORACLES["peer_rounding"] = f"""{K}, r AS (SELECT dept_key, (purchase_method_name, project_type_name, {_BAND4}) AS peer, CASE WHEN {_V} % 1000 = 0 THEN '000' WHEN {_V} % 100 = 0 THEN 'x00' WHEN {_V} % 10 = 0 THEN 'xx0' ELSE 'xxx' END AS kind FROM k WHERE contract_price_agree >= 1000),
+s AS (SELECT peer, kind, count(*) / sum(count(*)) OVER (PARTITION BY peer) AS p FROM r GROUP BY 1, 2), o AS (SELECT dept_key, peer, count(*) AS c FROM r GROUP BY 1, 2), e AS (SELECT dept_key, kind, sum(c * p) AS e FROM o JOIN s USING (peer) GROUP BY 1, 2),
+n AS (SELECT dept_key, kind, count(*) AS o FROM r GROUP BY 1, 2), t AS (SELECT e.dept_key, e, coalesce(o, 0) AS o FROM e LEFT JOIN n USING (dept_key, kind)), a AS (SELECT dept_key, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 20)
+SELECT dept_key, any_value(n) AS n, round(coalesce(sum((o - e) * (o - e) / e) FILTER (e >= 1), 0), 4) AS chi_squared, CAST(greatest(count(*) FILTER (e >= 1) - 1, 1) AS INTEGER) AS degrees FROM t JOIN a USING (dept_key) GROUP BY 1"""
 ORACLES["winner_percentiles"] = f"""{K}, w AS (SELECT winner_key, count(*) AS w_n FROM k GROUP BY 1)
 SELECT winner_key, w_n, round((rank() OVER (ORDER BY w_n) + (count(*) OVER (PARTITION BY w_n) - 1) / 2) / count(*) OVER (), 6) AS rank_pct FROM w"""
 _METHODS = f"""pm AS (SELECT dept_key, project_id, arg_min(purchase_method_name, (contract_date, contract_no, purchase_method_name)) AS method FROM k WHERE project_money > 100000 GROUP BY 1, 2),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import band, canonical_name, haversine_km, money, thai_date
 from ..functions.stats import percent_rank_average, robust_z
-from ..operators import analytics, autoencoder, context, dsl, graph, merge, models, patterns, rules, text
+from ..operators import analytics, autoencoder, context, digits, dsl, graph, merge, models, patterns, reports, rules, text
+from ..tables import written
 from .contracts import contracts, table, viewed
 
 QUERIES: dict = {}
@@ -342,7 +343,7 @@ def association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def discount_hurdle(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = models.hurdle(contracts(spark, sf_dir))
-    return got.groupBy("dept_key").agg(F.count("*").alias("n"), F.round(F.avg("p_zero"), 4).alias("p_zero"))
+    return got.groupBy("dept_key").agg(F.count("*").alias("n"), F.round(F.avg("p_zero"), 4).alias("p_zero"), F.round(F.avg("depth_residual"), 4).alias("depth_residual"))
 
 
 @query
@@ -398,6 +399,92 @@ def underbid_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("purchase_method_name", "project_type_name").agg(F.count("*").alias("n"), F.max("under").alias("most"), F.min("under").alias("least"))
 
 
+CONTRACT = ["project_id", "contract_no", "winner_key", "contract_date", "contract_price_agree"]
+
+
+def _told(df: DataFrame, score: str) -> DataFrame:
+    """A row per factor of an explained contract."""
+    each = df.select(*CONTRACT, F.round(score, 4).alias(score), F.posexplode_outer("factors").alias("place", "f"))
+    return each.select(*CONTRACT[:-1], F.col("contract_price_agree").cast("double").alias("price"), score, "place", "f.feature", F.round("f.delta", 4).alias("delta"), F.round("f.value", 3).alias("value"), F.round("f.peer", 3).alias("peer"))
+
+
+@query
+def anomaly_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What makes the 400 oddest contracts odd: features whose usual value would lower the forest's score."""
+    return _told(models.explain_anomalies(viewed(spark, sf_dir), CONTRACT), "ml_score")
+
+
+@query
+def deep_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the networks' errors."""
+    return _told(autoencoder.explain_deep(viewed(spark, sf_dir), CONTRACT), "deep_error")
+
+
+@query
+def forest_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.forest_stability(viewed(spark, sf_dir), CONTRACT)
+
+
+@query
+def component_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = autoencoder.component_errors(viewed(spark, sf_dir))
+    return got.select("project_id", "contract_no", "winner_key", "fold", F.round("pca_error", 6).alias("pca_error"))
+
+
+@query
+def hurdle_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.hurdle_quality(contracts(spark, sf_dir))
+
+
+@query
+def score_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts by how many of the three engines (rules, forest, networks) flag them, and by the only one that does."""
+    return reports.agreement(_both_scores(spark, sf_dir), {"rules": F.col("risk_score") >= 40, "forest": F.col("ml_pct") >= 95, "networks": F.col("deep_pct") >= 95})
+
+
+@query
+def deep_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the networks' score ranks contracts that certain rules hit for sure."""
+    labelled = _both_scores(spark, sf_dir).withColumn("label", rules.struck("R4") | rules.struck("R11") | rules.struck("R20"))
+    return reports.proxy_evaluation(labelled, "label", "deep_pct", CONTRACT)
+
+
+def _both_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts with hit_mask, risk_score and the percentiles of both models' scores (the networks' within the scoring group), once a session."""
+    c = _scored(spark, sf_dir).drop("rule_hits")
+    featured, columns = autoencoder.folded(c)
+    keep = [*CONTRACT, "hit_mask", "risk_score", models.GROUP, "fold", *columns]
+    nets, scales = autoencoder.fit(featured.select("fold", "held", *columns), columns)
+    forest = models.grow(featured, columns)
+    rows = models.scored(featured, columns, {"ml_score": forest.score}, keep)
+    rows = written(autoencoder._errors(rows, columns, [x for x in keep if x not in columns] + ["ml_score"], "deep_error", autoencoder.networks_error(nets, scales, len(columns))))
+    return written(reports.group_percentile(reports.group_percentile(rows, "ml_score", [], "ml_pct"), "deep_error", [models.GROUP], "deep_pct"))
+
+
+@query
+def mined_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the types of parts that name no metal."""
+    p = table(spark, sf_dir, "part").select(F.concat_ws(" / ", "p_type", "p_brand").alias("project_name"))
+    return text.mine_terms(p, (("steel", "STEEL"), ("brass", "BRASS")))
+
+
+@query
+def digit_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digits.audit(viewed(spark, sf_dir))
+
+
+@query
+def sibling_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = digits.sibling_test(viewed(spark, sf_dir))
+    return got.select("org", "sub", "n", F.round("mad", 6).alias("mad"), "p")
+
+
+@query
+def peer_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = digits.peer_test(viewed(spark, sf_dir))
+    return got.select("dept_key", "n", F.round("chi_squared", 4).alias("chi_squared"), "degrees").withColumn("n", F.col("n").cast("long"))
+
+
 @query
 def autoencoder_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = autoencoder.deep_scores(contracts(spark, sf_dir))

@@ -3,8 +3,8 @@
 A page is cut into blocks at block-level tags. A block is described by its word count and link density, those of the
 blocks before and after it, and by what the markup around it says, mark by mark (a heading, a list item; inside an
 article, a navigation, header, footer, sidebar, notice, advert, form, sharing or comments element, and whether that lies
-inside the article or around it; the share of the page's words that the least such element holds). No mark decides by
-itself: a decision tree, trained on a small labelled table of pages, weighs them all and keeps or drops each block.
+inside the article or around it; whether other text lies in an article or content element, and if none does, the share of
+the page's words that the least such element holds). No mark decides by itself: a decision tree, trained on a small labelled table of pages, weighs them all and keeps or drops each block.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section
 summary table tbody td tfoot th thead tr ul""".split())
 CONTAINERS = BLOCKS - frozenset("hr p h1 h2 h3 h4 h5 h6 li dt dd td th tr option".split())
-ITEMS = frozenset("li dt dd".split())
+ITEMS = frozenset("li dt dd td th caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Kinds of marks, each with its elements and its words of class, id and role.
 KINDS = {
@@ -180,34 +180,44 @@ def blocks_of(page: str) -> list[Block]:
 
 
 MARKS = tuple(KINDS)
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "item", *MARKS, "share")
+#: Kinds that say where the main text is; the others say where it isn't.
+MAIN = ("article", "content")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "item", *MARKS, "share", "beside")
 
 
 def features(blocks: Sequence[Block]) -> np.ndarray:
     """The blocks of one page to rows of FEATURES.
 
     Beyond the page's ends there are no words and no links. A mark is 0 where no element of its kind is around the
-    block, 2 where the innermost one lies inside an article element, else 1; an article or content element is 1. share:
-    1 and the part of the page's words inside that element of another kind around the block that holds least, 0 for none.
+    block, 2 where the innermost one lies inside an article element, else 1; an article or content element is 1. share: 0
+    without an element of another kind around the block; 1 where article or content text lies outside one of these; else 1 and
+    the part of the page's words inside the one that holds least. So comments or a sidebar gain nothing by outweighing
+    the article, while a form or widget that holds the whole page does. beside: 1 where the block is in no article or content
+    element and other text is.
     """
     a = np.array([(b.words, b.link_words / b.words) for b in blocks], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
     before, after = np.vstack([edge, a[:-1]])[: len(a)], np.vstack([a[1:], edge])[-len(a) :] if len(a) else np.zeros((0, 2))
     held: dict[int, int] = {}
-    for b in blocks:
+    main_held: dict[int, int] = {}
+    is_main = [any(kind in MAIN for kind, _ in b.marks) for b in blocks]
+    for b, main in zip(blocks, is_main):
         for element in {element for _, element in b.marks}:
             held[element] = held.get(element, 0) + b.words
-    total = sum(b.words for b in blocks)
-    told = np.zeros((len(blocks), 3 + len(MARKS)))
-    for row, b in zip(told, blocks):
+            main_held[element] = main_held.get(element, 0) + b.words * main
+    total, main_total = sum(b.words for b in blocks), sum(b.words for b, main in zip(blocks, is_main) if main)
+    told = np.zeros((len(blocks), 4 + len(MARKS)))
+    for row, b, main in zip(told, blocks, is_main):
         row[:2] = b.heading, b.item
         inside, others = 1, []
         for kind, element in b.marks:
-            own = kind in ("article", "content")
+            own = kind in MAIN
             row[2 + MARKS.index(kind)] = 1 if own else inside
             inside = 2 if kind == "article" else inside
-            others += [] if own else [held[element]]
-        row[-1] = 1 + min(others) / total if others else 0
+            others += [] if own else [element]
+        rival = any(main_total > main_held[e] for e in others)
+        row[-2] = 0 if not others else 1 if rival else 1 + min(held[e] for e in others) / total
+        row[-1] = main_total > 0 and not main
     return np.hstack([a, before, after, told])
 
 
@@ -246,6 +256,15 @@ LABELLED = (
     "<form><nav>-1L1</nav><h1>+6</h1><p>+50<p>+45<p>+4<footer>-5</footer></form>", "<form><div>-2L2</div><div>-1L1</div><p>+60<p>+3<p>+72L3<div>-3L3</div></form>",
     "<form><main><h1>+7</h1><p>+40<p>+6<p>+52</main>-1</form>", "<div class=widget><p>+64<p>+5<p>+48</div>", "<div class=sidebar><h1>+4</h1><p>+55<p>+70L2</div>",
     "<div class=banner><p>+45<p>+9<p>+62</div>", "<div class=notice><p>-10</div>", "<div class=cookie>-8</div>", "<form>-1<p>-3</form><p>+44<p>+53",
+    # Comments, sidebars and the like that outweigh the article beside or around them.
+    "<article><p>+40<section class=comments><p>-60<p>-60<p>-60<p>-60<p>-60<p>-60</section></article>", "<article><h1>+4</h1><p>+40</article><section class=comments><p>-60<p>-60<p>-60<p>-60<p>-60<p>-60</section>",
+    "<main><p>+60</main><aside><p>-500</aside>", "<div class=content><h1>+5</h1><p>+30<p>+18</div><div class=sidebar><p>-300<p>-120L4</div>", "<article><p>+25<div class=comment><p>-90</div><div class=comment><p>-140</div><div class=comment><p>-6</div></article>",
+    "<article><p>+22</article><div class=newsletter><p>-80<p>-45</div><div class=cookie><p>-150</div>", "<article><p>+35</article><div class=related><p>-90<p>-70<p>-85L3</div><footer><p>-200</footer>",
+    "<main><p>+18<p>+9</main><div class=ads><p>-60<p>-75</div><div class=comments><h3>-2</h3><div>-80</div><div>-3</div></div>", "<section class=comments><h2>-1</h2><p>-38<p>-61<p>-4</section>", "<h1>+5</h1><p>+30<div class=comments><p>-120<p>-90<p>-85</div>",
+    "<div class=post><p>+33<p>+21</div><ul class=comments><li>-44<li>-61<li>-2L1<li>-95</ul><div class=widget>-60</div>",
+    # Tables of data, with and without marks around them.
+    "<article><p>+30<table><caption>+4</caption><tr><th>+1<th>+2<tr><td>+1<td>+3<tr><td>+2<td>+1L1</table><p>+25</article>", "<p>+40<table><tr><td>+1<td>+2<td>+1<tr><td>+3<td>+1<td>+2</table><p>+33", "<h1>+6</h1><table><tr><th>+2<th>+1<tr><td>+4<td>+2<tr><td>+1<td>+6</table><p>+50",
+    "<table><tr><td>-1L1<td>-2L2<td>-1L1</table><h1>+7</h1><p>+64<p>+41<table><tr><td>-2L2<td>-1L1</table>", "<table><tr><td>+2<td>+1<td>+2<tr><td>+3<td>+1<td>+1</table><p>+28",
     "<aside><p>-6</aside>", "<p>+30<div class=ads><p>-40</div><p>+36", "<h1>+5</h1><p>+41<section class=comments><p>-38<p>-3<p>-61</section>",
 )
 

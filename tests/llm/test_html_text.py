@@ -108,9 +108,12 @@ def brute_features(blocks):
             at = [j for j, (k, _) in enumerate(b.marks) if k == kind]
             above = [k for k, _ in b.marks[: at[-1]]] if at else []
             marks.append(0 if not at else 2 if "article" in above and kind not in ("article", "content") else 1)
-        inside = [sum(o.words for o in blocks if any(e == element for _, e in o.marks)) for kind, element in b.marks if kind not in ("article", "content")]
-        share = 1 + min(inside) / sum(o.words for o in blocks) if inside else 0
-        out.append([*near[0], *near[1], *near[2], b.heading, b.item, *marks, share])
+        main = [o for o in blocks if any(k in ("article", "content") for k, _ in o.marks)]
+        around = [element for kind, element in b.marks if kind not in ("article", "content")]
+        inside = [sum(o.words for o in blocks if any(e == element for _, e in o.marks)) for element in around]
+        rival = any(all(e != element for _, e in o.marks) for element in around for o in main)
+        share = 0 if not inside else 1 if rival else 1 + min(inside) / sum(o.words for o in blocks)
+        out.append([*near[0], *near[1], *near[2], b.heading, b.item, *marks, share, bool(main) and b not in main])
     return out
 
 
@@ -138,6 +141,34 @@ def test_words_and_links_of_neighbours_decide_beside_marks():
     assert main_text(f"<div class=sidebar>{long * 3}</div>", TREE).count("word") == 180
 
 
+def words(prefix, n):
+    return " ".join(f"{prefix}{i}" for i in range(n))
+
+
+def test_what_outweighs_the_article_goes():
+    story, talk = words("s", 40), [words(f"c{k}x", 60) for k in range(6)]
+    comments = "<section class=comments>" + "".join(f"<p>{t}</p>" for t in talk) + "</section>"
+    for page in (
+        f"<article><p>{story}</p>{comments}</article>", f"<article><p>{story}</p></article>{comments}", f"<main><p>{story}</p></main><aside><p>{words('a', 500)}</p></aside>",
+        f"<div class=content><p>{story}</p></div><div class=sidebar><p>{words('a', 200)}</p><p>{words('b', 90)}</p></div>", f"<article><p>{story}</p></article><div class='cookie-banner'><p>{words('k', 300)}</p></div>",
+        f"<div id=main><p>{story}</p><div class=ad><p>{words('a', 150)}</p></div></div>", f"<article><p>{story}</p><form><p>{words('f', 160)}</p></form></article>",
+        f"<article><p>{story}</p><ul id=comments><li class=comment><article>{words('c', 180)}</article></li></ul></article>", f"<article><p>{story}</p></article><footer><p>{words('f', 400)}</p></footer>",
+    ):
+        assert main_text(page, TREE) == story, page
+
+
+def test_comments_alone_are_no_main_text():
+    assert main_text("<section class=comments><p>" + words("c", 50) + "</p><p>" + words("d", 70) + "</p></section>", TREE) == ""
+
+
+def test_tables_are_kept_whole():
+    cells = "<table><tr><th>Year</th><th>Name of it</th></tr><tr><td>2001</td><td>Old one</td></tr><tr><td>2002</td><td>New</td></tr></table>"
+    kept = "Year\nName of it\n2001\nOld one\n2002\nNew"
+    text = words("t", 45)
+    assert main_text(f"<article><p>{text}</p>{cells}</article>", TREE) == f"{text}\n{kept}"
+    assert main_text(f"<p>{text}</p>{cells}<p>{text}</p>", TREE) == f"{text}\n{kept}\n{text}"
+
+
 def test_links():
     found = blocks_of("<p>see <a href=x>the page</a> now</p><ul><li><a>x y</a></ul>")
     assert [(b.words, b.link_words) for b in found] == [(4, 2), (2, 2)]

@@ -133,18 +133,37 @@ class Forest:
         add(x, 0)
         return np.array(feature), np.array(cut), np.array(below), np.array(path)
 
+    def _full(self) -> list[tuple[np.ndarray, ...]]:
+        """Each tree with all levels filled, the children of node i at 2 i + 1 and 2 i + 2: a leaf passes rows on to the left."""
+        out, size = [], 2**self.depth - 1
+        for feature, cut, below, path in self.trees:
+            split, bar, last = np.zeros(size, np.int32), np.full(size, np.inf), np.zeros(size + 1)
+            stack = [(0, 0)]
+            while stack:
+                at, node = stack.pop()
+                if at >= size:
+                    last[at - size] = path[node]
+                elif feature[node] < 0:
+                    stack.append((2 * at + 1, node))
+                else:
+                    split[at], bar[at] = feature[node], cut[node]
+                    stack += [(2 * at + 1, below[node][0]), (2 * at + 2, below[node][1])]
+            out.append((split, bar, last))
+        return out
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Scores of rows; leaves lead to themselves, so each tree is walked by whole arrays of rows."""
+        """Scores of rows; each tree is walked level by level by whole arrays of rows."""
+        if not hasattr(self, "full"):
+            self.full = self._full()
         n, total = len(x), np.zeros(len(x))
-        flat, row = np.ascontiguousarray(x.T).ravel(), np.arange(len(x))
-        for feature, cut, below, path in self.trees:
-            at, leaf = np.zeros(n, np.intp), feature < 0
-            jump = np.where(leaf, 0, feature).astype(np.intp) * n
-            bar = np.where(leaf, np.inf, cut)
-            low, high = np.where(leaf, np.arange(len(leaf)), below[:, 0]), below[:, 1]
+        flat, row, size = np.ascontiguousarray(x.T).ravel(), np.arange(n), 2**self.depth - 1
+        for split, bar, last in self.full:
+            jump, at = split * n, np.zeros(n, np.intp)
             for _ in range(self.depth):
-                at = np.where(flat[jump[at] + row] > bar[at], high[at], low[at])
-            total += path[at]
+                above = flat.take(jump.take(at) + row) > bar.take(at)
+                at += at + 1
+                at += above
+            total += last.take(at - size)
         return 2.0 ** (-total / len(self.trees) / max(self.expected(self.size), 1e-9))
 
 

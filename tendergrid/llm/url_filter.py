@@ -17,9 +17,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
-RIDGE = 0.02
+RIDGE = 0.01
+#: Step of the descent; rows have unit length and weights that sum to one, so steps up to 15 are stable.
+RATE = 8.0
 #: Hosts after which a worker's cache of host scores starts afresh.
 CACHE_HOSTS = 200_000
 
@@ -33,9 +35,14 @@ hospital city council weather travel garden kitchen recipes books journal review
 football tennis forum wiki docs developer python software hardware photo gallery design art energy water
 environment climate economy market finance bank insurance law court parliament election family parents children
 animals birds ocean mountain river station railway airport bicycle motor engine bakery coffee wine restaurant
-hotel holiday island village church community foundation society institute academy press radio television""".split()
+hotel holiday island village church community foundation society institute academy press radio television clothing
+shipping printing training consulting engineering publishing housing fishing hiking cycling heating lighting catering
+brewing gaming racing wedding painting planning sailing camping shoes furniture jewelry flowers toys pets dental
+clinic salon studio legal accounting estate rental repair plumbing roofing solar electric mobile camera""".split()
 _NAMES = ("{a}", "{a}-{b}", "{a}{b}", "{b}-{a}")
 _BEFORE, _AFTER = ("", "www.", "blog.", "m."), (".example.com", ".example.net", ".example.org")
+#: Paths that hold a word: {a} is the word that tells, {b} one that doesn't.
+_TELLING = ("/{a}", "/{b}/{a}.html", "/{a}-{b}/{n}", "/shop/{b}-{a}/")
 _PATHS = ("", "/", "/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}")
 
 
@@ -51,8 +58,9 @@ def seed_urls() -> list[tuple[str, int]]:
     """The labelled table that the filter uses unless another is given: (url, 1 if unwanted).
 
     A host with an unwanted word is unwanted, whatever stands beside that word: another, an ordinary or a drawn one;
-    hosts of ordinary and drawn words aren't. Only words tell the labels apart: both take the same prefixes, domains,
-    shapes and paths in turn.
+    hosts of ordinary and drawn words aren't. A path with an unwanted word is unwanted on any host; the same host stands
+    in the table with an ordinary word in the same path. Only words tell the labels apart: both take the same prefixes,
+    domains, shapes and paths in turn.
     """
     out = []
     drawn = _drawn_words(2 * (len(UNWANTED) + len(ORDINARY)))
@@ -63,6 +71,14 @@ def seed_urls() -> list[tuple[str, int]]:
                 turn, other = i * len(_NAMES) + j, beside[(i * 7 + j * 3 + 1) % len(beside)]
                 host = _BEFORE[(i + j) % 4] + name.format(a=word, b=other) + _AFTER[turn % 3]
                 out.append((f"http://{host}{_PATHS[turn % len(_PATHS)].format(n=(i * 37 + j * 11) % 990)}", label))
+    hosts = ORDINARY + drawn
+    for i, word in enumerate(UNWANTED):
+        for j, path in enumerate(_TELLING):
+            turn = i * len(_TELLING) + j
+            host = _BEFORE[turn % 4] + hosts[(turn * 5 + 3) % len(hosts)] + _AFTER[(i + j) % 3]
+            beside = drawn[(turn * 3 + 1) % len(drawn)]
+            for told, label in ((word, 1), (ORDINARY[(turn * 7 + 2) % len(ORDINARY)], 0)):
+                out.append((f"http://{host}{path.format(a=told, b=beside, n=turn * 13 % 990)}", label))
     return sorted(set(out))
 
 
@@ -103,7 +119,7 @@ def _split(url: str) -> tuple[str, str]:
     return rest[:end], path[: min([i for i in (path.find(c) for c in "?#") if i >= 0], default=len(path))]
 
 
-def train(labelled: Sequence[tuple[str, int]], ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, float]:
+def train(labelled: Sequence[tuple[str, int]], ridge: float = RIDGE, steps: int = 800) -> tuple[np.ndarray, float]:
     """Weights of the hash buckets and the bias, by gradient descent with momentum on the ridge objective."""
     found = [sorted(set(sum(features(*_split(url)), []))) for url, _ in labelled]
     used, where = np.unique(np.concatenate([np.array(f) for f in found]), return_inverse=True)
@@ -116,8 +132,8 @@ def train(labelled: Sequence[tuple[str, int]], ridge: float = RIDGE, steps: int
     speed_w, speed_b = np.zeros(len(used)), 0.0
     for _ in range(steps):
         off = (1 / (1 + np.exp(-(np.bincount(row, x * w[where], len(found)) + b))) - y) * share
-        speed_w = 0.9 * speed_w - 2.0 * (np.bincount(where, x * off[row], len(used)) + ridge * w / len(found))
-        speed_b = 0.9 * speed_b - 2.0 * off.sum()
+        speed_w = 0.9 * speed_w - RATE * (np.bincount(where, x * off[row], len(used)) + ridge * w / len(found))
+        speed_b = 0.9 * speed_b - RATE * off.sum()
         w, b = w + speed_w, b + speed_b
     weights = np.zeros(BUCKETS)
     weights[used] = w

@@ -51,6 +51,21 @@ def test_training_is_stable_and_held_out_urls_are_told_apart():
     assert sum(right) / len(right) > 0.9
 
 
+def test_paths_tell_too():
+    model = train(seed_urls())
+    told = {"https://www.zeitung.example.net/casino/4": 1, "https://garten.example.org/buy/cheap-viagra.html": 1, "https://qvarl.example.com/x/poker-bonus": 1,
+            "https://www.zeitung.example.net/library/4": 0, "https://garten.example.org/buy/garden-flowers.html": 0, "https://qvarl.example.com/x/science-museum": 0}
+    assert sum(int(probability(u, model) >= 0.5) == label for u, label in told.items()) >= 5
+
+
+def test_ordinary_endings_are_no_sign():
+    """Parts that unwanted and ordinary words share."""
+    model = train(seed_urls())
+    hosts = ("thing", "clothing", "ththing", "fishing", "teaching", "discover", "tracking-parcel", "downtown", "creditable", "windows", "beatles", "pricing")
+    right = [probability(f"https://www.{h}.example.net/en/4", model) < 0.5 for h in hosts]
+    assert sum(right) >= 8
+
+
 def test_empty(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
 

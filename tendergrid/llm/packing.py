@@ -31,7 +31,7 @@ END_ID = 1
 #: Partial windows that one task merges.
 FAN_IN = 512
 #: Words after which a worker's token cache starts afresh, and the longest word it keeps.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+CACHE_WORDS, CACHE_BYTES = 120_000, 48
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("ids", pa.binary())])
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
@@ -258,6 +258,9 @@ class Packer:
 def _pack(path: str, size: int, open_windows: int, max_pad: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        # A reused worker may still hold what earlier stages have freed.
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         gc.disable()  # nothing here is cyclic, and looking for cycles among millions of words takes longer than all else
         try:
             encoder, packer, end = Encoder(path), Packer(size, part << 28, open_windows, max_pad), END_ID.to_bytes(4, "little")

@@ -9,10 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.parse import method_group
-from ..functions.values import SPECIFIC_METHOD
-from .patterns import bursts, contractors, single_contract_discount
 from ..tables import written
+from .fields import lab_fields  # noqa: F401
 from .rules import Rule, bit, configured, evaluate, hit_sets, score, struck, summarize
 
 # The bounds of the value classes.
@@ -21,30 +19,6 @@ REDUNDANT = 0.5
 PRIORITY_SCORE = 40
 
 
-def lab_fields(c: DataFrame, ceiling: float = 500_000) -> DataFrame:
-    """c with the fields that user rules may name: discount in percent, the project's size, the day signed, and what
-    the winner and the pair are like. Shares are of value, but for specific_share, and rounded to three places."""
-    price = F.coalesce(F.col("contract_price_agree").cast("double"), F.lit(0.0))
-    own = single_contract_discount(c).withColumn("discount_pct", F.round(F.col("discount") * 100, 1)).drop("discount")
-    projects = c.groupBy("project_id").agg(F.count("*").alias("project_n_contracts"))
-    pairs = c.groupBy("dept_key", "winner_key").agg(F.count("*").alias("pair_n_contracts"), F.sum(price).alias("_pair_value"))
-    agencies = pairs.groupBy("dept_key").agg(F.sum("_pair_value").alias("_agency_value"))
-    winners = pairs.groupBy("winner_key").agg(F.sum("pair_n_contracts").alias("contractor_n_contracts"), F.count_distinct("dept_key").alias("contractor_n_agencies"), F.round(F.max("_pair_value") / F.nullif(F.sum("_pair_value"), F.lit(0.0)), 3).alias("contractor_top_agency_share"))
-    direct = c.groupBy("winner_key").agg(F.round(F.count_if(F.col("purchase_method_name") == SPECIFIC_METHOD) / F.count("*"), 3).alias("contractor_specific_share"))
-    burst = bursts(c, ["dept_key", "winner_key"]).groupBy("winner_key").agg(F.max("burst").alias("contractor_burst30"))
-    kinds = contractors(c, least=1, ceiling=ceiling).select("winner_key", F.col("archetypes").alias("contractor_archetype"))
-    out = own.join(projects, "project_id", "left").join(pairs, ["dept_key", "winner_key"], "left").join(agencies, "dept_key", "left")
-    for part in (winners, direct, burst, kinds):
-        out = out.join(part, "winner_key", "left")
-    day = F.day("contract_date")
-    geo = F.when(F.col("lat").isNull(), "none").when(F.col("geo_quality") == "shared", "shared").otherwise("ok")
-    return out.withColumns({
-        "pair_share_of_agency": F.coalesce(F.round(F.col("_pair_value") / F.nullif(F.col("_agency_value"), F.lit(0.0)), 3), F.lit(0.0)), "contract_day": day, "month_end": F.coalesce(day >= 25, F.lit(False)),
-        "weekend": F.coalesce(F.dayofweek("contract_date").isin(1, 7), F.lit(False)), "method_group": method_group(F.col("purchase_method_name")), "geo": geo,
-        "contractor_burst30": F.coalesce("contractor_burst30", F.lit(1).cast("long")), "contractor_archetype": F.coalesce("contractor_archetype", F.array().cast("array<string>")),
-    }).drop("_pair_value", "_agency_value")
-
-
 def vocabulary(c: DataFrame, field: str) -> DataFrame:
     """The distinct values of a field that are not blank, in order."""
     return c.select(F.col(field).cast("string").alias("value")).filter("value is not null and value != ''").distinct().orderBy("value")

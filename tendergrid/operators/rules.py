@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import band, haversine_km, min_notice_days, significant_round
 from ..functions.values import EBIDDING_METHOD, SPECIFIC_METHOD
 from . import context
+from .fields import with_fields
 
 #: Bits of the hit mask: R1 is bit 0; user rules C1, C2, ... follow from bit 24.
 USER_BIT = 24
@@ -44,6 +45,9 @@ class Rule:
     applicable: Callable[[dict], Column] | None = None
     dimensions: tuple[str, ...] = ()
     stage: str = ""
+    #: Derived fields that a user rule names; such rules are tested after all others, whose hits they may name.
+    fields: tuple[str, ...] = ()
+    custom: bool = False
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -92,9 +96,10 @@ def default_rules() -> dict[str, Rule]:
     return {r.id: r for r in rules}
 
 
-def configured(settings: dict[str, dict] | None = None, only: Iterable[str] | None = None) -> dict[str, Rule]:
-    """The rules under settings, {id: {enabled, weight, thresholds}}; unknown ids, keys and types raise ValueError."""
-    rules = default_rules()
+def configured(settings: dict[str, dict] | None = None, only: Iterable[str] | None = None, custom: dict[str, Rule] | None = None) -> dict[str, Rule]:
+    """The rules, and custom ones beside them, under settings, {id: {enabled, weight, thresholds}}; unknown ids, keys and
+    types raise ValueError. only names the default rules that count."""
+    rules = default_rules() | (custom or {})
     for rule_id, change in (settings or {}).items():
         if rule_id not in rules:
             raise ValueError(f"no rule {rule_id}")
@@ -104,7 +109,7 @@ def configured(settings: dict[str, dict] | None = None, only: Iterable[str] | No
                 raise ValueError(f"{rule_id}: {key}={value!r}")
         rules[rule_id] = replace(rule, enabled=bool(change.get("enabled", True)), weight=float(change.get("weight", rule.weight)), thresholds=rule.thresholds | (change.get("thresholds") or {}))
     wanted = None if only is None else set(only)
-    return {k: r for k, r in rules.items() if r.enabled and (wanted is None or k in wanted)}
+    return {k: r for k, r in rules.items() if r.enabled and (wanted is None or r.custom or k in wanted)}
 
 
 def save_settings(path: str, settings: dict[str, dict]) -> None:
@@ -143,7 +148,8 @@ def enrich(c: DataFrame, rules: dict[str, Rule]) -> DataFrame:
         out = out.join(context.centroids(c), "province", "left").join(context.agency_distances(c), "dept_key", "left")
     if "cells" in needs:
         out = out.join(context.regional_cells(c, rules["R18"].thresholds["minGapPts"]), ["project_type_name", "province"], "left")
-    return out
+    named = {f for r in rules.values() for f in r.fields}
+    return with_fields(out, c, named) if named else out
 
 
 def applicable(c: DataFrame, rules: dict[str, Rule]) -> dict[str, Rule]:
@@ -216,7 +222,13 @@ def evaluate(c: DataFrame, rules: dict[str, Rule] | None = None, check: bool = T
     rich = enrich(c, rules)
     mask = F.lit(0).cast("long")
     for k, r in rules.items():
-        mask = mask + F.when(hit(r), F.lit(bit(k))).otherwise(F.lit(0))
+        if not r.custom:
+            mask = mask + F.when(hit(r), F.lit(bit(k))).otherwise(F.lit(0))
+    if any(r.custom for r in rules.values()):
+        rich, mask = rich.withColumn("hit_mask", mask.cast("long")), F.col("hit_mask")
+        for k, r in rules.items():
+            if r.custom:
+                mask = mask + F.when(hit(r), F.lit(bit(k))).otherwise(F.lit(0))
     flagged = rich.select(*[rich[x] for x in c.columns], mask.cast("long").alias("hit_mask"), *[r.actual(r.thresholds).alias(f"_a{k}") for k, r in rules.items()])
     of = lambda r: struck(r.id)
     kind = "array<struct<rule_id:string,severity:string,weight:double,family:string,scored:boolean,actual:string>>"

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parse import first_group, round_kind
+from ..functions.parse import band, first_group, round_kind
 from ..functions.stats import auc, correlation_of_logs, spearman
 from ..functions.values import EBIDDING_METHOD, SPECIFIC_METHOD
-from ..operators import analytics, context, graph, lab, models, patterns, reports, rules
-from ..tables import written
+from ..operators import analytics, context, dsl, graph, lab, models, patterns, reports, rules
+from ..tables import fresh, written
 from .contracts import K, contracts, table, viewed
-from .oracles import _BURST, _D, _DISC, _KM, _P, _RULES, _S, _V, ORACLES, contractor_sql
+from .oracles import _BURST, _D, _DISC, _KM, _P, _RULES, _S, _V, _X, ORACLES, _band, _score, contractor_sql
 from .queries import PLAIN_RULES, _scored
 
 REPORTS: dict = {}
@@ -428,3 +428,35 @@ def top_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @report(f"""{_P}, w AS (SELECT winner_key, count(*) AS w_n, count(DISTINCT dept_key) AS w_depts, {_D.format('sum(contract_price_agree)')} AS w_value FROM k GROUP BY 1) SELECT * FROM w""")
 def winner_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.winners(contracts(spark, sf_dir)).withColumn("w_value", F.col("w_value").cast("double"))
+
+
+#: Rules of a user, saved and scored beside the others.
+SAVED_RULES = (
+    {"name": "little off, much of the agency", "severity": "high", "weight": 18, "conditions": [{"field": "discount_pct", "op": "<=", "value": 4}, {"field": "pair_share_of_agency", "op": ">=", "value": 0.001}, {"field": "method_group", "op": "!=", "value": "e-bidding"}]},
+    {"name": "over budget at a weekend", "weight": 7, "conditions": [{"field": "rule_hit", "op": "has", "value": "R4"}, {"field": "weekend", "op": "is", "value": True}, {"field": "contractor_n_agencies", "op": ">", "value": 20}]},
+    {"name": "shared place or loyal winner", "weight": 11, "match": "any", "conditions": [{"field": "geo_quality", "op": "==", "value": "shared"}, {"field": "contractor_top_agency_share", "op": ">=", "value": 0.1}, {"field": "work_group", "op": "==", "value": "none of this table"}]},
+)
+_USER_HITS = {
+    "C1": f"coalesce(p_n = 1 AND price_build > 0 AND contract_price_agree > 0 AND round((1 - {_PRICE} / {_D.format('price_build')}) * 100, 1) <= 4, false) AND round(pv / agv, 3) >= 0.001 AND purchase_method_name != '{EBIDDING_METHOD}'",
+    "C2": "R4 AND R19 AND winner_agencies > 20", "C3": "geo_quality = 'shared' OR round(top / own, 3) >= 0.1",
+}
+_USER_SCORE = _score().replace("least(100.0, ", f"least(100.0, {' + '.join(f'CASE WHEN {k} THEN {w}.0 ELSE 0.0 END' for k, w in (('C1', 18), ('C2', 7), ('C3', 11)))} + ", 1)
+
+
+@report(f"""{_X}, pa AS (SELECT dept_key, winner_key, sum({_PRICE}) AS pv FROM k GROUP BY 1, 2), av AS (SELECT dept_key, sum(pv) AS agv FROM pa GROUP BY 1),
+wi AS (SELECT winner_key, count(*) AS winner_agencies, max(pv) AS top, sum(pv) AS own FROM pa GROUP BY 1), u AS (SELECT h.*, {', '.join(f'({v}) AS {k}' for k, v in _USER_HITS.items())} FROM h JOIN pa USING (dept_key, winner_key) JOIN av USING (dept_key) JOIN wi USING (winner_key)),
+z AS (SELECT *, {_USER_SCORE} AS risk_score, {_score()} AS before FROM u)
+SELECT {_band('risk_score')} AS risk_band, count(*) AS n, count(*) FILTER (C1) AS c1, count(*) FILTER (C2) AS c2, count(*) FILTER (C3) AS c3, count(*) FILTER ({_band('risk_score')} != {_band('before')}) AS moved, round(avg(risk_score), 4) AS avg_score FROM z GROUP BY 1""")
+def saved_rule_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands under saved rules beside the plain ones, with their hits and the contracts that they move to another band."""
+    path = fresh(spark)
+    for rule in SAVED_RULES:
+        dsl.save_rule(spark, path, rule)
+    plain = rules.configured(only=PLAIN)
+    both = rules.configured(only=PLAIN, custom=dsl.as_rules(dsl.saved_rules(spark, path)))
+    sets = rules.hit_sets(rules.evaluate(viewed(spark, sf_dir), both))
+    scores = {"risk_score": rules.score(both, lambda r: rules.struck(r.id)), "before": rules.score(plain, lambda r: rules.struck(r.id))}
+    sets = sets.withColumns(scores).withColumns({"risk_band": band(F.col("risk_score")), "band_before": band(F.col("before"))})
+    of = lambda p: F.coalesce(F.sum(F.when(p, F.col("n"))), F.lit(0))
+    own = [of(rules.struck(k)).alias(k.lower()) for k in ("C1", "C2", "C3")]
+    return sets.groupBy("risk_band").agg(F.sum("n").alias("n"), *own, of(F.col("risk_band") != F.col("band_before")).alias("moved"), F.round(F.sum(F.col("risk_score") * F.col("n")) / F.sum("n"), 4).alias("avg_score"))

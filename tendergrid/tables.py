@@ -34,6 +34,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder, deleted with the tables."""
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def written_once(df: DataFrame, name: str) -> DataFrame:
     """df written the first time that this session asks for `name` over these input files; the same table after that."""
     spark = df.sparkSession

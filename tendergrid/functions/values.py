@@ -71,3 +71,12 @@ RAW_COLUMNS = (
     "province", "district", "subdistrict", "winner_tin", "winner_name", "contract_no", "project_money", "price_build", "sum_price_agree",
     "contract_price_agree", "announce_date", "contract_date", "contract_finish_date", "project_location", "budget_year",
 )
+# Surfaces of roads by patterns of their names, in order, and works whose price covers more than the road.
+SURFACES = (("rc", r"คอนกรีตเสริมเหล็ก|ค\.?ส\.?ล|คสล"), ("asphalt", r"แอสฟัล|ลาดยาง"), ("gravel", r"ลูกรัง|หินคลุก"))
+OTHER_SURFACE = "other"
+COMBINED_SCOPE = r"ท่อระบาย|รางวี|รางระบาย|บ่อพัก|ท่อลอด|ระบายน้ำ"
+CONSTRUCTION_TYPE = "จ้างก่อสร้าง"
+# Amounts of money that a file may be sorted by, sizes at which exports stop, and words of a search.
+SORT_FIELDS = ("sum_price_agree", "contract_price_agree", "project_money", "price_build")
+EXPORT_CAPS = (1000, 2000, 5000, 10000, 20000, 50000)
+SEARCH_WORDS = ("ประปา", "น้ำ", "ถนน", "ก่อสร้าง")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.parse import band, first_group, round_kind
 from ..functions.stats import auc, correlation_of_logs, spearman
 from ..functions.values import EBIDDING_METHOD, SPECIFIC_METHOD
-from ..operators import analytics, context, dsl, graph, lab, models, patterns, reports, rules
+from ..operators import analytics, context, dsl, graph, lab, models, patterns, reports, rules, unit_costs
+from ..sources import scope
 from ..tables import fresh, written
 from .contracts import K, contracts, table, viewed
 from .oracles import _BURST, _D, _DISC, _KM, _P, _RULES, _S, _V, _X, ORACLES, _band, _score, contractor_sql
@@ -460,3 +461,32 @@ def saved_rule_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda p: F.coalesce(F.sum(F.when(p, F.col("n"))), F.lit(0))
     own = [of(rules.struck(k)).alias(k.lower()) for k in ("C1", "C2", "C3")]
     return sets.groupBy("risk_band").agg(F.sum("n").alias("n"), *own, of(F.col("risk_band") != F.col("band_before")).alias("moved"), F.round(F.sum(F.col("risk_score") * F.col("n")) / F.sum("n"), 4).alias("avg_score"))
+
+
+@report()
+def unit_cost_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price per unit of what contracts buy, by the first word of its type, against a median regression on quantity."""
+    c = viewed(spark, sf_dir).select("contract_price_agree", (F.col("duration_days") + 10).alias("quantity"), F.split("project_type_name", " ")[0].alias("kind"))
+    _, kinds = unit_costs.unit_costs(c, "contract_price_agree", "quantity", "kind")
+    return kinds.select("kind", "n", "n_high", "n_low", *[F.round(x, 4).alias(x) for x in ("median_per_unit", "effect", "elasticity", "mad_log")])
+
+
+_ORDER_FIELDS = ("o_totalprice", "o_custkey", "o_orderkey")
+
+
+@report(f"""WITH r AS (SELECT row_number() OVER () AS i, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in _ORDER_FIELDS)} FROM orders), l AS ({' UNION ALL '.join(f"SELECT '{f}' AS field, {f} AS v, lag({f}) OVER (ORDER BY i) AS b FROM r" for f in _ORDER_FIELDS)})
+SELECT field, count(*) AS n, count(*) FILTER (v IS NULL) AS n_missing, count(*) FILTER (v > b) AS n_up, min(v) AS least, count(*) FILTER (v > b OR v IS NULL) = 0 AS falling FROM l GROUP BY 1""")
+def row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which fields the rows of the order file fall, as they stand there."""
+    return scope.row_order(table(spark, sf_dir, "orders"), _ORDER_FIELDS)
+
+
+@report(f"""{K}, f AS (SELECT * FROM k WHERE contains(project_type_name, 'STEEL') AND contract_price_agree >= 20000)
+SELECT 'contract_price_agree' AS sort_key, min({_PRICE}) AS cutoff_value, count(DISTINCT project_id) AS n_projects, count(*) AS n_contracts, count(DISTINCT project_id) IN (1000, 2000, 5000, 10000, 20000, 50000) AS looks_capped, 'STEEL' AS name_keyword, 1.0::DOUBLE AS keyword_share FROM f""")
+def search_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the export of a search covers, told from the exported files alone: contracts of a word, the dearest first."""
+    found = viewed(spark, sf_dir).filter(F.col("project_type_name").contains("STEEL") & (F.col("contract_price_agree") >= 20_000))
+    export, path = found.select("project_id", "project_type_name", "sum_price_agree", "contract_price_agree"), fresh(spark)
+    export.orderBy(F.desc("contract_price_agree")).write.option("header", True).csv(path)
+    files = spark.read.schema(export.schema).option("header", True).csv(path)
+    return scope.file_scope(files, ("sum_price_agree", "contract_price_agree"), "project_type_name", ("BRASS", "STEEL"))

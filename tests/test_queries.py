@@ -53,7 +53,7 @@ def test_against_sql(spark, duck, name):
             assert x == y if not isinstance(x, float) else y is not None and abs(x - y) <= 1e-9 * max(1, abs(x)), (a, b)
 
 
-@pytest.mark.parametrize("name", ["rule_summary_all", "kmeans_contractors", "isolation_forest", "discount_hurdle", "direct_purchase_confidence", "graph_pagerank", "association_rules", "mined_traits", "agency_discount_z", "hurdle_quality", "forest_stability", "component_errors", "anomaly_factors", "mined_terms", "digit_tests", "sibling_rounding"])
+@pytest.mark.parametrize("name", ["rule_summary_all", "kmeans_contractors", "isolation_forest", "discount_hurdle", "direct_purchase_confidence", "graph_pagerank", "association_rules", "mined_traits", "agency_discount_z", "hurdle_quality", "forest_stability", "component_errors", "anomaly_factors", "mined_terms", "digit_tests", "sibling_rounding", "unit_cost_kinds"])
 def test_models_run(spark, name):
     out = ALL[name](spark, SF).toPandas()
     assert len(out)
@@ -61,6 +61,8 @@ def test_models_run(spark, name):
         assert len(out) == 60_000 and out.ml_score.between(0, 1).all()
     if name == "anomaly_factors":
         assert out.groupby(["project_id", "contract_no", "winner_key", "contract_date", "price"]).ngroups == 400 and not (out.delta < 0.002).any()
+    if name == "unit_cost_kinds":
+        assert len(out) == 6 and out.n.sum() == 60_000 and (out.effect == 1).sum() == 1 and out.elasticity.abs().max() < 0.05
     if name == "component_errors":
         assert len(out) == 60_000 and (out.pca_error >= 0).all()
     if name == "graph_pagerank":

@@ -481,12 +481,12 @@ def row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.row_order(table(spark, sf_dir, "orders"), _ORDER_FIELDS)
 
 
-@report(f"""{K}, f AS (SELECT * FROM k WHERE contains(project_type_name, 'STEEL') AND contract_price_agree >= 20000)
-SELECT 'contract_price_agree' AS sort_key, min({_PRICE}) AS cutoff_value, count(DISTINCT project_id) AS n_projects, count(*) AS n_contracts, count(DISTINCT project_id) IN (1000, 2000, 5000, 10000, 20000, 50000) AS looks_capped, 'STEEL' AS name_keyword, 1.0::DOUBLE AS keyword_share FROM f""")
+@report(f"""{K}, f AS (SELECT * FROM k WHERE contains(project_type_name, 'PROMO') AND contract_price_agree >= 20000)
+SELECT 'contract_price_agree' AS sort_key, min({_PRICE}) AS cutoff_value, count(DISTINCT project_id) AS n_projects, count(*) AS n_contracts, count(DISTINCT project_id) IN (1000, 2000, 5000, 10000, 20000, 50000) AS looks_capped, 'PROMO' AS name_keyword, 1.0::DOUBLE AS keyword_share FROM f""")
 def search_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the export of a search covers, told from the exported files alone: contracts of a word, the dearest first."""
-    found = viewed(spark, sf_dir).filter(F.col("project_type_name").contains("STEEL") & (F.col("contract_price_agree") >= 20_000))
+    found = viewed(spark, sf_dir).filter(F.col("project_type_name").contains("PROMO") & (F.col("contract_price_agree") >= 20_000))
     export, path = found.select("project_id", "project_type_name", "sum_price_agree", "contract_price_agree"), fresh(spark)
     export.orderBy(F.desc("contract_price_agree")).write.option("header", True).csv(path)
     files = spark.read.schema(export.schema).option("header", True).csv(path)
-    return scope.file_scope(files, ("sum_price_agree", "contract_price_agree"), "project_type_name", ("BRASS", "STEEL"))
+    return scope.file_scope(files, ("sum_price_agree", "contract_price_agree"), "project_type_name", ("BRASS", "PROMO"))

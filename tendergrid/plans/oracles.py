@@ -187,6 +187,40 @@ SELECT CASE WHEN bk IS NULL THEN 'added' WHEN nk IS NOT NULL AND (o_orderstatus
 ORACLES["append_orders"] = "SELECT o_orderstatus, extra, count(*) AS n FROM (SELECT o_orderstatus, CAST(NULL AS INTEGER) AS extra FROM orders UNION ALL SELECT NULL, 1 FROM orders WHERE o_orderkey % 7 = 0) GROUP BY 1, 2"
 ORACLES["graph_degrees"] = f"""{K}, e AS (SELECT 'A::' || dept_key AS s, 'C::' || winner_key AS t, sum(contract_price_agree) AS v FROM k GROUP BY 1, 2)
 SELECT id, count(*) AS degree, CAST(sum(v) AS DOUBLE) AS weighted_degree FROM (SELECT s AS id, v FROM e UNION ALL SELECT t, v FROM e) GROUP BY 1"""
+
+
+def _graph_sql(least: int, levels: int = 10, rounds: int = 20) -> str:
+    """Table expressions of the graph of pairs with `least` contracts: b (betweenness from the first 400 nodes by digest) and r
+    (PageRank). Levels and rounds are written out; the supplied graphs have fewer levels."""
+    pair = "SELECT 'A::' || dept_key AS s, 'C::' || winner_key AS t, CAST(sum(contract_price_agree) AS DOUBLE) AS v FROM k GROUP BY 1, 2"
+    out = [f"{K}, e AS MATERIALIZED ({pair} HAVING count(*) >= {least})", "links AS MATERIALIZED (SELECT s AS id, t AS other, v FROM e UNION ALL SELECT t, s, v FROM e)"]
+    out += ["g AS MATERIALIZED (SELECT id, count(*) AS degree, sum(v) AS v FROM links GROUP BY 1)", "n AS MATERIALIZED (SELECT count(*) AS n FROM g)"]
+    out += ["l0 AS MATERIALIZED (SELECT id AS p, id AS x, 1.0::DOUBLE AS q FROM (SELECT id FROM g ORDER BY md5('42:' || id), id LIMIT 400))"]
+    for i in range(1, levels + 1):
+        old = " UNION ALL ".join(f"SELECT p, x FROM l{j}" for j in range(max(i - 2, 0), i))
+        out.append(f"l{i} AS MATERIALIZED (SELECT l.p, h.other AS x, sum(l.q) AS q FROM l{i - 1} l JOIN links h ON h.id = l.x WHERE (l.p, h.other) NOT IN ({old}) GROUP BY 1, 2)")
+    out.append(f"d{levels} AS (SELECT *, 0.0::DOUBLE AS d FROM l{levels})")
+    for i in range(levels - 1, 0, -1):
+        sums = f"SELECT d.p, h.other AS x, sum((1 + d.d) / d.q) AS s FROM d{i + 1} d JOIN links h ON h.id = d.x GROUP BY 1, 2"
+        out.append(f"d{i} AS MATERIALIZED (SELECT l.p, l.x, l.q, coalesce(w.s, 0) * l.q AS d FROM l{i} l LEFT JOIN ({sums}) w ON w.p = l.p AND w.x = l.x)")
+    parts = " UNION ALL ".join(f"SELECT x, d FROM d{i}" for i in range(1, levels + 1))
+    out.append(f"b AS MATERIALIZED (SELECT g.id, coalesce(sum(d), 0) * any_value(n) / least(400, any_value(n)) / ((any_value(n) - 1) * (any_value(n) - 2)) AS betweenness FROM g CROSS JOIN n LEFT JOIN ({parts}) ON x = g.id GROUP BY 1)")
+    out.append("r0 AS (SELECT id, 1.0 / n AS rank FROM g, n)")
+    for i in range(1, rounds + 1):
+        out.append(f"r{i} AS MATERIALIZED (SELECT h.other AS id, 0.15::DOUBLE / any_value(n) + 0.85 * sum(h.v / g.v * r.rank) AS rank FROM links h JOIN g ON g.id = h.id JOIN r{i - 1} r ON r.id = h.id CROSS JOIN n GROUP BY 1)")
+    return ", ".join(out)
+
+
+def _composite_sql(least: int) -> str:
+    place = ", ".join(f"round(100 * (row_number() OVER (ORDER BY {c}, id) - 1) / (count(*) OVER () - 1), 2) AS {c}_n" for c in ("degree", "weighted_degree", "pagerank", "betweenness"))
+    total = " + ".join(f"{w}::DECIMAL(3,2) * CAST({c}_n AS DECIMAL(7,2))" for c, w in (("degree", "0.30"), ("weighted_degree", "0.30"), ("pagerank", "0.20"), ("betweenness", "0.20")))
+    return f"""{_graph_sql(least)}, m AS (SELECT id, degree, v AS weighted_degree, round(rank, 12) AS pagerank, round(betweenness, 12) AS betweenness FROM g JOIN r20 USING (id) JOIN b USING (id)),
+c AS (SELECT *, {place} FROM m) SELECT * REPLACE (round(pagerank, 8) AS pagerank, round(betweenness, 8) AS betweenness), CASE WHEN id[1] = 'A' THEN 'agency' ELSE 'contractor' END AS type, id[4:] AS name, CAST(round({total}, 2) AS DOUBLE) AS composite FROM c"""
+
+
+ORACLES["graph_betweenness"] = f"{_graph_sql(30)} SELECT id, round(betweenness, 8) AS betweenness FROM b"
+ORACLES["composite_ranks"] = _composite_sql(1)
+ORACLES["composite_ranks_strong"] = _composite_sql(30)
 ORACLES["part_name_groups"] = """WITH c AS (SELECT [x for x in [CASE WHEN regexp_matches(p_type, 'STEEL|steel') THEN 'steel' END, CASE WHEN regexp_matches(p_type, 'BRASS|brass') THEN 'brass' END, CASE WHEN regexp_matches(p_type, 'PROMO') THEN 'promo' END,
 CASE WHEN regexp_matches(p_type, 'ECONOMY') THEN 'economy' END] if x IS NOT NULL] AS g FROM part), a AS (SELECT unnest(g) AS "group", 1 AS x FROM c), f AS (SELECT coalesce(g[1], 'other') AS "group" FROM c),
 ac AS (SELECT "group", count(*) AS n_any FROM a GROUP BY 1), fc AS (SELECT "group", count(*) AS n_primary FROM f GROUP BY 1)

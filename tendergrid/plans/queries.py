@@ -308,6 +308,26 @@ def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.percentile(graph.pagerank(graph.edges(contracts(spark, sf_dir))), "rank", "place")
 
 
+@query
+def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the graph of pairs with 30 contracts or more: in the supplied view every agency deals with every winner."""
+    strong = graph.edges(viewed(spark, sf_dir)).filter("n >= 30")
+    return graph.betweenness(strong).withColumn("betweenness", F.round("betweenness", 8))
+
+
+@query
+def composite_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = graph.composite(graph.edges(viewed(spark, sf_dir)))
+    return got.withColumns({c: F.round(c, 8) for c in ("pagerank", "betweenness")})
+
+
+@query
+def composite_ranks_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Among pairs with 30 contracts or more, which differ in all four measures."""
+    got = graph.composite(graph.edges(viewed(spark, sf_dir)).filter("n >= 30"))
+    return got.withColumns({c: F.round(c, 8) for c in ("pagerank", "betweenness")})
+
+
 @query
 def part_name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = (("steel", "STEEL|steel"), ("brass", "BRASS|brass"), ("promo", "PROMO"), ("economy", "ECONOMY"))

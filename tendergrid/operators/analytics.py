@@ -103,6 +103,21 @@ def stacked_points(c: DataFrame, cell: float = 0.005, least: int = 3) -> DataFra
     return out.filter(F.col("n") >= least).withColumn("kind", F.when(F.col("points") == 1, "exact").otherwise("cluster"))
 
 
+def shared_places(c: DataFrame, least: int = 3, top: int = 8) -> DataFrame:
+    """The places with most contracts of those whose text stands at `least` contracts and names or more: contracts, names,
+    agencies, and the commonest agency and province, the smallest of those that tie. A null name or agency counts as one
+    of its own, but isn't the commonest; a text that is empty or a dash is no place. Ties in order of the text."""
+    placed = c.withColumn("_place", F.trim("project_location")).filter(~F.col("_place").isin("", "-"))
+    kinds = lambda x: F.count_distinct(x) + F.max(F.col(x).isNull().cast("int"))
+    groups = placed.groupBy("_place").agg(F.count("*").alias("n"), kinds("project_name").alias("names"), kinds("dept_key").alias("depts"))
+    best = groups.filter((F.col("n") >= least) & (F.col("names") >= least)).orderBy(F.desc("n"), "_place").limit(top)
+    own = placed.join(best.select("_place"), "_place")
+    for x, name in (("dept_key", "dept"), ("province", "province")):
+        counts = own.filter(F.col(x).isNotNull()).groupBy("_place", x).agg(F.count("*").alias("_n"))
+        best = best.join(counts.groupBy("_place").agg(F.min(F.struct(-F.col("_n"), x))[x].alias(name)), "_place", "left")
+    return best.withColumnRenamed("_place", "place")
+
+
 def agency_profiles(c: DataFrame) -> DataFrame:
     from ..functions.parse import method_group
 

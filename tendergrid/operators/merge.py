@@ -52,6 +52,27 @@ def upsert(base: DataFrame, incoming: DataFrame, key: tuple[str, ...] = IDENTITY
     return both.select(*keys, *[merged[c].alias(c) for c in values], kind.alias("merge_kind"))
 
 
+def changes(base: DataFrame, merged: DataFrame, key: tuple[str, ...] = IDENTITY) -> DataFrame:
+    """A row per cell that an upsert changed: the key, field, before and after, both as text."""
+    values = [c for c in base.columns if c not in key]
+    new = merged.filter("merge_kind = 'updated'").select(*[F.col(c).alias(f"n_{c}") for c in base.columns])
+    on = None
+    for c in key:
+        same = F.col(c).eqNullSafe(F.col(f"n_{c}"))
+        on = same if on is None else on & same
+    cell = lambda c: F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("before"), F.col(f"n_{c}").cast("string").alias("after"))
+    differ = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"n_{c}")), cell(c)) for c in values]))
+    return base.join(new, on).select(*key, F.explode(differ).alias("cell")).select(*key, "cell.*")
+
+
+def change_examples(changed: DataFrame, key: tuple[str, ...] = IDENTITY, each: int = 5) -> DataFrame:
+    """Each field's number of changed cells, n, beside its first `each` changes in order of the key."""
+    counts = changed.groupBy("field").agg(F.count("*").alias("n"))
+    # The limit on the row number acts before the shuffle, so a task gets no more than `each` rows from each of the others.
+    first = changed.withColumn("nth", F.row_number().over(W.partitionBy("field").orderBy(*key))).filter(F.col("nth") <= each)
+    return first.join(counts, "field").select("field", "n", "nth", *key, "before", "after")
+
+
 def report(df: DataFrame, key: tuple[str, ...] = IDENTITY) -> DataFrame:
     """One row: rows, repeated keys, gaps per column."""
     gaps = [F.count_if(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).alias(f"blank_{c}") for c in df.columns]

@@ -26,6 +26,26 @@ def group_counts(df: DataFrame, groups, column: str = "project_name") -> DataFra
     return first.join(any_, "group", "full").select("group", F.coalesce("n_any", F.lit(0)).alias("n_any"), F.coalesce("n_primary", F.lit(0)).alias("n_primary"))
 
 
+def _by_set(df: DataFrame, groups, column: str) -> DataFrame:
+    """Rows per different list of groups; there are few such lists."""
+    return df.select(all_groups(F.col(column), groups).alias("groups")).groupBy("groups").agg(F.count("*").alias("n"))
+
+
+def group_overlaps(df: DataFrame, groups, column: str = "project_name", top: int = 8) -> DataFrame:
+    """The pairs of groups (a, b, n) that most names are in both of, a before b; ties in order of a and b."""
+    pairs = F.flatten(F.transform("groups", lambda x, i: F.transform(F.filter("groups", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    both = _by_set(df, groups, column).select("n", F.explode(pairs).alias("pair")).groupBy("pair.a", "pair.b").agg(F.sum("n").alias("n"))
+    return both.orderBy(F.desc("n"), "a", "b").limit(top)
+
+
+def group_coverage(df: DataFrame, groups, column: str = "project_name") -> DataFrame:
+    """One row: names, those in any group, their share, and the share of names in several; shares of no names are 0."""
+    size = F.size("groups")
+    found = _by_set(df, groups, column).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(size > 0, F.col("n"))), F.lit(0)).alias("matched"), F.coalesce(F.sum(F.when(size > 1, F.col("n"))), F.lit(0)).alias("several"))
+    share = lambda part: F.round(F.col(part) / F.greatest("n", F.lit(1)), 6)
+    return found.select("n", "matched", share("matched").alias("coverage"), share("several").alias("multi_share"))
+
+
 def anatomy(df: DataFrame, column: str = "project_name", parts=ANATOMY) -> DataFrame:
     counts = df.agg(F.count("*").alias("total"), *[F.count_if(F.col(column).rlike(f"(?U){p}")).alias(k) for k, p in parts])
     rows = F.array(*[F.struct(F.lit(k).alias("part"), F.col(k).alias("n")) for k, _ in parts])
@@ -38,8 +58,9 @@ def term_counts(df: DataFrame, column: str = "project_name", least: int = 5) ->
 
 
 def repeated_places(df: DataFrame, least: int = 3) -> DataFrame:
+    """Places that the names of an agency's contracts give `least` times or more; a price that is null counts as 0."""
     placed = df.withColumn("place", place_of(F.col("project_name"))).filter(F.col("place").isNotNull())
-    return placed.groupBy("dept_key", "place").agg(F.count("*").alias("n"), F.sum("contract_price_agree").cast("double").alias("value")).filter(F.col("n") >= least)
+    return placed.groupBy("dept_key", "place").agg(F.count("*").alias("n"), F.coalesce(F.sum("contract_price_agree").cast("double"), F.lit(0.0)).alias("value")).filter(F.col("n") >= least)
 
 
 def _bare(name: Column) -> Column:
@@ -141,7 +162,8 @@ def near_repeats(df: DataFrame, by: list[str], days: int = 30, percent: int = 80
 
 
 def province_mismatch(df: DataFrame) -> DataFrame:
-    """Contracts whose name states another province than their own."""
-    said = F.regexp_extract(F.coalesce("project_name", F.lit("")), r"จังหวัด\s*([ก-ฮ][ก-๙]*)", 1)
+    """Contracts whose name states another province than their own: one that doesn't begin with the first four letters of it.
+    A stated name has two letters or more, the first a consonant; one that begins with a vowel isn't read."""
+    said = F.regexp_extract(F.coalesce("project_name", F.lit("")), r"จังหวัด\s*([ก-ฮ][ก-๙]+)", 1)
     own = F.substring(F.coalesce("province", F.lit("")), 1, 4)
     return df.withColumn("said_province", said).filter((F.col("said_province") != "") & (own != "") & ~F.col("said_province").startswith(own))

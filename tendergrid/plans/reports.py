@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import band, first_group, round_kind
 from ..functions.stats import auc, correlation_of_logs, spearman
 from ..functions.values import EBIDDING_METHOD, SPECIFIC_METHOD
-from ..operators import analytics, context, dsl, graph, lab, models, patterns, reports, rules, unit_costs
+from ..operators import analytics, context, dsl, graph, lab, merge, models, patterns, reports, rules, text, unit_costs
 from ..sources import scope
 from ..tables import fresh, written
 from .contracts import K, contracts, table, viewed
@@ -490,3 +490,60 @@ def search_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     export.orderBy(F.desc("contract_price_agree")).write.option("header", True).csv(path)
     files = spark.read.schema(export.schema).option("header", True).csv(path)
     return scope.file_scope(files, ("sum_price_agree", "contract_price_agree"), "project_type_name", ("BRASS", "PROMO"))
+
+
+_PART_GROUPS = (("steel", "STEEL|steel"), ("brass", "BRASS|brass"), ("promo", "PROMO"), ("economy", "ECONOMY"))
+_IN = "WITH g AS (SELECT [x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(p_type, '{p}') THEN '{k}' END" for k, p in _PART_GROUPS) + "] IF x IS NOT NULL] AS g FROM part)"
+
+
+@report(f"{_IN}, u AS (SELECT row_number() OVER () AS i, g FROM g), v AS (SELECT i, unnest(g) AS x FROM u) SELECT a.x AS a, b.x AS b, count(*) AS n FROM v a JOIN v b ON a.i = b.i AND a.x < b.x GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 8")
+def part_group_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.group_overlaps(table(spark, sf_dir, "part"), _PART_GROUPS, "p_type")
+
+
+@report(f"{_IN} SELECT count(*) AS n, count(*) FILTER (len(g) > 0) AS matched, round(count(*) FILTER (len(g) > 0) / count(*), 6) AS coverage, round(count(*) FILTER (len(g) > 1) / count(*), 6) AS multi_share FROM g")
+def part_group_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.group_coverage(table(spark, sf_dir, "part"), _PART_GROUPS, "p_type")
+
+
+@report(f"""{K}, g AS (SELECT dept_sub_name AS s, count(*) AS n, count(DISTINCT project_name) AS names, count(DISTINCT dept_key) AS depts, min(dept_key) AS dept, min(province) AS province FROM k GROUP BY 1)
+SELECT 'customer ' || s AS place, n, names, depts, dept, province FROM g WHERE n >= 3 AND names >= 3 ORDER BY n DESC, place LIMIT 8""")
+def shared_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's contracts stand at one place."""
+    c = contracts(spark, sf_dir).withColumn("project_location", F.concat(F.lit("customer "), F.col("dept_sub_name").cast("string")))
+    return analytics.shared_places(c)
+
+
+_NAMED = "project_name || ' หมู่ที่ ' || (winner_key % 7 + 1) || ' ตำบลบาง จังหวัด' || CASE WHEN project_id % 3 = 0 THEN 'น่าน' ELSE 'ตากใบ' END"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view with a village in each name, and provinces of the same script."""
+    named = F.expr(_NAMED.replace("(winner_key % 7 + 1)", "CAST(winner_key % 7 + 1 AS STRING)"))
+    return contracts(spark, sf_dir).withColumn("project_name", named).withColumn("province", F.when(F.col("province") == "ASIA", "น่าน").otherwise("ตาก"))
+
+
+@report(f"{K} SELECT dept_key, 'หมู่ ' || (winner_key % 7 + 1) || ' ต.บาง' AS place, count(*) AS n, CAST(sum(contract_price_agree) AS DOUBLE) AS value FROM k GROUP BY 1, 2 HAVING count(*) >= 3")
+def repeated_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.repeated_places(_named(spark, sf_dir))
+
+
+@report(f"""{K}, p AS (SELECT dept_key, CASE WHEN province = 'ASIA' THEN 'น่าน' ELSE 'ตาก' END AS province, CASE WHEN project_id % 3 = 0 THEN 'น่าน' ELSE 'ตากใบ' END AS said_province FROM k)
+SELECT dept_key, province, said_province, count(*) AS n FROM p WHERE NOT starts_with(said_province, province) GROUP BY 1, 2, 3""")
+def province_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.province_mismatch(_named(spark, sf_dir)).groupBy("dept_key", "province", "said_province").agg(F.count("*").alias("n"))
+
+
+_CHANGED = " UNION ALL ".join(f"SELECT '{f}' AS field, o_orderkey, CAST({b} AS VARCHAR) AS before, CAST({a} AS VARCHAR) AS after FROM j WHERE {a} IS DISTINCT FROM {b}" for f, b, a in (("o_orderstatus", "bs", "st"), ("o_totalprice", "bp", "tp")))
+
+
+@report(f"""WITH j AS (SELECT o_orderkey, o_orderstatus AS bs, CAST(o_totalprice AS DECIMAL(18,2)) AS bp, CASE WHEN o_orderkey % 4 = 0 THEN 'Z' ELSE o_orderstatus END AS st,
+CASE WHEN o_orderkey % 5 = 0 THEN CAST(1 AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS tp FROM orders WHERE o_orderkey % 3 != 0 AND o_orderkey % 2 = 0), x AS ({_CHANGED}),
+r AS (SELECT *, count(*) OVER (PARTITION BY field) AS n, row_number() OVER (PARTITION BY field ORDER BY o_orderkey) AS nth FROM x) SELECT * FROM r WHERE nth <= 5""")
+def upsert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an upsert of two in three orders by every second one changes: a count and five examples a field."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))
+    base, key = o.filter("o_orderkey % 3 != 0"), ("o_orderkey",)
+    price = F.when(F.col("o_orderkey") % 5 == 0, F.lit(1).cast("decimal(18,2)")).otherwise(F.col("o_totalprice"))
+    new = o.filter("o_orderkey % 2 = 0").withColumns({"o_orderstatus": F.when(F.col("o_orderkey") % 4 == 0, "Z").otherwise(""), "o_totalprice": price})
+    return merge.change_examples(merge.changes(base, merge.upsert(base, new, key), key), key)

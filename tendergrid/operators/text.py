@@ -138,27 +138,32 @@ def mine_terms(df: DataFrame, groups, column: str = "project_name", least: int =
 def near_repeats(df: DataFrame, by: list[str], days: int = 30, percent: int = 80, column: str = "project_name") -> DataFrame:
     """Pairs of contracts of one agency, other projects, within some days, whose names share most of their words.
 
-    Dates fall into buckets of `days`; a contract meets its own bucket and the one before. Candidates also share one
-    of their rarest words, as two such sets must, and have sizes that permit the threshold, so agencies with many contracts don't meet all pairs.
+    Names repeat, so each different list of words is compared once: candidates share one of their rarest words, as two such
+    lists must, and have sizes that permit the threshold. Contracts then meet by agency, list of a similar pair and date bucket of
+    `days`, their own and the one before; what meets is what is found, but for the days.
     """
     t = df.filter(F.col("contract_date").isNotNull()).select(*by, "project_id", "contract_no", "contract_date", tokens(F.col(column)).alias("words")).filter(F.size("words") > 0)
-    # Names repeat, so rarity is counted and each different list of words put in order once.
-    lists = t.groupBy("words").agg(F.count("*").alias("_n"))
+    t = written(t.withColumn("words", F.array_sort("words")).withColumn("list", F.sha2(F.array_join("words", "\0"), 256)))
+    lists = t.groupBy("list").agg(F.first("words").alias("words"), F.count("*").alias("_n"))
     rarity = lists.select("_n", F.explode("words").alias("word")).groupBy("word").agg(F.sum("_n").alias("df"))
-    ranked = lists.select("words", F.explode("words").alias("word")).join(rarity, "word").groupBy("words").agg(F.sort_array(F.collect_list(F.struct("df", "word")))["word"].alias("ranked"))
-    t = t.join(ranked, "words").drop("words").withColumnRenamed("ranked", "words")
+    ranked = lists.select("list", F.explode("words").alias("word")).join(rarity, "word").groupBy("list").agg(F.sort_array(F.collect_list(F.struct("df", "word")))["word"].alias("words"))
     n = F.size("words")
     prefix = F.slice("words", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
-    t = t.withColumn("bucket", F.floor(F.unix_date("contract_date") / days)).withColumn("word", F.explode(prefix))
-    a = t.select(*by, "bucket", "word", *[F.col(c).alias(f"a_{c}") for c in ("project_id", "contract_no", "contract_date", "words")])
-    b = t.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).select(*by, "bucket", "word", *[F.col(c).alias(f"b_{c}") for c in ("project_id", "contract_no", "contract_date", "words")])
-    sizes = 100 * F.least(F.size("a_words"), F.size("b_words")) >= percent * F.greatest(F.size("a_words"), F.size("b_words"))
-    both = a.join(b, [*by, "bucket", "word"]).filter(sizes & (F.col("a_project_id") != F.col("b_project_id")) & (F.datediff("a_contract_date", "b_contract_date").between(0, days)))
-    shared, union = F.size(F.array_intersect("a_words", "b_words")), F.size(F.array_union("a_words", "b_words"))
-    close = both.filter(100 * shared >= percent * union)
+    keyed = written(ranked.withColumn("word", F.explode(prefix)))
+    x, y = (keyed.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("list", "words")]) for side in "xy")
+    sizes = 100 * F.least(F.size("x_words"), F.size("y_words")) >= percent * F.greatest(F.size("x_words"), F.size("y_words"))
+    shared = F.size(F.array_intersect("x_words", "y_words"))
+    union = F.size("x_words") + F.size("y_words") - shared
+    like = x.join(y, "word").filter((F.col("x_list") <= F.col("y_list")) & sizes & (100 * shared >= percent * union))
+    half = written(like.select("x_list", "y_list", F.round(shared / union, 6).alias("jaccard")).distinct())
+    similar = half.union(half.filter("x_list < y_list").select(F.col("y_list").alias("x_list"), F.col("x_list").alias("y_list"), "jaccard"))
+    t = t.drop("words").withColumn("bucket", F.floor(F.unix_date("contract_date") / days))
+    a = t.select(*by, "bucket", F.col("list").alias("x_list"), *[F.col(c).alias(f"a_{c}") for c in ("project_id", "contract_no", "contract_date")]).join(similar, "x_list")
+    b = t.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).select(*by, "bucket", F.col("list").alias("y_list"), *[F.col(c).alias(f"b_{c}") for c in ("project_id", "contract_no", "contract_date")])
+    close = a.join(b, [*by, "bucket", "y_list"]).filter((F.col("a_project_id") != F.col("b_project_id")) & F.datediff("a_contract_date", "b_contract_date").between(0, days))
     first = F.least(F.struct(F.col("a_project_id").alias("p"), F.col("a_contract_no").alias("c"), F.col("a_contract_date").alias("d")), F.struct(F.col("b_project_id").alias("p"), F.col("b_contract_no").alias("c"), F.col("b_contract_date").alias("d")))
     last = F.greatest(F.struct(F.col("a_project_id").alias("p"), F.col("a_contract_no").alias("c"), F.col("a_contract_date").alias("d")), F.struct(F.col("b_project_id").alias("p"), F.col("b_contract_no").alias("c"), F.col("b_contract_date").alias("d")))
-    return close.select(*by, first.alias("x"), last.alias("y"), F.round(shared / union, 6).alias("jaccard")).select(*by, F.col("x.p").alias("project_a"), F.col("x.c").alias("contract_a"), F.col("y.p").alias("project_b"), F.col("y.c").alias("contract_b"), "jaccard").distinct()
+    return close.select(*by, first.alias("x"), last.alias("y"), "jaccard").select(*by, F.col("x.p").alias("project_a"), F.col("x.c").alias("contract_a"), F.col("y.p").alias("project_b"), F.col("y.c").alias("contract_b"), "jaccard").distinct()
 
 
 def province_mismatch(df: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
 """Steps that must not grow with the square of the rows, nor move or sort all of them."""
 
+import itertools
+import random
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from tendergrid.functions import stats
-from tendergrid.operators import models
+from tendergrid.operators import models, text
 
 
 def test_quantiles_sort_only_values_near_them(spark, monkeypatch):
@@ -28,3 +32,23 @@ def test_scores_keep_only_what_is_asked_for(spark):
     c = spark.createDataFrame(rows, "project_id int, contract_no int, dept_key string, winner_key string, contract_price_agree int, price_build int, project_money int, duration_days int")
     few, whole = models.anomaly_scores(c, keep=["project_id"]), models.anomaly_scores(c)
     assert few.columns == ["project_id", "ml_score"] and sorted(few.collect()) == sorted(whole.select("project_id", "ml_score").collect())
+
+
+def test_repeated_names_meet_once(spark, monkeypatch):
+    r = random.Random(4)
+    words = [f"word{i}" for i in range(12)]
+    names = [" ".join(r.sample(words, 5)) for _ in range(30)] + ["alpha beta gamma delta omega", "omega alpha beta gamma delta"]
+    rows = [(f"a{i % 2}", i // 2, i, f"2024-01-{1 + i % 28:02d}" if i % 9 else f"2024-03-{1 + i % 28:02d}", names[i % len(names)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "dept_key string, project_id int, contract_no int, d string, project_name string").withColumn("contract_date", F.to_date("d"))
+    kept, real = [], text.written
+    monkeypatch.setattr(text, "written", lambda d: kept.append(real(d)) or kept[-1])
+    got = {tuple(x) for x in text.near_repeats(df, ["dept_key"]).collect()}
+    day = {i: (0 if d[5:7] == "01" else 60) + int(d[8:]) for _, _, i, d, _ in rows}
+    want = set()
+    for x, y in itertools.combinations(rows, 2):
+        a, b = set(x[4].split()), set(y[4].split())
+        if x[0] == y[0] and x[1] != y[1] and abs(day[x[2]] - day[y[2]]) <= 30 and 100 * len(a & b) >= 80 * len(a | b):
+            want.add((x[0], x[1], x[2], y[1], y[2], round(len(a & b) / len(a | b), 6)))
+    assert got == want and len(want) > 900
+    # What is compared are lists of words, not contracts.
+    assert kept[1].count() <= 2 * len({frozenset(n.split()) for n in names})

@@ -32,27 +32,47 @@ def _totals(rows: DataFrame, x: list[str], kinds: list, candidates: np.ndarray,
     and weighted products at `after`."""
     width = candidates.shape[1]
 
+    size = 1 + width + 2 * width * width
+    first = 1 + len(x)
+
+    def products(w: np.ndarray, xs: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
+        """design.T @ (design * w) from sums per kind: the kinds' columns are 0 but for their own rows."""
+        out = np.zeros((width, width))
+        by_kind = np.bincount(kind, w, len(kinds) + 1)
+        out[0, 0] = by_kind.sum()
+        out[0, first:] = out[first:, 0] = by_kind[1:]
+        out[range(first, width), range(first, width)] = by_kind[1:]
+        for i, own in enumerate(xs, 1):
+            weighted = w * own
+            by_kind = np.bincount(kind, weighted, len(kinds) + 1)
+            out[0, i] = out[i, 0] = by_kind.sum()
+            out[i, first:] = out[first:, i] = by_kind[1:]
+            for j in range(i):
+                out[i, j + 1] = out[j + 1, i] = weighted @ xs[j]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(candidates), 1 + width + 2 * width * width))
+        total = np.zeros((len(candidates), size))
         for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False)
-            design = np.zeros((len(y), width))
-            design[:, 0] = 1
-            for j in range(len(x)):
-                design[:, 1 + j] = batch.column(1 + j).to_numpy(zero_copy_only=False)
-            kind = batch.column(1 + len(x)).to_numpy(zero_copy_only=False)
-            for j in range(len(kinds)):
-                design[:, 1 + len(x) + j] = kind == j
+            y, *xs = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(first))
+            # 0 is the base.
+            kind = batch.column(first).to_numpy(zero_copy_only=False) + 1
             for at, b in enumerate(candidates):
-                r = y - design @ b
-                s = np.sqrt(r * r + after * after)
-                parts = [np.array([np.sqrt(r * r + now * now).sum()]), design.T @ (r / s), design.T @ (design * (after * after / s**3)[:, None]), design.T @ (design / s[:, None])]
-                total[at] += np.concatenate([p.ravel() for p in parts])
+                r = y - np.concatenate([[0.0], b[first:]]).take(kind) - b[0]
+                for own, slope in zip(xs, b[1:]):
+                    r -= slope * own
+                square = r * r
+                near = 1 / np.sqrt(square + after * after)
+                g = r * near
+                by_kind = np.bincount(kind, g, len(kinds) + 1)
+                gradient = [by_kind.sum(), *[g @ own for own in xs], *by_kind[1:]]
+                curved = products(near * near * near * (after * after), xs, kind)
+                total[at] += np.concatenate([[np.sqrt(square + now * now).sum()], gradient, curved.ravel(), products(near, xs, kind).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "part"])
 
     # Each partition sends as many rows as there are sums; they are added where they meet.
     sums = rows.select("y", *x, "kind").mapInArrow(run, "at long, part double").groupBy("at").agg(F.sum("part").alias("s")).collect()
-    out = np.zeros((len(candidates), 1 + width + 2 * width * width))
+    out = np.zeros((len(candidates), size))
     for r in sums:
         out.flat[r["at"]] = r["s"]
     return out
@@ -67,16 +87,16 @@ def median_regression(rows: DataFrame, y: str, x: list[str], kind: str | None =
     whole = [F.col(c).cast("double") for c in (y, *x)]
     base = rows.select(whole[0].alias("y"), *[w.alias(f"x{i}") for i, w in enumerate(whole[1:])], index.alias("kind"))
     names = [f"x{i}" for i in range(len(x))]
-    base = written(base.dropna())
+    base = written(base.dropna(), split_mb=4)
     # Scaled columns keep the sums well conditioned.
-    told = base.agg(F.count("*").alias("n"), F.median("y").alias("m"), *[f(c).alias(f"{k}_{c}") for c in names for k, f in (("mean", F.avg), ("sd", F.stddev_pop))]).first()
+    told = base.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in names for k, f in (("mean", F.avg), ("sd", F.stddev_pop))]).first()
     if not told["n"]:
         return None
     mean, sd = np.array([told[f"mean_{c}"] for c in names]), np.array([told[f"sd_{c}"] or 1.0 for c in names])
     base = base.withColumns({c: (F.col(c) - float(m)) / float(d) for c, m, d in zip(names, mean, sd)})
     width = 1 + len(x) + len(kinds)
     b = np.zeros(width)
-    b[0] = told["m"]
+    b[0] = quantiles(base, "y", [], {"m": 0.5}).first()["m"]
     e = _totals(base, names, kinds, b[None, :], 0.0, 1.0)[0, 0] / told["n"]
     if e == 0:
         return _unscaled(b, mean, sd)
@@ -138,14 +158,16 @@ def unit_costs(works: DataFrame, price: str, size: str, kind: str) -> tuple[Data
     effect = F.coalesce(*[F.when(F.col(kind).eqNullSafe(k), F.lit(float(v))) for k, v in zip(listed, b[2:])], F.lit(0.0)) if b is not None and listed else F.lit(0.0)
     line = F.lit(None).cast("double") if b is None else float(b[0]) + float(b[1]) * F.col("_x") + effect
     told = rows.withColumn("expected_per_unit", F.exp(line)).withColumn("_r", F.col("_y") - line)
-    middle = quantiles(told, "_r", [], {"m": 0.5}).select(F.lit(1).alias("_one"), "m")
-    off = told.withColumn("_one", F.lit(1)).join(middle, "_one", "left").withColumn("_off", F.abs(F.col("_r") - F.col("m")))
-    spread = quantiles(off, "_off", [], {"s": 0.5}).select(F.lit(1).alias("_one"), (F.col("s") * 1.4826).alias("_mad"))
-    z = F.when(F.col("_mad") > 0, F.col("_r") / F.col("_mad")).otherwise(F.when(F.col("_r").isNotNull(), F.lit(0.0)))
-    out = off.join(spread, "_one", "left").withColumn("cost_z", z)
+    # Two numbers, known to all rows: a join on a constant would send every row to one task.
+    middle = quantiles(told, "_r", [], {"m": 0.5}).first()
+    off = F.abs(F.col("_r") - F.lit(middle and middle["m"]).cast("double"))
+    spread = quantiles(told.withColumn("_off", off), "_off", [], {"s": 0.5}).first()
+    mad = F.lit(spread and spread["s"] * 1.4826).cast("double")
+    z = F.when(mad > 0, F.col("_r") / mad).otherwise(F.when(F.col("_r").isNotNull(), F.lit(0.0)))
+    out = told.withColumn("cost_z", z)
     middles = quantiles(told, "per_unit", [kind], {"median_per_unit": 0.5}).drop("n")
-    each = out.groupBy(kind).agg(F.count("*").alias("n"), F.count_if(F.col("cost_z") >= FLAG_Z).alias("n_high"), F.count_if(F.col("cost_z") <= -FLAG_Z).alias("n_low"), F.max("_mad").alias("mad_log"))
+    each = out.groupBy(kind).agg(F.count("*").alias("n"), F.count_if(F.col("cost_z") >= FLAG_Z).alias("n_high"), F.count_if(F.col("cost_z") <= -FLAG_Z).alias("n_low"), F.max(mad).alias("mad_log"))
     joined = each.join(middles.withColumnRenamed(kind, "_k"), F.col(kind).eqNullSafe(F.col("_k")), "left").drop("_k")
     fitted = F.lit(b is not None)
     kinds = joined.withColumns({"effect": F.when(fitted, F.exp(effect)), "elasticity": F.lit(None if b is None else float(b[1])).cast("double")})
-    return out.drop("_one", "_off", "_r", "_x", "_y", "m", "_mad"), kinds
+    return out.drop("_r", "_x", "_y"), kinds

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tendergrid.functions import stats
 from tendergrid.operators import models, text
+from tendergrid.operators import unit_costs as uc
 
 
 def test_quantiles_sort_only_values_near_them(spark, monkeypatch):
@@ -52,3 +53,23 @@ def test_repeated_names_meet_once(spark, monkeypatch):
     assert got == want and len(want) > 900
     # What is compared are lists of words, not contracts.
     assert kept[1].count() <= 2 * len({frozenset(n.split()) for n in names})
+
+
+def test_unit_costs_take_no_median_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(uc.F, "median", None)
+    works = spark.createDataFrame([(float(100 + i * 7 % 40), float(1 + i % 9), f"k{i % 2}") for i in range(80)], "p double, s double, k string")
+    out, kinds = uc.unit_costs(works, "p", "s", "k")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and kinds.count() == 2
+
+
+def test_sums_of_a_fit_are_those_of_its_design(spark):
+    r = np.random.default_rng(5)
+    y, x, z, k = r.normal(size=50), r.normal(size=50), r.normal(size=50), r.integers(-1, 3, 50)
+    rows = spark.createDataFrame([(float(a), float(b), float(c), int(d)) for a, b, c, d in zip(y, x, z, k)], "y double, x0 double, x1 double, kind int").repartition(3)
+    design = np.column_stack([np.ones(50), x, z, *[k == j for j in range(3)]])
+    tried = r.normal(size=(2, 6))
+    for b, got in zip(tried, uc._totals(rows, ["x0", "x1"], ["a", "b", "c"], tried, 0.5, 0.25)):
+        e = y - design @ b
+        s = np.sqrt(e * e + 0.0625)
+        want = [[np.sqrt(e * e + 0.25).sum()], design.T @ (e / s), (design.T @ (design * (0.0625 / s**3)[:, None])).ravel(), (design.T @ (design / s[:, None])).ravel()]
+        assert np.allclose(got, np.concatenate(want))

@@ -41,3 +41,31 @@ def test_contracts_without_agency_winner_or_province_are_scored(spark):
     assert sorted(r.project_id for r in models.anomaly_scores(c).collect() if 0 <= r.ml_score <= 1) == list(range(60))
     featured, _ = models.anomaly_features(c)
     assert {round(r.log_pair_count, 9) for r in featured.filter("dept_key is null and winner_key is null").collect()} == {round(float(np.log1p(20)), 9)}
+
+
+def learned_alone(values, z, order):
+    """One network's pass over z in an order, written out."""
+    params = [p.copy() for p in autoencoder.unflat(values, z.shape[1])]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for t, at in enumerate(range(0, len(order), autoencoder.BATCH), 1):
+        part = z[order[at : at + autoencoder.BATCH]]
+        layers = autoencoder.forward(params, part)
+        delta = 2 * (layers[-1] - part) / len(part)
+        for i in (6, 4, 2, 0):
+            grads = (layers[i // 2].T @ delta, delta.sum(0))
+            delta = (delta @ params[i].T) * (1 - layers[i // 2] ** 2)
+            for j, g in zip((i, i + 1), grads):
+                first[j], second[j] = 0.9 * first[j] + 0.1 * g, 0.999 * second[j] + 0.001 * g * g
+                params[j] = params[j] - autoencoder.RATE * (first[j] / (1 - 0.9**t)) / (np.sqrt(second[j] / (1 - 0.999**t)) + 1e-8)
+    return autoencoder.flat(params)
+
+
+def test_networks_side_by_side_learn_what_they_would_alone():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2, 300, 6))
+    values = np.array([autoencoder.flat(autoencoder.start(6, s)) for s in range(4)])
+    of, orders = np.array([0, 1, 1, 0]), [r.permutation(300)[:n] for n in (300, 64, 0, 129)]
+    side = autoencoder.Adam(values, 6)
+    side.learn(x, of, orders)
+    for v, i, o, got in zip(values, of, orders, side.values):
+        assert np.allclose(got, learned_alone(v, x[i], o), atol=1e-12)

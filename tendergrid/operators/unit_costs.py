@@ -162,7 +162,7 @@ def unit_costs(works: DataFrame, price: str, size: str, kind: str) -> tuple[Data
     middle = quantiles(told, "_r", [], {"m": 0.5}).first()
     off = F.abs(F.col("_r") - F.lit(middle and middle["m"]).cast("double"))
     spread = quantiles(told.withColumn("_off", off), "_off", [], {"s": 0.5}).first()
-    mad = F.lit(spread and spread["s"] * 1.4826).cast("double")
+    mad = (F.lit(spread and spread["s"]) * 1.4826).cast("double")
     z = F.when(mad > 0, F.col("_r") / mad).otherwise(F.when(F.col("_r").isNotNull(), F.lit(0.0)))
     out = told.withColumn("cost_z", z)
     middles = quantiles(told, "per_unit", [kind], {"median_per_unit": 0.5}).drop("n")

@@ -7,8 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tendergrid.functions import stats
-from tendergrid.operators import models, text
+from tendergrid.operators import analytics, context, fields, graph, models, patterns, rules, text
 from tendergrid.operators import unit_costs as uc
+from tendergrid.tables import written
 
 
 def test_quantiles_sort_only_values_near_them(spark, monkeypatch):
@@ -73,3 +74,45 @@ def test_sums_of_a_fit_are_those_of_its_design(spark):
         s = np.sqrt(e * e + 0.0625)
         want = [[np.sqrt(e * e + 0.25).sum()], design.T @ (e / s), (design.T @ (design * (0.0625 / s**3)[:, None])).ravel(), (design.T @ (design / s[:, None])).ravel()]
         assert np.allclose(got, np.concatenate(want))
+
+
+COLUMNS = "project_id long, contract_no long, dept_key string, winner_key string, winner_tin string, tin_is_masked boolean, d string, contract_price_agree long, price_build long, project_money long, sum_price_agree long"
+
+
+def _contracts(spark, n: int = 400):
+    r = random.Random(8)
+    some = lambda x: None if r.random() < 0.05 else x
+    rows = [(some(i // 3), i % 3, some(f"a{r.randrange(3)}"), some(f"w{r.randrange(4)}"), f"t{r.randrange(3)}", False, some(f"2024-01-{1 + r.randrange(9):02d}"), some(r.randrange(1, 400_000)), 300_000, 500_000, 400_000) for i in range(n)]
+    return spark.createDataFrame(rows, COLUMNS).withColumn("contract_date", F.to_date("d"))
+
+
+def test_contexts_of_rows_are_those_of_joins(spark):
+    c = _contracts(spark)
+    groups, projects = context.same_day_groups(c), context.projects(c)
+    key = ["project_id", "contract_no", "dept_key", "winner_key", "contract_date", "contract_price_agree"]
+    want = c.join(groups, ["dept_key", "winner_key", "contract_date"], "left").join(projects, "project_id", "left")
+    got = context.with_same_day_groups(context.joined_projects(context.with_projects(c)))
+    columns = [*key, "g_n", "g_priced", "g_total", "g_max", "g_projects", "p_n", "p_sum", "p_missing", "p_total"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
+def test_rules_deal_rows_once_and_narrow(spark):
+    c = written(context.with_projects(_contracts(spark)))
+    chosen = rules.configured({"R3": {"thresholds": {"min": 2}}}, only=["R1", "R2", "R3", "R4", "R10", "R15", "R23"])
+    sets = rules.hit_sets(rules.evaluate(c, chosen, check=False))
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    above = plan[: plan.index("Join")]
+    assert "price_build#" not in above and "project_money#" not in above
+    plain = rules.hit_sets(rules.evaluate(_contracts(spark), chosen, check=False))
+    assert sorted(sets.select("hit_mask", "n").collect()) == sorted(plain.select("hit_mask", "n").collect())
+
+
+def test_what_if_from_the_mask_is_that_of_the_hits(spark):
+    chosen = rules.configured(only=["R1", "R2", "R3", "R4", "R10", "R15", "R23"])
+    e = rules.evaluate(_contracts(spark), chosen, check=False)
+    args = {"exclude": ["R3"], "weights": {"R15": 40.0, "R2": 2.0}}
+    score = lambda df: sorted(map(str, df.select("project_id", "contract_no", "contract_price_agree", "what_if_score").collect()))
+    narrow = rules.what_if(e, **args, rules=chosen)
+    assert score(narrow) == score(rules.what_if(e, **args))
+    assert "rule_hits" not in narrow.select("what_if_score")._jdf.queryExecution().optimizedPlan().toString()

@@ -14,7 +14,8 @@ from ..tables import written
 def edges(c: DataFrame) -> DataFrame:
     own = c.filter(F.col("dept_key").isNotNull() & F.col("winner_key").isNotNull()).groupBy("dept_key", "winner_key")
     out = own.agg(F.sum("contract_price_agree").alias("value"), F.count("*").alias("n"))
-    return out.select(F.concat(F.lit("A::"), F.col("dept_key").cast("string")).alias("source"), F.concat(F.lit("C::"), F.col("winner_key").cast("string")).alias("target"), "value", "n")
+    # Each measure reads links many times, from either end: the contracts are read once.
+    return written(out.select(F.concat(F.lit("A::"), F.col("dept_key").cast("string")).alias("source"), F.concat(F.lit("C::"), F.col("winner_key").cast("string")).alias("target"), "value", "n"))
 
 
 def _both(e: DataFrame) -> DataFrame:

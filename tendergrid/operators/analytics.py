@@ -121,6 +121,8 @@ def shared_places(c: DataFrame, least: int = 3, top: int = 8) -> DataFrame:
 def agency_profiles(c: DataFrame) -> DataFrame:
     from ..functions.parse import method_group
 
+    # Read twice, so the four columns that count are written: joins that c rests on run once.
+    c = written(c.select("dept_key", "winner_key", "purchase_method_name", "contract_price_agree"))
     own = c.groupBy("dept_key").agg(F.count("*").alias("n_contracts"), F.count_distinct("winner_key").alias("n_winners"), F.round(F.count_if(method_group(F.col("purchase_method_name")) == "เฉพาะเจาะจง") / F.count("*"), 6).alias("specific_share"), F.round(F.stddev_samp(_price().cast("double")) / F.avg(_price().cast("double")), 6).alias("cv"))
     return own.join(hhi(c).select("dept_key", "hhi", "top_winner_share"), "dept_key", "left")
 

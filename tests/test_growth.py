@@ -116,3 +116,9 @@ def test_what_if_from_the_mask_is_that_of_the_hits(spark):
     narrow = rules.what_if(e, **args, rules=chosen)
     assert score(narrow) == score(rules.what_if(e, **args))
     assert "rule_hits" not in narrow.select("what_if_score")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contracts_are_read_once_for_links_pairs_and_profiles(spark):
+    c = _contracts(spark).withColumns({"purchase_method_name": F.lit("m")})
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert reads(graph.degrees(graph.edges(c))) == 0 and reads(patterns.pair_patterns(c)) == 0 and reads(analytics.agency_profiles(c)) == 0

@@ -122,3 +122,10 @@ def test_contracts_are_read_once_for_links_pairs_and_profiles(spark):
     c = _contracts(spark).withColumns({"purchase_method_name": F.lit("m")})
     reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
     assert reads(graph.degrees(graph.edges(c))) == 0 and reads(patterns.pair_patterns(c)) == 0 and reads(analytics.agency_profiles(c)) == 0
+
+
+def test_rows_meet_medians_without_a_task_a_group(spark):
+    df = written(spark.createDataFrame([(float(i * 37 % 101), f"g{i % 3}") for i in range(600)], "x double, g string"))
+    z = stats.robust_z(df, "x", ["g"], "z")
+    plan = z._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2

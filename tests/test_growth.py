@@ -129,3 +129,24 @@ def test_rows_meet_medians_without_a_task_a_group(spark):
     z = stats.robust_z(df, "x", ["g"], "z")
     plan = z._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_frequent_sets_are_those_of_the_rows(spark):
+    r = random.Random(2)
+    rows = [tuple(sorted(x for x in "abcdef" if r.random() < 0.45)) for _ in range(300)]
+    lists = spark.createDataFrame([(list(x),) for x in rows], "items array<string>").groupBy("items").agg(F.count("*").alias("n"))
+    want = {}
+    for x in rows:
+        for k in (1, 2, 3):
+            for s in itertools.combinations(x, k):
+                want[s] = want.get(s, 0) + 1
+    got = {tuple(x["items"]): x.freq for x in models.frequent_sets(lists, 40, 3).collect()}
+    assert got == {s: n for s, n in want.items() if n >= 40} and max(map(len, got)) > 1
+
+
+def test_fields_join_no_row_by_agency(spark):
+    c = _contracts(spark)
+    out = fields.with_fields(c, c, ["pair_share_of_agency", "pair_n_contracts"])
+    # Of the two joins, the outer one alone takes contracts: by agency and winner.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and plan.count("Join Inner") == 1

@@ -1,14 +1,17 @@
 """Steps that must not grow with the square of the rows, nor move or sort all of them."""
 
 import itertools
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tendergrid.functions import stats
 from tendergrid.operators import analytics, context, fields, graph, models, patterns, rules, text
 from tendergrid.operators import unit_costs as uc
+from tendergrid.plans.contracts import viewed
 from tendergrid.tables import written
 
 
@@ -150,3 +153,13 @@ def test_fields_join_no_row_by_agency(spark):
     # Of the two joins, the outer one alone takes contracts: by agency and winner.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1 and plan.count("Join Inner") == 1
+
+
+def test_contracts_of_one_row_group_are_dealt(spark):
+    src = "/root/testdata/sf0.1"
+    if not os.path.isdir(src):
+        pytest.skip("no test tables")
+    view = viewed(spark, src)
+    rows = view.groupBy(F.input_file_name()).count().toPandas()["count"]
+    assert len(rows) > 1 and rows.max() < 2 * rows.mean()
+    assert view.groupBy("project_id").agg(F.count_distinct(F.input_file_name()).alias("files")).filter("files > 1").isEmpty()

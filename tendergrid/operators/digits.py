@@ -20,6 +20,10 @@ KINDS = ("000", "x00", "xx0", "xxx")
 BANDS = (5.3, 5.7, 6.5)
 LEAST_PRICE = 1000
 DRAWS = 2000
+#: Contracts of a cell up to which each is drawn alone, and as many drawn together as a byte counts.
+EACH, TOGETHER = 48, 128
+#: Branches that a task draws for.
+BRANCHES = 1000
 
 
 def chi_squared_tail(x: Column, degrees: Column, most: int = 40) -> Column:
@@ -59,22 +63,36 @@ def peer_test(c: DataFrame, least: int = 20) -> DataFrame:
     return out.withColumn("p", chi_squared_tail(F.col("chi_squared"), F.col("degrees")))
 
 
+def _drawn(rng: np.random.Generator, n: np.ndarray, share: np.ndarray, draws: int) -> np.ndarray:
+    """A column per draw: how many contracts are of each kind, of cells of n contracts each by the cell's shares. Contracts of small
+    cells are drawn one by one, as cheap numbers compared with bounds; a cell of many costs no more than one multinomial."""
+    few = n <= EACH
+    out = np.zeros((len(KINDS), draws), np.int64)
+    for k, p in zip(n[~few], share[~few]):
+        out += rng.multinomial(k, p, draws).T
+    upto = np.repeat(share[few].cumsum(1)[:, :-1], n[few], axis=0)
+    for at in range(0, len(upto), TOGETHER):
+        part = upto[at : at + TOGETHER]
+        x = rng.random((len(part), draws))
+        below = [np.add.reduce((x < b[:, None]).view(np.uint8), axis=0, dtype=np.uint8) for b in part.T]
+        out += np.diff(np.array(below, np.int64), axis=0, prepend=0, append=len(part))
+    return out
+
+
 def _chances(draws: int, seed: int):
-    """Rows of a branch (cells of own counts and siblings' shares) to the share of draws that are as far from expectation."""
+    """Rows of a branch (by cell its own counts and its siblings', end to end) to the share of draws that are as far from expectation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for org, sub, lot, cells in zip(b["org"], b["sub"], b["lot"], b["cells"]):
-                n = np.array([sum(x["own"]) for x in cells], dtype=np.int64)
-                seen = np.array([list(x["own"]) for x in cells], dtype=float).sum(0)
-                share = np.array([list(x["siblings"]) for x in cells], dtype=float)
+            for org, sub, lot, own, siblings in zip(b["org"], b["sub"], b["lot"], b["own"], b["siblings"]):
+                own, share = own.reshape(-1, len(KINDS)), siblings.reshape(-1, len(KINDS)).astype(float)
+                n, seen = own.sum(1), own.astype(float).sum(0)
                 share /= share.sum(1, keepdims=True)
                 expected = (n[:, None] * share).sum(0) / n.sum()
                 apart = np.abs(seen / n.sum() - expected).mean()
-                rng = np.random.default_rng((seed, lot & 0xFFFFFFFF, lot >> 32 & 0xFFFFFFFF))
-                drawn = sum(rng.multinomial(k, p, draws) for k, p in zip(n, share))
-                far = np.abs(drawn / n.sum() - expected).mean(1)
+                rng = np.random.Generator(np.random.SFC64((seed, lot & 0xFFFFFFFF, lot >> 32 & 0xFFFFFFFF)))
+                far = np.abs(_drawn(rng, n, share, draws) / n.sum() - expected[:, None]).mean(0)
                 out.append((org, sub, int(n.sum()), float(apart), float((far >= apart - 1e-12).mean())))
             yield pd.DataFrame(out, columns=["org", "sub", "n", "mad", "p"])
 
@@ -85,22 +103,24 @@ def sibling_test(c: DataFrame, org: str = "dept_key", sub: str = "dept_sub_name"
     """org, sub, n, mad, p of the branches of enough contracts in organisations of enough such branches: how far a branch's
     kinds of rounding lie from those of its siblings within like method and band, and the share of seeded draws that lie as far.
 
-    Draws are multinomial per cell, so a row of counts per branch is all that they need. A branch's seed comes from its
+    Draws need a cell's counts only, so a row per branch is all that they read. A branch's seed comes from its
     names, so results don't hang on how rows are dealt.
     """
     rows = priced(c).select(F.col(org).cast("string").alias("org"), F.col(sub).cast("string").alias("sub"), F.concat_ws("|", F.coalesce("purchase_method_name", F.lit("")), F.col("band")).alias("cell"), "kind")
     counts = written(rows.groupBy("org", "sub", "cell").pivot("kind", list(KINDS)).agg(F.count(F.lit(1))).na.fill(0))
-    own = sum(F.col(k) for k in KINDS)
-    large = counts.groupBy("org", "sub").agg(F.sum(own).alias("n")).filter(F.col("n") >= least)
-    orgs = large.groupBy("org").agg(F.count("*").alias("k")).filter(F.col("k") >= siblings).select("org")
-    whole = counts.groupBy("org", "cell").agg(*[F.sum(k).alias(f"_{k}") for k in KINDS])
-    cells = counts.join(large.join(orgs, "org", "left_semi").select("org", "sub"), ["org", "sub"], "left_semi").join(whole, ["org", "cell"])
-    rest = [F.col(f"_{k}") - F.col(k) for k in KINDS]
+    branches = written(counts.groupBy("org", "sub").agg(F.sort_array(F.collect_list(F.struct("cell", F.array(*KINDS).alias("own")))).alias("cells"), F.sum(sum(F.col(k) for k in KINDS)).alias("n")).filter(F.col("n") >= least))
+    orgs = branches.groupBy("org").agg(F.count("*").alias("k")).filter(F.col("k") >= siblings).select("org")
+    # A row per organisation, with as many entries as it has cells; branches meet it whole, without being dealt by cell.
+    whole = counts.groupBy("org", "cell").agg(F.array(*[F.sum(k) for k in KINDS]).alias("all")).groupBy("org").agg(F.map_from_entries(F.collect_list(F.struct("cell", "all"))).alias("whole"))
+    both = branches.join(written(whole.join(orgs, "org", "left_semi")), "org")
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    each = F.transform("cells", lambda x: F.struct(x["own"].alias("own"), F.zip_with(F.col("whole")[x["cell"]], x["own"], lambda a, o: a - o).alias("siblings")))
     # Cells that siblings don't have tell nothing; a branch needs enough contracts in the others.
-    known = cells.filter(sum(rest) > 0).select("org", "sub", F.struct("cell", F.array(*KINDS).alias("own"), F.array(*rest).alias("siblings")).alias("x"), own.alias("k"))
-    known = known.groupBy("org", "sub").agg(F.sort_array(F.collect_list("x")).alias("cells"), F.sum("k").alias("k")).filter(F.col("k") >= least)
-    known = known.select("org", "sub", F.xxhash64("org", "sub").alias("lot"), "cells")
-    return known.mapInPandas(_chances(draws, seed), "org string, sub string, n long, mad double, p double")
+    known = both.select("org", "sub", F.filter(each, lambda x: total(x["siblings"]) > 0).alias("x")).select("org", "sub", F.flatten("x.own").alias("own"), F.flatten("x.siblings").alias("siblings"))
+    known = known.filter(total(F.col("own")) >= least).select("org", "sub", F.xxhash64("org", "sub").alias("lot"), "own", "siblings")
+    # Rows are small and draws are not: tasks are dealt by branches, not by bytes.
+    tasks = max(c.sparkSession.sparkContext.defaultParallelism, -(-branches.count() // BRANCHES))
+    return known.repartition(tasks, "org", "sub").mapInPandas(_chances(draws, seed), "org string, sub string, n long, mad double, p double")
 
 
 def audit(c: DataFrame, draws: int = DRAWS, seed: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tendergrid.functions import stats
-from tendergrid.operators import analytics, context, fields, graph, models, patterns, rules, text
+from tendergrid.operators import analytics, context, digits, fields, graph, models, patterns, rules, text
 from tendergrid.operators import unit_costs as uc
 from tendergrid.plans.contracts import viewed
 from tendergrid.tables import written
@@ -163,3 +163,27 @@ def test_contracts_of_one_row_group_are_dealt(spark):
     rows = view.groupBy("file").count().toPandas()["count"]
     assert len(rows) > 1 and rows.max() < 2 * rows.mean()
     assert view.distinct().groupBy("project_id").count().filter("count > 1").isEmpty()
+
+
+def test_branches_are_drawn_for_by_all_tasks(spark):
+    rows = [("org", f"s{b}", f"m{i % 3}", 20_000.0 + (i + b) % 4) for b in range(200) for i in range(20)]
+    c = spark.createDataFrame(rows, "dept_key string, dept_sub_name string, purchase_method_name string, contract_price_agree double")
+    out = digits.sibling_test(c, draws=50).withColumn("task", F.spark_partition_id()).toPandas()
+    assert len(out) == 200 and out.task.nunique() == spark.sparkContext.defaultParallelism
+
+
+def test_draws_one_by_one_are_those_of_the_law():
+    class Counted(np.random.Generator):
+        calls = 0
+
+        def multinomial(self, *args):
+            self.calls += 1
+            return super().multinomial(*args)
+
+    rng = Counted(np.random.PCG64(4))
+    n, share = np.array([3, 48, 300, 1, 48, 40]), np.array([[0.1, 0.2, 0.3, 0.4], [0, 0, 1, 0], [0.25, 0.5, 0.25, 0], [0, 1, 0, 0], [0.01, 0, 0.09, 0.9], [0.5, 0.5, 0, 0]])
+    got = digits._drawn(rng, n, share, 40_000).T
+    # One cell alone has so many contracts that they are drawn at once.
+    assert rng.calls == 1 and (got.sum(1) == n.sum()).all() and (got >= 0).all()
+    assert np.allclose(got.mean(0), n @ share, atol=0.15)
+    assert np.allclose(np.cov(got.T), sum(k * (np.diag(p) - np.outer(p, p)) for k, p in zip(n, share)), atol=2)

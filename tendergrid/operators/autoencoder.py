@@ -24,6 +24,8 @@ HIDDEN, CODE = 8, 3
 #: Rounds at most, and rounds without a lower error on the held rows after which training stops.
 ROUNDS, PATIENCE = 40, 4
 BATCH, RATE = 64, 0.005
+#: What a partition learns with; averages, errors and scores are doubles.
+LEARNT = np.float32
 #: Percent of the rows that only decide when to stop.
 HELD = 15
 
@@ -35,10 +37,14 @@ def start(width: int, seed: int) -> list[np.ndarray]:
     return [p for a, b in zip(sizes, sizes[1:]) for p in (rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)), np.zeros(b))]
 
 
-def _tanh(y: np.ndarray) -> np.ndarray:
+def _tanh(y: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """tanh to the last digit but one, by exp, which numpy does many times faster."""
-    e = np.exp(np.minimum(2 * y, 300.0))
-    return 1 - 2 / (e + 1)
+    e = np.multiply(y, 2, out=out)
+    np.minimum(e, 300.0, out=e)
+    np.exp(e, out=e)
+    e += 1
+    np.divide(2, e, out=e)
+    return np.subtract(1, e, out=e)
 
 
 def forward(params: list[np.ndarray], z: np.ndarray) -> list[np.ndarray]:
@@ -51,12 +57,60 @@ def forward(params: list[np.ndarray], z: np.ndarray) -> list[np.ndarray]:
 
 class Adam:
     """Networks side by side, as rows of one array of weights, with the running moments of their gradients. Each learns
-    what it would alone; a step costs all of them little more calls than one."""
+    what it would alone; a step costs all of them little more calls than one, and no new arrays.
+
+    A layer's weights and biases lie behind one another, so they are one matrix for inputs that end in a one. Layers lie
+    unit by unit, the rows of the batch last. Numbers are of the type of values.
+    """
 
     def __init__(self, values: np.ndarray, width: int):
         self.values, self.t = values.copy(), np.zeros((len(values), 1))
-        self.first, self.second, self.grads = np.zeros_like(values), np.zeros_like(values), np.zeros_like(values)
-        self.params, self.parts = stacked(self.values, width), stacked(self.grads, width)
+        self.first, self.second, self.grads = (np.zeros_like(self.values) for _ in range(3))
+        self.spare, self.root = np.empty_like(self.values), np.empty_like(self.values)
+        sizes = (width, HIDDEN, CODE, HIDDEN, width)
+        self.params, self.parts = stacked(self.values, sizes), stacked(self.grads, sizes)
+        self.layers = [np.ones((len(values), size + 1, BATCH), values.dtype) for size in sizes]
+        self.deltas = [np.empty((len(values), size, BATCH), values.dtype) for size in sizes]
+        self.rows = np.empty((len(values) * BATCH, width), values.dtype)
+
+    def _read(self, x: np.ndarray, at: np.ndarray) -> None:
+        """Rows `at` of x, those of all networks' batches one after another, become the first layer."""
+        np.take(x, at, axis=0, out=self.rows, mode="clip")
+        self.layers[0][:, :-1] = self.rows.reshape(len(self.values), BATCH, -1).transpose(0, 2, 1)
+
+    def _forward(self) -> None:
+        for i, p in enumerate(self.params):
+            y = self.layers[i + 1][:, :-1]
+            np.matmul(p.transpose(0, 2, 1), self.layers[i], out=y)
+            if i < 3:
+                _tanh(y, out=y)
+
+    def _backward(self) -> None:
+        """Gradients of the weights, from the gradient of the last layer."""
+        for i in (3, 2, 1, 0):
+            np.matmul(self.layers[i], self.deltas[i + 1].transpose(0, 2, 1), out=self.parts[i])
+            if i:
+                y, delta = self.layers[i][:, :-1], self.deltas[i]
+                np.matmul(self.params[i][:, :-1], self.deltas[i + 1], out=delta)
+                np.multiply(y, y, out=y)
+                np.subtract(1, y, out=y)
+                delta *= y
+
+    def _update(self) -> None:
+        self.t += 1
+        np.subtract(self.grads, self.first, out=self.spare)
+        self.spare *= 0.1
+        self.first += self.spare
+        np.multiply(self.grads, self.grads, out=self.spare)
+        self.spare -= self.second
+        self.spare *= 0.001
+        self.second += self.spare
+        np.divide(self.second, (1 - 0.999**self.t).astype(self.root.dtype), out=self.root)
+        np.sqrt(self.root, out=self.root)
+        self.root += 1e-8
+        np.multiply(self.first, (RATE / (1 - 0.9**self.t)).astype(self.spare.dtype), out=self.spare)
+        self.spare /= self.root
+        self.values -= self.spare
 
     def learn(self, x: np.ndarray, of: np.ndarray, orders: list[np.ndarray]) -> None:
         """One pass in batches, on squared error. Network i reads the rows orders[i], in that order, of the table x[of[i]]."""
@@ -65,36 +119,33 @@ class Adam:
         order = np.zeros((len(orders), steps * BATCH), np.intp)
         for i, o in enumerate(orders):
             order[i, : len(o)] = o
-        for at in range(0, steps * BATCH, BATCH):
-            part = x[of[:, None], order[:, at : at + BATCH]]
-            n = np.clip(size - at, 0, BATCH)
-            layers = forward(self.params, part)
-            delta = layers[-1] - part
-            delta *= (2 / np.maximum(n, 1))[:, None, None]
+        # The batches of a step lie together, as places in the tables put one behind another.
+        order = (order + of[:, None] * x.shape[1]).reshape(len(orders), steps, BATCH).transpose(1, 0, 2).reshape(steps, -1)
+        x = x.reshape(-1, x.shape[-1])
+        for step, at in enumerate(order):
+            self._read(x, at)
+            self._forward()
+            n = np.clip(size - step * BATCH, 0, BATCH)
+            delta = self.deltas[-1]
+            np.subtract(self.layers[-1][:, :-1], self.layers[0][:, :-1], out=delta)
+            delta *= (2 / np.maximum(n, 1)).astype(delta.dtype)[:, None, None]
             short = np.flatnonzero(n < BATCH)
             for i in short:
-                delta[i, n[i] :] = 0
-            for i in (6, 4, 2, 0):
-                np.matmul(layers[i // 2].transpose(0, 2, 1), delta, out=self.parts[i])
-                np.matmul(np.ones((1, delta.shape[1])), delta, out=self.parts[i + 1])
-                if i:
-                    delta = (delta @ self.params[i].transpose(0, 2, 1)) * (1 - layers[i // 2] ** 2)
+                delta[i, :, n[i] :] = 0
+            self._backward()
             done = short[n[short] == 0]
             kept = [a[done] for a in (self.values, self.first, self.second, self.t)]
-            self.t += 1
-            self.first += 0.1 * (self.grads - self.first)
-            self.second += 0.001 * (self.grads * self.grads - self.second)
-            self.values -= RATE / (1 - 0.9**self.t) * self.first / (np.sqrt(self.second / (1 - 0.999**self.t)) + 1e-8)
+            self._update()
             for a, old in zip((self.values, self.first, self.second, self.t), kept):
                 a[done] = old
 
 
-def stacked(values: np.ndarray, width: int) -> list[np.ndarray]:
-    """The weights and biases of networks that are rows of values, as views of it."""
+def stacked(values: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """The layers of networks that are rows of values, as views of it: weights, and biases as their last row."""
     out, at = [], 0
-    for p in start(width, 0):
-        out.append(values[:, at : at + p.size].reshape(len(values), *(p.shape if p.ndim == 2 else (1, p.size))))
-        at += p.size
+    for a, b in zip(sizes, sizes[1:]):
+        out.append(values[:, at : at + (a + 1) * b].reshape(len(values), a + 1, b))
+        at += (a + 1) * b
     return out
 
 
@@ -120,21 +171,21 @@ def _round(models: dict, scales: dict, columns: list[str], number: int):
     of = np.array([outs.index(k[0]) for k in keys], np.intp)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        learner = Adam(np.array([models[k] for k in keys]), len(columns))
+        learner = Adam(np.array([models[k] for k in keys], LEARNT), len(columns))
         before = {k: unflat(models[k], len(columns)) for k in keys}
         seen, errors, held = dict.fromkeys(models, 0), dict.fromkeys(models, 0.0), dict.fromkeys(models, 0)
         for b in batches:
             x, fold, kept = b[columns].to_numpy(float), b.fold.to_numpy(), b.held.to_numpy(bool)
             z = np.array([scaled(x, scales[out]) for out in outs])
             own = [np.flatnonzero((fold != out) & ~kept) for out in outs]
-            learner.learn(z, of, [own[i][np.random.default_rng((number, *k, seen[k])).permutation(len(own[i]))] for k, i in zip(keys, of)])
+            learner.learn(z.astype(LEARNT), of, [own[i][np.random.default_rng((number, *k, seen[k])).permutation(len(own[i]))] for k, i in zip(keys, of)])
             rest = [z[i][(fold != out) & kept] for i, out in enumerate(outs)]
             for k, i in zip(keys, of):
                 seen[k] += len(own[i])
                 if len(rest[i]):
                     errors[k] += float(((forward(before[k], rest[i])[-1] - rest[i]) ** 2).mean(1).sum())
                     held[k] += len(rest[i])
-        rows = [(*k, i, v * seen[k]) for k, values in zip(keys, learner.values) if seen[k] for i, v in enumerate(values)]
+        rows = [(*k, i, v * seen[k]) for k, values in zip(keys, learner.values.astype(float)) if seen[k] for i, v in enumerate(values)]
         rows += [(*k, at, float(v)) for k in models for at, v in ((-1, seen[k]), (-2, errors[k]), (-3, held[k]))]
         yield pd.DataFrame(rows, columns=["out", "seed", "i", "v"])
 

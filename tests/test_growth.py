@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tendergrid.functions import stats
-from tendergrid.operators import analytics, context, digits, fields, graph, models, patterns, rules, text
+from tendergrid.operators import analytics, autoencoder, context, digits, fields, graph, models, patterns, reports, rules, text
 from tendergrid.operators import unit_costs as uc
 from tendergrid.plans.contracts import viewed
 from tendergrid.tables import written
@@ -187,3 +187,26 @@ def test_draws_one_by_one_are_those_of_the_law():
     assert rng.calls == 1 and (got.sum(1) == n.sum()).all() and (got >= 0).all()
     assert np.allclose(got.mean(0), n @ share, atol=0.15)
     assert np.allclose(np.cov(got.T), sum(k * (np.diag(p) - np.outer(p, p)) for k, p in zip(n, share)), atol=2)
+
+
+def test_median_of_all_is_taken_only_where_a_group_has_none(spark, monkeypatch):
+    asked, real = [], reports.quantiles
+    monkeypatch.setattr(reports, "quantiles", lambda df, x, by, shares: asked.append(by) or real(df, x, by, shares))
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), (None, 8.0), (None, None)], "g string, x double")
+    assert sorted(r.y for r in reports.imputed(df, "x", ["g"], "y").collect()) == [1.0, 2.0, 3.0, 8.0, 8.0] and asked == [["g"]]
+    lone = df.union(spark.createDataFrame([("b", None)], "g string, x double"))
+    assert sorted(r.y for r in reports.imputed(lone, "x", ["g"], "y").collect()) == [1.0, 2.0, 3.0, 3.0, 8.0, 8.0] and asked[1:] == [["g"], []]
+
+
+def test_a_pass_learns_in_the_arrays_it_has(spark):
+    r = np.random.default_rng(6)
+    x, order = r.normal(size=(1, 200, 12)), [r.permutation(200)] * 3
+    values = np.array([autoencoder.flat(autoencoder.start(12, s)) for s in range(3)])
+    learned = {}
+    for kind in (np.float64, autoencoder.LEARNT):
+        side = autoencoder.Adam(values.astype(kind), 12)
+        layers = [id(a) for a in side.layers]
+        side.learn(x.astype(kind), np.zeros(3, np.intp), order)
+        assert layers == [id(a) for a in side.layers] and {a.dtype for a in (side.values, side.first, side.second, *side.layers)} == {np.dtype(kind)}
+        learned[kind] = side.values
+    assert np.allclose(learned[np.float64], learned[autoencoder.LEARNT], atol=1e-5)

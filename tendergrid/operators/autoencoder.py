@@ -3,7 +3,8 @@
 A contract's fold is a hash of its key. A network per (fold left out, seed) learns from every row of the other folds: in
 each round every partition starts from the shared weights, trains on its own rows batch by batch, and the weights are
 averaged by rows. A part of the rows only decides when to stop. A contract is scored by the networks that haven't seen
-its fold, and its errors are averaged over the seeds. Only sums of weights pass the driver.
+its fold, and its errors are averaged over the seeds. Only sums of weights pass the driver. For the rounds rows are
+written once more as blocks, since passing single values to Python costs as much as learning from them.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ HIDDEN, CODE = 8, 3
 #: Rounds at most, and rounds without a lower error on the held rows after which training stops.
 ROUNDS, PATIENCE = 40, 4
 BATCH, RATE = 64, 0.005
-#: What a partition learns with; averages, errors and scores are doubles.
+#: What a partition learns with, and rebuilds held rows with; their errors are added up, and weights averaged and rows scored, as doubles.
 LEARNT = np.float32
 #: Percent of the rows that only decide when to stop.
 HELD = 15
+#: Rows of a block at most; a network takes those of one block in an order drawn.
+BLOCK = 10_000
 
 
 def start(width: int, seed: int) -> list[np.ndarray]:
@@ -38,7 +41,9 @@ def start(width: int, seed: int) -> list[np.ndarray]:
 
 
 def _tanh(y: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
-    """tanh to the last digit but one, by exp, which numpy does many times faster."""
+    """tanh; of doubles to the last digit but one, by exp, which numpy does many times faster."""
+    if y.dtype == np.float32:
+        return np.tanh(y, out=out)
     e = np.multiply(y, 2, out=out)
     np.minimum(e, 300.0, out=e)
     np.exp(e, out=e)
@@ -105,11 +110,12 @@ class Adam:
         self.spare -= self.second
         self.spare *= 0.001
         self.second += self.spare
-        np.divide(self.second, (1 - 0.999**self.t).astype(self.root.dtype), out=self.root)
-        np.sqrt(self.root, out=self.root)
-        self.root += 1e-8
-        np.multiply(self.first, (RATE / (1 - 0.9**self.t)).astype(self.spare.dtype), out=self.spare)
-        self.spare /= self.root
+        # What corrects the second moment is a number for each network, so it is taken out of the root.
+        spread = np.sqrt(1 - 0.999**self.t)
+        np.sqrt(self.second, out=self.root)
+        self.root += (1e-8 * spread).astype(self.root.dtype)
+        np.divide(self.first, self.root, out=self.spare)
+        self.spare *= (RATE * spread / (1 - 0.9**self.t)).astype(self.spare.dtype)
         self.values -= self.spare
 
     def learn(self, x: np.ndarray, of: np.ndarray, orders: list[np.ndarray]) -> None:
@@ -122,18 +128,22 @@ class Adam:
         # The batches of a step lie together, as places in the tables put one behind another.
         order = (order + of[:, None] * x.shape[1]).reshape(len(orders), steps, BATCH).transpose(1, 0, 2).reshape(steps, -1)
         x = x.reshape(-1, x.shape[-1])
-        for step, at in enumerate(order):
+        sizes = np.clip(size - np.arange(steps)[:, None] * BATCH, 0, BATCH)
+        delta = self.deltas[-1]
+        for at, n in zip(order, sizes):
             self._read(x, at)
             self._forward()
-            n = np.clip(size - step * BATCH, 0, BATCH)
-            delta = self.deltas[-1]
             np.subtract(self.layers[-1][:, :-1], self.layers[0][:, :-1], out=delta)
+            if n.min() == BATCH:
+                delta *= 2 / BATCH
+                self._backward()
+                self._update()
+                continue
             delta *= (2 / np.maximum(n, 1)).astype(delta.dtype)[:, None, None]
-            short = np.flatnonzero(n < BATCH)
-            for i in short:
+            for i in np.flatnonzero(n < BATCH):
                 delta[i, :, n[i] :] = 0
             self._backward()
-            done = short[n[short] == 0]
+            done = np.flatnonzero(n == 0)
             kept = [a[done] for a in (self.values, self.first, self.second, self.t)]
             self._update()
             for a, old in zip((self.values, self.first, self.second, self.t), kept):
@@ -165,6 +175,29 @@ def scaled(x: np.ndarray, scale: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.clip((x - scale[0]) / scale[1], -10, 10)
 
 
+def blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows (fold, held, columns) as up to BLOCK of them in one: the features as doubles, row by row, folds and held as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(at, BLOCK)
+                x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(float)
+                flags = [b.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("fold", "held")]
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, *flags)], ["features", "folds", "helds"])
+
+    return rows.select("fold", "held", *columns).mapInArrow(run, "features binary, folds binary, helds binary")
+
+
+def _tables(b: pd.DataFrame, columns: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features, folds and held of the rows of b, which are blocks or single ones."""
+    if "features" not in b:
+        yield b[columns].to_numpy(float), b.fold.to_numpy(), b.held.to_numpy(bool)
+        return
+    for x, fold, kept in zip(b.features, b.folds, b.helds):
+        yield np.frombuffer(x).reshape(-1, len(columns)), np.frombuffer(fold, np.uint8), np.frombuffer(kept, np.uint8).astype(bool)
+
+
 def _round(models: dict, scales: dict, columns: list[str], number: int):
     """One partition's part of a round: per network its weights times its rows, and the error of its held rows before."""
     keys, outs = list(models), sorted({k[0] for k in models})
@@ -172,22 +205,24 @@ def _round(models: dict, scales: dict, columns: list[str], number: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         learner = Adam(np.array([models[k] for k in keys], LEARNT), len(columns))
-        before = {k: unflat(models[k], len(columns)) for k in keys}
+        before = {k: unflat(models[k].astype(LEARNT), len(columns)) for k in keys}
         seen, errors, held = dict.fromkeys(models, 0), dict.fromkeys(models, 0.0), dict.fromkeys(models, 0)
-        for b in batches:
-            x, fold, kept = b[columns].to_numpy(float), b.fold.to_numpy(), b.held.to_numpy(bool)
+        for x, fold, kept in (t for b in batches for t in _tables(b, columns)):
             z = np.array([scaled(x, scales[out]) for out in outs])
             own = [np.flatnonzero((fold != out) & ~kept) for out in outs]
-            learner.learn(z.astype(LEARNT), of, [own[i][np.random.default_rng((number, *k, seen[k])).permutation(len(own[i]))] for k, i in zip(keys, of)])
+            z = z.astype(LEARNT)
+            learner.learn(z, of, [own[i][np.random.default_rng((number, *k, seen[k])).permutation(len(own[i]))] for k, i in zip(keys, of)])
             rest = [z[i][(fold != out) & kept] for i, out in enumerate(outs)]
             for k, i in zip(keys, of):
                 seen[k] += len(own[i])
                 if len(rest[i]):
-                    errors[k] += float(((forward(before[k], rest[i])[-1] - rest[i]) ** 2).mean(1).sum())
+                    errors[k] += float(((forward(before[k], rest[i])[-1] - rest[i]) ** 2).mean(1).sum(dtype=float))
                     held[k] += len(rest[i])
-        rows = [(*k, i, v * seen[k]) for k, values in zip(keys, learner.values.astype(float)) if seen[k] for i, v in enumerate(values)]
-        rows += [(*k, at, float(v)) for k in models for at, v in ((-1, seen[k]), (-2, errors[k]), (-3, held[k]))]
-        yield pd.DataFrame(rows, columns=["out", "seed", "i", "v"])
+        told = np.array([[seen[k], errors[k], held[k]] for k in keys], float)
+        sums = np.hstack([learner.values.astype(float) * told[:, :1], told])
+        place = np.append(np.arange(learner.values.shape[1]), (-1, -2, -3))
+        out, seed = np.repeat(np.array(keys), len(place), axis=0).T
+        yield pd.DataFrame({"out": out, "seed": seed, "i": np.tile(place, len(keys)), "v": sums.ravel()})
 
     return run
 
@@ -227,13 +262,14 @@ def _errors(rows: DataFrame, columns: list[str], keep: list[str], name: str, err
 
 def fit(rows: DataFrame, columns: list[str], folds: int = FOLDS, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[dict, dict]:
     """Networks by (fold left out, seed) and scales by fold left out; rows have fold, held and columns."""
-    scales = fold_scales(rows, columns, folds)
+    scales, packed = fold_scales(rows, columns, folds), written(blocks(rows, columns))
     models = {(out, seed): flat(start(len(columns), 1000 * seed + out)) for out in range(folds) for seed in range(seeds)}
     best, least, idle, going = dict(models), dict.fromkeys(models, np.inf), dict.fromkeys(models, 0), set(models)
     for number in range(rounds):
         now = {k: models[k] for k in going}
-        got = rows.mapInPandas(_round(now, scales, columns, number), "out int, seed int, i int, v double").groupBy("out", "seed", "i").agg(F.sum("v").alias("v")).collect()
-        sums = {(r["out"], r["seed"], r["i"]): r["v"] for r in got}
+        got = packed.mapInPandas(_round(now, scales, columns, number), "out int, seed int, i int, v double").groupBy("out", "seed", "i").agg(F.sum("v").alias("v")).toArrow()
+        out, seed, i, v = (c.to_pylist() for c in got.columns)
+        sums = dict(zip(zip(out, seed, i), v))
         for k in sorted(going):
             error = sums.get((*k, -2), 0.0) / max(sums.get((*k, -3), 0.0), 1)
             if error < least[k] - 1e-7:
@@ -251,10 +287,14 @@ def fit(rows: DataFrame, columns: list[str], folds: int = FOLDS, seeds: int = SE
 
 
 def folded(c: DataFrame, folds: int = FOLDS, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Contracts (of their columns those in `keep`, and what tells the fold) with features, fold and held, written once."""
+    """Contracts (of their columns those in `keep`, and what tells the fold) with features, fold and held, written once.
+
+    Rounds take as long as their longest task, so rows are dealt by key to as many parts as there are cores, in order of the key.
+    """
     featured, columns = anomaly_features(c, None if keep is None else list(dict.fromkeys([*keep, *KEY])))
-    key = F.xxhash64(*KEY)
-    return written(featured.withColumn("fold", F.pmod(key, F.lit(folds)).cast("int")).withColumn("held", F.pmod(F.xxhash64(key), F.lit(100)) < HELD), split_mb=4), columns
+    key = F.col("_key")
+    dealt = featured.withColumn("_key", F.xxhash64(*KEY)).repartition(c.sparkSession.sparkContext.defaultParallelism, key).sortWithinPartitions(key)
+    return written(dealt.withColumn("fold", F.pmod(key, F.lit(folds)).cast("int")).withColumn("held", F.pmod(F.xxhash64(key), F.lit(100)) < HELD).drop("_key"), split_mb=4), columns
 
 
 def networks_error(models: dict, scales: dict, width: int, seeds: int = SEEDS) -> Callable[[int, np.ndarray], np.ndarray]:

@@ -4,7 +4,8 @@ A contract's fold is a hash of its key. A network per (fold left out, seed) lear
 each round every partition starts from the shared weights, trains on its own rows batch by batch, and the weights are
 averaged by rows. A part of the rows only decides when to stop. A contract is scored by the networks that haven't seen
 its fold, and its errors are averaged over the seeds. Only sums of weights pass the driver. For the rounds rows are
-written once more as blocks, since passing single values to Python costs as much as learning from them.
+written once more, each as one value of bytes: passing its features to Python one by one costs as much as learning from
+them, and blocks of rows as one value fill the memory of executors.
 """
 
 from __future__ import annotations
@@ -65,57 +66,57 @@ class Adam:
     what it would alone; a step costs all of them little more calls than one, and no new arrays.
 
     A layer's weights and biases lie behind one another, so they are one matrix for inputs that end in a one. Layers lie
-    unit by unit, the rows of the batch last. Numbers are of the type of values.
+    unit by unit, then network by network, the rows of the batch last: the units without that one are a whole piece of
+    memory, which numpy passes over many times faster than over a piece for each network. Numbers are of the type of values.
     """
 
     def __init__(self, values: np.ndarray, width: int):
         self.values, self.t = values.copy(), np.zeros((len(values), 1))
+        # Moments are kept without their factors of 0.1 and 0.001.
         self.first, self.second, self.grads = (np.zeros_like(self.values) for _ in range(3))
-        self.spare, self.root = np.empty_like(self.values), np.empty_like(self.values)
+        self.spare = np.empty_like(self.values)
         sizes = (width, HIDDEN, CODE, HIDDEN, width)
         self.params, self.parts = stacked(self.values, sizes), stacked(self.grads, sizes)
-        self.layers = [np.ones((len(values), size + 1, BATCH), values.dtype) for size in sizes]
-        self.deltas = [np.empty((len(values), size, BATCH), values.dtype) for size in sizes]
+        self.layers = [np.ones((size + 1, len(values), BATCH), values.dtype) for size in sizes]
+        self.deltas = [np.empty((size, len(values), BATCH), values.dtype) for size in sizes]
         self.rows = np.empty((len(values) * BATCH, width), values.dtype)
 
     def _read(self, x: np.ndarray, at: np.ndarray) -> None:
         """Rows `at` of x, those of all networks' batches one after another, become the first layer."""
         np.take(x, at, axis=0, out=self.rows, mode="clip")
-        self.layers[0][:, :-1] = self.rows.reshape(len(self.values), BATCH, -1).transpose(0, 2, 1)
+        self.layers[0][:-1].reshape(len(self.rows.T), -1)[:] = self.rows.T
 
     def _forward(self) -> None:
         for i, p in enumerate(self.params):
-            y = self.layers[i + 1][:, :-1]
-            np.matmul(p.transpose(0, 2, 1), self.layers[i], out=y)
+            y = self.layers[i + 1][:-1]
+            np.matmul(p.transpose(0, 2, 1), self.layers[i].transpose(1, 0, 2), out=y.transpose(1, 0, 2))
             if i < 3:
                 _tanh(y, out=y)
 
     def _backward(self) -> None:
         """Gradients of the weights, from the gradient of the last layer."""
         for i in (3, 2, 1, 0):
-            np.matmul(self.layers[i], self.deltas[i + 1].transpose(0, 2, 1), out=self.parts[i])
+            np.matmul(self.layers[i].transpose(1, 0, 2), self.deltas[i + 1].transpose(1, 2, 0), out=self.parts[i])
             if i:
-                y, delta = self.layers[i][:, :-1], self.deltas[i]
-                np.matmul(self.params[i][:, :-1], self.deltas[i + 1], out=delta)
+                y, delta = self.layers[i][:-1], self.deltas[i]
+                np.matmul(self.params[i][:, :-1], self.deltas[i + 1].transpose(1, 0, 2), out=delta.transpose(1, 0, 2))
                 np.multiply(y, y, out=y)
                 np.subtract(1, y, out=y)
                 delta *= y
 
     def _update(self) -> None:
         self.t += 1
-        np.subtract(self.grads, self.first, out=self.spare)
-        self.spare *= 0.1
-        self.first += self.spare
-        np.multiply(self.grads, self.grads, out=self.spare)
-        self.spare -= self.second
-        self.spare *= 0.001
-        self.second += self.spare
+        self.first *= 0.9
+        self.first += self.grads
+        np.multiply(self.grads, self.grads, out=self.grads)
+        self.second *= 0.999
+        self.second += self.grads
         # What corrects the second moment is a number for each network, so it is taken out of the root.
-        spread = np.sqrt(1 - 0.999**self.t)
-        np.sqrt(self.second, out=self.root)
-        self.root += (1e-8 * spread).astype(self.root.dtype)
-        np.divide(self.first, self.root, out=self.spare)
-        self.spare *= (RATE * spread / (1 - 0.9**self.t)).astype(self.spare.dtype)
+        spread = np.sqrt(0.001 / (1 - 0.999**self.t))
+        np.sqrt(self.second, out=self.spare)
+        self.spare += (1e-8 / spread).astype(self.spare.dtype)
+        np.divide(self.first, self.spare, out=self.spare)
+        self.spare *= (0.1 * RATE / (spread * (1 - 0.9**self.t))).astype(self.spare.dtype)
         self.values -= self.spare
 
     def learn(self, x: np.ndarray, of: np.ndarray, orders: list[np.ndarray]) -> None:
@@ -133,15 +134,15 @@ class Adam:
         for at, n in zip(order, sizes):
             self._read(x, at)
             self._forward()
-            np.subtract(self.layers[-1][:, :-1], self.layers[0][:, :-1], out=delta)
+            np.subtract(self.layers[-1][:-1], self.layers[0][:-1], out=delta)
             if n.min() == BATCH:
                 delta *= 2 / BATCH
                 self._backward()
                 self._update()
                 continue
-            delta *= (2 / np.maximum(n, 1)).astype(delta.dtype)[:, None, None]
+            delta *= (2 / np.maximum(n, 1)).astype(delta.dtype)[:, None]
             for i in np.flatnonzero(n < BATCH):
-                delta[i, :, n[i] :] = 0
+                delta[:, i, n[i] :] = 0
             self._backward()
             done = np.flatnonzero(n == 0)
             kept = [a[done] for a in (self.values, self.first, self.second, self.t)]
@@ -172,7 +173,7 @@ def unflat(values: np.ndarray, width: int) -> list[np.ndarray]:
 
 
 def scaled(x: np.ndarray, scale: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    return np.clip((x - scale[0]) / scale[1], -10, 10)
+    return np.clip((x - scale[0].astype(x.dtype)) / scale[1].astype(x.dtype), -10, 10)
 
 
 def blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -198,31 +199,82 @@ def _tables(b: pd.DataFrame, columns: list[str]) -> Iterator[tuple[np.ndarray, n
         yield np.frombuffer(x).reshape(-1, len(columns)), np.frombuffer(fold, np.uint8), np.frombuffer(kept, np.uint8).astype(bool)
 
 
-def _round(models: dict, scales: dict, columns: list[str], number: int):
-    """One partition's part of a round: per network its weights times its rows, and the error of its held rows before."""
+def packed(rows: DataFrame, columns: list[str], scale: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """rows (fold, held, columns) as one column of bytes: the features in single precision, as deviations from scale's means in
+    its spreads, then fold and held as a byte each. A row is one small value, so no batch grows with the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(float) if b.num_rows else np.zeros((0, len(columns)))
+            z = ((x - scale[0]) / scale[1]).astype(np.float32).view(np.uint8)
+            flags = [b.column(c).to_numpy(zero_copy_only=False).astype(np.uint8)[:, None] for c in ("fold", "held")]
+            whole = np.ascontiguousarray(np.hstack([z, *flags]))
+            ends = np.arange(b.num_rows + 1, dtype=np.int32) * whole.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(whole)])], ["row"])
+
+    return rows.select("fold", "held", *columns).mapInArrow(run, "row binary")
+
+
+def unpacked(b: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features as packed() has them, folds and held of up to BLOCK rows at a time."""
+    for at in range(0, b.num_rows, BLOCK):
+        own = b.column(0).slice(at, BLOCK)
+        start = np.frombuffer(own.buffers()[1], np.int32)[own.offset]
+        whole = np.frombuffer(own.buffers()[2], np.uint8)[start : start + len(own) * (4 * width + 2)].reshape(len(own), -1)
+        yield np.ascontiguousarray(whole[:, :-2]).view(np.float32), whole[:, -2], whole[:, -1].astype(bool)
+
+
+def _held_errors(params: list[np.ndarray], z: np.ndarray) -> np.ndarray:
+    """Sums of the mean squared errors of rows z under networks side by side."""
+    layer = np.vstack([z.T, np.ones((1, len(z)), z.dtype)])[None]
+    for i, p in enumerate(params):
+        y = np.matmul(p.transpose(0, 2, 1), layer)
+        if i < 3:
+            layer = np.ones((len(y), y.shape[1] + 1, len(z)), z.dtype)
+            _tanh(y, out=layer[:, :-1])
+    y -= z.T
+    return np.square(y).sum((1, 2), dtype=float) / z.shape[1]
+
+
+def _learned(models: dict, scales: dict, width: int, number: int, tables: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """One partition's part of a round, over tables of features, folds and held: per network its weights times its rows, and
+    the error of its held rows before."""
     keys, outs = list(models), sorted({k[0] for k in models})
     of = np.array([outs.index(k[0]) for k in keys], np.intp)
+    learner = Adam(np.array([models[k] for k in keys], LEARNT), width)
+    before = [stacked(np.array([models[k] for k in keys if k[0] == out], LEARNT), (width, HIDDEN, CODE, HIDDEN, width)) for out in outs]
+    seen, errors, held = (np.zeros(len(keys)) for _ in range(3))
+    for x, fold, kept in tables:
+        z = np.array([scaled(x, scales[out]) for out in outs], LEARNT)
+        own = [np.flatnonzero((fold != out) & ~kept) for out in outs]
+        learner.learn(z, of, [own[i][np.random.default_rng((number, *k, int(n))).permutation(len(own[i]))] for k, i, n in zip(keys, of, seen)])
+        seen += [len(own[i]) for i in of]
+        for i, out in enumerate(outs):
+            rest = z[i][(fold != out) & kept]
+            if len(rest):
+                errors[of == i] += _held_errors(before[i], rest)
+                held[of == i] += len(rest)
+    sums = np.column_stack([learner.values.astype(float) * seen[:, None], seen, errors, held])
+    place = np.append(np.arange(learner.values.shape[1]), (-1, -2, -3))
+    out, seed = np.repeat(np.array(keys), len(place), axis=0).T
+    return pd.DataFrame({"out": out, "seed": seed, "i": np.tile(place, len(keys)), "v": sums.ravel()})
+
+
+def _round(models: dict, scales: dict, columns: list[str], number: int):
+    """For mapInPandas over rows or blocks of them: _learned() of a partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        learner = Adam(np.array([models[k] for k in keys], LEARNT), len(columns))
-        before = {k: unflat(models[k].astype(LEARNT), len(columns)) for k in keys}
-        seen, errors, held = dict.fromkeys(models, 0), dict.fromkeys(models, 0.0), dict.fromkeys(models, 0)
-        for x, fold, kept in (t for b in batches for t in _tables(b, columns)):
-            z = np.array([scaled(x, scales[out]) for out in outs])
-            own = [np.flatnonzero((fold != out) & ~kept) for out in outs]
-            z = z.astype(LEARNT)
-            learner.learn(z, of, [own[i][np.random.default_rng((number, *k, seen[k])).permutation(len(own[i]))] for k, i in zip(keys, of)])
-            rest = [z[i][(fold != out) & kept] for i, out in enumerate(outs)]
-            for k, i in zip(keys, of):
-                seen[k] += len(own[i])
-                if len(rest[i]):
-                    errors[k] += float(((forward(before[k], rest[i])[-1] - rest[i]) ** 2).mean(1).sum(dtype=float))
-                    held[k] += len(rest[i])
-        told = np.array([[seen[k], errors[k], held[k]] for k in keys], float)
-        sums = np.hstack([learner.values.astype(float) * told[:, :1], told])
-        place = np.append(np.arange(learner.values.shape[1]), (-1, -2, -3))
-        out, seed = np.repeat(np.array(keys), len(place), axis=0).T
-        yield pd.DataFrame({"out": out, "seed": seed, "i": np.tile(place, len(keys)), "v": sums.ravel()})
+        yield _learned(models, scales, len(columns), number, (t for b in batches for t in _tables(b, columns)))
+
+    return run
+
+
+def _packed_round(models: dict, scales: dict, width: int, number: int):
+    """The same for mapInArrow over rows as packed() has them, and scales of those."""
+    schema = pa.schema([("out", pa.int32()), ("seed", pa.int32()), ("i", pa.int32()), ("v", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pandas(_learned(models, scales, width, number, (t for b in batches for t in unpacked(b, width))), schema, preserve_index=False)
 
     return run
 
@@ -262,12 +314,16 @@ def _errors(rows: DataFrame, columns: list[str], keep: list[str], name: str, err
 
 def fit(rows: DataFrame, columns: list[str], folds: int = FOLDS, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[dict, dict]:
     """Networks by (fold left out, seed) and scales by fold left out; rows have fold, held and columns."""
-    scales, packed = fold_scales(rows, columns, folds), written(blocks(rows, columns))
+    scales = fold_scales(rows, columns, folds)
+    # Of rows as deviations, every fold's means are near 0 and its spreads near 1, so single precision loses nothing.
+    mean, spread = scales[0]
+    near = {k: ((m - mean) / spread, s / spread) for k, (m, s) in scales.items()}
+    table = written(packed(rows, columns, scales[0]), split_mb=4)
     models = {(out, seed): flat(start(len(columns), 1000 * seed + out)) for out in range(folds) for seed in range(seeds)}
     best, least, idle, going = dict(models), dict.fromkeys(models, np.inf), dict.fromkeys(models, 0), set(models)
     for number in range(rounds):
         now = {k: models[k] for k in going}
-        got = packed.mapInPandas(_round(now, scales, columns, number), "out int, seed int, i int, v double").groupBy("out", "seed", "i").agg(F.sum("v").alias("v")).toArrow()
+        got = table.mapInArrow(_packed_round(now, near, len(columns), number), "out int, seed int, i int, v double").groupBy("out", "seed", "i").agg(F.sum("v").alias("v")).toArrow()
         out, seed, i, v = (c.to_pylist() for c in got.columns)
         sums = dict(zip(zip(out, seed, i), v))
         for k in sorted(going):

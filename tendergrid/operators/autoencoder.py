@@ -346,7 +346,7 @@ def folded(c: DataFrame, folds: int = FOLDS, keep: list[str] | None = None) -> t
     """Contracts (of their columns those in `keep`, and what tells the fold) with features, fold and held, written once."""
     featured, columns = anomaly_features(c, None if keep is None else list(dict.fromkeys([*keep, *KEY])))
     key = F.xxhash64(*KEY)
-    return written(featured.withColumn("fold", F.pmod(key, F.lit(folds)).cast("int")).withColumn("held", F.pmod(F.xxhash64(key), F.lit(100)) < HELD), split_mb=4), columns
+    return written(featured.withColumn("fold", F.pmod(key, F.lit(folds)).cast("int")).withColumn("held", F.pmod(F.xxhash64(key), F.lit(100)) < HELD), split_mb=4, wide=True), columns
 
 
 def networks_error(models: dict, scales: dict, width: int, seeds: int = SEEDS) -> Callable[[int, np.ndarray], np.ndarray]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from tendergrid.operators import autoencoder
+from tendergrid.functions import stats
+from tendergrid.operators import autoencoder, models
+from tendergrid.tables import written
 
 
 def features(spark, n=700):
@@ -39,3 +41,29 @@ def test_a_round_over_packed_rows_is_the_round_over_rows(spark):
     assert isinstance(other, pa.RecordBatch)
     other = other.to_pandas()
     assert one[["out", "seed", "i"]].astype(int).equals(other[["out", "seed", "i"]].astype(int)) and np.allclose(one.v, other.v, rtol=1e-4, atol=1e-2)
+
+
+def contracts(spark, n=4000):
+    kinds = ["cast(id % 3 as string) project_type_name", "cast(id % 2 as string) purchase_method_name"]
+    return spark.range(n).selectExpr("id project_id", "cast(1 as int) contract_no", "if(id % 8 = 0, null, cast(id % 7 as string)) dept_key", "if(id % 10 = 0, null, cast(id % 11 as string)) winner_key", "100000 + id % 997 contract_price_agree", "120000L price_build", "500000L project_money", "cast(id % 40 as int) duration_days", *kinds)
+
+
+def test_values_of_a_table_are_not_written_again_for_medians(spark, monkeypatch):
+    df = written(contracts(spark).select("project_type_name", F.col("contract_price_agree").alias("x"), F.col("duration_days").alias("y")))
+    want = sorted(map(tuple, stats.robust_z_of(df, ["x", "y"], ["project_type_name"]).collect()), key=repr)
+    kept, real = [], stats.written
+    monkeypatch.setattr(stats, "written", lambda d, *a, **k: kept.append(real(d, *a, **k)) or kept[-1])
+    got = stats.robust_z_of(df, ["x", "y"], ["project_type_name"], of=df)
+    assert sorted(map(tuple, got.collect()), key=repr) == want and max(t.count() for t in kept) < 4000
+
+
+def test_rows_are_shuffled_once_for_their_features(spark):
+    c = written(contracts(spark))
+    featured, _ = models.anomaly_features(c, ["project_id", "dept_key", "winner_key", "contract_price_agree"])
+    # Contracts meet pairs, and agencies; what pairs tell of winners comes with them.
+    assert featured._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
+    rows = featured.toPandas()
+    value = lambda by: rows.groupby(by, dropna=False).contract_price_agree.transform("sum")
+    assert np.allclose(rows.pair_value_share, value(["dept_key", "winner_key"]) / value(["winner_key"]))
+    assert np.allclose(rows.log_winner_agencies, np.log1p(rows.groupby("winner_key", dropna=False).dept_key.transform("nunique")))
+    assert np.allclose(rows.log_agency_size, np.log1p(rows.groupby("dept_key", dropna=False).project_id.transform("count")))

@@ -141,9 +141,13 @@ def near_repeats(df: DataFrame, by: list[str], days: int = 30, percent: int = 80
     Names repeat, so each different list of words is compared once: candidates share one of their rarest words, as two such
     lists must, and have sizes that permit the threshold. Contracts then meet by agency, list of a similar pair and date bucket of
     `days`, their own and the one before; what meets is what is found, but for the days.
+
+    A contract that has several rows may be found with another one more than once. Only pairs of which that may be so, by
+    the days of their rows, are made distinct; all others, which are found once, are never shuffled.
     """
-    t = df.filter(F.col("contract_date").isNotNull()).select(*by, "project_id", "contract_no", "contract_date", tokens(F.col(column)).alias("words")).filter(F.size("words") > 0)
-    t = written(t.withColumn("words", F.array_sort("words")).withColumn("list", F.sha2(F.array_join("words", "\0"), 256)))
+    t = df.filter(F.col("contract_date").isNotNull()).select(*by, "project_id", "contract_no", F.unix_date("contract_date").alias("day"), tokens(F.col(column)).alias("words")).filter(F.size("words") > 0)
+    # Half of a SHA-256 tells lists apart, and is a quarter of its hexadecimal text.
+    t = written(t.withColumn("words", F.array_sort("words")).withColumn("list", F.substring(F.unhex(F.sha2(F.array_join("words", "\0"), 256)), 1, 16)))
     lists = t.groupBy("list").agg(F.first("words").alias("words"), F.count("*").alias("_n"))
     rarity = lists.select("_n", F.explode("words").alias("word")).groupBy("word").agg(F.sum("_n").alias("df"))
     ranked = lists.select("list", F.explode("words").alias("word")).join(rarity, "word").groupBy("list").agg(F.sort_array(F.collect_list(F.struct("df", "word")))["word"].alias("words"))
@@ -157,13 +161,29 @@ def near_repeats(df: DataFrame, by: list[str], days: int = 30, percent: int = 80
     like = x.join(y, "word").filter((F.col("x_list") <= F.col("y_list")) & sizes & (100 * shared >= percent * union))
     half = written(like.select("x_list", "y_list", F.round(shared / union, 6).alias("jaccard")).distinct())
     similar = half.union(half.filter("x_list < y_list").select(F.col("y_list").alias("x_list"), F.col("x_list").alias("y_list"), "jaccard"))
-    t = t.drop("words").withColumn("bucket", F.floor(F.unix_date("contract_date") / days))
-    a = t.select(*by, "bucket", F.col("list").alias("x_list"), *[F.col(c).alias(f"a_{c}") for c in ("project_id", "contract_no", "contract_date")]).join(similar, "x_list")
-    b = t.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).select(*by, "bucket", F.col("list").alias("y_list"), *[F.col(c).alias(f"b_{c}") for c in ("project_id", "contract_no", "contract_date")])
-    close = a.join(b, [*by, "bucket", "y_list"]).filter((F.col("a_project_id") != F.col("b_project_id")) & F.datediff("a_contract_date", "b_contract_date").between(0, days))
-    first = F.least(F.struct(F.col("a_project_id").alias("p"), F.col("a_contract_no").alias("c"), F.col("a_contract_date").alias("d")), F.struct(F.col("b_project_id").alias("p"), F.col("b_contract_no").alias("c"), F.col("b_contract_date").alias("d")))
-    last = F.greatest(F.struct(F.col("a_project_id").alias("p"), F.col("a_contract_no").alias("c"), F.col("a_contract_date").alias("d")), F.struct(F.col("b_project_id").alias("p"), F.col("b_contract_no").alias("c"), F.col("b_contract_date").alias("d")))
-    return close.select(*by, first.alias("x"), last.alias("y"), "jaccard").select(*by, F.col("x.p").alias("project_a"), F.col("x.c").alias("contract_a"), F.col("y.p").alias("project_b"), F.col("y.c").alias("contract_b"), "jaccard").distinct()
+    # A contract's different rows, each with the days of all (`all`, null for a single row). near: with one contract two of them may
+    # meet the same row, so they are at most twice `days` apart and, of Jaccard distances, at most twice the one permitted.
+    own = [*by, "project_id", "contract_no"]
+    each = t.groupBy(*own).agg(F.collect_set(F.struct("day", "list", "words")).alias("rows"))
+    each = each.select(*own, "rows", F.explode("rows").alias("row")).select(*own, "row.*", "rows")
+    both = lambda r: F.size(F.array_intersect(r["words"], F.col("words")))
+    alike = lambda r: 100 * both(r) >= (2 * percent - 100) * (F.size(r["words"]) + F.size("words") - both(r))
+    near = (F.size("rows") > 1) & (F.size(F.filter("rows", lambda r: (F.abs(r["day"] - F.col("day")) <= 2 * days) & alike(r))) > 1)
+    each = written(each.select(*own, "day", "list", near.alias("near"), F.when(F.size("rows") > 1, F.transform("rows", lambda r: r["day"])).alias("all")))
+    bucket = F.floor(F.col("day") / days)
+    sides = {s: [F.col(c).alias(f"{s}_{c}") for c in ("project_id", "contract_no", "day", "near", "all")] for s in "ab"}
+    a = each.select(*by, bucket.alias("bucket"), F.col("list").alias("x_list"), *sides["a"]).join(similar, "x_list").drop("x_list")
+    b = each.select(*by, F.explode(F.array(bucket, bucket + 1)).alias("bucket"), F.col("list").alias("y_list"), *sides["b"])
+    apart = F.col("a_day") - F.col("b_day")
+    # Of two contracts of one day each finds the other.
+    close = a.join(b, [*by, "bucket", "y_list"]).filter((F.col("a_project_id") != F.col("b_project_id")) & apart.between(0, days) & ((apart > 0) | (F.col("a_project_id") < F.col("b_project_id"))))
+    met = F.aggregate("a_all", F.lit(0), lambda k, d: k + F.size(F.filter("b_all", lambda e: F.abs(d - e) <= days)))
+    # One condition, of both sides: pushed into one of them it would have the two branches shuffle rows that they can share.
+    once = F.when(F.col("a_near") | F.col("b_near"), False).when(F.col("a_all").isNull() | F.col("b_all").isNull(), True).otherwise(met == 1)
+    first = lambda c, one, other: F.when(F.col("a_project_id") < F.col("b_project_id"), F.col(f"{one}_{c}")).otherwise(F.col(f"{other}_{c}"))
+    ends = [first(c, *order).alias(name) for order, names in (("ab", ("project_a", "contract_a")), ("ba", ("project_b", "contract_b"))) for c, name in zip(("project_id", "contract_no"), names)]
+    pairs = lambda some: close.filter(some).select(*by, *ends, "jaccard")
+    return pairs(once).unionByName(pairs(~once).distinct())
 
 
 def province_mismatch(df: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from tendergrid.functions import stats
-from tendergrid.operators import autoencoder, models
+from tendergrid.operators import autoencoder, models, text
 from tendergrid.tables import written
 
 
@@ -67,3 +70,24 @@ def test_rows_are_shuffled_once_for_their_features(spark):
     assert np.allclose(rows.pair_value_share, value(["dept_key", "winner_key"]) / value(["winner_key"]))
     assert np.allclose(rows.log_winner_agencies, np.log1p(rows.groupby("winner_key", dropna=False).dept_key.transform("nunique")))
     assert np.allclose(rows.log_agency_size, np.log1p(rows.groupby("dept_key", dropna=False).project_id.transform("count")))
+
+
+def test_pairs_found_once_are_not_made_distinct(spark):
+    r = random.Random(7)
+    names = ["alpha beta gamma delta omega", "omega alpha beta gamma delta", "alpha beta gamma delta omega kappa", "kappa alpha beta gamma delta", "sigma kappa tau"]
+    # Contracts of one to four rows, some alike, on days that lie close together or far apart.
+    rows = [(f"a{i % 2}", i % 40, i % 3, 19_000 + r.choice([0, 0, 1, 29, 30, 31, 60, 200]), r.choice(names)) for i in range(260)]
+    rows += [(None, 1, 1, 19_000, names[0]), ("a0", None, 1, 19_000, names[0]), ("a0", 2, None, 19_000, names[0]), ("a0", 2, None, 19_000, names[0])]
+    df = spark.createDataFrame(rows, "dept_key string, project_id int, contract_no int, d int, project_name string").withColumn("contract_date", F.date_from_unix_date("d"))
+    got = text.near_repeats(df, ["dept_key"])
+    want = set()
+    for x, y in itertools.permutations(rows, 2):
+        a, b = set(x[4].split()), set(y[4].split())
+        if x[0] and x[0] == y[0] and None not in (x[1], y[1]) and x[1] < y[1] and abs(x[3] - y[3]) <= 30 and 100 * len(a & b) >= 80 * len(a | b):
+            want.add((x[0], x[1], x[2], y[1], y[2], round(len(a & b) / len(a | b), 6)))
+    found = list(map(tuple, got.collect()))
+    assert set(found) == want and len(found) == len(want) > 500
+    # The table of pairs is two parts; of those found once none is aggregated, nor shuffled.
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+    lone = text.near_repeats(df.dropDuplicates(["project_id", "contract_no"]).withColumn("contract_no", F.monotonically_increasing_id()), ["dept_key"])
+    assert lone.count() == lone.distinct().count() > 50
